@@ -6,10 +6,10 @@
 2. Blocks: each source is dealt by a hash of doc_id into shards of about SHARD_WORDS words; within a shard the documents, in
    seeded order, form one line of words cut into ceil(words / block) blocks of equal length.
 3. Quotas: Sainte-Laguë (quotients votes / (2k + 1), highest first) gives each source whole blocks, then splits a
-   source's blocks over its shards. Only quotients around the cut are ranked: round(votes) seats are certain up to the
-   number of seats that rounding leaves over or short.
-4. Selection: in a shard every block is taken quota div n times, and the (quota mod n) blocks of least seeded hash once
-   more. A document's `taken` is the words of its blocks' overlaps, repeats counted.
+   source's blocks over its shards. Only quotients near the cut are ranked (see `sainte_lague`).
+4. Selection: in a shard of n blocks every block is taken quota div n times, and quota mod n of them once more: those
+   that a seeded permutation j -> (a j + b) mod n, with a prime above n, puts first. So a document finds its blocks'
+   part in the mix from its own place on the line, without a list. `taken` is the words of these, repeats counted.
 
 Defined cases: null or blank text has size 0 and takes 0; an empty table gives no rows; repeated rows each count as a
 document (they take alike, since equal rows stand together on the line); ties in hash go by doc_id, then text; a null doc_id is
@@ -30,6 +30,8 @@ from tickloom.llm.common import word_count
 WEIGHTS, SHARE, MOST, BLOCK, SEED = (3, 1, 2), 1.5, 2, 64, "mix-7"
 #: Words of a shard on average. It bounds what is sorted together, however large a source is.
 SHARD_WORDS = 1_000_000
+#: Primes just below 2^31, above any shard's number of blocks.
+PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -45,64 +47,63 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
             "rest": F.sum("weight").over(up.rowsBetween(W.currentRow, W.unboundedFollowing)),
         }
     ).withColumn("level", (F.col("total") - F.col("below")) / F.col("rest"))
-    lam = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(W.partitionBy())
-    return s.withColumn("target", F.coalesce(F.least(F.col("cap"), lam * F.col("weight")), F.col("cap"))).select("source", "source_size", "weight", "target")
+    lam = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(W.partitionBy())
+    target = F.coalesce(F.least("cap", lam * F.col("weight")), F.col("cap"))
+    return s.withColumn("target", target).select(*sizes.columns, "weight", "target")
 
 
-def sainte_lague(df: DataFrame, group: Sequence[str], votes: str, most: str, seats: Column, tie: Sequence[Column]) -> DataFrame:
-    """Add `quota`: `seats` (one value a group) go to the rows of a group by highest votes / (2k + 1), none above `most`.
+def sainte_lague(df: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Rows (group, key, votes, most, seats) get `quota`: a group's seats go by highest votes / (2k + 1), none above most.
 
-    Starting from round(votes), with votes scaled to about the seats, at most |seats - sum(round)| quotients on either
-    side of a row's start can be among the winners; only these are ranked.
+    Votes are scaled to about the seats, so a row's quota is round(f * votes) for one f near 1 in the whole group. Rounding
+    shifts a group's sum by half a seat a row, so f differs from 1 by at most (|seats - votes| + rows / 2) / votes, and
+    only seats within that of round(votes) need ranking. Ties go to smaller k, then key.
     """
     g = W.partitionBy(*group)
-    df = df.withColumns({"_s": seats, "_r": F.least(F.floor(F.col(votes) + 0.5), F.col(most)).cast("long"), "_id": F.struct(*tie)})
-    df = df.withColumn("_d", F.abs(F.sum("_r").over(g) - F.col("_s")))
-    df = df.withColumns({"_lo": F.greatest(F.col("_r") - F.col("_d"), F.lit(0)), "_hi": F.least(F.col("_r") + F.col("_d"), F.col(most))})
-    df = df.withColumn("_left", F.col("_s") - F.sum("_lo").over(g))
-    near = df.where("_hi > _lo").select(*group, "_id", votes, "_lo", "_left", F.explode(F.expr("sequence(_lo, _hi - 1)")).alias("_k"))
-    rank = F.row_number().over(W.partitionBy(*group).orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), "_k", "_id"))
-    won = near.withColumn("_n", rank).where("_n <= _left").groupBy(*group, "_id").agg(F.count("*").alias("_won"))
-    on = None
-    left, right = df.alias("l"), won.alias("r")
-    for c in [*group, "_id"]:
-        e = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-        on = e if on is None else on & e
-    return left.join(right, on, "left").select("l.*", (F.col("_lo") + F.coalesce("_won", F.lit(0))).alias("quota")).drop("_s", "_r", "_id", "_d", "_lo", "_hi", "_left")
+    free = F.sum(F.when(F.col("votes") < F.col("most"), F.col("votes")).otherwise(0.0)).over(g)
+    off = F.abs(F.col("seats") - F.sum("votes").over(g)) + F.count("*").over(g) / 2
+    df = df.withColumns(
+        {
+            "_d": F.when(free > 0, F.ceil(F.col("votes") * off / F.greatest(free, F.lit(1.0)))).otherwise(F.ceil(off)) + 1,
+            "_r": F.least(F.floor(F.col("votes") + 0.5), F.col("most")),
+        }
+    )
+    df = df.withColumns({"_lo": F.greatest(F.col("_r") - F.col("_d"), F.lit(0)), "_hi": F.least(F.col("_r") + F.col("_d"), F.col("most"))})
+    df = df.withColumn("_left", F.col("seats") - F.sum("_lo").over(g))
+    near = df.select(*group, key, "votes", "_lo", "_left", F.explode_outer(F.expr("if(_hi > _lo, sequence(_lo, _hi - 1), null)")).alias("_k"))
+    rank = F.row_number().over(g.orderBy((F.col("votes") / (2 * F.col("_k") + 1)).desc_nulls_last(), "_k", key))
+    won = near.withColumn("_n", rank)
+    return won.groupBy(*group, key).agg((F.first("_lo") + F.count(F.when((F.col("_n") <= F.col("_left")) & F.col("_k").isNotNull(), 1))).alias("quota"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs (doc_id, source, text). See the module's docstring."""
+    hashed = lambda *c: F.md5(F.concat_ws("/", F.lit(seed), *c))
+    number = lambda h, at: F.conv(F.substring(h, at, 12), 16, 10).cast("long")
     d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    d = d.withColumn("_h", F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    per = d.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(per, weights, share, most).withColumns(
-        {"_shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)), "_rate": F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)}
+    # _sk: the source as a key that is never null; _h: a document's seeded place.
+    d = d.withColumns({"_sk": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "_h": hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    plan = targets(d.groupBy("_sk").agg(F.sum("size").alias("source_size"), F.first("source").alias("source")), weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = plan.select("_sk", "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).alias("_shards"), rate.alias("_rate"))
+    d = d.drop("source").join(plan, "_sk").withColumn("_shard", number(F.col("_h"), 1) % F.col("_shards"))
+
+    shards = d.groupBy("_sk", "_shard").agg(F.sum("size").alias("_w"), F.first("_rate").alias("_rate")).withColumn("_n", F.ceil(F.col("_w") / block)).where("_n > 0")
+    shards = shards.withColumns({"votes": F.col("_n") * F.col("_rate"), "most": F.lit(most) * F.col("_n")})
+    src = shards.groupBy("_sk").agg(F.sum("votes").alias("votes"), F.sum("most").alias("most"))
+    src = sainte_lague(src.withColumn("seats", F.round(F.sum("votes").over(W.partitionBy())).cast("long")), [], "_sk")
+    quota = sainte_lague(shards.join(src.withColumnRenamed("quota", "seats"), "_sk"), ["_sk"], "_shard").join(shards.select("_sk", "_shard", "_w", "_n"), ["_sk", "_shard"])
+    b = hashed("_sk", F.col("_shard").cast("string"))
+    primes = F.array(*[F.lit(p) for p in PRIMES])
+    quota = quota.withColumns({"_a": F.element_at(primes, (number(b, 13) % len(PRIMES) + 1).cast("int")) % F.col("_n"), "_b": number(b, 1) % F.col("_n")})
+
+    line = W.partitionBy("_sk", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("_end", F.sum("size").over(line)).join(quota, ["_sk", "_shard"], "left")
+    d = d.withColumn("_start", F.col("_end") - F.col("size"))
+    # Block j covers the words [w j div n, w (j + 1) div n), so word p lies in block ((p + 1) n - 1) div w.
+    extra = F.expr(
+        "aggregate(sequence(((_start + 1) * _n - 1) div _w, (_end * _n - 1) div _w), 0L, (s, j) -> s + "
+        "if((_a * j + _b) % _n < quota % _n, least(_end, (_w * (j + 1)) div _n) - greatest(_start, (_w * j) div _n), 0L))"
     )
-    plan = plan.select(F.col("source").alias("_src"), "source_size", "target", "_shards", "_rate")
-    d = d.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    d = d.withColumn("_shard", F.conv(F.substring("_h", 1, 12), 16, 10).cast("long") % F.col("_shards"))
-    shards = d.groupBy("source", "_shard").agg(F.sum("size").alias("_w"), F.first("_rate").alias("_rate")).withColumn("_n", F.ceil(F.col("_w") / block))
-    shards = shards.where("_n > 0").withColumns({"_votes": F.col("_n") * F.col("_rate"), "_most": F.lit(most) * F.col("_n")})
-    src = shards.groupBy("source").agg(F.sum("_votes").alias("_votes"), F.sum("_most").alias("_most"))
-    src = sainte_lague(src, [], "_votes", "_most", F.round(F.sum("_votes").over(W.partitionBy())).cast("long"), [F.col("source").isNull().alias("n"), F.col("source")])
-    src = src.select(F.col("source").alias("_src"), F.col("quota").alias("_seats"))
-    shards = shards.join(F.broadcast(src), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
-    shards = sainte_lague(shards, ["source"], "_votes", "_most", F.col("_seats"), [F.col("_shard")])
-    quota = shards.select(F.col("source").alias("_src"), F.col("_shard").alias("_sh"), "_w", "_n", "quota")
-
-    line = W.partitionBy("source", "_shard").orderBy("_h", "doc_id", "size")
-    d = d.withColumn("_end", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
-    d = d.join(F.broadcast(quota), F.col("source").eqNullSafe(F.col("_src")) & (F.col("_shard") == F.col("_sh")), "left").drop("_src", "_sh")
-    # Block j covers the words [w j div n, w (j + 1) div n). Blocks' ranks by seeded hash choose those taken once more.
-    pick = quota.where("quota % _n > 0").select("_src", "_sh", "_n", "quota", F.explode(F.expr("sequence(0L, _n - 1)")).alias("_j"))
-    seeded = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce("_src", F.lit("")), F.col("_sh").cast("string"), F.col("_j").cast("string")))
-    pick = pick.withColumn("_rk", F.row_number().over(W.partitionBy("_src", "_sh").orderBy(seeded, "_j"))).where("_rk <= quota % _n")
-    more = pick.groupBy("_src", "_sh").agg(F.sort_array(F.collect_list("_j")).alias("_more"))
-    d = d.join(more, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_shard") == F.col("_sh")), "left")
-    first, last = F.expr("floor(((_start + 1) * _n - 1) / _w)"), F.expr("floor((_end * _n - 1) / _w)")
-    d = d.withColumns({"_first": first, "_last": last})
-    # Selected blocks are an ordered list of a bounded shard: a document takes the piece between its own first and last.
-    extra = F.expr("aggregate(filter(_more, j -> j between _first and _last), 0L, (a, j) -> a + least(_end, (_w * (j + 1)) div _n) - greatest(_start, (_w * j) div _n))")
-    taken = F.when((F.col("size") == 0) | F.col("quota").isNull(), F.lit(0)).otherwise(F.expr("(quota div _n) * size") + F.coalesce(extra, F.lit(0)))
+    taken = F.when((F.col("size") > 0) & F.col("quota").isNotNull(), F.expr("(quota div _n) * size") + extra).otherwise(F.lit(0))
     return d.select("doc_id", "size", "source_size", F.col("target").cast("double"), taken.cast("long").alias("taken"))
