@@ -106,7 +106,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
                         if out is not None:
                             out.close()
                         name, pos = f"part-{uuid.uuid4().hex}.warc.gz", 0
-                        out = fs.open_output_stream(f"{at}/{name}")
+                        out = fs.open_output_stream(f"{at}/{name}", compression=None)
                     d = digest32(body)
                     member = record(p, u, body, d, first, refers)
                     out.write(member)
