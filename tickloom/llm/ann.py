@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import Scratch
 
-BOOKS, WORDS, BEAM = 8, 256, 6
+BOOKS, WORDS, BEAM = 16, 256, 4
 FIT_ROWS, FIT_STEPS = 8192, 8
-CANDIDATES, NEAREST = 160, 5
+CANDIDATES, NEAREST = 200, 5
 CODE_BLOCK, QUERY_BLOCK = 8192, 512
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.llm.common import lower_words, mix64, shingle_hashes, signed, text_key, word_hashes
 
@@ -144,10 +145,7 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, least: int, coverage: float
             yield pa.RecordBatch.from_arrays([*b.columns, *_columns(found)], [*b.schema.names, *NAMES])
 
     at = docs.columns.index("text")
-    schema = docs.schema
-    for f in docs.sparkSession.createDataFrame([], OUT).schema:
-        schema = schema.add(f)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *T._parse_datatype_string(OUT).fields]))
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
