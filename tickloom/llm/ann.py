@@ -146,7 +146,7 @@ def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, candidat
     coded = scratch.keep(coded, "codes")
     n, asked = coded.agg(F.count("*"), F.count("unit")).first()
     code_blocks, query_blocks = max(1, -(-n // CODE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    block = lambda c, k: F.pmod(F.xxhash64(c, F.lit(17)), F.lit(k))
+    block = lambda c, k: F.pmod(F.xxhash64(c, F.lit(17)), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = coded.drop("unit").withColumn("cb", block("vec_id", code_blocks)).withColumn("qb", every(query_blocks))
     right = coded.where("unit is not null").select(F.col("vec_id").alias("query_id"), "unit").withColumn("qb", block("query_id", query_blocks)).withColumn("cb", every(code_blocks))
