@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import Scratch
 
-BOOKS, WORDS, BEAM = 16, 256, 4
+BOOKS, WORDS, BEAM = 24, 256, 3
 FIT_ROWS, FIT_STEPS = 8192, 8
 CANDIDATES, NEAREST = 200, 5
 CODE_BLOCK, QUERY_BLOCK = 8192, 512
@@ -126,7 +126,7 @@ def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, candidat
     """query_id, rank, vec_id, score: of the rows of vectors (vec_id, embedding) where `queries` holds, the nearest others."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
-    v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("asks"))
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(FIT_ROWS).collect()  # at most FIT_ROWS vectors
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

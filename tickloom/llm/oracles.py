@@ -1,3 +1,73 @@
 """SQL twins of this subpackage's queries, where SQL can express them."""
 
-SQL: dict[str, str] = {}
+_WS = "[\\x20\\x09-\\x0D]+"
+
+LINE_DEDUP = f"""
+with line as (
+  select doc_id, i, l, ('0x' || substr(md5(l), 1, 7))::bigint as h, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) >= 50 as p
+  from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null)
+), cut as (
+  select *, p or coalesce(lead(p) over w, true) or (h * 961 + coalesce(lag(h) over w, 0) * 31 + coalesce(lag(h, 2) over w, 0)) % 4 = 0 as e from line window w as (partition by doc_id order by i)
+), numbered as (
+  select *, coalesce(sum(e::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as c from cut
+), chunk as (
+  select doc_id, c, string_agg(l, chr(10) order by i) as t, count(*) as n, bool_or(p) as p from numbered group by all
+), ranked as (
+  select *, row_number() over (partition by t order by doc_id, c) as k from chunk where (n > 1 or p) and regexp_matches(t, '[^\\x20\\x09\\x0A\\x0D]')
+), kept as (
+  select c.doc_id, string_agg(c.t, chr(10) order by c.c) filter (r.k is null or r.k = 1) as t, count(*) filter (r.k > 1) as gone
+  from chunk c left join ranked r on c.doc_id = r.doc_id and c.c = r.c group by 1
+)
+select d.doc_id, coalesce(gone, 0)::bigint as n_removed, length(case when d.text is null then null else coalesce(t, '') end)::bigint as kept_chars,
+  md5(case when d.text is null then null else coalesce(t, '') end) as kept_md5
+from documents d left join kept k on d.doc_id = k.doc_id
+"""
+
+#: The same mix from the definition: seats one by one, blocks and words as rows of their own.
+MIXING = """
+with recursive doc as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, md5('mix-7/' || coalesce(doc_id::varchar, '')) as h,
+    coalesce('s' || source, 'n') as sk from documents
+), src as (
+  select sk, sum(size)::bigint as source_size, [3.0, 1.0, 2.0][(row_number() over (order by sk = 'n', sk) - 1) % 3 + 1] as w from doc group by sk
+), fill(step, sk, source_size, w, target, stopped) as (
+  select 0, sk, source_size, w, 1.5 * sum(source_size) over () * w / sum(w) over (), false from src
+  union all
+  select step + 1, sk, source_size, w,
+    case when stopped or target >= 2.0 * source_size then 2.0 * source_size
+      else (1.5 * sum(source_size) over () - sum(case when stopped or target >= 2.0 * source_size then 2.0 * source_size else 0 end) over ()) * w / sum(case when stopped or target >= 2.0 * source_size then 0 else w end) over () end,
+    stopped or target >= 2.0 * source_size
+  from fill where step < (select count(*) from src)
+), target as (
+  select sk, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate, greatest(1, ceil(source_size / 1000000.0))::bigint as shards
+  from fill where step = (select count(*) from src)
+), dealt as (
+  select d.*, t.source_size, t.target, t.rate, ('0x' || substr(h, 1, 12))::bigint % shards as shard from doc d join target t using (sk)
+), sh as (
+  select sk, shard, sum(size)::bigint as w, ceil(sum(size) / 64.0)::bigint as n, any_value(rate) as rate from dealt group by sk, shard having sum(size) > 0
+), votes as (
+  select sk, sum(n * rate) as v, sum(2 * n)::bigint as most from sh group by sk
+), seat as (
+  select sk, v / (2 * k + 1) as q, k from (select sk, v, unnest(range(least(most, ceil(v * 1.05)::bigint + 50))) as k from votes)
+), got as (
+  select sk, count(*)::bigint as seats from (select sk, row_number() over (order by q desc, k, sk) as r from seat) where r <= (select round(sum(v)) from votes) group by sk
+), seat2 as (
+  select sk, shard, n * rate / (2 * k + 1) as q, k from (select sk, shard, n, rate, unnest(range(least(2 * n, ceil(n * rate * 1.05)::bigint + 50))) as k from sh)
+), quota as (
+  select sk, shard, count(*) as quota from (select s.sk, shard, seats, row_number() over (partition by s.sk order by q desc, k, shard) as r from seat2 s join got g on s.sk = g.sk) where r <= seats group by sk, shard
+), plan as (
+  select s.*, coalesce(quota, 0)::bigint as quota, [2147483647, 2147483629, 2147483587, 2147483579][(('0x' || substr(b, 13, 12))::bigint % 4) + 1] % n as pa, ('0x' || substr(b, 1, 12))::bigint % n as pb
+  from (select *, md5('mix-7/' || sk || '/' || shard) as b from sh) s left join quota q on s.sk = q.sk and s.shard = q.shard
+), block as (
+  select sk, shard, (w * j) // n as a, (w * (j + 1)) // n as z, quota // n + case when (pa * j + pb) % n < quota % n then 1 else 0 end as times
+  from (select *, unnest(range(n)) as j from plan)
+), line as (
+  select *, sum(size) over (partition by sk, shard order by h, doc_id, size rows unbounded preceding)::bigint as z from dealt
+), taken as (
+  select l.doc_id, l.sk, sum((least(l.z, b.z) - greatest(l.z - l.size, b.a)) * times)::bigint as taken
+  from line l join block b on l.sk = b.sk and l.shard = b.shard and b.a < l.z and b.z > l.z - l.size group by l.doc_id, l.sk
+)
+select d.doc_id, d.size, d.source_size, d.target::double as target, coalesce(taken, 0)::bigint as taken from dealt d left join taken t on d.doc_id = t.doc_id and d.sk = t.sk
+"""
+
+SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING}

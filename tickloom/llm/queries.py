@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.common import table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import line_dedup
+
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import Scratch
 
 FILE_BYTES = 1 << 28
-GAP, MOST = 1 << 16, 1 << 23
+GAP, MOST, TASK_BYTES = 1 << 16, 1 << 22, 1 << 23
 INDEX = "file string, offset long, length long, page_id long, url string, digest string"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -150,7 +150,9 @@ def read(index: DataFrame, payload: bool = False, gap: int = GAP, most: int = MO
 
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload)
     ddl = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return ranges(index, gap, most).mapInArrow(run, ddl)
+    # Ranges are short rows that stand for many bytes, so their number of tasks comes from the bytes.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    return ranges(index, gap, most).repartition(max(1, total // TASK_BYTES)).mapInArrow(run, ddl)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
