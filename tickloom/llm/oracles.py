@@ -70,4 +70,27 @@ with recursive doc as (
 select d.doc_id, d.size, d.source_size, d.target::double as target, coalesce(taken, 0)::bigint as taken from dealt d left join taken t on d.doc_id = t.doc_id and d.sk = t.sk
 """
 
-SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING}
+
+
+def _licenses() -> str:
+    """Windows and containment by definition, over all shingles of all texts: no prefilter, no bands."""
+    from tickloom.llm.license_scan import SHINGLE, TEMPLATES, class_of, shingles_of
+
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = [(k, len(sh), class_of(len(sh)), len(sh[0].split()), x) for k, t in TEMPLATES.items() if (sh := shingles_of(t)) for x in sh]
+    values = ", ".join(f"({quote(k)}, {n}, {c}, {size}, {quote(x)})" for k, n, c, size, x in rows)
+    return f"""
+with tpl(license, n, class, size, shingle) as (values {values}), doc as (
+  select row_number() over () as r, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from documents
+), sh as (
+  select r, i, {SHINGLE} as size, array_to_string(w[i + 1:i + {SHINGLE}], ' ') as shingle from (select r, w, unnest(range(len(w) - {SHINGLE} + 1)) as i from doc)
+), hit as (
+  select distinct r, license, n, shingle, unnest(range(greatest(0, ceil((i - 2 * class + 1) / (class / 2.0))::bigint), i // (class // 2) + 1)) as win from sh join tpl using (size, shingle)
+), held as (
+  select distinct r, license from (select r, license, win from hit group by r, license, win, n having count(*) >= 0.8 * n)
+)
+select doc_id, count(license)::bigint as n_licenses, coalesce(string_agg(license, ',' order by license), '') as licenses from doc left join held using (r) group by r, doc_id
+"""
+
+
+SQL: dict[str, str] = {"op9_license_scan": _licenses(), "op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING}

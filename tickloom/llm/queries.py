@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import token_counts
+    from tickloom.llm.common import Scratch
+
+    state = f"{Scratch(spark, 'token-counts').root}/state"
+    rollup = token_counts.Rollup(spark, state)
+    changes = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", F.lit("insert").alias("op"), F.lit(0).alias("seq"))
+    rollup.commit("load", changes)
+    rollup.commit("load", changes)  # the same batch again changes nothing
+    return rollup.totals()
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import line_dedup
 
@@ -54,6 +68,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import license_scan
+
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import warc
 
