@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +61,11 @@ class Scratch:
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.root}/{name}")
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of plans that are no longer in use; else they stay until the driver happens to collect garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:

@@ -7,7 +7,7 @@ and after it. Chunks of two or more lines, and such passages, that occur more th
 first occurrence (least doc_id, then text hash, then place) stays and equal ones are removed.
 
 Occurrences travel as (hash, document, place); texts move only by document, once to fetch repeated chunks and once to take them
-out. A chunk in a third of all documents is one row a task after partial aggregation, and its joins can be split.
+out (by sort-merge at every size). A chunk in a third of all documents is one row a task after partial aggregation, and its joins can be split.
 
 Defined cases: null text stays null, an empty text stays; a chunk of blank lines only is left alone; rows of equal doc_id and text are one
 document, decided alike; doc_id null counts as the least id; documents with nothing removed keep their text byte for byte; an empty table gives no rows; other
@@ -59,20 +59,25 @@ def marked(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     first = occ.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "at")).alias("f")).where("n > 1").select("key", "f")
     # Places of repeated chunks, gathered by document, fetch the chunks' bytes.
     rep = occ.join(first, "key").withColumn("first", F.struct("_id", "_h", "at").eqNullSafe(F.col("f"))).drop("f")
-    wanted = rep.groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "key", "first")).alias("w")).withColumnsRenamed({"_id": "_i", "_h": "_g"})
+    wanted = rep.groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "key", "first")).alias("w")).hint("merge").withColumnsRenamed({"_id": "_i", "_h": "_g"})
     one = d.join(wanted, d["_id"].eqNullSafe(wanted["_i"]) & (d["_h"] == wanted["_g"])).drop("_i", "_g")
     got = one.withColumn("c", F.expr(chunks())).select("_id", "_h", F.explode("w").alias("w"), "c")
     got = scratch.keep(got.select("_id", "_h", "w.*", F.expr("element_at(c, w.at + 1).t").alias("bytes")), "chunks")
+    del occ, first, rep, wanted, one
+    scratch.drop("places")
+    scratch.free()
     kept = got.where("first").groupBy("key").agg(F.min("bytes").alias("own"))
     gone = got.where("not first").join(kept, "key").where("bytes = own").groupBy("_id", "_h").agg(F.collect_set("at").alias("places"))
-    return scratch.keep(gone, "gone"), scratch
+    gone = scratch.keep(gone, "gone")
+    del got, kept
+    scratch.drop("chunks")
+    scratch.free()
+    return gone.hint("merge"), scratch
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks taken out of text; a column of n_chars is left as it is."""
-    gone, scratch = marked(docs)
-    scratch.drop("places")
-    scratch.drop("chunks")
+    gone, _ = marked(docs)
     g = gone.withColumnsRenamed({"_id": "__id", "_h": "__h", "places": "__places"})
     left = F.expr(_LEFT)
     full = docs.join(g, docs["doc_id"].eqNullSafe(g["__id"]) & (F.xxhash64(docs["text"]) == g["__h"]), "left")
@@ -82,7 +87,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chunks removed, chars removed and the digest of what is left, for each row of docs."""
     d = docs.select("doc_id", "text")
-    gone, scratch = marked(d)
+    gone, _ = marked(d)
     g = gone.withColumnsRenamed({"_id": "__id", "_h": "__h", "places": "__places"})
     full = d.join(g, d["doc_id"].eqNullSafe(g["__id"]) & (F.xxhash64(d["text"]) == g["__h"]), "left")
     left = F.expr(_LEFT)
