@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import word_count
+from tickloom.llm.common import Scratch, word_count
 
 WEIGHTS, SHARE, MOST, BLOCK, SEED = (3, 1, 2), 1.5, 2, 64, "mix-7"
 #: Words of a shard on average. It bounds what is sorted together, however large a source is.
@@ -83,9 +83,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     # _sk: the source as a key that is never null; _h: a document's seeded place.
     d = d.withColumns({"_sk": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "_h": hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    # Texts are read once; what follows works on sizes.
+    scratch = Scratch(docs.sparkSession, "mixing")
+    d = scratch.keep(d, "sizes")
     plan = targets(d.groupBy("_sk").agg(F.sum("size").alias("source_size"), F.first("source").alias("source")), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.select("_sk", "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).alias("_shards"), rate.alias("_rate"))
+    plan = scratch.keep(plan, "plan")  # Spark knows its size from here on, and broadcasts it only if that is small
     d = d.drop("source").join(plan, "_sk").withColumn("_shard", number(F.col("_h"), 1) % F.col("_shards"))
 
     shards = d.groupBy("_sk", "_shard").agg(F.sum("size").alias("_w"), F.first("_rate").alias("_rate")).withColumn("_n", F.ceil(F.col("_w") / block)).where("_n > 0")
