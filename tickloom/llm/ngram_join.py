@@ -186,13 +186,14 @@ def _count_pairs(pairs: DataFrame, sets: DataFrame, order, num: int, den: int) -
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column("part").to_pylist(), b.column("other").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(got, pa.int64())], ["a", "b", "na", "nb", "got"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb", "frag")), pa.array(got, pa.int64())], ["a", "b", "na", "nb", "frag", "got"])
 
     seg = sets.mapInArrow(segments, "sig binary, frag int, part binary")
     left = pairs.join(seg.withColumnRenamed("sig", "a"), "a")
     met = left.join(seg.select(F.col("sig").alias("b"), "frag", F.col("part").alias("other")), ["b", "frag"])
-    part = met.select("a", "b", "na", "nb", "part", "other").mapInArrow(overlap, "a binary, b binary, na long, nb long, got long")
-    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("got").alias("got"))
+    part = met.select("a", "b", "na", "nb", "frag", "part", "other").mapInArrow(overlap, "a binary, b binary, na long, nb long, frag int, got long")
+    # Repeated rows of a document bring a segment more than once, always the same.
+    total = part.select("a", "b", "na", "nb", "frag", "got").distinct().groupBy("a", "b", "na", "nb").agg(F.sum("got").alias("got"))
     return total.where(F.col("got") * den >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("got"))).select("a", "b")
 
 
@@ -270,6 +271,7 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, hot: int = H
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
 
     pre = scratch.keep(_prefixes(named, k, num, den, order).groupBy("tok", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("par", ignorenulls=True).alias("par")), "prefixes")
+    scratch.free()
     times = pre.groupBy("tok").agg(F.count("*").alias("times")).where("times > 1")
     shared = scratch.keep(pre.drop("par").join(times, "tok"), "shared")
     cold, busy = shared.where(F.col("times") <= hot), shared.where(F.col("times") > hot)
@@ -278,18 +280,24 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, hot: int = H
     # Up to the first shared key nothing overlaps, so at most the rest of the shorter tail does.
     bound = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     near = near.where(bound * (num + den) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb").distinct()
-    par = pre.where("pos = 0").select("sig", "par")
+    par = scratch.keep(pre.where("pos = 0").select("sig", "par"), "parity")
+    del pre, times
+    scratch.drop("prefixes")
+    scratch.free()
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     near = near.join(par.select(F.col("sig").alias("a"), F.col("par").alias("x")), "a").join(par.select(F.col("sig").alias("b"), F.col("par").alias("y")), "b")
     unlike = sum((F.bit_count(word("x", i).bitwiseXOR(word("y", i))) for i in range(WORDS64)), F.lit(0))
     near = near.where(unlike * (num + den) <= F.lit(den - num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
     near = scratch.keep(near, "pairs")
+    scratch.drop("parity")
 
     wanted = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).unionByName(busy.select("sig")).distinct()
     # One row of each class wanted stands for it; its text is fetched by id and made a set again.
     ids = rows.where("doc_id is not null").join(wanted, "sig").groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("r")).select("sig", F.col("r.doc_id").alias("doc_id"))
     texts = named.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids.hint("shuffle_hash"), "doc_id")
-    sets = scratch.keep(_full(texts, k, order).where(F.length("keys") > 0).dropDuplicates(["sig", "keys"]), "keys")
+    sets = scratch.keep(_full(texts, k, order), "keys")
+    del texts, wanted, ids
+    scratch.free()
     links = _count_pairs(near, sets, order, num, den).unionByName(_hot_links(busy.select("tok", "sig", "n"), sets, order, num, den, scratch))
     roots = components(scratch.keep(links, "links"), scratch)
     # Classes of a component share its least document.
@@ -297,6 +305,6 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, hot: int = H
     comp = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = scratch.keep(rooted.join(comp, "root").select("sig", "component_id"), "classes")
     out = rows.join(by_class, "sig", "left")
-    for name in ("prefixes", "shared", "pairs", "keys", "links"):
+    for name in ("shared", "pairs", "keys", "links"):
         scratch.drop(name)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
