@@ -30,7 +30,7 @@ from tickloom.llm.common import Scratch
 BOOKS, WORDS, BEAM = 24, 256, 3
 FIT_ROWS, FIT_STEPS = 8192, 8
 CANDIDATES, NEAREST = 200, 5
-CODE_BLOCK, QUERY_BLOCK = 8192, 512
+CODE_BLOCK, QUERY_BLOCK = 65536, 128
 
 
 def usable(v: Column) -> Column:
