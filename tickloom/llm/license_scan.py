@@ -21,6 +21,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import Scratch
+
 SHINGLE, THRESHOLD, BANDS = 5, 0.8, 64
 MAX_TEMPLATES = 2000
 
@@ -74,24 +76,31 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     rows = [(k, class_of(len(s)), s) for k, t in sorted(templates.items()) if (s := shingles_of(t))]
     classes = sorted({(r[1], len(r[2][0].split())) for r in rows})
     words = sorted(anchors(templates, threshold))
-    hashed = "transform(sequence(1, %d), b -> xxhash64(b, array_min(transform(sh, s -> xxhash64(s, b)))))" % bands
+    # transform(array(x), v -> ...)[0] binds v to x once; a column read in a lambda may be worked out for every element.
+    hashed = f"transform(array(transform(own, s -> xxhash64(s))), sh -> transform(sequence(1, {bands}), b -> xxhash64(b, array_min(transform(sh, s -> xxhash64(s, b))))))[0]"
     known = spark.createDataFrame(rows, "license string, class int, template array<string>").withColumn("size", F.expr("size(split(template[0], ' '))"))
-    keys = known.withColumn("sh", F.expr("transform(template, s -> xxhash64(s))")).select("license", "class", "size", "template", F.explode(F.expr(hashed)).alias("key"))
+    keys = known.withColumn("own", F.col("template")).select("license", "class", "size", "template", F.explode(F.expr(hashed)).alias("key"))
 
     plain = F.btrim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
-    d = docs.where(F.lower("text").rlike("|".join(map(re.escape, words)))).select("_r", F.split(plain, " ").alias("w"))
+    anchored = F.lit(False)
+    for w in words:
+        anchored = anchored | F.contains(F.col("_low"), F.lit(w))
+    scratch = Scratch(spark, "license-scan")
+    d = docs.withColumn("_low", F.lower("text")).where(anchored).select("_r", F.split(plain, " ").alias("w"))
+    d = scratch.keep(d, "words")  # few documents hold an anchor
     held = "array(" + ", ".join(f"'{w}'" for w in words) + ")"
     # (class, shingle size, first shingle) of windows that hold an anchor: found from the anchors' places, not by trying all.
-    places = F.expr(f"filter(sequence(0, size(w) - 1), i -> array_contains({held}, w[i]))")
+    places = F.expr(f"filter(transform(w, (x, i) -> if(array_contains({held}, x), i, null)), i -> i is not null)")
     d = d.withColumn("at", places).where("size(at) > 0")
     parts = [
         f"transform(array_distinct(flatten(transform(at, i -> sequence(greatest(0, (i - {k - 1} - {2 * c - 1} + {c // 2 - 1}) div {c // 2}), i div {c // 2})))), x -> struct({c} as class, {k} as size, x * {c // 2} as first))"
         for c, k in classes
     ]
     d = d.select("_r", "w", F.explode(F.expr("concat(" + ", ".join(parts) + ")")).alias("win")).select("_r", "w", "win.*")
-    count = "least(2 * class, size(w) - size + 1 - first)"
-    d = d.where(f"{count} > 0").withColumn("own", F.expr(f"array_distinct(transform(sequence(first, first + {count} - 1), i -> array_join(slice(w, i + 1, size), ' ')))")).drop("w")
-    d = d.withColumn("sh", F.expr("transform(own, s -> xxhash64(s))")).select("_r", "class", "size", "first", "own", F.explode(F.expr(hashed)).alias("key"))
+    d = d.select("_r", "class", "size", "first", F.expr("slice(w, first + 1, 2 * class + size - 1)").alias("w"))
+    d = d.where("size(w) >= size").withColumn("own", F.expr("transform(array(w), v -> array_distinct(transform(sequence(1, size(v) - size + 1), i -> array_join(slice(v, i, size), ' '))))[0]"))
+    d = scratch.keep(d.select("_r", "class", "size", "first", "own"), "windows")
+    d = d.select("_r", "class", "size", "first", "own", F.explode(F.expr(hashed)).alias("key"))
     met = d.join(F.broadcast(keys), ["class", "size", "key"]).dropDuplicates(["_r", "class", "size", "first", "license"])
     share = F.size(F.array_intersect("template", "own")) / F.size("template")
     found = met.select("_r", "license", share.alias("containment")).where(F.col("containment") >= threshold)
