@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table with ts as an instant (UTC sessions)."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = events(spark, sf_dir)
     side = F.when(F.col("event_type").isin("purchase", "signup"), "BUY").when(F.col("event_type").isin("view", "error"), "SELL").otherwise("UNKNOWN")
     return e.select(
-        F.concat(F.lit("U"), (F.col("user_id") % 8).cast("string")).alias("instrument"), "event_id", F.col("ts").alias("event_time"), F.col("value").cast("decimal(18,8)").alias("price"),
+        F.concat(F.lit("U"), (F.col("user_id") % 8).cast("string")).alias("instrument"), "event_id", F.col("ts").cast("timestamp").alias("event_time"), F.col("value").cast("decimal(18,8)").alias("price"),
         F.get_json_object("props", "$.k").cast("decimal(18,8)").alias("size"), side.alias("side"), (F.col("user_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("seq"),
     )
 
@@ -28,8 +33,8 @@ def books(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = lambda p: f"struct({p} as p, l_quantity as q)"
     # Levels are gathered per order: a handful of lines each.
     side = lambda cond, p: F.expr(f"sort_array(collect_list(case when {cond} then {level(p)} end))")
-    g = lines.withColumn("p", F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)).groupBy("l_orderkey").agg(side("l_returnflag = 'A'", "-p").alias("b"), side("l_returnflag <> 'A'", "p").alias("a"))
+    g = lines.withColumn("p", F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double")).groupBy("l_orderkey").agg(side("l_returnflag = 'A'", "-p").alias("b"), side("l_returnflag <> 'A'", "p").alias("a"))
     conv = lambda c, sign: F.expr(f"transform({c}, x -> struct(cast({sign}x.p as decimal(18,8)) as price, cast(x.q as decimal(18,8)) as size))")
     return g.join(o, g["l_orderkey"] == o["o_orderkey"]).select(
-        F.concat(F.lit("C"), (F.col("o_custkey") % 4).cast("string")).alias("instrument"), F.col("l_orderkey").alias("event_id"), F.col("o_orderdate").alias("event_time"), conv("b", "-").alias("bids"), conv("a", "").alias("asks")
+        F.concat(F.lit("C"), (F.col("o_custkey") % 4).cast("string")).alias("instrument"), F.col("l_orderkey").alias("event_id"), F.col("o_orderdate").cast("timestamp").alias("event_time"), conv("b", "-").alias("bids"), conv("a", "").alias("asks")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_COMBINED = "stream string, data struct<s:string,t:bigint,p:string,q:string,T:bigint,m:boolean,lastUpdateId:bigint,bids:array<array<string>>,asks:array<array<string>>>"
+_COMBINED = "stream string, data struct<s:string,p:string,q:string,m:boolean,lastUpdateId:bigint,bids:array<array<string>>,asks:array<array<string>>>"
 _LISTED = "event string, code string, msg string, arg struct<channel:string,instId:string>, data array<struct<instId:string,tradeId:string,px:string,sz:string,side:string,ts:string,bids:array<array<string>>,asks:array<array<string>>>>"
 
 
@@ -39,11 +39,11 @@ def combined_stream(raw: DataFrame, source: str = "binance") -> DataFrame:
         .when((F.col("kind") == "book") & F.col(d + "bids").isNull(), "no levels")
     )
     out = _numbered(m.withColumn("reason", reason))
-    event_time = F.when(trade, F.timestamp_millis(F.col(d + "T"))).otherwise(F.col("ingest_time"))
+    event_time = F.when(trade, F.timestamp_millis(F.expr("try_cast(get_json_object(value, '$.data.T') as bigint)"))).otherwise(F.col("ingest_time"))
     bids, asks = _levels("j.data.bids", True), _levels("j.data.asks", True)
     return out.select(
         "arrival", "source", "kind", "instrument", "sequence_number", event_time.alias("event_time"), "ingest_time", F.expr("try_cast(j.data.p as decimal(18,8))").alias("price"), F.expr("try_cast(j.data.q as decimal(18,8))").alias("size"),
-        F.when(trade, F.when(F.col(d + "m"), "SELL").otherwise("BUY")).alias("side"), F.col(d + "t").cast("string").alias("exchange_trade_id"), bids.alias("bids"), asks.alias("asks"), F.greatest(F.size(bids), F.size(asks)).alias("depth"), "reason", "value",
+        F.when(trade, F.when(F.col(d + "m"), "SELL").otherwise("BUY")).alias("side"), F.get_json_object("value", "$.data.t").alias("exchange_trade_id"), bids.alias("bids"), asks.alias("asks"), F.greatest(F.size(bids), F.size(asks)).alias("depth"), "reason", "value",
     )
 
 
