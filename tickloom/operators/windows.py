@@ -1,7 +1,7 @@
 """Event-time windows with the exact late and close rules of a per-partition watermark.
 
 The watermark is the least, over the partitions seen so far, of the latest event time of each; it is moved by every arrival. An arrival is
-late if its window's end is not after it. A window is closed once its end is not after the last watermark. The set of partitions is known up front.
+late if its window's end is not after it. A window is closed once its end is not after the watermark of the last arrival. The set of partitions is known up front.
 """
 
 from __future__ import annotations
@@ -44,5 +44,5 @@ def closed(marked: DataFrame, flush: bool = False) -> DataFrame:
     ok = marked.where("not late")
     if flush:
         return ok
-    final = marked.groupBy("instrument").agg(F.max("watermark").alias("final_watermark"))
+    final = marked.groupBy("instrument").agg(F.max_by("watermark", "seq").alias("final_watermark"))
     return ok.join(final, "instrument").where("window_end <= final_watermark").drop("final_watermark")

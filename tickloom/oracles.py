@@ -101,7 +101,7 @@ SQL: dict[str, str] = {
     "valid_trades": f"with {CHECKED} select event_id, instrument, price::double as price from r where reasons = ''",
     "fenced": f"with {T} select event_id, time_bucket(interval '1 hour', event_time) as window_start, time_bucket(interval '1 hour', event_time) + interval '1 hour' as window_end from t where instrument = 'U3'",
     "late_split": f"with {ARRIVED} select event_id, instrument, window_start, watermark, late from l",
-    "closed_windows": f"with {ARRIVED}, f as (select instrument, max(watermark) as w from m group by 1) select l.instrument, window_start, count(*) as n from l join f using (instrument) where not late and window_start + interval 1 hour <= w group by all",
+    "closed_windows": f"with {ARRIVED}, f as (select instrument, arg_max(watermark, seq) as w from m group by 1) select l.instrument, window_start, count(*) as n from l join f using (instrument) where not late and window_start + interval 1 hour <= w group by all",
     "asof_price": f"with {SIGNAL} select event_id, last_p::double as asof_price from p",
     "forward_return": f"with {SIGNAL} select instrument, event_id, signal, entry, exit, exit_time, round({RET}, 9) as forward_return from f",
     "forward_return_ic": f"with {SIGNAL}, v as (select instrument, signal, {RET} as ret from f) select instrument, case when count(*) >= 2 and var_pop(signal) > 0 and var_pop(ret) > 0 then round(corr(signal, ret), 7) end as ic, count(*) as n from v where ret is not null group by 1",
