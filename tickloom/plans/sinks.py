@@ -44,7 +44,9 @@ def raw_lines(records: DataFrame) -> DataFrame:
     """
     text = F.decode("value", "UTF-8")
     flat = F.regexp_replace(text, "[\r\n]", " ")
-    whole = F.coalesce(F.expr("try_parse_json(decode(value, 'UTF-8')) is not null"), F.lit(False)) & F.trim(flat).startswith("{")
+    # In brackets, so that anything after the object makes the text no array of one.
+    one = "try_parse_json(concat('[', decode(value, 'UTF-8'), ']'))"
+    whole = F.coalesce(F.expr(f"{one} is not null and try_variant_get({one}, '$[1]', 'variant') is null"), F.lit(False)) & F.trim(flat).startswith("{")
     head = F.to_json(F.struct("topic", "partition", "offset", "timestamp", "key"))
     cut = F.substring(head, F.lit(1), F.length(head) - 1)
     line = F.when(F.col("value").isNull(), F.concat(cut, F.lit(',"value":null}'))).when(whole, F.concat(cut, F.lit(',"value":'), flat, F.lit("}"))).otherwise(F.concat(cut, F.lit(',"valueBase64":"'), F.base64("value"), F.lit('"}')))
