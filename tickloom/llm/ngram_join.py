@@ -22,13 +22,14 @@ not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import Scratch, lower_words, mix64, shingle_hashes, signed, word_hashes
@@ -37,7 +38,9 @@ from tickloom.llm.components import components
 CELL_BITS = 18
 FRAGMENTS = 8
 HOT = 48
-BLOCK_SETS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 800_000
+#: Ways over which the rows of a key known to be busy are dealt.
+WAYS = 64
 SKETCH_ROWS = 64
 WORDS64 = 8
 #: A fragment's columns counted at once.
@@ -46,7 +49,11 @@ COLUMNS = 4096
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of a text's set."""
-    h = word_hashes(lower_words(text))
+    return _set_of(lower_words(text), k)
+
+
+def _set_of(words: list[bytes], k: int) -> np.ndarray:
+    h = word_hashes(words)
     if 0 < len(h) < k:
         return shingle_hashes(h, len(h))
     return np.unique(shingle_hashes(h, k))
@@ -57,26 +64,26 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """For each row its doc_id, set size and class; and for each task its part of the count sketch (n = -1)."""
+    """For each row its doc_id, set size, class and parity sketch; and for each task its part of the count sketch (n = -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
         for b in batches:
-            n, sig = [], []
+            n, sig, par = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, k)
                 np.add.at(cells, _cell(s), 1)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "sig"])
+                par.append(_parity(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(par, pa.binary())], ["doc_id", "n", "sig", "par"])
         parts = np.split(cells, SKETCH_ROWS)
         some = [i for i, p in enumerate(parts) if p.any()]
         ids = pa.array(some, pa.int64())
         none = pa.array([-1] * len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids.cast(kind), none, pa.array([parts[i].tobytes() for i in some], pa.binary())], ["doc_id", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([ids, none, pa.array([parts[i].tobytes() for i in some], pa.binary()), pa.nulls(len(some), pa.binary())], ["doc_id", "n", "sig", "par"])
 
-    kind = pa.int64()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, par binary")
 
 
 def _order(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -118,14 +125,23 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
-    """Rows (tok, sig, n, pos) of the prefixes; those of pos 0 carry the parity sketch."""
+def _id(sig: str) -> Column:
+    """The class id that candidates carry: the first half of the class's hash."""
+    return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long")
+
+
+def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: int, order) -> DataFrame:
+    """Rows (tok, way, id, np) of the prefixes, np holding set size and place.
+
+    A key that more than hot classes of one batch share is busy for certain: its rows are dealt over WAYS ways, and one row
+    (id = least, np = -1) tells way 0, where all others go. So way 0 gets at most hot + 1 rows of a key from a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value[0]
         seen: set[bytes] = set()
         for b in batches:
-            tok, sig, n, pos, par = [], [], [], [], []
+            tok, ids, np_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, k)
                 if not len(s):
@@ -137,70 +153,146 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, order) -> DataFrame:
                     seen.add(g)
                 m = len(s)
                 p = m - -(-num * m // den) + 1
-                tok.append(signed(np.partition(_keys(s, rank), p - 1)[:p] if p < m else _keys(s, rank)))
-                tok[-1].sort()
-                sig += [g] * p
-                n.append(np.full(p, m, np.int64))
-                pos.append(np.arange(p, dtype=np.int32))
-                par.append(_parity(s).tobytes())
-                par += [None] * (p - 1)
-            cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(tok, np.int64)), pa.array(sig, pa.binary()), pa.array(cat(n, np.int64)), pa.array(cat(pos, np.int32)), pa.array(par, pa.binary())], ["tok", "sig", "n", "pos", "par"])
+                keys = _keys(s, rank)[:p]
+                tok.append(signed(keys))
+                ids.append(np.full(p, int.from_bytes(g[:8], "big", signed=True), np.int64))
+                np_.append((np.int64(m) << np.int64(32)) | np.arange(p, dtype=np.int64))
+            tok, ids, np_ = np.concatenate(tok), np.concatenate(ids), np.concatenate(np_)
+            own, at, times = np.unique(tok, return_inverse=True, return_counts=True)
+            way = np.where(times[at] > hot, 1 + ids % WAYS, 0)
+            busy = own[times > hot]
+            tok, way = np.concatenate([tok, busy]), np.concatenate([way, np.zeros(len(busy), np.int64)])
+            ids, np_ = np.concatenate([ids, np.full(len(busy), np.iinfo(np.int64).min)]), np.concatenate([np_, np.full(len(busy), -1)])
+            yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(way.astype(np.int32)), pa.array(ids), pa.array(np_)], ["tok", "way", "id", "np"])
+
+    return docs.select("text").mapInArrow(run, "tok long, way int, id long, np long")
+
+
+def _candidates(pre: DataFrame, num: int, den: int, hot: int) -> DataFrame:
+    """Rows (tok, a, b, na, nb): pairs of the keys that at most hot classes share (tok null), and (tok, a, null, na, null) of the others.
+
+    Sorted rows stream by; of a key no more than hot rows are held.
+    """
+
+    def pairs(tok, ids, n, pos) -> list[np.ndarray]:
+        out = [[], [], [], []]
+        for d in range(1, hot):
+            i = np.flatnonzero(tok[d:] == tok[:-d])
+            if not len(i):
+                break
+            j = i + d
+            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            # Up to the first shared key nothing overlaps, so at most the rest of the shorter tail does.
+            most = np.minimum(n[i] - pos[i], n[j] - pos[j])
+            ok = (ids[i] != ids[j]) & (lo * den >= hi * num) & (most * (num + den) >= num * (lo + hi))
+            i, j = i[ok], j[ok]
+            first = np.where(ids[i] < ids[j], i, j)
+            last = i + j - first
+            for to, x in zip(out, (ids[first], ids[last], n[first], n[last]), strict=True):
+                to.append(x)
+        return [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
 
-    return docs.select("text").mapInArrow(run, "tok long, sig binary, n long, pos int, par binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tok", "a", "b", "na", "nb"]
+        held = [np.empty(0, np.int64)] * 4  # the last key's rows so far
+        busy_tok = None  # the last key, if known to be busy
+
+        def cut(rows: list[np.ndarray], end: bool):
+            nonlocal held, busy_tok
+            tok, way, ids, np_ = rows
+            if not len(tok):
+                return
+            same = np.zeros(len(tok), bool)
+            same[1:] = (tok[1:] == tok[:-1]) & (ids[1:] == ids[:-1]) & (np_[1:] == np_[:-1]) & (way[1:] == way[:-1])
+            tok, way, ids, np_ = (x[~same] for x in (tok, way, ids, np_))
+            start = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1])])
+            size = np.diff(np.r_[start, len(tok)])
+            group = np.repeat(np.arange(len(start)), size)
+            mark = np.maximum.reduceat((way > 0) | (np_ < 0), start) | (size > hot)
+            if busy_tok is not None and tok[0] == busy_tok:
+                mark[0] = True
+            busy = mark[group]
+            open_ = np.zeros(len(tok), bool)
+            if not end and not mark[-1]:
+                open_[start[-1] :] = True
+            held = [x[open_] for x in (tok, way, ids, np_)]
+            busy_tok = tok[-1] if mark[-1] else None
+            n, pos = np_ >> np.int64(32), np_ & np.int64(0xFFFFFFFF)
+            row = busy & (np_ >= 0)
+            c = int(row.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(tok[row]), pa.array(ids[row]), pa.nulls(c, pa.int64()), pa.array(n[row]), pa.nulls(c, pa.int64())], names)
+            cold = ~busy & ~open_
+            a, b, na, nb = pairs(tok[cold], ids[cold], n[cold], pos[cold])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), *map(pa.array, (a, b, na, nb))], names)
 
+        for b in batches:
+            new = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tok", "way", "id", "np")]
+            yield from cut([np.concatenate([h, x]) for h, x in zip(held, new, strict=True)], False)
+        yield from cut(held, True)
 
-def _full(docs: DataFrame, k: int, order) -> DataFrame:
-    """sig -> the whole sorted key list, as bytes."""
+    dealt = pre.repartition("tok", "way").sortWithinPartitions("tok", "way", "id", "np")
+    return dealt.mapInArrow(run, "tok long, a long, b long, na long, nb long")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id -> its words, lower-cased and compressed: less to send than texts or keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value[0]
         for b in batches:
-            sig, keys = [], []
-            for g, t in zip(b.column("sig").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = shingle_set(t, k)
-                if xxhash.xxh3_128_digest(s.tobytes()) == g:  # another row of this id may have another text
-                    sig.append(g)
-                    keys.append(_keys(s, rank).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], ["sig", "keys"])
+            words = [zlib.compress(b" ".join(lower_words(t)), 5) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.binary())], ["doc_id", "words"])
 
-    return docs.select("sig", "text").mapInArrow(run, "sig binary, keys binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, words binary")
 
 
-def _count_pairs(pairs: DataFrame, sets: DataFrame, order, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, na, nb) that link: per fragment both sides' segments meet, partial overlaps are summed per pair."""
+def _own_words(texts: DataFrame, k: int) -> DataFrame:
+    """Of (sig, id, words) the rows whose words make that class: another row of an id may have another text."""
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = order.value[1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, frag, part = [], [], []
-            for g, x in zip(b.column("sig").to_pylist(), b.column("keys").to_pylist(), strict=True):
-                s = np.frombuffer(x, np.uint64)
-                for f, piece in enumerate(np.split(s, np.searchsorted(s, pivots))):
-                    if len(piece):
-                        sig.append(g)
-                        frag.append(f)
-                        part.append(piece.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(frag, pa.int32()), pa.array(part, pa.binary())], ["sig", "frag", "part"])
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = [xxhash.xxh3_128_digest(_set_of(zlib.decompress(w).split(), k).tobytes()) == g for g, w in zip(b.column("sig").to_pylist(), b.column("words").to_pylist(), strict=True)]
+            yield b.filter(pa.array(own, pa.bool_()))
+
+    return texts.select("sig", "id", "words").mapInArrow(run, "sig binary, id long, words binary")
+
+
+def _unpack(words: bytes, k: int, rank: np.ndarray) -> np.ndarray:
+    """The sorted keys of a set from its packed words."""
+    return _keys(_set_of(zlib.decompress(words).split(), k), rank)
+
+
+def _count_pairs(pairs: DataFrame, sets: DataFrame, order, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that link: each fragment's partial overlap is counted by itself, then they are summed per pair."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, pivots = order.value
         for b in batches:
-            got = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column("part").to_pylist(), b.column("other").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb", "frag")), pa.array(got, pa.int64())], ["a", "b", "na", "nb", "frag", "got"])
-
-    seg = sets.mapInArrow(segments, "sig binary, frag int, part binary")
-    left = pairs.join(seg.withColumnRenamed("sig", "a"), "a")
-    met = left.join(seg.select(F.col("sig").alias("b"), "frag", F.col("part").alias("other")), ["b", "frag"])
-    part = met.select("a", "b", "na", "nb", "frag", "part", "other").mapInArrow(overlap, "a binary, b binary, na long, nb long, frag int, got long")
-    # Repeated rows of a document bring a segment more than once, always the same.
-    total = part.select("a", "b", "na", "nb", "frag", "got").distinct().groupBy("a", "b", "na", "nb").agg(F.sum("got").alias("got"))
+            row, frag, got = [], [], []
+            last, x = None, None
+            for i, (p, q) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
+                if p != last:
+                    last, x = p, _fragments(_unpack(p, k, rank), pivots)
+                for f, (u, v) in enumerate(zip(x, _fragments(_unpack(q, k, rank), pivots), strict=True)):
+                    row.append(i)
+                    frag.append(f)
+                    got.append(len(np.intersect1d(u, v, assume_unique=True)))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("a", "b", "na", "nb")), pa.array(frag, pa.int32()), pa.array(got, pa.int64())], ["a", "b", "na", "nb", "frag", "got"])
+
+    met = pairs.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("words").alias("y")), "b")
+    part = met.select("a", "b", "na", "nb", "x", "y").mapInArrow(partial, "a binary, b binary, na long, nb long, frag int, got long")
+    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("got").alias("got"))
     return total.where(F.col("got") * den >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("got"))).select("a", "b")
 
 
-def _forest(pdf: pd.DataFrame, num: int, den: int, pivots: np.ndarray) -> pd.DataFrame:
+def _fragments(keys: np.ndarray, pivots: np.ndarray) -> list[np.ndarray]:
+    return np.split(keys, np.searchsorted(keys, pivots))
+
+
+def _forest(pdf: pd.DataFrame, k: int, num: int, den: int, rank: np.ndarray, pivots: np.ndarray) -> pd.DataFrame:
     """Links among the sets of two blocks: a spanning forest of them, overlaps counted fragment by fragment."""
     pdf = pdf.drop_duplicates("sig").sort_values("sig")
-    sets = [np.frombuffer(x, np.uint64) for x in pdf["keys"]]
+    sets = [_unpack(x, k, rank) for x in pdf["words"]]
     n = np.array([len(s) for s in sets], np.float64)
     who = np.repeat(np.arange(len(sets)), n.astype(int))
     keys = np.concatenate(sets)
@@ -234,29 +326,35 @@ def _forest(pdf: pd.DataFrame, num: int, den: int, pivots: np.ndarray) -> pd.Dat
     return pd.DataFrame({"a": [sig[x] for x, _ in out], "b": [sig[y] for _, y in out]}, columns=["a", "b"])
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, order, num: int, den: int, scratch: Scratch) -> DataFrame:
+def _hot_links(hot: DataFrame, sets: DataFrame, order, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Links among classes that share a key with more than HOT others, as spanning forests of bounded blocks."""
     # A key's classes hang together by its least class: one edge a row.
-    least = hot.groupBy("tok").agg(F.min("sig").alias("b"))
-    roots = components(hot.join(least, "tok").select(F.col("sig").alias("a"), "b"), scratch)
-    nodes = hot.select("sig", "n").distinct().join(roots.withColumnRenamed("node", "sig"), "sig")
-    # Sets that can link differ in length by less than one band.
+    least = hot.groupBy("tok").agg(F.min("id").alias("b"))
+    roots = components(hot.join(least, "tok").select(F.col("id").alias("a"), "b"), scratch)
+    nodes = hot.select("id", "n").distinct().join(roots.withColumnRenamed("node", "id"), "id")
+    # Sets that can link differ in length by less than one band. A cluster that fits one block is not cut into bands.
     nodes = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9))
+    need = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES))
     full = nodes.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    full = full.withColumn("blocks", F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES))).select("root", "band", "blocks")
+    whole = full.groupBy("root").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).select("root", (need <= 1).alias("whole"))
+    full = full.withColumn("blocks", need).select("root", "band", "blocks")
     up = full.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     down = full.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
-    plan = full.join(up, ["root", "band"], "left").join(down, ["root", "band"], "left")
-    nodes = nodes.join(plan, ["root", "band"]).withColumn("own", F.abs(F.xxhash64("sig")) % F.col("blocks"))
+    plan = full.join(up, ["root", "band"], "left").join(down, ["root", "band"], "left").join(whole, "root")
+    nodes = nodes.join(plan, ["root", "band"]).withColumn("own", F.abs(F.xxhash64("id")) % F.col("blocks"))
+    # A block's own pairs are met wherever it meets another block, so it meets itself only if it has no other.
     meet = F.expr(
-        "concat("
-        "transform(sequence(0L, blocks - 1), i -> struct(band as lo, least(own, i) as x, band as hi, greatest(own, i) as y)),"
+        "if(whole or (blocks = 1 and above is null and under is null), array(struct(if(whole, -1L, band) as lo, 0L as x, -1L as hi, 0L as y)), concat("
+        "transform(filter(sequence(0L, blocks - 1), i -> i <> own), i -> struct(band as lo, least(own, i) as x, band as hi, greatest(own, i) as y)),"
         "if(above is null, array(), transform(sequence(0L, above - 1), i -> struct(band as lo, own as x, band + 1 as hi, i as y))),"
-        "if(under is null, array(), transform(sequence(0L, under - 1), i -> struct(band - 1 as lo, i as x, band as hi, own as y))))"
+        "if(under is null, array(), transform(sequence(0L, under - 1), i -> struct(band - 1 as lo, i as x, band as hi, own as y)))))"
     )
-    dealt = nodes.select("root", "sig", F.explode(meet).alias("m")).select("root", "sig", "m.*").join(sets, "sig")
-    pivots = order.value[1]
-    return dealt.groupBy("root", "lo", "x", "hi", "y").applyInPandas(lambda p: _forest(p[["sig", "keys"]], num, den, pivots), "a binary, b binary")
+    dealt = nodes.select("root", "id", F.explode(meet).alias("m")).select("root", "id", "m.*").join(sets, "id")
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _forest(pdf[["sig", "words"]], k, num, den, *order.value)
+
+    return dealt.groupBy("root", "lo", "x", "hi", "y").applyInPandas(forest, "a binary, b binary")
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, hot: int = HOT) -> DataFrame:
@@ -270,41 +368,37 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, hot: int = H
     rows = seen.where("n >= 0")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
 
-    pre = scratch.keep(_prefixes(named, k, num, den, order).groupBy("tok", "sig").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("par", ignorenulls=True).alias("par")), "prefixes")
-    scratch.free()
-    times = pre.groupBy("tok").agg(F.count("*").alias("times")).where("times > 1")
-    shared = scratch.keep(pre.drop("par").join(times, "tok"), "shared")
-    cold, busy = shared.where(F.col("times") <= hot), shared.where(F.col("times") > hot)
-    a, b = cold.select("tok", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")), cold.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    near = a.join(b, "tok").where("a < b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    # Up to the first shared key nothing overlaps, so at most the rest of the shorter tail does.
-    bound = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    near = near.where(bound * (num + den) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb").distinct()
-    par = scratch.keep(pre.where("pos = 0").select("sig", "par"), "parity")
-    del pre, times
-    scratch.drop("prefixes")
+    found = scratch.keep(_candidates(_prefixes(named, k, num, den, hot, order), num, den, hot), "found")
     scratch.free()
+    busy = found.where("b is null").select("tok", F.col("a").alias("id"), F.col("na").alias("n"))
+    near = found.where("b is not null").select("a", "b", "na", "nb").distinct()
+    par = rows.where("n > 0 and doc_id is not null").select("sig", _id("sig").alias("id"), "n", "par")
+    x, y = (par.select(F.col("sig").alias(s), F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("par").alias(p)) for s, c, p in (("sa", "a", "x"), ("sb", "b", "y")))
     word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-    near = near.join(par.select(F.col("sig").alias("a"), F.col("par").alias("x")), "a").join(par.select(F.col("sig").alias("b"), F.col("par").alias("y")), "b")
+    # Repeated rows of a class are all alike: one stands for them, so that copies do not multiply pairs.
+    near = near.join(x.dropDuplicates(["sa"]), ["a", "na"]).join(y.dropDuplicates(["sb"]), ["b", "nb"])
     unlike = sum((F.bit_count(word("x", i).bitwiseXOR(word("y", i))) for i in range(WORDS64)), F.lit(0))
-    near = near.where(unlike * (num + den) <= F.lit(den - num) * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    near = near.where(unlike * (num + den) <= F.lit(den - num) * (F.col("na") + F.col("nb"))).select(F.col("sa").alias("a"), F.col("sb").alias("b"), "na", "nb")
     near = scratch.keep(near, "pairs")
-    scratch.drop("parity")
-
-    wanted = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).unionByName(busy.select("sig")).distinct()
-    # One row of each class wanted stands for it; its text is fetched by id and made a set again.
-    ids = rows.where("doc_id is not null").join(wanted, "sig").groupBy("sig").agg(F.min(F.struct("doc_id", "n")).alias("r")).select("sig", F.col("r.doc_id").alias("doc_id"))
-    texts = named.withColumn("doc_id", F.col("doc_id").cast("long")).join(ids.hint("shuffle_hash"), "doc_id")
-    sets = scratch.keep(_full(texts, k, order), "keys")
-    del texts, wanted, ids
+
+    # One row of each class wanted stands for it; its text is fetched by id, as packed words.
+    by_pair = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct().withColumn("pair", F.lit(True))
+    by_key = busy.select("id").distinct().withColumn("key", F.lit(True))
+    ids = rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).withColumn("id", _id("sig"))
+    ids = ids.join(by_pair, "sig", "left").join(by_key, "id", "left").where("pair or key").select("sig", "id", "doc_id")
+    texts = _packed(named).join(ids.hint("shuffle_hash"), "doc_id")
+    sets = scratch.keep(_own_words(texts, k).dropDuplicates(["sig"]), "words")
+    del texts, by_pair, by_key, ids
+    scratch.free()
+    cold = scratch.keep(_count_pairs(near, sets, order, k, num, den), "cold")
     scratch.free()
-    links = _count_pairs(near, sets, order, num, den).unionByName(_hot_links(busy.select("tok", "sig", "n"), sets, order, num, den, scratch))
+    links = cold.unionByName(_hot_links(busy, sets, order, k, num, den, scratch))
     roots = components(scratch.keep(links, "links"), scratch)
     # Classes of a component share its least document.
     rooted = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     comp = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = scratch.keep(rooted.join(comp, "root").select("sig", "component_id"), "classes")
     out = rows.join(by_class, "sig", "left")
-    for name in ("shared", "pairs", "keys", "links"):
+    for name in ("found", "pairs", "words", "cold", "links"):
         scratch.drop(name)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
