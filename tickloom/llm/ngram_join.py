@@ -268,14 +268,17 @@ def _count_pairs(pairs: DataFrame, sets: DataFrame, order, k: int, num: int, den
         rank, pivots = order.value
         for b in batches:
             row, frag, got = [], [], []
-            last, x = None, None
+            last, y = None, None
             for i, (p, q) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                if p != last:
-                    last, x = p, _fragments(_unpack(p, k, rank), pivots)
-                for f, (u, v) in enumerate(zip(x, _fragments(_unpack(q, k, rank), pivots), strict=True)):
-                    row.append(i)
-                    frag.append(f)
-                    got.append(len(np.intersect1d(u, v, assume_unique=True)))
+                if q != last:  # rows come sorted by b
+                    last, y = q, _unpack(q, k, rank)
+                x = _unpack(p, k, rank)
+                at = np.searchsorted(y, x)
+                both = x[y[np.minimum(at, len(y) - 1)] == x]
+                parts = np.bincount(np.searchsorted(pivots, both, side="right"), minlength=len(pivots) + 1)
+                row += [i] * len(parts)
+                frag += range(len(parts))
+                got += parts.tolist()
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("a", "b", "na", "nb")), pa.array(frag, pa.int32()), pa.array(got, pa.int64())], ["a", "b", "na", "nb", "frag", "got"])
 
@@ -285,10 +288,6 @@ def _count_pairs(pairs: DataFrame, sets: DataFrame, order, k: int, num: int, den
     return total.where(F.col("got") * den >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("got"))).select("a", "b")
 
 
-def _fragments(keys: np.ndarray, pivots: np.ndarray) -> list[np.ndarray]:
-    return np.split(keys, np.searchsorted(keys, pivots))
-
-
 def _forest(pdf: pd.DataFrame, k: int, num: int, den: int, rank: np.ndarray, pivots: np.ndarray) -> pd.DataFrame:
     """Links among the sets of two blocks: a spanning forest of them, overlaps counted fragment by fragment."""
     pdf = pdf.drop_duplicates("sig").sort_values("sig")
