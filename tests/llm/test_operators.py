@@ -96,6 +96,26 @@ def test_ngram_join(spark, hot, k, num, den):
     assert got == brute_groups(rows, k, num, den)
 
 
+@pytest.mark.parametrize(("batch", "hot", "sets"), [(7, 4, 1024), (10_000, 4, 3), (7, 1, 5)])
+def test_ngram_join_small_batches_and_blocks(spark, monkeypatch, batch, hot, sets):
+    """Keys that run on over batches, keys busy in one batch only, and clusters cut into several blocks and length bands."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", sets)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        r = random.Random(batch + hot)
+        words = prose(90, r).split()
+        rows = [(i, prose(r.randint(1, 40), r)) for i in range(20)]
+        for j in range(50):  # one cluster of growing length, linked in chains only
+            w = words + prose(j, r).split() if j % 3 else words + [f"tail{q}" for q in range(j)]
+            rows.append((100 + j, " ".join(w)))
+        rows += rows[25:30] + [(900 + j, " ".join(words)) for j in range(6)]
+        got = sorted(tuple(x) for x in ngram_join.groups(docs(spark, rows), 5, 4, 5, hot).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == brute_groups(rows, 5, 4, 5)
+
+
 def test_ngram_join_null_ids_and_empty(spark):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.groups(docs(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (4, None), (None, "q r s t u v")])).collect()}
     assert got == {(None, 2, 3), (3, 2, 3), (4, 0, 4), (None, 2, None)}

@@ -6,12 +6,14 @@ is its cell's rank, then its other bits, so keys are one-to-one with hashes and
 ranges of this order between pivots of about equal mass.
 
 Candidates share a key among the first n - ceil(t n) + 1 of both sets, at places and lengths that allow the threshold
-(prefix, position and length filters). Where at most HOT classes share a key, pairs are listed and those whose 512-bit
+(prefix, position and length filters). One shuffle deals narrow rows (key, 64-bit class id, size and place) by key; sorted,
+they stream by, at most HOT of a key held. Where at most HOT classes share a key, pairs are listed and those whose 512-bit
 parity sketches differ in more bits than the two sets may differ in elements are dropped (that many elements do differ).
 What is left is cut into fragments, the partial overlaps of each fragment counted by themselves and summed per pair.
-Where more classes share a key, no pairs are listed: classes that hang together by such keys form clusters, dealt into
-blocks bounded in classes and shingles; two blocks of one or of neighbouring length bands meet in a task, which
-counts overlaps fragment by fragment and returns a spanning forest of the links: at most one row a class. No link's
+Where more classes share a key, no pairs are listed: classes that hang together by such keys form clusters. One that fits
+a block is met whole; others are dealt into blocks bounded in classes and shingles, and two blocks of one or of
+neighbouring length bands meet in a task, which counts overlaps fragment by fragment and returns a spanning forest of
+the links: at most one row a class. Sets travel as compressed words and are hashed again where they meet. No link's
 components are lost, whatever the size of a group.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; fewer words than k make the whole
