@@ -128,7 +128,10 @@ def _parity(s: np.ndarray) -> np.ndarray:
 
 
 def _id(sig: str) -> Column:
-    """The class id that candidates carry: the first half of the class's hash."""
+    """The class id that candidates carry: the first half of the class's hash.
+
+    Classes that share an id are all looked up by it; only a link between those very classes would not be proposed.
+    """
     return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long")
 
 
