@@ -7,21 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Sequence numbers of a series that one task orders.
+STRETCH = 1_000_000
+
+
 def sequence_gaps(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """Rows after a hole, with how many are missing; repeated numbers count once."""
-    w = W.partitionBy(*keys).orderBy(seq)
-    d = df.select(*keys, seq).distinct()
-    return d.withColumn("missing", F.col(seq) - F.lag(seq).over(w) - 1).where("missing > 0")
+    """Rows after a hole, with how many are missing; repeated numbers count once. A series is ordered by stretches, each told where the one before ended."""
+    d = df.select(*keys, seq).distinct().withColumn("_s", F.floor(F.col(seq) / STRETCH))
+    ends = d.groupBy(*keys, "_s").agg(F.max(seq).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(W.partitionBy(*keys).orderBy("_s")))
+    before = F.coalesce(F.lag(seq).over(W.partitionBy(*keys, "_s").orderBy(seq)), F.col("_end"))
+    return d.join(ends, [*keys, "_s"]).withColumn("missing", F.col(seq) - before - 1).where("missing > 0").drop("_s", "_end")
 
 
 def contiguous(deltas: DataFrame, snapshot_seq: DataFrame, keys: list[str]) -> DataFrame:
     """Deltas that a book in sync applies: after the snapshot, each number once, up to the first hole."""
-    d = deltas.join(snapshot_seq, keys).where("seq > snapshot_seq")
-    d = d.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "seq").orderBy("event_time"))).where("_n = 1")
-    w = W.partitionBy(*keys).orderBy("seq")
-    d = d.withColumn("_hole", F.when(F.col("seq") - F.coalesce(F.lag("seq").over(w), F.col("snapshot_seq")) != 1, F.col("seq")))
-    first = F.min("_hole").over(W.partitionBy(*keys))
-    return d.withColumn("_f", first).where("_f is null or seq < _f").drop("_n", "_hole", "_f", "snapshot_seq")
+    snap = snapshot_seq.select(*keys, "snapshot_seq")
+    d = deltas.join(snap, keys).where("seq > snapshot_seq")
+    series = d.select(*keys, "seq").unionByName(snap.withColumnRenamed("snapshot_seq", "seq"))
+    hole = sequence_gaps(series, keys).groupBy(*keys).agg(F.min("seq").alias("_hole"))
+    d = d.join(hole, keys, "left").where("_hole is null or seq < _hole").drop("_hole", "snapshot_seq")
+    return d.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "seq").orderBy("event_time"))).where("_n = 1").drop("_n")
 
 
 def levels(deltas: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.operators.running import running
@@ -16,11 +15,17 @@ def asof_price(events: DataFrame) -> DataFrame:
 
 
 def forward_return(events: DataFrame, signal: Column, horizon_seconds: int) -> DataFrame:
-    """For rows where signal is not null: entry, and exit at the first later event once the horizon has passed; unresolved rows are left out."""
+    """For rows where signal is not null: entry, and exit at the first later event once the horizon has passed; unresolved rows are left out.
+
+    A signal puts a probe at its time plus the horizon among the events. Read backwards in time, the last event met before a probe is the first
+    at or after it, so one running value per day answers all probes: n log n in a series' rows, and a hot instrument is spread over days.
+    """
     d = asof_price(events).withColumns({"signal": signal, "us": F.unix_micros("event_time")})
-    ahead = W.partitionBy("instrument").orderBy("us").rangeBetween(horizon_seconds * 1_000_000, W.unboundedFollowing)
-    step = F.min(F.struct("us", "seq", "asof_price")).over(ahead)
-    d = d.withColumn("x", step).where("signal is not null and x is not null and asof_price is not null")
+    d = d.withColumn("probe", F.explode(F.expr("if(signal is not null and asof_price is not null, array(false, true), array(false))")))
+    x = F.when(~F.col("probe"), F.struct("us", "seq", "asof_price"))
+    at = F.when(F.col("probe"), F.col("us") + horizon_seconds * 1_000_000).otherwise(F.col("us"))
+    d = d.select("instrument", "event_time", "seq", "signal", "asof_price", "probe", x.alias("event"), (-at).alias("_back"), (-F.col("seq")).alias("_behind"), (-F.expr("(us + if(probe, %d, 0)) div 86400000000" % (horizon_seconds * 1_000_000))).alias("_day"))
+    d = running(d, ["instrument"], "_day", ["_back", "probe", "_behind"], x=("last", F.col("event"))).where("probe and x is not null")
     ret = (F.col("x.asof_price").cast("double") - F.col("asof_price").cast("double")) / F.nullif(F.col("asof_price").cast("double"), F.lit(0.0))
     return d.select("instrument", "event_time", "seq", F.col("signal").cast("double").alias("signal"), F.col("asof_price").alias("entry"), F.col("x.asof_price").alias("exit"), F.timestamp_micros("x.us").alias("exit_time"), ret.alias("forward_return"))
 
