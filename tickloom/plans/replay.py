@@ -15,12 +15,15 @@ from tickloom.sources.readers import in_range
 KEY = ["instrument", "feature_name", "feature_version", "window_start"]
 
 
-def compare(live: DataFrame, replay: DataFrame) -> DataFrame:
-    """Full outer pairs by KEY with a flag per field that differs; a row on one side only is named. Values compare without regard to scale."""
+def compare(live: DataFrame, replay: DataFrame, null_safe: bool = True) -> DataFrame:
+    """Full outer pairs by KEY with a flag per field that differs; a row on one side only is named. Values compare without regard to scale.
+
+    Without null_safe, rows with a null in KEY meet none.
+    """
     a, b = live.alias("l"), replay.alias("r")
     on = None
     for k in KEY:
-        e = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        e = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) if null_safe else F.col(f"l.{k}") == F.col(f"r.{k}")
         on = e if on is None else on & e
     side = lambda c: [F.col(f"l.{c}"), F.col(f"r.{c}")]
     have_l, have_r = F.col("l.feature_name").isNotNull(), F.col("r.feature_name").isNotNull()

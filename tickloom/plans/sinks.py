@@ -15,10 +15,15 @@ def by_hour(df: DataFrame, time: str = "window_start") -> DataFrame:
     return df.withColumns({"year": F.year(time), "month": F.lpad(F.month(time).cast("string"), 2, "0"), "day": F.lpad(F.dayofmonth(time).cast("string"), 2, "0"), "hour": F.lpad(F.hour(time).cast("string"), 2, "0")})
 
 
+def feature_files(df: DataFrame) -> DataFrame:
+    """Long-form features with the columns their folders are named by."""
+    d = by_hour(df.withColumn("topic", topic(F.col("feature_name"), F.col("feature_version"))).drop("feature_name", "feature_version"))
+    return d.withColumn("instrument", path_segment(F.col("instrument")))
+
+
 def write_features(df: DataFrame, root: str, mode: str = "append") -> None:
     """Long-form features under root/<topic>/instrument=/year=/month=/day=/hour=; one file a partition and task."""
-    d = by_hour(df.withColumn("topic", topic(F.col("feature_name"), F.col("feature_version"))).drop("feature_name", "feature_version"))
-    d.withColumn("instrument", path_segment(F.col("instrument"))).repartition("topic", "instrument", "year", "month", "day").write.mode(mode).option("compression", "snappy").partitionBy("topic", *HOUR).parquet(root)
+    feature_files(df).repartition("topic", "instrument", "year", "month", "day").write.mode(mode).option("compression", "snappy").partitionBy("topic", *HOUR).parquet(root)
 
 
 def save_tables(df: DataFrame, names: list[str], database: str = "default") -> list[str]:

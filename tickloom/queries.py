@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import exact
 from tickloom.operators import book, features, signals, validation, windows
-from tickloom.plans import query, replay, sinks
+from tickloom.plans import edge, query, replay, sinks
 from tickloom.sources import readers, testdata, venues
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,6 +259,25 @@ def feature_topics(s, d):
     return c.select("name", exact.topic(F.col("name"), F.col("version")).alias("topic"), exact.table_name(F.col("name")).alias("table_name"))
 
 
+@q
+def uuid7_time(s, d):
+    e = testdata.events(s, d)
+    made = F.concat(F.lpad(F.lower(F.hex(F.unix_millis("ts"))), 12, "0"), F.lpad(F.lower(F.hex("event_id")), 20, "0"))
+    dashed = F.regexp_replace(made, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return e.select("event_id", exact.uuid7_millis(dashed).alias("millis"))
+
+
+@q
+def ingest_answers(s, d):
+    return edge.answers(_checked(s, d), "trade", "2024-01-20 00:00:00")
+
+
+@q
+def published_topics(s, d):
+    f = features.long_form(features.vwap(testdata.trades(s, d), "1 day"), "vwap.1m", "vwap", "trade_count")
+    return f.groupBy(sinks.checked_topic("features.", F.col("feature_name"), F.col("feature_version")).alias("topic"), "instrument").agg(F.count("*").alias("n"), F.sum("input_count").alias("inputs"))
+
+
 @q
 def features_long(s, d):
     return features.all_features(testdata.trades(s, d), testdata.books(s, d), "1 day", bucket=500, history=5).select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")

@@ -32,6 +32,12 @@ def feature_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schemas.FEATURE).parquet(path)
 
 
+def feature_tail(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """New rows of the written features whose topic matches the pattern; rows without a value are skipped."""
+    ddl = "event_id string, instrument string, value decimal(28,8), window_start timestamp, window_end timestamp, input_count bigint, code_version string, topic string, year int, month string, day string, hour string"
+    return spark.readStream.schema(ddl).option("basePath", root).parquet(root).where(F.col("topic").rlike(pattern) & F.col("value").isNotNull())
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     """The active feature definitions, by name."""
     rows = [(f, "v1", a, "1 minute", True, "BTC-USDT") for f, a in zip(schemas.FEATURES, ("VWAP", "OBI", "MICRO_PRICE", "VPIN"), strict=True)]

@@ -13,8 +13,11 @@ from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.plans import replay, sinks
+
 SCALE = Decimal("0.00000001")
 
 
@@ -23,6 +26,26 @@ def closed_windows(events: DataFrame, feature: Callable[[DataFrame], DataFrame],
     return feature(events.withWatermark("event_time", delay))
 
 
+def paired(live: DataFrame, again: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Live and replayed features as they arrive, compared once both are there; one that no partner reached within the delay is told as missing.
+
+    State is bounded by the watermarks of both sides, so nothing is forgotten because of too many keys.
+    """
+    return replay.compare(live.withWatermark("window_start", delay), again.withWatermark("window_start", delay), null_safe=False)
+
+
+def archive(features: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
+    """Long-form features to Parquet under root/topic=/instrument=/year=..., each once; read root as a whole."""
+    out = sinks.feature_files(features).writeStream.format("parquet").option("path", root).option("compression", "snappy")
+    return out.option("checkpointLocation", checkpoint).partitionBy("topic", *sinks.HOUR)
+
+
+def record(records: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
+    """Raw records as gzip lines by topic, source, instrument and hour, each once."""
+    lines = sinks.raw_lines(records).drop("partition", "offset", "timestamp")
+    return lines.writeStream.format("text").option("path", root).option("compression", "gzip").option("checkpointLocation", checkpoint).partitionBy("topic", "source", *sinks.HOUR)
+
+
 def fan_out(df: DataFrame, clients: dict[str | None, Callable[[list], None]]) -> Callable[[DataFrame, int], None]:
     """foreachBatch target: each client gets the rows of its feature (None: all). A client that fails is dropped."""
 
