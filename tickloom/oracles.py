@@ -98,7 +98,7 @@ SQL: dict[str, str] = {
     "session_windows": f"with {T}, g as (select *, case when event_time >= lag(event_time) over (partition by instrument order by event_time) + interval 20 minute then 1 else 0 end as new from t), n as (select *, sum(new) over (partition by instrument order by event_time, event_id rows unbounded preceding) as k from g) select instrument, min(event_time) as window_start, max(event_time) + interval 20 minute as window_end, count(*) as trade_count from n group by instrument, k",
     "validate_counts": f"with {CHECKED} select reasons, count(*) as n from r group by 1",
     "ingest_answers": f"with {CHECKED} select event_id, case when reasons = '' then 201 else 400 end as status, reasons as message from r",
-    "uuid7_time": "select event_id, epoch_ms(ts) as millis from events",
+    "uuid7_time": "select event_id, epoch_us(ts) // 1000 as millis from events",
     "published_topics": f"with {T} select 'features.vwap.1m.v1' as topic, instrument, count(distinct event_time::date) as n, count(*) as inputs from t group by all",
     "dead_letter": f"with {CHECKED} select event_id, reasons as reason, source, timestamp '2024-01-20' as rejected_at from r where reasons <> ''",
     "valid_trades": f"with {CHECKED} select event_id, instrument, price::double as price from r where reasons = ''",
