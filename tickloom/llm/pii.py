@@ -133,12 +133,14 @@ def _may_be(t: str, toks: list[tuple[int, int]], i: int, j: int) -> bool:
     return any(len(x) >= MIN_CHARS and any("0" <= c <= "9" for c in x) for x in s) or sum("0" <= c <= "9" for x in s for c in x) >= MIN_CHARS
 
 
+def _ending(t: str, toks: list[tuple[int, int]], j: int) -> list[tuple[int, list[str]]]:
+    """(start, features) of the segments ending before token j that may be an entity."""
+    return [(i, _features(t, toks, i, j)) for i in range(max(0, j - MAX_TOKENS), j) if _may_be(t, toks, i, j)]
+
+
 def _segments(t: str, toks: list[tuple[int, int]]) -> list[list[tuple[int, list[str]]]]:
-    """For each end: (start, features) of the segments that may be an entity."""
-    out: list[list[tuple[int, list[str]]]] = [[]]
-    for j in range(1, len(toks) + 1):
-        out.append([(i, _features(t, toks, i, j)) for i in range(max(0, j - MAX_TOKENS), j) if _may_be(t, toks, i, j)])
-    return out
+    """Those of each end."""
+    return [_ending(t, toks, j) for j in range(len(toks) + 1)]
 
 
 def _score(w: dict[tuple[int, str], float], y: int, f: list[str]) -> float:
@@ -147,7 +149,6 @@ def _score(w: dict[tuple[int, str], float], y: int, f: list[str]) -> float:
 
 def decode(t: str, toks: list[tuple[int, int]], w: dict[tuple[int, str], float]) -> list[tuple[int, int, int]]:
     """The best segmentation's entities as (start, label, end) in code points. Other tokens score 0 and are segments of one."""
-    segs = _segments(t, toks)
     n = len(toks)
     best, back = [[-math.inf] * 3 for _ in range(n + 1)], [[None] * 3 for _ in range(n + 1)]
     best[0][0] = 0.0
@@ -155,7 +156,7 @@ def decode(t: str, toks: list[tuple[int, int]], w: dict[tuple[int, str], float])
         for p in range(3):
             if best[j - 1][p] > best[j][0]:
                 best[j][0], back[j][0] = best[j - 1][p], (j - 1, p)
-        for i, f in segs[j]:
+        for i, f in _ending(t, toks, j):
             for y in (1, 2):
                 own = _score(w, y, f)
                 for p in range(3):
