@@ -6,7 +6,7 @@ its rollup has _SUCCESS, which Spark writes last; a batch id that has it is skip
 document counted before is looked up in the logs by doc_id and tokenizer version, never by reading texts again.
 
 Changes: doc_id, text, source, lang, op (insert, revise or delete), seq. An insert of a known document revises it; a delete of an unknown one does
-nothing; of several changes of a document in a batch the last by seq counts (ties: delete first, then by text, source, lang). Recounting under
+nothing; of several changes of a document in a batch the last by seq counts (ties: delete first, then the most tokens, then the last source, lang). Recounting under
 another tokenizer version is a batch of its own, beside the old version's counts.
 
 Defined cases: null or empty text counts one document with 0 tokens; null source or lang is a key of its own; null doc_id
