@@ -249,7 +249,7 @@ def sequence_numbers(s, d):
     value = F.when(F.col("event_id") % 9 == 0, F.lit('{"stream":"btcusdt@trade","data":{"s":"ETHUSDT","t":1,"p":"1","q":"1","T":0,"m":true}}')).otherwise(
         F.concat(F.lit('{"stream":"btcusdt@trade","data":{"s":"BTCUSDT","t":'), F.col("event_id").cast("string"), F.lit(',"p":"'), F.col("value").cast("string"), F.lit('","q":"1.5","T":'), F.unix_millis("ts").cast("string"), F.lit(',"m":'), (F.col("event_id") % 2 == 0).cast("string"), F.lit("}}"))
     )
-    p = venues.combined_stream(e.where("event_id < 3000").select(F.col("event_id").alias("arrival"), F.col("ts").alias("ingest_time"), value.alias("value")))
+    p = venues.combined_stream(e.select(F.col("event_id").alias("arrival"), F.col("ts").alias("ingest_time"), value.alias("value")))
     return p.select("arrival", "instrument", F.col("sequence_number").cast("bigint").alias("sequence_number"), "side", F.col("event_time").alias("event_time"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.operators.running import running
+
+#: Arrivals of a series that one task numbers.
+STRETCH = 10_000
+
 _COMBINED = "stream string, data struct<s:string,p:string,q:string,m:boolean,lastUpdateId:bigint,bids:array<array<string>>,asks:array<array<string>>>"
 _LISTED = "event string, code string, msg string, arg struct<channel:string,instId:string>, data array<struct<instId:string,tradeId:string,px:string,sz:string,side:string,ts:string,bids:array<array<string>>,asks:array<array<string>>>>"
 
@@ -22,9 +26,13 @@ def _levels(c: str, drop_zero: bool) -> Column:
     return F.expr(f"filter({made}, x -> x.size > 0)" if drop_zero else made)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """1, 2, 3... per series in arrival order, before anything is refused, so a refused message leaves a gap."""
-    return df.withColumn("sequence_number", F.row_number().over(W.partitionBy("source", "instrument", "kind").orderBy("arrival")))
+def _numbered(df: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """1, 2, 3... per series in arrival order, before anything is refused, so a refused message leaves a gap.
+
+    A series is numbered by stretches of arrivals, each told how many came before. Structs, as a null instrument or kind is a series too.
+    """
+    d = df.withColumns({"_series": F.struct("source", "instrument", "kind"), "_stretch": F.struct(F.expr(f"{arrival} div {STRETCH}").alias("s"))})
+    return running(d, ["_series"], "_stretch", ["arrival"], sequence_number=("sum", F.lit(1))).drop("_series", "_stretch")
 
 
 def combined_stream(raw: DataFrame, source: str = "binance") -> DataFrame:
@@ -59,7 +67,7 @@ def listed_stream(raw: DataFrame, source: str = "okx") -> DataFrame:
         .when(~name.rlike("^[A-Z0-9]+-[A-Z0-9]+$"), "not BASE-QUOTE").when((F.col("kind") == "trade") & F.expr("try_cast(d.px as decimal(18,8)) is null"), "bad price")
         .when((F.col("kind") == "book") & ((F.coalesce(F.size("d.bids"), F.lit(0)) < 1) | (F.coalesce(F.size("d.asks"), F.lit(0)) < 1)), "empty side")
     )
-    out = _numbered(m.withColumn("reason", reason))
+    out = _numbered(m.withColumn("reason", reason), "arrival.arrival")
     side = F.when(F.col("d.side") == "buy", "BUY").when(F.col("d.side") == "sell", "SELL").otherwise("UNKNOWN")
     bids, asks = _levels("d.bids", False), _levels("d.asks", False)
     return out.select(
