@@ -45,3 +45,10 @@ def test_one_hot_series_is_numbered_in_many_tasks(spark):
     windows = [x for x in plan.splitlines() if "Window [" in x and "_o_sequence_number" in x]
     assert windows and all("_stretch" in x for x in windows)
     assert out.agg({"sequence_number": "max"}).first()[0] == 50_000
+
+
+@tables
+def test_contiguous_applies_all_deltas_up_to_a_hole_near_the_end(spark):
+    top = spark.read.parquet(f"{SF}/events.parquet").agg({"event_id": "max"}).first()[0]
+    (r,) = entry.queries()["l3_contiguous"](spark, SF).collect()
+    assert (r.applied, r.last_seq) == (top - 4 - 100, top - 4) and top > 996
