@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import Scratch
 
-ROUNDS = 60
-
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
     """One step. large: each u tells its larger neighbours of its least one; small: u hangs itself and its smaller ones there."""
@@ -25,13 +25,13 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) links -> (node, root) of every node in a link, root being the least node of its component.
 
-    Nulls and self-links are left out. Every intermediate edge list is written to the shared folder; no list is collected.
+    Nulls and self-links are left out. Steps go on until the edges no longer change. Every intermediate edge list is written to the shared folder; no list is collected.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.keep(e, "edges0")
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now, done = mark(e), False
-    for k in range(1, ROUNDS):
+    for k in count(1):
         if now[0] == 0:
             break
         new = scratch.keep(_stars(_stars(e, small=False), small=True), f"edges{k}")
