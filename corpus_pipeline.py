@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from tickloom.llm.common import Scratch, table
+from tickloom.llm.common import Scratch, blank_trim, table, text_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +23,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one of least doc_id; those without words all stay."""
-    kept = ngram_join.groups(docs, k=5, num=4, den=5).where("component_id = doc_id or component_id is null").select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "__id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """One row of each group of documents linked by five-word shingles at 0.8 or more; rows without words all stay.
+
+    It is the row of least doc_id, then text hash, then other columns. Rows of a null doc_id come last, link with equal sets only and are one group by them.
+    """
+    key = lambda h: {"__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__h": h}
+    kept = ngram_join.representatives(docs, k=5, num=4, den=5).withColumns(key(F.col("h"))).drop("doc_id", "h")
+    words = blank_trim(F.coalesce("text", F.lit(""))) != ""
+    by = ["__null", "__id", "__h"]
+    order = W.partitionBy(*by).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "__h")
+    one = docs.where(words).withColumns(key(text_key())).withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return one.join(kept, by, "left_semi").select(*docs.columns).unionByName(docs.where(~words))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Scratch, lower_words, mix64, shingle_hashes, signed, word_hashes
+from tickloom.llm.common import Scratch, lower_words, mix64, shingle_hashes, signed, text_key, word_hashes
 from tickloom.llm.components import components
 
 CELL_BITS = 18
@@ -66,7 +66,7 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """For each row its doc_id, set size, class and parity sketch; and for each task its part of the count sketch (n = -1)."""
+    """For each row its doc_id, text hash, set size, class and parity sketch; and for each task its part of the count sketch (n = -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
@@ -78,14 +78,14 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 par.append(_parity(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(par, pa.binary())], ["doc_id", "n", "sig", "par"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(par, pa.binary())], ["doc_id", "h", "n", "sig", "par"])
         parts = np.split(cells, SKETCH_ROWS)
         some = [i for i, p in enumerate(parts) if p.any()]
         ids = pa.array(some, pa.int64())
         none = pa.array([-1] * len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, none, pa.array([parts[i].tobytes() for i in some], pa.binary()), pa.nulls(len(some), pa.binary())], ["doc_id", "n", "sig", "par"])
+        yield pa.RecordBatch.from_arrays([ids, none, none, pa.array([parts[i].tobytes() for i in some], pa.binary()), pa.nulls(len(some), pa.binary())], ["doc_id", "h", "n", "sig", "par"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, sig binary, par binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("h")).mapInArrow(run, "doc_id long, h long, n long, sig binary, par binary")
 
 
 def _order(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -361,8 +361,8 @@ def _hot_links(hot: DataFrame, sets: DataFrame, order, k: int, num: int, den: in
     return dealt.groupBy("root", "lo", "x", "hi", "y").applyInPandas(forest, "a binary, b binary")
 
 
-def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: documents link at a Jaccard similarity of num / den or more."""
+def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
+    """doc_id, h, n, root and component_id of each row; root names the component itself, as a repeated doc_id may be the least of several."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select("doc_id", "text")
@@ -401,8 +401,20 @@ def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, hot: int = H
     # Classes of a component share its least document.
     rooted = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     comp = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = scratch.keep(rooted.join(comp, "root").select("sig", "component_id"), "classes")
+    by_class = scratch.keep(rooted.join(comp, "root").select("sig", "root", "component_id"), "classes")
     out = rows.join(by_class, "sig", "left")
     for name in ("found", "pairs", "words", "cold", "links"):
         scratch.drop(name)
+    return out.select("doc_id", "h", "n", "root", "component_id")
+
+
+def groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row: documents link at a Jaccard similarity of num / den or more."""
+    out = _linked(docs, k, num, den, hot)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, hot: int = HOT) -> DataFrame:
+    """(doc_id, h) of one row of each component of rows with words: of least doc_id, null last, then text hash h."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
+    return _linked(docs, k, num, den, hot).where("n > 0").groupBy("root").agg(least.alias("r")).select("r.doc_id", "r.h")
