@@ -9,7 +9,7 @@ Candidates share a key among the first n - ceil(t n) + 1 of both sets, at places
 (prefix, position and length filters). One shuffle deals narrow rows (key, 64-bit class id, size and place) by key; sorted,
 they stream by, at most HOT of a key held. Where at most HOT classes share a key, pairs are listed and those whose 512-bit
 parity sketches differ in more bits than the two sets may differ in elements are dropped (that many elements do differ).
-What is left is cut into fragments, the partial overlaps of each fragment counted by themselves and summed per pair.
+What is left is verified on whole sets: a pair's two sets meet in one task, and their overlap, binned by fragment, is summed per pair.
 Where more classes share a key, no pairs are listed: classes that hang together by such keys form clusters. One that fits
 a block is met whole; others are dealt into blocks bounded in classes and shingles, and two blocks of one or of
 neighbouring length bands meet in a task, which counts overlaps fragment by fragment and returns a spanning forest of
@@ -267,7 +267,7 @@ def _unpack(words: bytes, k: int, rank: np.ndarray) -> np.ndarray:
 
 
 def _count_pairs(pairs: DataFrame, sets: DataFrame, order, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that link: each fragment's partial overlap is counted by itself, then they are summed per pair."""
+    """Pairs (a, b) that link, verified on whole sets; their overlaps are told by fragment and summed, but no data are dealt by fragment."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, pivots = order.value
