@@ -125,20 +125,108 @@ def test_ngram_join_null_ids_and_empty(spark):
 # ---- line dedup
 
 
-def test_line_dedup_shift_resistant_and_bytes(spark):
-    block = "\n".join(prose(8) for _ in range(12))
+def brute_lines(text):
+    """[first, last] of each chunk."""
+    lines = text.split("\n")
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+    alone = [len(x.split()) >= 17 for x in lines]
+    out, at = [], 0
+    for i in range(len(lines)):
+        end = i + 1 == len(lines)
+        if end or alone[i] or alone[i + 1] or (h[i] * 31 + h[i + 1]) % 1000003 % 2 == 0:
+            out.append((at, i))
+            at = i + 1
+    return lines, out
+
+
+def brute_dedup(rows):
+    """(doc_id, text) in order of doc_id: what is left of each text."""
+    first, out = {}, []
+    for i, text in rows:
+        if text is None:
+            out.append((i, None))
+            continue
+        lines, parts = brute_lines(text)
+        gone = set()
+        for c, (a, z) in enumerate(parts):
+            own = tuple(lines[a : z + 1])
+            if not any(x.strip() for x in own):
+                continue
+            prev = lines[parts[c - 1][0] : a][::-1] if c else []
+            after = lines[z + 1 : parts[c + 1][1] + 1] if c + 1 < len(parts) else []
+            if own not in first:
+                first[own] = (prev, after)
+                continue
+            grow = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+            back, on = grow(prev, first[own][0]), grow(after, first[own][1])
+            run = range(a - back, z + on + 1)
+            if sum(bool(lines[k].strip()) for k in run) >= 2 or any(len(lines[k].split()) >= 50 for k in run):
+                gone |= set(run)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(12)
+    block = [prose(8, r) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        own = [prose(r.choice((2, 5, 9, 20, 55)), r) for _ in range(r.randint(1, 7))]
+        if i % 3 == 0:
+            k = r.randint(0, 8)
+            own[1:1] = block[k : k + r.randint(2, 12)]
+        if i % 5 == 0:
+            own.insert(r.randint(0, len(own)), "one common line")
+        if i % 7 == 0:
+            own += ["", "  ", ""]
+        if i % 11 == 0:
+            own = ["again and again"] * r.randint(1, 6) + own
+        rows.append((i, "\n".join(own)))
+    rows += [(200, "a b\rc\n\td\x0be\n" + rows[3][1]), (201, "f f f"), (202, rows[9][1]), *[x for x in ODD if x[0] not in (None, 904)]]
+    d = docs(spark, rows)
+    for c in ("__id", "__h", "__places", "_id", "_h", "_gone", "gone", "key", "ls", "x"):
+        d = d.withColumn(c, F.lit(1))
+    out = line_dedup.dedup(d.repartition(5), "n_chars")
+    assert out.columns == d.columns
+    got = {x.doc_id: (x.text, x.n_chars) for x in out.collect()}
+    assert got == {i: (t, len(t or "")) for i, t in brute_dedup(sorted(rows))}
+    assert any(x != y for (_, x), (_, y) in zip(sorted(rows), brute_dedup(sorted(rows)), strict=True))
+
+
+def test_line_dedup_removes_whole_passages(spark):
+    """Passages of over 50 words between different neighbours, of 1 to 8 lines; and texts that lie at the least length a passage has."""
+    r, rows, want = random.Random(3), [], {}
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    line = lambda n: " ".join(word() for _ in range(n))
+    for n in range(1, 9):
+        for k in range(40):
+            passage = [line(-(-52 // n)) for _ in range(n)]
+            for copy in (0, 1):
+                own = [[line(8) for _ in range(3)] for _ in range(2)]
+                rows.append((2 * (100 * n + k) + copy, "\n".join([*own[0], *passage, *own[1]])))
+            want[rows[-1][0]] = "\n".join(own[0] + own[1])
+    short = " ".join("abcdefghij"[i % 10] for i in range(50))
+    rows += [(5000, short), (5001, short), (5002, short + "k"), (5003, short[:97]), (5004, short[:97])]
+    got = {x.doc_id: x.text for x in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert all(got[i] == t for i, t in rows if i % 2 == 0 and i < 5000)
+    for n in range(1, 9):
+        whole = sum(got[i] == want[i] for i in want if i // 200 == n)
+        assert whole == 40 if n <= 3 else whole >= 16 + 4 * (n - 4), n
+    assert [got[i] == "" for i in range(5000, 5005)] == [False, True, False, False, False]
+
+
+def test_line_dedup_odd_rows(spark):
     passage = prose(60)
-    rows = [(i, f"{prose(7)}\n{prose(5)}\n{block}\n{prose(6)}") for i in range(1, 6)] + [(20, f"own line one\n{passage}\nown line two"), (21, f"{prose(4)}\n{prose(9)}\n{passage}"), *ODD]
-    d = docs(spark, rows).withColumn("places", F.lit(1)).withColumn("key", F.lit(1))
+    rows = [(20, f"own line one\n{passage}\nown line two"), (21, f"{prose(4)}\n{prose(9)}\n{passage}"), *ODD, (None, f"first of all\n{passage}"), (22, f"x\n{passage}"), (22, f"x\n{passage}")]
+    d = docs(spark, rows)
     out = line_dedup.dedup(d)
     assert out.columns == d.columns and out.count() == len(rows)
-    got = {r.doc_id: r.text for r in out.collect()}
-    texts = dict(rows)
-    assert got[1] == texts[1] and got[20] == texts[20]
-    for i in range(2, 6):
-        assert len(got[i]) < len(texts[i])
-    assert passage not in got[21]
-    assert all(got[x[0]] == x[1] for x in ODD if x[0] not in (None, 904))
+    got = {}
+    for x in out.collect():
+        got.setdefault(x.doc_id, []).append(x.text)
+    assert sorted(got[None]) == sorted(["no id here at all", f"first of all\n{passage}"]) and got[20] == ["own line one\nown line two"]
+    assert passage not in got[21][0] and got[22] == ["x", "x"] and got[904] == ["same row twice here ok"] * 2
+    assert all(got[x[0]] == [x[1]] for x in ODD if x[0] not in (None, 904))
     assert line_dedup.report(docs(spark, [(1, "a\nb")]).where("false")).count() == 0
 
 

@@ -1,27 +1,12 @@
 """run() against a brute-force version of all stages on a small corpus: which documents stay, and how many words each still has."""
 
-import hashlib
 import random
 
 import corpus_pipeline
-from tests.llm.test_operators import brute_groups, check_mix, docs, prose
+from tests.llm.test_operators import brute_dedup, brute_groups, check_mix, docs, prose
 from tickloom.llm import toxicity
 
 
-def brute_chunks(text):
-    lines = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    p = [len(x.split()) >= 50 for x in lines]
-    out, now = [], []
-    for i, x in enumerate(lines):
-        now.append(x)
-        roll = h[i] * 961 + (h[i - 1] * 31 if i else 0) + (h[i - 2] if i > 1 else 0)
-        if p[i] or i + 1 == len(lines) or p[i + 1] or roll % 4 == 0:
-            out.append(("\n".join(now), len(now) > 1 or p[i]))
-            now = []
-    return out
-
-
 def test_pipeline_equals_brute_force(spark, tmp_path):
     r = random.Random(8)
     items = [(i, prose(25, r)) for i in range(5)]
@@ -52,16 +37,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     m = toxicity.fit(d, lab)
     left = [(i, t) for i, t, _ in rows if m.score(t) < 0.5]
     assert {i for i, *_ in rows} - {i for i, _ in left} == {i for i, *_ in rows if i < 160 and i % 8 == 0}
-    seen, cleaned = set(), []
-    for i, t in left:
-        keep = []
-        for c, worth in brute_chunks(t) if t else []:
-            if worth and c.strip():
-                if c in seen:
-                    continue
-                seen.add(c)
-            keep.append(c)
-        cleaned.append((i, "\n".join(keep) if t is not None else None))
+    cleaned = brute_dedup(left)
     stay = {i for i, _, top in brute_groups(cleaned, 5, 4, 5) if top == i}
 
     def share(item, text):

@@ -74,6 +74,17 @@ class Scratch:
             pass
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of `taken` is called so (case apart)."""
+    have, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_key(text: str = "text") -> Column:
     """With doc_id it names a row: rows alike in both are decided alike."""
     return F.xxhash64(F.col(text))

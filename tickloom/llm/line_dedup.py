@@ -1,97 +1,128 @@
 """Line dedup by content-defined line chunks. DataFrame functions only.
 
-A text is split at line feeds. Each line has a 28-bit hash from its MD5; the rolling hash at a line mixes its own and the
-SPAN - 1 lines before. A chunk ends after a line whose rolling hash is 0 modulo EVERY, so boundaries depend on nearby
-lines alone and survive shifts. A line of LONG_WORDS words or more is a passage by itself: a boundary stands before
-and after it. Chunks of two or more lines, and such passages, that occur more than once anywhere are compared by their bytes; the
-first occurrence (least doc_id, then text hash, then place) stays and equal ones are removed.
+A text is split at line feeds. Each line has a 28-bit hash from its MD5; the rolling hash at a line mixes the hashes of SPAN
+lines from it on. A chunk ends after a line whose rolling hash is 0 modulo EVERY, so boundaries depend on nearby lines alone and
+survive shifts. A line of ALONE_WORDS words or more is a chunk by itself: a boundary stands before and after it, so that a
+passage of over 3 * (ALONE_WORDS - 1) words always holds a whole chunk if it has three lines or fewer.
 
-Occurrences travel as (hash, document, place); texts move only by document, once to fetch repeated chunks and once to take them
-out (by sort-merge at every size). A chunk in a third of all documents is one row a task after partial aggregation, and its joins can be split.
+A chunk that occurred before (less doc_id, then text hash, then place) is compared with its first occurrence by its bytes. Where
+they are equal, the match grows line by line over the neighbouring chunks: a chunk beyond that is a match of its own. What then
+matches is removed if it holds two lines with words or a line of LONG_WORDS words. A removed line always has an equal one
+at an earlier place, so the first copy of anything stays.
 
-Defined cases: null text stays null, an empty text stays; a chunk of blank lines only is left alone; rows of equal doc_id and text are one
+Occurrences travel as (hash, document, place); texts move only by document, once to fetch repeated chunks with their neighbours and once to
+take lines out (by sort-merge at every size). A chunk in a third of all documents is one row a task after partial aggregation, and its joins can be split.
+
+What is missed: a passage of short lines between different neighbours that holds no whole chunk (README gives the share), or
+whose chunks all occurred earlier in other surroundings.
+
+Defined cases: null text stays null, an empty text stays; blank lines are no match by themselves; rows of equal doc_id and text are one
 document, decided alike; doc_id null counts as the least id; documents with nothing removed keep their text byte for byte; an empty table gives no rows; other
-columns come through as they are.
+columns come through as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Scratch
+from tickloom.llm.common import Scratch, fresh
+
+SPAN, EVERY, ALONE_WORDS, LONG_WORDS = 2, 2, 17, 50
+_BLANKS = "' \\t\\r\\n\\u000b\\u000c'"
 
-SPAN, EVERY, LONG_WORDS = 3, 4, 50
+
+def _words(line: str) -> str:
+    return f"size(split(btrim({line}, {_BLANKS}), '[\\\\x20\\\\x09-\\\\x0D]+'))"
 
 
 def chunks(text: str = "text") -> str:
-    """SQL for array<struct<t, n, p>>: a text's chunks (t, of n lines, p: a passage); t joined by line feeds give it back.
+    """SQL for struct<ls, cs>: a text's lines, and its chunks as (s, n): first line and number of lines.
 
     transform(array(x), v -> ...)[0] binds v to x once. Every step is linear in the text.
     """
-    blank = "'[\\\\x20\\\\x09-\\\\x0D]+'"
-    words = f"size(split(btrim(l, ' \\t\\r\\f\\u000b'), {blank}))"
-    line = f"struct(cast(conv(substring(md5(l), 1, 7), 16, 10) as bigint) as h, length(l) >= {2 * LONG_WORDS - 1} and {words} >= {LONG_WORDS} as p)"
-    rolled = f"(x.h * 961 + coalesce(get(hs, i - 1).h, 0L) * 31 + coalesce(get(hs, i - 2).h, 0L)) % {EVERY}"
-    ends = f"x.p or coalesce(get(hs, i + 1).p, true) or {rolled} = 0"  # no next line: the end
+    line = f"struct(cast(conv(substring(md5(l), 1, 7), 16, 10) as bigint) as h, length(l) >= {2 * ALONE_WORDS - 1} and {_words('l')} >= {ALONE_WORDS} as p)"
+    rolled = " + ".join(f"coalesce(get(hs, i + {k}).h, 0L) * {31 ** (SPAN - 1 - k)}" for k in range(SPAN))
+    ends = f"hs[i].p or coalesce(get(hs, i + 1).p, true) or ({rolled}) % 1000003 % {EVERY} = 0"  # no next line: the end
     start = "coalesce(get(es, k - 1) + 1, 0)"
-    chunk = f"struct(array_join(slice(ls, {start} + 1, e - {start} + 1), '\\n') as t, e - {start} + 1 as n, hs[e].p as p)"
     return (
         f"transform(array(split({text}, '\\n', -1)), ls -> "
         f"transform(array(transform(ls, l -> {line})), hs -> "
-        f"transform(array(transform(hs, (x, i) -> {ends})), bs -> "
-        "transform(array(filter(sequence(0, size(bs) - 1), i -> bs[i])), es -> "
-        f"transform(es, (e, k) -> {chunk}))[0])[0])[0])[0]"
+        f"transform(array(filter(sequence(0, size(hs) - 1), i -> {ends})), es -> "
+        f"struct(ls as ls, transform(es, (e, k) -> struct({start} as s, e - {start} + 1 as n)) as cs))[0])[0])[0]"
     )
 
 
-#: What is left of a text without the chunks at __places.
-_LEFT = f"array_join(transform(filter(transform({chunks()}, (c, i) -> struct(c.t as t, i as i)), c -> not array_contains(__places, c.i)), c -> c.t), '\\n')"
+def _lines(c: str) -> str:
+    return f"slice(x.ls, {c}.s + 1, {c}.n)"
+
+
+def _common(a: str, b: str) -> str:
+    """SQL: how many lines two arrays have alike from the start."""
+    return f"transform(array(array_position(zip_with({a}, {b}, (p, q) -> not (p <=> q)), true)), p -> if(p = 0, size({a}), cast(p - 1 as int)))[0]"
 
 
 def marked(docs: DataFrame) -> tuple[DataFrame, Scratch]:
-    """(_id, _h, places) of the documents that lose chunks, and the scratch that holds it. _id and _h name a row of docs: (doc_id, text)."""
+    """(_id, _h, gone: the lines' numbers, in order) of the documents that lose lines, and the scratch that holds it. _id and _h name a row of docs: (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    d = docs.where("text is not null and instr(text, '\\n') > 0 or length(text) > 99").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text")
-    worth = "(c.n > 1 or c.p) and btrim(c.t, ' \\t\\r\\n') <> ''"
-    occ = d.select("_id", "_h", F.posexplode(F.expr(f"transform({chunks()}, c -> if({worth}, unhex(md5(c.t)), null))")).alias("at", "key")).where("key is not null")
+    d = docs.where(f"text is not null and (instr(text, '\\n') > 0 or length(text) >= {2 * LONG_WORDS - 1})").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text")
+    own = f"array_join({_lines('c')}, '\\n')"
+    keyed = f"transform(array({chunks()}), x -> transform(x.cs, c -> transform(array({own}), t -> if(btrim(t, {_BLANKS}) <> '', unhex(md5(t)), null))[0]))[0]"
+    occ = d.select("_id", "_h", F.posexplode(F.expr(keyed)).alias("at", "key")).where("key is not null")
     occ = scratch.keep(occ.distinct(), "places")
     first = occ.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "at")).alias("f")).where("n > 1").select("key", "f")
-    # Places of repeated chunks, gathered by document, fetch the chunks' bytes.
+    # Places of repeated chunks, gathered by document, fetch the chunks and their neighbours.
     rep = occ.join(first, "key").withColumn("first", F.struct("_id", "_h", "at").eqNullSafe(F.col("f"))).drop("f")
     wanted = rep.groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "key", "first")).alias("w")).hint("merge").withColumnsRenamed({"_id": "_i", "_h": "_g"})
     one = d.join(wanted, d["_id"].eqNullSafe(wanted["_i"]) & (d["_h"] == wanted["_g"])).drop("_i", "_g")
-    got = one.withColumn("c", F.expr(chunks())).select("_id", "_h", F.explode("w").alias("w"), "c")
-    got = scratch.keep(got.select("_id", "_h", "w.*", F.expr("element_at(c, w.at + 1).t").alias("bytes")), "chunks")
+    none = "cast(array() as array<string>)"
+    near = f"reverse({_lines('get(x.cs, y.at - 1)')}) as prev, {_lines('get(x.cs, y.at + 1)')} as next"
+    got = one.select("_id", "_h", F.explode(F.expr(f"transform(array({chunks()}), x -> transform(w, y -> struct(y.key as key, y.first as first, x.cs[y.at].s as s, {_lines('x.cs[y.at]')} as own, {near})))[0]")).alias("m"))
+    got = got.select("_id", "_h", "m.key", "m.first", "m.s", "m.own", F.coalesce("m.prev", F.expr(none)).alias("prev"), F.coalesce("m.next", F.expr(none)).alias("next"))
+    got = scratch.keep(got, "chunks")
     del occ, first, rep, wanted, one
     scratch.drop("places")
     scratch.free()
-    kept = got.where("first").groupBy("key").agg(F.min("bytes").alias("own"))
-    gone = got.where("not first").join(kept, "key").where("bytes = own").groupBy("_id", "_h").agg(F.collect_set("at").alias("places"))
+    kept = got.where("first").groupBy("key").agg(F.min(F.struct("own", "prev", "next")).alias("k"))
+    met = got.where("not first").join(kept, "key").where("own = k.own").withColumns({"back": F.expr(_common("prev", "k.prev")), "on": F.expr(_common("next", "k.next"))})
+    run = met.withColumn("run", F.expr("concat(slice(prev, 1, back), own, slice(next, 1, on))"))
+    run = run.where(f"size(filter(run, l -> btrim(l, {_BLANKS}) <> '')) >= 2 or exists(run, l -> length(l) >= {2 * LONG_WORDS - 1} and {_words('l')} >= {LONG_WORDS})")
+    gone = run.groupBy("_id", "_h").agg(F.collect_list(F.expr("sequence(s - back, s + size(own) - 1 + on)")).alias("g"))  # at most three times the document's lines
+    gone = gone.select("_id", "_h", F.array_sort(F.array_distinct(F.flatten("g"))).alias("gone"))
     gone = scratch.keep(gone, "gone")
-    del got, kept
+    del got, kept, met, run
     scratch.drop("chunks")
     scratch.free()
     return gone.hint("merge"), scratch
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks taken out of text; a column of n_chars is left as it is."""
-    gone, _ = marked(docs)
-    g = gone.withColumnsRenamed({"_id": "__id", "_h": "__h", "places": "__places"})
-    left = F.expr(_LEFT)
-    full = docs.join(g, docs["doc_id"].eqNullSafe(g["__id"]) & (F.xxhash64(docs["text"]) == g["__h"]), "left")
-    return full.withColumn("text", F.when(F.col("__places").isNull(), docs["text"]).otherwise(left)).select(*docs.columns)
+def _left(gone: str, text: str) -> Column:
+    """What is left of a text without its lines `gone` (numbers in order): the stretches between them. Linear in the text."""
+    before, after = f"if(k = 0, -1, {gone}[k - 1])", f"if(k = size({gone}), size(ls), {gone}[k])"
+    stretch = f"slice(ls, {before} + 2, {after} - {before} - 1)"
+    return F.expr(f"transform(array(split({text}, '\\n', -1)), ls -> array_join(flatten(transform(sequence(0, size({gone})), k -> {stretch})), '\\n'))[0]")
+
+
+def _with_gone(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, the numbers of the lines to remove (null: none), and its name."""
+    marks, _ = marked(docs.select("doc_id", "text"))
+    i, h, gone = fresh(docs.columns, "_id", "_h", "_gone")
+    g = marks.select(F.col("_id").alias(i), F.col("_h").alias(h), F.col("gone").alias(gone))
+    return docs.join(g, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)), "left").drop(i, h), gone
+
+
+def dedup(docs: DataFrame, chars: str | None = None) -> DataFrame:
+    """docs with repeated passages taken out of text. `chars` names a column that counts the text's characters: it follows where lines went."""
+    full, gone = _with_gone(docs)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(_left(f"`{gone}`", "text"))
+    new = {"text": text}
+    if chars:
+        new[chars] = F.when(F.col(gone).isNull(), F.col(chars)).otherwise(F.length(text).cast(docs.schema[chars].dataType))
+    return full.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chunks removed, chars removed and the digest of what is left, for each row of docs."""
-    d = docs.select("doc_id", "text")
-    gone, _ = marked(d)
-    g = gone.withColumnsRenamed({"_id": "__id", "_h": "__h", "places": "__places"})
-    full = d.join(g, d["doc_id"].eqNullSafe(g["__id"]) & (F.xxhash64(d["text"]) == g["__h"]), "left")
-    left = F.expr(_LEFT)
-    full = full.withColumn("kept", F.when(F.col("__places").isNull(), F.col("text")).otherwise(left))
-    return full.select(
-        "doc_id", F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_removed"), F.length("kept").cast("long").alias("kept_chars"), F.md5("kept").alias("kept_md5")
-    )
+    """doc_id, n_removed lines, and the characters and digest of what is left, for each row of docs."""
+    full, gone = _with_gone(docs.select("doc_id", "text"))
+    full = full.withColumn("kept", F.when(F.col(gone).isNull(), F.col("text")).otherwise(_left(gone, "text")))
+    return full.select("doc_id", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.length("kept").cast("long").alias("kept_chars"), F.md5("kept").alias("kept_md5"))

@@ -4,21 +4,28 @@ _WS = "[\\x20\\x09-\\x0D]+"
 
 LINE_DEDUP = f"""
 with line as (
-  select doc_id, i, l, ('0x' || substr(md5(l), 1, 7))::bigint as h, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) >= 50 as p
+  select doc_id, i, l, ('0x' || substr(md5(l), 1, 7))::bigint as h, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) as w
   from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null)
 ), cut as (
-  select *, p or coalesce(lead(p) over w, true) or (h * 961 + coalesce(lag(h) over w, 0) * 31 + coalesce(lag(h, 2) over w, 0)) % 4 = 0 as e from line window w as (partition by doc_id order by i)
+  select *, w >= 17 or coalesce(lead(w) over o >= 17, true) or (h * 31 + coalesce(lead(h) over o, 0)) % 1000003 % 2 = 0 as e from line window o as (partition by doc_id order by i)
 ), numbered as (
   select *, coalesce(sum(e::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as c from cut
 ), chunk as (
-  select doc_id, c, string_agg(l, chr(10) order by i) as t, count(*) as n, bool_or(p) as p from numbered group by all
+  select doc_id, c, min(i) as s, list(l order by i) as ls, sum(w) as w from numbered group by all
+), beside as (
+  select *, coalesce(list_reverse(lag(ls) over o), []) as prev, coalesce(lead(ls) over o, []) as next from chunk window o as (partition by doc_id order by c)
 ), ranked as (
-  select *, row_number() over (partition by t order by doc_id, c) as k from chunk where (n > 1 or p) and regexp_matches(t, '[^\\x20\\x09\\x0A\\x0D]')
+  select *, row_number() over (partition by ls order by doc_id, c) as k from beside where w > 0
+), grown as (
+  select r.doc_id, r.s - len(list_filter(range(1, least(len(r.prev), len(f.prev)) + 1), lambda q: r.prev[1:q] = f.prev[1:q])) as a,
+    r.s + len(r.ls) + len(list_filter(range(1, least(len(r.next), len(f.next)) + 1), lambda q: r.next[1:q] = f.next[1:q])) as z
+  from ranked r join ranked f on r.ls = f.ls and f.k = 1 where r.k > 1
+), gone as (
+  select distinct g.doc_id, i from grown g, lateral (select unnest(range(a, z)) as i) where (select count(*) filter (w > 0) >= 2 or max(w) >= 50 from line l where l.doc_id = g.doc_id and l.i >= a and l.i < z)
 ), kept as (
-  select c.doc_id, string_agg(c.t, chr(10) order by c.c) filter (r.k is null or r.k = 1) as t, count(*) filter (r.k > 1) as gone
-  from chunk c left join ranked r on c.doc_id = r.doc_id and c.c = r.c group by 1
+  select l.doc_id, string_agg(l.l, chr(10) order by l.i) filter (g.i is null) as t, count(g.i) as n from line l left join gone g on l.doc_id = g.doc_id and l.i = g.i group by 1
 )
-select d.doc_id, coalesce(gone, 0)::bigint as n_removed, length(case when d.text is null then null else coalesce(t, '') end)::bigint as kept_chars,
+select d.doc_id, coalesce(n, 0)::bigint as n_removed, length(case when d.text is null then null else coalesce(t, '') end)::bigint as kept_chars,
   md5(case when d.text is null then null else coalesce(t, '') end) as kept_md5
 from documents d left join kept k on d.doc_id = k.doc_id
 """
