@@ -7,19 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from tickloom.llm.common import Scratch, blank_trim, table, text_key
+from tickloom.llm.common import Scratch, blank_trim, fresh, table, text_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scoring below 0.5; the lexicon is learned from the labels of the documents given."""
+    """Documents scoring below 0.5; the lexicon is learned from the labels of the documents given.
+
+    Null and empty texts score as having no term; repeated rows are scored alike; without labels a seed lexicon decides; all columns come through.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, later copies of repeated line chunks taken out; n_chars follows where a text changed."""
-    out = line_dedup.dedup(docs.withColumn("__old", F.xxhash64("text")))
-    changed = ~F.xxhash64("text").eqNullSafe(F.col("__old"))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """All documents, later copies of repeated passages taken out; n_chars follows where a text changed.
+
+    Null and empty texts stay as they are; rows alike in doc_id and text lose the same; a null doc_id is the least one.
+    """
+    return line_dedup.dedup(docs, "n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,22 +31,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     It is the row of least doc_id, then text hash, then other columns. Rows of a null doc_id come last, link with equal sets only and are one group by them.
     """
-    key = lambda h: {"__null": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__h": h}
-    kept = ngram_join.representatives(docs, k=5, num=4, den=5).withColumns(key(F.col("h"))).drop("doc_id", "h")
+    null, at, own, n = fresh(docs.columns, "_null", "_id", "_h", "_n")
+    key = lambda h: {null: F.col("doc_id").isNull(), at: F.coalesce("doc_id", F.lit(0)), own: h}
+    kept = ngram_join.representatives(docs.select("doc_id", "text"), k=5, num=4, den=5).withColumns(key(F.col("h"))).select(null, at, own)
     words = blank_trim(F.coalesce("text", F.lit(""))) != ""
-    by = ["__null", "__id", "__h"]
-    order = W.partitionBy(*by).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "__h")
-    one = docs.where(words).withColumns(key(text_key())).withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    by = [null, at, own]
+    others = [f"`{c}`" for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant"))]
+    order = W.partitionBy(*by).orderBy(*others, own)
+    one = docs.where(words).withColumns(key(text_key())).withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
     return one.join(kept, by, "left_semi").select(*docs.columns).unionByName(docs.where(~words))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item enough."""
+    """Documents that cover no benchmark item enough. Null and blank texts cover none; repeated rows are decided alike; all columns come through."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document left."""
+    """What the mix takes of each document left: null and blank texts take nothing, repeated rows are documents of their own, a null doc_id is the first."""
     return mixing.mix(docs)
 
 
