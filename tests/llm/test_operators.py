@@ -317,20 +317,80 @@ def test_tiles_mark_reordered_runs():
     assert decontaminate.tiles(item, ids("a b x c d y"), 3) == []
 
 
+def brute_tiles(a, d, least):
+    """Greedy string tiling by definition: the longest free common run, first in the item, then in the document, until none of `least` words is left."""
+    least, out, ia, idd = min(least, len(a)), [], set(), set()
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(d)):
+                n = 0
+                while i + n < len(a) and j + n < len(d) and a[i + n] == d[j + n] and i + n not in ia and j + n not in idd:
+                    n += 1
+                if n >= max(1, least) and (best is None or (-n, i, j) < best):
+                    best = (-n, i, j)
+        if best is None:
+            return sorted(out)
+        n, i, j = -best[0], *best[1:]
+        ia |= set(range(i, i + n))
+        idd |= set(range(j, j + n))
+        out.append((i, j, n))
+
+
+def test_tiles_equal_quadratic_greedy_tiling():
+    r = random.Random(31)
+    for case in range(400):
+        a = [r.choice("abcd"[: r.randint(2, 4)]) for _ in range(r.randint(1, 24))]
+        d = [r.choice("abcd") for _ in range(r.randint(0, 30))]
+        for _ in range(r.randint(0, 3)):
+            x = r.randrange(len(a))
+            at = r.randint(0, len(d))
+            d[at:at] = a[x : x + r.randint(1, 12)]
+        least = r.randint(1, 5)
+        code = lambda w: np.array([ord(c) for c in w], np.uint64)
+        assert sorted(decontaminate.tiles(code(a), code(d), least)) == brute_tiles(a, d, least), (case, a, d, least)
+
+
 def test_decontamination_both_ways(spark):
-    items = [(i, prose(30)) for i in range(8)] + [(50, "short one"), (51, None), (52, "")]
+    items = [(i, prose(30)) for i in range(8)] + [(50, "short one"), (51, None), (52, ""), (53, "one"), (60, prose(7))]
+    items += [(7, items[7][1]), (7, items[2][1]), (None, items[5][1]), (None, items[5][1])]  # an item twice, an id with two texts, no id
     w = items[3][1].split()
     rows = [(1, f"{prose(50)} {items[0][1].upper()} {prose(20)}"), (2, f"{' '.join(w[15:])} {prose(5)} {' '.join(w[:15])}"), (3, prose(200)), (4, f"{' '.join(w[:9])} {prose(60)}"), (5, "a short one here"), *ODD]
+    rows += [(6, items[7][1]), (6, items[7][1]), (8, f"{items[2][1]} {items[7][1]}"), (None, items[5][1])]
     b = spark.createDataFrame(items, "item_id long, text string")
     d = docs(spark, rows)
-    got = {r.doc_id: (r.contaminated, r.item_id, r.n_items) for r in decontaminate.report(d, b).collect() if r.doc_id != 904}
-    assert got[1][:2] == (True, 0) and got[2][:2] == (True, 3) and not got[3][0] and not got[4][0] and got[5][:2] == (True, 50)
-    assert not any(got[x[0]][0] for x in ODD if x[0] not in (904,))
-    far = {r.doc_id: (r.contaminated, r.item_id, r.n_items) for r in decontaminate.report(d, b, broadcast_shingles=0).collect() if r.doc_id != 904}
-    assert far == got
-    kept = decontaminate.keep_clean(d.withColumn("items", F.lit(1)), b)
-    assert kept.columns == [*d.columns, "items"] and kept.count() == len(rows) - 3
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_items)
+    got = sorted(decontaminate.report(d, b).collect(), key=key)
+    far = sorted(decontaminate.report(d, b, broadcast_bytes=0).collect(), key=key)
+    assert got == far == sorted(decontaminate.report(d, b, broadcast_words=0).collect(), key=key) and len(got) == len(rows)
+
+    def brute(text):
+        t, out = (text or "").lower().split(), {}
+        for i, x in {(i, x) for i, x in items if x and len(x.split()) >= 5}:
+            c = sum(n for _, _, n in brute_tiles(x.split(), t, 5)) / len(x.split())
+            if c >= 0.5:
+                out.setdefault(i, []).append(c)
+        return sorted(((-c, i is None, i or 0) for i, cs in out.items() for c in cs))
+
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    for r in got:
+        if r.doc_id in (903, 905, None):
+            continue
+        want = brute(texts[r.doc_id][0])
+        assert r.contaminated == bool(want) and r.items == [None if z else i for _, z, i in want] and abs(r.max_coverage + (want[0][0] if want else 0)) < 1e-12
+    by = {r.doc_id: r for r in got}
+    assert not by[5].contaminated and by[5].n_short == 2 and by[6].items == [7] and sorted(by[8].items) == [2, 7, 7]
+    assert sorted(r.items for r in got if r.doc_id is None) == [[], [5, None]]
+    assert not any(by[x[0]].contaminated for x in ODD if x[0] is not None)
+    kept = decontaminate.keep_clean(d.withColumn("items", F.lit(1)).withColumn("_h", F.lit(1)), b)
+    assert kept.columns == [*d.columns, "items", "_h"] and kept.count() == len(rows) - 6
+    kept = decontaminate.keep_clean(d.withColumn("items", F.lit(1)).withColumn("_h", F.lit(1)), b, broadcast_words=0)
+    assert kept.columns == [*d.columns, "items", "_h"] and kept.count() == len(rows) - 6
     assert decontaminate.report(d, b.where("false")).where("contaminated").count() == 0
+    assert decontaminate.report(d, b.where("false"), broadcast_words=-1).where("contaminated").count() == 0
+    assert decontaminate.report(d.where("false"), b).count() == 0
 
 
 # ---- nearest neighbours

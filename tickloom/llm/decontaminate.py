@@ -3,13 +3,15 @@
 Words are lower-cased (A-Z) and split at blanks. A document and a benchmark item meet when they share a SEED-word
 shingle. Then, from the longest matches down, non-overlapping common runs of SEED words or more are marked in both (ties: first in the item, then in the
 document), so passages in another order are found too. An item's coverage is the share of its words marked; a
-document with coverage >= MIN_COVERAGE of any item is contaminated. Items shorter than SEED words match as a whole run.
+document with coverage >= MIN_COVERAGE of any item is contaminated. Items of fewer than SEED words say too little to condemn a document:
+those it holds as a whole run are told apart (n_short).
 
-While the benchmark's shingles are at most BROADCAST_SHINGLES, counted first, their hashes go to all workers and
-documents are read once; beyond, seeds are joined by shuffle and only (document, item) pairs travel. Both give the same.
+While the benchmark has at most BROADCAST_WORDS words in BROADCAST_BYTES bytes, measured first, it goes to all workers and
+documents are read once. Beyond, seeds are joined by shuffle, salted by document; pairs whose shared seeds can't make up the coverage are dropped, and
+each document left meets its items once. Both give the same rows.
 
-Defined cases: null or blank documents and items match nothing; repeated documents are each returned; repeated item
-ids are told apart by text and the first by coverage, then id, is named; empty tables give every document as clean or no rows;
+Defined cases: null or blank documents and items match nothing; repeated documents are each returned; items alike in id and text
+are one item; repeated item ids with other texts are items of their own; the first by coverage, then id (null last), is named; empty tables give every document as clean or no rows;
 only doc_id, text, item_id and text are read.
 """
 
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.common import lower_words, mix64, shingle_hashes, signed, text_key, word_hashes
+from tickloom.llm.common import fresh, lower_words, mix64, shingle_hashes, signed, text_key, word_count, word_hashes
 
 SEED = 5
 MIN_COVERAGE = 0.5
-BROADCAST_SHINGLES = 2_000_000
+BROADCAST_WORDS, BROADCAST_BYTES = 2_000_000, 1 << 25
+#: Ways over which the documents of a seed are dealt.
+SALTS = 16
 
 
 def _place(s: np.ndarray) -> dict[int, list[int]]:
@@ -100,8 +104,8 @@ class Benchmark:
         self.by_len = {least: seeds, **short}
         self.known = {k: np.array(sorted(v), np.uint64) for k, v in self.by_len.items() if v}
 
-    def look(self, text: str | None, coverage: float) -> list[tuple[float, object]]:
-        """(coverage, item) of the items covered enough, most first."""
+    def look(self, text: str | None, coverage: float) -> tuple[list[tuple[float, object]], int]:
+        """(coverage, item) of the items covered enough, most first, and how many shorter ones are held whole."""
         w = word_hashes(lower_words(text))
         met: set[int] = set()
         for k, known in self.known.items():
@@ -110,32 +114,36 @@ class Benchmark:
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 for x in np.unique(s[known[at] == s]).tolist():
                     met |= self.by_len[k][x]
-        out = []
+        out, short = [], 0
         for n in met:
             item, words = self.items[n]
-            c = sum(t[2] for t in tiles(words, w, self.least)) / len(words)
-            if c >= coverage:
+            if len(words) < self.least:
+                short += 1
+            elif (c := sum(t[2] for t in tiles(words, w, self.least)) / len(words)) >= coverage:
                 out.append((c, item))
-        return sorted(out, key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+        return sorted(out, key=_first), short
 
 
-OUT = "max_coverage double, item_id long, n_items long, items array<long>"
+def _first(x: tuple[float, object]) -> tuple:
+    return -x[0], x[1] is None, x[1] or 0
 
 
-def _columns(found: list[list[tuple[float, object]]]) -> list[pa.Array]:
-    return [
-        pa.array([f[0][0] if f else 0.0 for f in found], pa.float64()),
-        pa.array([f[0][1] if f else None for f in found], pa.int64()),
-        pa.array([len(f) for f in found], pa.int64()),
-        pa.array([[x for _, x in f] for f in found], pa.list_(pa.int64())),
-    ]
+OUT = "max_coverage double, item_id long, n_items long, items array<long>, n_short long"
+NAMES = ["max_coverage", "item_id", "n_items", "items", "n_short"]
 
 
-NAMES = ["max_coverage", "item_id", "n_items", "items"]
+def _columns(found: list[tuple[list[tuple[float, object]], int]]) -> list[pa.Array]:
+    return [
+        pa.array([f[0][0] if f else 0.0 for f, _ in found], pa.float64()),
+        pa.array([f[0][1] if f else None for f, _ in found], pa.int64()),
+        pa.array([len(f) for f, _ in found], pa.int64()),
+        pa.array([[x for _, x in f] for f, _ in found], pa.list_(pa.int64())),
+        pa.array([n for _, n in found], pa.int64()),
+    ]
 
 
 def _by_broadcast(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
-    rows = sorted(((r[0], r[1]) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = sorted(((r[0], r[1]) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # at most BROADCAST_BYTES
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,58 +157,84 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, least: int, coverage: float
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes_row = items.select(F.least(F.col("n"), F.lit(least)).alias("k")).distinct().collect()  # at most `least` numbers
+    sizes = sorted(r[0] for r in sizes_row)
+
+    def seeds(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        got, times = np.unique(shingle_hashes(w, k), return_counts=True)
+        with np.errstate(over="ignore"):
+            return signed(mix64(got + np.uint64(k))), times
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seed, row = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for r, t in enumerate(b.column("text").to_pylist()):
+                w = word_hashes(lower_words(t))
+                for k in sizes:
+                    got, _ = seeds(w, k)
+                    seed.append(got)
+                    row.append(np.full(len(got), r))
+            at = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seed)), b.column("doc_id").take(at), b.column("_h").take(at)], ["seed", "doc_id", "_h"])
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seed, keys = [], {c: [] for c in b.schema.names if c not in ("text", "_sizes")}
-            sizes = b.column("_sizes").to_pylist()
+            seed, row, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for r, t in enumerate(b.column("text").to_pylist()):
                 w = word_hashes(lower_words(t))
-                for k in sizes[r] or [min(least, len(w))]:
-                    got = np.unique(shingle_hashes(w, k)) if k else np.empty(0, np.uint64)
-                    with np.errstate(over="ignore"):
-                        seed.append(signed(mix64(got + np.uint64(k))))
-                    for c in keys:
-                        keys[c] += [b.column(c)[r].as_py()] * len(got)
-            cols = {"seed": pa.array(np.concatenate(seed) if seed else np.empty(0, np.int64))}
-            yield pa.RecordBatch.from_pydict(cols | {c: pa.array(v, pa.int64()) for c, v in keys.items()})
+                got, n = seeds(w, min(least, len(w)))
+                seed.append(got)
+                row.append(np.full(len(got), r))
+                times.append(n)
+            at = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seed)), *(b.column(c).take(at) for c in ("item_id", "_ih", "n")), pa.array(np.concatenate(times))], ["seed", "item_id", "_ih", "n", "times"])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cov = []
-            for x, y in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
-                a, d = word_hashes(lower_words(x)), word_hashes(lower_words(y))
-                cov.append(sum(t[2] for t in tiles(a, d, least)) / len(a))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_h"), b.column("item_id"), pa.array(cov, pa.float64())], ["doc_id", "_h", "item_id", "cov"])
-
-    items = items.select("item_id", "text", text_key().alias("_ih"))
-    words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
-    sizes = items.select(F.least(words, F.lit(least)).alias("k")).distinct().agg(F.sort_array(F.collect_set("k")).alias("_sizes"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("_h"))
-    own = d.crossJoin(F.broadcast(sizes)).mapInArrow(spread, "seed long, doc_id long, _h long")  # sizes is one row
-    far = items.withColumn("_sizes", F.lit(None).cast("array<int>")).mapInArrow(spread, "seed long, item_id long, _ih long")
-    pairs = own.join(far, "seed").select("doc_id", "_h", "item_id", "_ih").distinct()
-    p = pairs.alias("p").join(d.dropDuplicates(["doc_id", "_h"]).alias("d"), F.col("p.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("p._h") == F.col("d._h"))).select("p.*", "d.text")
-    p = p.alias("p").join(items.dropDuplicates(["item_id", "_ih"]).alias("i"), F.col("p.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("p._ih") == F.col("i._ih"))).select("p.*", F.col("i.text").alias("item"))
-    cov = p.select("doc_id", "_h", "item_id", "item", "text").mapInArrow(measure, "doc_id long, _h long, item_id long, cov double").where(F.col("cov") >= coverage)
-    by = F.array_sort(F.collect_list(F.struct((-F.col("cov")).alias("c"), F.col("item_id").isNull().alias("z"), "item_id")))
-    best = cov.groupBy("doc_id", "_h").agg(by.alias("l"))
-    best = best.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), (-F.col("l")[0]["c"]).alias("max_coverage"), F.col("l")[0]["item_id"].alias("item_id"), F.size("l").cast("long").alias("n_items"), F.expr("transform(l, x -> x.item_id)").alias("items"))
-    out = docs.join(best, docs["doc_id"].eqNullSafe(best["_d"]) & (text_key() == best["_g"]), "left")
-    return out.select(*[docs[c] for c in docs.columns], F.coalesce("max_coverage", F.lit(0.0)).alias("max_coverage"), "item_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.expr("cast(array() as array<long>)")).alias("items"))
-
-
-def covered(docs: DataFrame, benchmark: DataFrame, least: int = SEED, coverage: float = MIN_COVERAGE, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """docs with max_coverage, item_id (the item most covered), n_items and items (those covered enough, most first)."""
+            found = []
+            for text, near in zip(b.column("text").to_pylist(), b.column("near").to_pylist(), strict=True):
+                w, out, short = word_hashes(lower_words(text)), [], 0
+                for x in near:
+                    own = word_hashes(lower_words(x["item"]))
+                    if len(own) < least:
+                        short += 1
+                    elif (c := sum(t[2] for t in tiles(own, w, least)) / len(own)) >= coverage:
+                        out.append((c, x["item_id"]))
+                found.append((sorted(out, key=_first), short))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_h"), *_columns(found)], ["doc_id", "_h", *NAMES])
+
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("_h")).where("text is not null")
+    own = d.mapInArrow(of_docs, "seed long, doc_id long, _h long").withColumn("salt", F.pmod(F.col("_h"), F.lit(SALTS)))
+    far = items.select("item_id", "text", "_ih", "n").mapInArrow(of_items, "seed long, item_id long, _ih long, n long, times long").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # A run of L >= least words holds L - least + 1 >= L / least of the item's seeds, so fewer can't make up the coverage.
+    pairs = own.distinct().join(far, ["seed", "salt"]).groupBy("doc_id", "_h", "item_id", "_ih", "n").agg(F.sum("times").alias("got"))
+    pairs = pairs.where((F.col("n") < least) | (F.col("got") * least >= F.col("n") * coverage - 1e-9)).select("doc_id", "_h", "item_id", "_ih")
+    i = items.select(F.col("item_id").alias("_i"), F.col("_ih").alias("_g"), F.col("text").alias("item"))
+    met = pairs.join(i, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("_ih") == F.col("_g")))
+    met = met.groupBy("doc_id", "_h").agg(F.collect_list(F.struct("item_id", "item")).alias("near")).withColumnsRenamed({"doc_id": "_d", "_h": "_g"})
+    one = d.dropDuplicates(["doc_id", "_h"]).join(met, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
+    best = one.select("doc_id", "_h", "text", "near").mapInArrow(measure, f"doc_id long, _h long, {OUT}")
+    i, h, *names = fresh(docs.columns, "_i", "_h", *(f"_{c}" for c in NAMES))
+    best = best.toDF(i, h, *names)
+    out = docs.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (text_key() == F.col(h)), "left")
+    none = {"max_coverage": F.lit(0.0), "n_items": F.lit(0).cast("long"), "items": F.expr("cast(array() as array<long>)"), "n_short": F.lit(0).cast("long")}
+    return out.select(*docs.columns, *[(F.coalesce(F.col(x), none[c]) if c in none else F.col(x)).alias(c) for c, x in zip(NAMES, names, strict=True)])
+
+
+def covered(docs: DataFrame, benchmark: DataFrame, least: int = SEED, coverage: float = MIN_COVERAGE, broadcast_words: int = BROADCAST_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs with max_coverage, item_id (the item most covered), n_items, items (those covered enough, most first) and n_short."""
     clash = [c for c in docs.columns if c.lower() in NAMES]
     if clash:
         raise ValueError(f"documents already have {clash}")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    size = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
-    return (_by_broadcast if size <= broadcast_shingles else _by_shuffle)(docs, items, least, coverage)
+    items = items.dropDuplicates(["item_id", "text"]).withColumns({"_ih": text_key(), "n": word_count(F.col("text"))})
+    words, octets = items.agg(F.sum("n"), F.sum(F.octet_length("text"))).first()
+    small = (words or 0) <= broadcast_words and (octets or 0) <= broadcast_bytes
+    return _by_broadcast(docs, items.select("item_id", "text"), least, coverage) if small else _by_shuffle(docs, items, least, coverage)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """doc_id, contaminated, max_coverage, item_id, n_items, items of each document."""
+    """doc_id, contaminated, max_coverage, item_id, n_items, items and n_short of each document."""
     return covered(docs.select("doc_id", "text"), benchmark, **how).select("doc_id", (F.col("n_items") > 0).alias("contaminated"), *NAMES)
 
 
