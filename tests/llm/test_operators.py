@@ -291,7 +291,7 @@ def test_pii_query(spark):
     base = plain_spans(text)
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (1, 1, 1, 1)
     assert r.base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
-    assert "secret:" in r.spans and len(got) == len(ODD) + 1
+    assert "secret:" in r.spans and len(got) == len(ODD) + 1 and r.n_spans == len(r.spans.split(",")) == 4 + r.n_added
     clean = pii.redact(d).where("doc_id = 1").first().text
     assert "4111" not in clean and "<secret>" in clean and "<email>" in clean
     assert pii.find(d.where("false")).count() == 0
@@ -307,6 +307,63 @@ def test_field_beats_chance_on_new_sentences():
     assert hit >= 0.85 * total and wrong <= 0.15 * total
 
 
+PARTS = ["password", "=", ": ", " ", " ", "ssn ", "token", '"', "'", "123", "45", "6789", "77777777", "hunterlongphrase", "the", "of ", "aB3dE6gH", "CamelCaseWord", "x@y.com", "10.0.0.1", "é", "_", "-", "4111 1111 1111 1111", ", ", "\n", "0123456789abcdef0123", "key"]
+
+
+def test_field_decodes_the_best_of_all_segmentations():
+    """Against scoring each segmentation of short token lists."""
+    r, w = random.Random(8), dict(pii.model())
+    seen = 0
+    for case in range(300):
+        if case == 150:  # weights that favour entities
+            w = {k: v + (0.6 if k[0] and k[1] == "bias" else 0) for k, v in w.items()}
+        t = "".join(r.choice(PARTS) for _ in range(r.randint(1, 9)))
+        toks, base = [m.span() for m in pii._TOKEN.finditer(t)], pii.base_spans(t)
+        if len(toks) > 10:
+            continue
+        edges = [(i, j, y, pii._score(w, y, f)) for j, own in enumerate(pii.lattice(t, toks, base)) for i, kind, f in own for y in pii._labels(kind)]
+
+        def all_from(at, last):
+            if at == len(toks):
+                yield 0.0, ()
+                return
+            for s, rest in all_from(at + 1, 0):
+                yield s, rest
+            for i, j, y, own in edges:
+                if i == at:
+                    for s, rest in all_from(j, y):
+                        yield own + pii._step(w, last, y) + s, ((i, j, y), *rest)
+
+        best = max(s for s, _ in all_from(0, 0))
+        got = pii.decode(t, toks, w, base)
+        starts, ends = {a: k for k, (a, _) in enumerate(toks)}, {b: k + 1 for k, (_, b) in enumerate(toks)}
+        said = tuple((starts[a], ends[b], pii.LABELS.index(y, 1)) for a, y, b in got)
+        assert any(rest == said and abs(s - best) < 1e-9 for s, rest in all_from(0, 0)), t
+        seen += bool(got)
+    assert seen > 50
+
+
+def test_field_windows_change_nothing():
+    """Decoding around triggers gives what decoding the whole text does, on long joined tokens too."""
+    r, w = random.Random(9), pii.model()
+    found = 0
+    for _ in range(1500):
+        t = "".join(r.choice(["plain", "words ", "here ", "-" * r.randint(1, 30), "z" * r.randint(1, 90), ". ", *PARTS]) for _ in range(r.randint(1, 60)))
+        base = pii.base_spans(t)
+        whole = [x for x in pii.decode(t, [m.span() for m in pii._TOKEN.finditer(t)], w, base) if x[1] > 3 and not any(a < x[2] and x[0] < b for a, _, b in base)]
+        assert pii.added_spans(t, base, w) == whole, t
+        found += len(whole)
+    assert found > 500
+
+
+def test_field_finds_forms_beyond_hex():
+    said = lambda t: [(t[a:b], pii.KINDS[k]) for a, k, b in pii.added_spans(t, pii.base_spans(t), pii.model())]
+    assert said("password=correcthorsebattery") == [("correcthorsebattery", "secret")] and said("secret: hunterlongphrase") == [("hunterlongphrase", "secret")]
+    assert said("my ssn 123 45 6789 is mine") == [("123 45 6789", "id")]
+    assert said("the secret garden was lovely") == said("the key point is remarkable") == said("JavaScript and LaTeX, page 123456") == []
+    assert said("write to a.b@example.com or 10.0.0.1") == []
+
+
 # ---- decontamination
 
 

@@ -3,11 +3,12 @@
 Base spans (email, ip, card, phone) follow their patterns, leftmost and non-overlapping per kind; a match that fails its check is dropped.
 They are found by scans that stay linear on runs of any length, and they always stay.
 
-The field labels whole segments of up to MAX_TOKENS tokens as secret, id or other: span features (length, mix of
-characters, prefix, word before, sign before) and a transition score one segment; bounded-entity dynamic programming
-picks boundaries and types together. It is trained by maximum likelihood (forward-backward gradients) on sentences
-made from a fixed seed. An entity must hold a token of MIN_CHARS letters or digits with a digit in it or, for split
-numbers, MIN_CHARS digits; so only tokens within reach of digits are decoded, which changes nothing elsewhere. Added spans never overlap base spans.
+The field labels whole segments as secret, id, one of the base kinds, or other: span features (length, mix of characters, prefix, word
+before, sign before) and a transition score one segment; bounded-entity dynamic programming picks boundaries and types together. Secrets and
+ids are of up to MAX_TOKENS tokens that hold a token of MIN_CHARS characters with a digit or mixed case, or MIN_CHARS digits, or that stand after a
+keyword (password, token, ssn, ...) and hold a token of MIN_CHARS characters; base kinds compete for the tokens of the base spans. All other segments are of label other, score 0. So only
+MARGIN tokens around digits, mixed case, keywords and base spans are decoded: no other token can be part of an entity, and the result is that of decoding the whole text. The field is
+trained by maximum likelihood (forward-backward gradients) on sentences made from a fixed seed. Added spans never overlap base spans.
 
 Defined cases: null text is empty and has no spans; repeated rows are each returned; an empty table gives no rows; very
 long texts are scanned whole; positions are code points, ends exclusive; other columns are not read.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
-MAX_TOKENS, MIN_CHARS, REACH = 7, 6, 72
+MAX_TOKENS, MIN_CHARS, MARGIN = 7, 6, 16
 
 #: The patterns of the base kinds, with possessive or anchored forms where the plain ones are quadratic.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -83,8 +84,26 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 # ---- the field
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-LABELS = (None, 4, 5)  # other, secret, id
-_KEYWORDS = {"password": "pw", "passwd": "pw", "pwd": "pw", "secret": "pw", "token": "pw", "key": "pw", "apikey": "pw", "bearer": "pw", "ssn": "id", "iban": "id", "passport": "id", "license": "id", "account": "id"}
+LABELS = (None, 4, 5, 0, 1, 2, 3)  # other, secret, id, then the base kinds
+_KEYWORDS = {
+    "password": "pw", "passwd": "pw", "pwd": "pw", "passphrase": "pw", "secret": "pw", "token": "pw", "key": "pw", "apikey": "pw", "bearer": "pw", "credential": "pw",
+    "ssn": "id", "iban": "id", "passport": "id", "license": "id", "licence": "id", "account": "id", "vat": "id",
+}
+_WORD = re.compile(r"(?<![^\W_])(?:" + "|".join(_KEYWORDS) + r")(?![^\W_])", re.I)
+_MIXED = re.compile(r"[A-Z](?:(?<=[a-z][A-Z])|(?=[A-Z][a-z]))")
+_DIGIT = re.compile("[0-9]")
+#: How many tokens before a segment its word before may stand.
+_BEFORE = 4
+
+Edge = tuple[int, int, list[str]]  # start, label or -1 (secret or id), features
+
+
+def _after(t: str, toks: list[tuple[int, int]], i: int) -> str | None:
+    """The nearest word before token i, over a few signs: its keyword class, else "word"; None without one."""
+    k = i - 1
+    while k >= 0 and i - k <= _BEFORE and not t[toks[k][0]].isalnum():
+        k -= 1
+    return _KEYWORDS.get(t[toks[k][0] : toks[k][1]].lower(), "word") if k >= 0 and i - k <= _BEFORE else None
 
 
 def _features(t: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str]:
@@ -97,15 +116,18 @@ def _features(t: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str]:
     f = ["bias", f"len{min(10, n // 4)}", f"toks{min(4, j - i)}", f"dig{int(4 * dig / max(1, n))}"]
     if dig == n:
         f.append("alldig")
+    elif not dig:
+        f.append("mixedcase" if _MIXED.search(s) else "alpha")
+        f.append(f"alpha{min(5, n // 4)}")
     elif hexa == n and n >= 16:
         f.append("hex")
-    elif dig and n >= 12:
+    elif n >= 12:
         f.append("mixed")
     if up + dig == n and up and n >= 16:
         f.append("upper")
-    if s[:4] in ("AKIA", "ASIA", "ghp_", "xoxb", "sk-l", "sk_l"):
+    if s[:4] in ("AKIA", "ASIA", "ghp_", "gho_", "xoxb", "sk-l", "sk_l", "glpa"):
         f.append("prefix")
-    if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s):
+    if re.fullmatch(r"[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}", s):
         f.append("3-2-4")
     if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", s):
         f.append("iban")
@@ -115,136 +137,144 @@ def _features(t: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str]:
         f.append("edge")
     if any(not (c.isalnum() or c in " -_/+.") for c in s):
         f.append("signs")
-    # The nearest word before, over a few signs.
-    k = i - 1
-    while k >= 0 and i - k <= 4 and not t[toks[k][0]].isalnum():
-        k -= 1
-    if k >= 0 and i - k <= 4:
-        f.append("after_" + _KEYWORDS.get(t[toks[k][0] : toks[k][1]].lower(), "word"))
+    after, sign = _after(t, toks, i), "none"
+    if after:
+        f.append("after_" + after)
     if i:
-        f.append("sign_" + (t[toks[i - 1][0]] if t[toks[i - 1][0]] in "=:\"'#" else "x"))
+        sign = t[toks[i - 1][0]] if t[toks[i - 1][0]] in "=:\"'#" else "x"
+        f.append("sign_" + sign)
         if toks[i - 1][1] == a and t[a - 1].isalnum():
             f.append("glued")
+    f.append(f"after_{after}_{sign}" + ("_alpha" if not dig else ""))
+    if j < len(toks) and toks[j][0] == b and t[b] in "\"'":
+        f.append("quoted")
     return f
 
 
-def _may_be(t: str, toks: list[tuple[int, int]], i: int, j: int) -> bool:
-    s = [t[a:b] for a, b in toks[i:j]]
-    return any(len(x) >= MIN_CHARS and any("0" <= c <= "9" for c in x) for x in s) or sum("0" <= c <= "9" for x in s for c in x) >= MIN_CHARS
-
-
-def _ending(t: str, toks: list[tuple[int, int]], j: int) -> list[tuple[int, list[str]]]:
-    """(start, features) of the segments ending before token j that may be an entity."""
-    return [(i, _features(t, toks, i, j)) for i in range(max(0, j - MAX_TOKENS), j) if _may_be(t, toks, i, j)]
+def lattice(t: str, toks: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[list[Edge]]:
+    """For each end the segments that may be an entity. base: base spans of t; those at token boundaries are segments of their kind."""
+    size = [b - a for a, b in toks]
+    digits = [sum("0" <= c <= "9" for c in t[a:b]) for a, b in toks]
+    strong = [n >= MIN_CHARS and (d > 0 or _MIXED.search(t[a:b]) is not None) for n, d, (a, b) in zip(size, digits, toks, strict=True)]
+    known = [_after(t, toks, i) in ("pw", "id") for i in range(len(toks))]
+    out: list[list[Edge]] = [[] for _ in range(len(toks) + 1)]
+    for i in range(len(toks)):
+        total, sure, long = 0, False, False
+        for j in range(i + 1, min(i + MAX_TOKENS, len(toks)) + 1):
+            total, sure, long = total + digits[j - 1], sure or strong[j - 1], long or size[j - 1] >= MIN_CHARS
+            if sure or total >= MIN_CHARS or (long and known[i]):
+                out[j].append((i, -1, _features(t, toks, i, j)))
+    starts, ends = {a: k for k, (a, _) in enumerate(toks)}, {b: k + 1 for k, (_, b) in enumerate(toks)}
+    for a, kind, b in base:
+        if a in starts and b in ends:
+            out[ends[b]].append((starts[a], LABELS.index(kind, 1), _features(t, toks, starts[a], ends[b])))
+    return out
 
 
-def _segments(t: str, toks: list[tuple[int, int]]) -> list[list[tuple[int, list[str]]]]:
-    """Those of each end."""
-    return [_ending(t, toks, j) for j in range(len(toks) + 1)]
+def _labels(y: int) -> tuple[int, ...]:
+    return (1, 2) if y < 0 else (y,)
 
 
 def _score(w: dict[tuple[int, str], float], y: int, f: list[str]) -> float:
     return sum(w.get((y, x), 0.0) for x in f)
 
 
-def decode(t: str, toks: list[tuple[int, int]], w: dict[tuple[int, str], float]) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities as (start, label, end) in code points. Other tokens score 0 and are segments of one."""
-    n = len(toks)
-    best, back = [[-math.inf] * 3 for _ in range(n + 1)], [[None] * 3 for _ in range(n + 1)]
-    best[0][0] = 0.0
+def _step(w: dict[tuple[int, str], float], p: int, y: int) -> float:
+    return w.get((y, f"from{p}"), 0.0) if p else 0.0
+
+
+def decode(t: str, toks: list[tuple[int, int]], w: dict[tuple[int, str], float], base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities as (start, kind, end) in code points. Other tokens score 0 and are segments of one."""
+    n, edges = len(toks), lattice(t, toks, base)
+    best: list[dict[int, tuple[float, int, int]]] = [{0: (0.0, 0, 0)}]  # label of the last segment -> score, its start, label before
     for j in range(1, n + 1):
-        for p in range(3):
-            if best[j - 1][p] > best[j][0]:
-                best[j][0], back[j][0] = best[j - 1][p], (j - 1, p)
-        for i, f in _ending(t, toks, j):
-            for y in (1, 2):
+        p = max(best[j - 1], key=lambda q: best[j - 1][q][0])
+        now = {0: (best[j - 1][p][0], j - 1, p)}
+        for i, kind, f in edges[j]:
+            for y in _labels(kind):
                 own = _score(w, y, f)
-                for p in range(3):
-                    s = best[i][p] + own + (w.get((y, f"from{p}"), 0.0) if p else 0.0)
-                    if s > best[j][y]:
-                        best[j][y], back[j][y] = s, (i, p)
+                for p, (s, _, _) in best[i].items():
+                    s += own + _step(w, p, y)
+                    if y not in now or s > now[y][0]:
+                        now[y] = (s, i, p)
+        best.append(now)
     out, j = [], n
-    y = max(range(3), key=lambda y: best[n][y])
+    y = max(best[n], key=lambda q: best[n][q][0])
     while j:
-        i, p = back[j][y]
+        _, i, p = best[j][y]
         if y:
             out.append((toks[i][0], LABELS[y], toks[j - 1][1]))
         j, y = i, p
     return out[::-1]
 
 
-def _add(a: float, b: float) -> float:
-    if a == -math.inf:
-        return b
-    if b == -math.inf:
-        return a
-    m = max(a, b)
-    return m + math.log1p(math.exp(min(a, b) - m))
+def _sum(x: list[float]) -> float:
+    m = max(x)
+    return m + math.log(sum(math.exp(v - m) for v in x))
 
 
-def _train(rounds: int = 12, rate: float = 0.4, l2: float = 1e-3) -> dict[tuple[int, str], float]:
+def _train(rounds: int = 6, rate: float = 0.4, l2: float = 1e-3, sentences: int = 320) -> dict[tuple[int, str], float]:
     """Maximum likelihood by stochastic gradient over made sentences: observed less expected features."""
     rng, w = random.Random(11), {}
     data = []
-    for t, spans in _made(rng, 220):
+    for t, spans in _made(rng, sentences):
         toks = [m.span() for m in _TOKEN.finditer(t)]
         starts, ends = {a: k for k, (a, _) in enumerate(toks)}, {b: k + 1 for k, (_, b) in enumerate(toks)}
-        gold = [(starts[a], ends[b], y) for a, b, y in spans]
-        data.append((toks, _segments(t, toks), gold))
+        base = base_spans(t)
+        gold = {(starts[a], ends[b], y) for a, b, y in spans}
+        gold |= {(starts[a], ends[b], LABELS.index(k, 1)) for a, k, b in base if a in starts and b in ends}
+        data.append((len(toks), lattice(t, toks, base), gold))
     for r in range(rounds):
         rng.shuffle(data)
         step = rate / (1 + 0.3 * r)
-        for toks, segs, gold in data:
-            n = len(toks)
-            own = [[(i, f, [0.0, _score(w, 1, f), _score(w, 2, f)]) for i, f in segs[j]] for j in range(n + 1)]
-            fwd = [[-math.inf] * 3 for _ in range(n + 1)]
-            fwd[0][0] = 0.0
+        for n, edges, gold in data:
+            arcs = [[(i, y, f, _score(w, y, f)) for i, kind, f in edges[j] for y in _labels(kind)] for j in range(n + 1)]
+            fwd: list[dict[int, float]] = [{0: 0.0}]
             for j in range(1, n + 1):
-                for p in range(3):
-                    fwd[j][0] = _add(fwd[j][0], fwd[j - 1][p])
-                for i, _, s in own[j]:
-                    for y in (1, 2):
-                        for p in range(3):
-                            fwd[j][y] = _add(fwd[j][y], fwd[i][p] + s[y] + (w.get((y, f"from{p}"), 0.0) if p else 0.0))
-            bwd = [[-math.inf] * 3 for _ in range(n + 1)]
-            bwd[n] = [0.0] * 3
-            for i in range(n - 1, -1, -1):
-                for p in range(3):
-                    bwd[i][p] = bwd[i + 1][0]
-            # From the right: a segment i..j feeds the value at i.
-            by_start: list[list[tuple[int, list[float], list[str]]]] = [[] for _ in range(n + 1)]
+                into = {0: list(fwd[j - 1].values())}
+                for i, y, _, s in arcs[j]:
+                    into.setdefault(y, []).extend(v + s + _step(w, p, y) for p, v in fwd[i].items())
+                fwd.append({y: _sum(v) for y, v in into.items()})
+            heads: list[dict[tuple[int, int], float]] = [{} for _ in range(n + 1)]
+            out_of: list[list[tuple[int, int, list[str], float]]] = [[] for _ in range(n + 1)]
             for j in range(n + 1):
-                for i, f, s in own[j]:
-                    by_start[i].append((j, s, f))
+                for i, y, f, s in arcs[j]:
+                    out_of[i].append((j, y, f, s))
+            bwd: list[dict[int, float]] = [{} for _ in range(n + 1)]
+            bwd[n] = dict.fromkeys(fwd[n], 0.0)
             for i in range(n - 1, -1, -1):
-                for p in range(3):
-                    b = bwd[i + 1][0]
-                    for j, s, _ in by_start[i]:
-                        for y in (1, 2):
-                            b = _add(b, s[y] + (w.get((y, f"from{p}"), 0.0) if p else 0.0) + bwd[j][y])
-                    bwd[i][p] = b
+                for p in fwd[i]:
+                    bwd[i][p] = _sum([bwd[i + 1][0], *(s + _step(w, p, y) + bwd[j][y] for j, y, _, s in out_of[i])])
             z = bwd[0][0]
             for i in range(n):
-                for j, s, f in by_start[i]:
-                    is_gold = {y for a, b, y in gold if (a, b) == (i, j)}
-                    for y in (1, 2):
-                        prob = 0.0
-                        for p in range(3):
-                            if fwd[i][p] > -math.inf:
-                                q = math.exp(min(0.0, fwd[i][p] + s[y] + (w.get((y, f"from{p}"), 0.0) if p else 0.0) + bwd[j][y] - z))
-                                prob += q
-                                if p and q > 1e-4:
-                                    w[y, f"from{p}"] = w.get((y, f"from{p}"), 0.0) - step * q
-                        g = (y in is_gold) - prob
-                        if abs(g) > 1e-4:
-                            for x in f:
-                                w[y, x] = w.get((y, x), 0.0) * (1 - step * l2) + step * g
+                for j, y, f, s in out_of[i]:
+                    prob = 0.0
+                    for p, v in fwd[i].items():
+                        q = math.exp(min(0.0, v + s + _step(w, p, y) + bwd[j][y] - z))
+                        prob += q
+                        if p and q > 1e-4:
+                            heads[i][p, y] = heads[i].get((p, y), 0.0) - q
+                    g = ((i, j, y) in gold) - prob
+                    if abs(g) > 1e-4:
+                        for x in f:
+                            w[y, x] = w.get((y, x), 0.0) * (1 - step * l2) + step * g
+            last = {}
+            for i, j, y in sorted(gold):
+                if i in last:
+                    heads[i][last[i], y] = heads[i].get((last[i], y), 0.0) + 1
+                last[j] = y
+            for h in heads:
+                for (p, y), g in h.items():
+                    w[y, f"from{p}"] = w.get((y, f"from{p}"), 0.0) + step * g
     return {k: round(v, 6) for k, v in sorted(w.items())}
 
 
 def _made(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
-    words = "the of and on this that with report value order from total in house see for page note about version run item".split()
+    """(text, [(start, end, label)]) with secrets and ids in many forms among plain words and numbers, and base kinds without labels."""
+    words = "the of and on this that with report value order from total in house see for page note about version run item release garden holder general".split()
+    plainer = "required please value string update missing changed policy store garden holder open closed never always point number word".split()
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    low = "abcdefghijklmnopqrstuvwxyz"
     pick = lambda s, k: "".join(rng.choice(s) for _ in range(k))
     digits = lambda k: pick("0123456789", k)
 
@@ -252,14 +282,25 @@ def _made(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[int, int
         h = pick(hexa, rng.choice((16, 18, 20, 24, 32, 40)))
         h = h if any(c.isdigit() for c in h) else h[:-1] + "7"
         long = pick(alnum + alnum.lower(), rng.choice((20, 28, 36)))[:-1] + rng.choice("3579")
-        return rng.choice([("password=", h), ("password: ", h), ('token = "', h), ("secret ", h), ("api key: ", long), ("", h), ("", "AKIA" + pick(alnum, 15) + "5"), ("bearer ", long), ("token=", long)])
+        phrase = pick(low, rng.randint(14, 26))
+        case = "".join(c.upper() if rng.random() < 0.5 else c for c in pick(low, rng.randint(18, 32)))
+        short = pick(low, rng.randint(5, 8)) + digits(rng.randint(2, 4))
+        lead = rng.choice(("password=", "password: ", "passwd=", "pwd: ", "secret: ", "secret=", "passphrase: ", "Password: ", "credential: "))
+        tail = rng.choice(('token = "', "token=", "api key: ", "bearer ", "api_key='", "token: ", "secret ", "key="))
+        return rng.choice([(lead, h), (tail, h), (lead, phrase), (lead, phrase), (lead, short), (tail, long), (tail, long), (tail, case), ("", h), ("", "AKIA" + pick(alnum, 15) + "5"), ("", "ghp_" + pick(alnum + alnum.lower(), 35) + "4")])
 
     def number() -> tuple[str, str]:
         iban = f"{pick('DEFRSGB', 2)}{digits(2)}" + "".join(" " + digits(4) for _ in range(4))
-        return rng.choice([("ssn ", f"{digits(3)}-{digits(2)}-{digits(4)}"), ("", f"{digits(3)}-{digits(2)}-{digits(4)}"), ("iban ", iban), ("", iban.replace(" ", "")), ("passport ", pick("CFGHJK", 1) + digits(8))])
+        ssn = rng.choice("- ").join((digits(3), digits(2), digits(4)))
+        return rng.choice([("ssn ", ssn), ("SSN: ", ssn), ("ssn ", digits(9)), ("", f"{digits(3)}-{digits(2)}-{digits(4)}"), ("iban ", iban), ("", iban.replace(" ", "")), ("passport ", pick("CFGHJK", 1) + digits(8)), ("passport: ", pick("CFGHJK", 2) + digits(7)), ("account ", digits(rng.randint(8, 11))), ("license: ", pick("ABCDE", 1) + digits(7)), ("vat ", pick("DEFRGB", 2) + digits(9))])
 
     def plain() -> str:
-        return rng.choice([f"2.{digits(1)}", digits(4), f"20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"order {digits(7)}", f"page {digits(6)}", f"total {digits(8)}", f"isbn 978{digits(10)}", f"v{digits(6)}", f"item{digits(5)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(3)}.{digits(3)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}"])
+        key = rng.choice(sorted(_KEYWORDS))
+        return rng.choice([
+            f"2.{digits(1)}", digits(4), f"20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"order {digits(7)}", f"page {digits(6)}", f"total {digits(8)}", f"isbn 978{digits(10)}", f"v{digits(6)}", f"item{digits(5)}",
+            f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(3)}.{digits(3)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{key} {rng.choice(words)} {rng.choice(plainer)}", f"{key}: {rng.choice(plainer)}", f"the {key} {rng.choice(plainer)}", f"{key} is {rng.choice(plainer)}",
+            f"{pick(low, 6)}@{pick(low, 7)}.com", f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 255)}", f"{pick(low, 4).title()}{pick(low, 5).title()}", f"{pick(low, 5)}{pick(low, 6).title()}", f"{pick(low, 3).upper()}{pick(low, 6)}", pick(low, rng.randint(14, 22)), f"server {pick(low, 5)}{digits(2)}",
+        ])
 
     for _ in range(n):
         t, spans = "", []
@@ -269,7 +310,7 @@ def _made(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[int, int
             if x < 0.45:
                 y, (lead, s) = (1, secret()) if x < 0.27 else (2, number())
                 spans.append((len(t) + len(lead), len(t) + len(lead) + len(s), y))
-                t += lead + s + ('"' if lead.endswith('"') else "") + rng.choice((" ", ". ", ", "))
+                t += lead + s + (lead[-1] if lead.endswith(('"', "'")) else "") + rng.choice((" ", ". ", ", "))
             else:
                 t += plain() + rng.choice((" ", ". "))
         yield t.strip(), spans
@@ -281,36 +322,74 @@ def model() -> dict[tuple[int, str], float]:
     return _train()
 
 
-_DIGITS = re.compile("[0-9]+")
+def _triggers(t: str) -> list[int]:
+    """Where digits, changes of case and keywords stand, in order."""
+    at = [m.start() for m in _DIGIT.finditer(t)] + [m.start() for m in _MIXED.finditer(t)]
+    low = t.lower()
+    if any(k in low for k in _KEYWORDS):
+        at += [m.start() for m in _WORD.finditer(t)]
+    return sorted(at)
+
+
+def windows(t: str, base: list[tuple[int, int, int]] = ()) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, tokens) of the stretches that may hold entities: MARGIN tokens around each digit, change of case, keyword and base span, near ones as one."""
+    at, toks, begin = 0, [], 0  # tokens up to `at` are known; toks are those of the stretch at hand
+    left = 0  # tokens still to take after the last trigger; 0: no stretch
+    triggers = iter(sorted({*_triggers(t), *(i for a, _, b in base for i in range(a, b))}))
+    mark = next(triggers, None)
+    while mark is not None or left:
+        if not left:
+            # Go on at the MARGIN-th token before the trigger; it is looked for in pieces that double.
+            back, got = 64, []
+            while True:
+                a = max(0, mark - back)
+                while a and t[a - 1].isalnum() and t[a].isalnum():
+                    a -= 1
+                got = [m.span() for m in _TOKEN.finditer(t, a, mark)]
+                if got and got[-1][1] == mark and t[mark].isalnum() and t[mark - 1].isalnum():
+                    got.pop()  # the token that the trigger is in
+                if len(got) >= MARGIN or not a:
+                    break
+                back *= 2
+            toks, left = got[-MARGIN:], 2 * MARGIN  # a stretch ends where no entity of this one or the next can reach
+            at = toks[-1][1] if toks else a
+            begin = toks[0][0] if toks else None
+        m = _TOKEN.search(t, at)
+        if m is None:
+            break
+        toks.append(m.span())
+        begin = m.start() if begin is None else begin
+        at, left = m.end(), left - 1
+        while mark is not None and mark < at:
+            left, mark = 2 * MARGIN, next(triggers, None)
+        if not left:
+            yield begin, at, toks
+    if left and toks:
+        yield begin, at, toks
 
 
 def added_spans(text: str | None, base: list[tuple[int, int, int]], w: dict[tuple[int, str], float]) -> list[tuple[int, int, int]]:
     """What the field adds, as (start, kind's place, end)."""
     t = text or ""
-    windows: list[list[int]] = []
-    for m in _DIGITS.finditer(t):
-        a, b = max(0, m.start() - REACH), min(len(t), m.end() + REACH)
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = b
-        else:
-            windows.append([a, b])
-    out = []
-    for a, b in windows:
-        # A window never cuts a token.
-        while a and t[a - 1].isalnum() and t[a].isalnum():
-            a -= 1
-        while b < len(t) and t[b - 1].isalnum() and t[b].isalnum():
-            b += 1
-        piece = t[a:b]
-        out += [(a + x, y, a + z) for x, y, z in decode(piece, [m.span() for m in _TOKEN.finditer(piece)], w)]
-    taken = sorted((s, e) for s, _, e in base)
-    free, k = [], 0
-    for x, y, z in sorted(set(out)):
-        if free and x < free[-1][2]:
-            continue
-        while k < len(taken) and taken[k][1] <= x:
+    out, n = [], 0
+    by_start = sorted(base)
+    for a, b, toks in windows(t, base):
+        while n < len(by_start) and by_start[n][0] < a:
+            n += 1
+        own, k = [], n
+        while k < len(by_start) and by_start[k][0] < b:
+            own.append(by_start[k])
+            k += 1
+        out += [x for x in decode(t, toks, w, own) if x[1] > 3]
+    taken, free, k = sorted((s, e) for s, _, e in base), [], 0
+    longest = max((e - s for s, e in taken), default=0)
+    for x, y, z in out:
+        while k < len(taken) and taken[k][0] <= x - longest:
             k += 1
-        if not any(s < z and x < e for s, e in taken[k : k + 8]):
+        i = k
+        while i < len(taken) and taken[i][0] < z and taken[i][1] <= x:
+            i += 1
+        if i == len(taken) or taken[i][0] >= z:
             free.append((x, y, z))
     return free
 
@@ -320,13 +399,13 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all) and n_added of each row of docs (doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base), base_sha256, spans (all), n_added and n_spans (all) of each row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            counts, sha, spans, more = [[], [], [], []], [], [], []
+            counts, sha, spans, more, both = [[], [], [], []], [], [], [], []
             for t in b.column("text").to_pylist():
                 base = base_spans(t)
                 extra = added_spans(t, base, w)
@@ -335,11 +414,12 @@ def find(docs: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(_said(base).encode()).hexdigest())
                 spans.append(_said(sorted([*base, *extra])))
                 more.append(len(extra))
-            cols = [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha), pa.array(spans), pa.array(more, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                both.append(len(base) + len(extra))
+            cols = [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha), pa.array(spans), pa.array(more, pa.int64()), pa.array(both, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", F.col("text")).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
