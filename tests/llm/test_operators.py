@@ -261,6 +261,32 @@ def test_exception_phrases():
     assert m.weight(toxicity.fold("Put it in the trash can")) == 0 and m.weight(toxicity.fold("trash!")) == 3.0
 
 
+def naive_weight(model, folded):
+    """By looking for each term at each place."""
+    at = {}
+    for term, w in model.terms.items():
+        for i in range(len(folded)):
+            if folded.startswith(term, i) and w > at.get(i, 0.0):
+                at[i] = w
+    for e in model.exceptions:
+        x = toxicity.fold(e)
+        for i in range(len(folded)):
+            if x.strip() and folded.startswith(x, i):
+                at = {k: w for k, w in at.items() if not i <= k < i + len(x) - 1}  # the last blank begins the next word
+    return sum(at.values())
+
+
+def test_matcher_equals_naive_scanning():
+    r = random.Random(17)
+    stems = ["ab", "abc", "abcd", "bc", "bcd", "cab", "dab", "da"]
+    for _ in range(400):
+        terms = {f" {w}{r.choice(['', ' '])}": float(r.randint(1, 9)) for w in r.sample(stems, r.randint(0, 6))}
+        m = toxicity.Model(terms, (-2.0, 2.0, 1.0), tuple(" ".join(r.choice(stems) for _ in range(r.randint(1, 3))) for _ in range(r.randint(0, 3))))
+        text = " ".join(r.choice([*stems, "abcde", "@bc", "4bcd", "b\u0441", "d\u00e1", "!", "d!"]) for _ in range(r.randint(0, 20)))
+        f = toxicity.fold(text)
+        assert m.weight(f) == naive_weight(m, f), (terms, m.exceptions, text)
+
+
 # ---- personal data
 
 PLAIN = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
@@ -552,6 +578,53 @@ def test_token_counts_deltas(spark, tmp_path):
     same()
 
 
+def test_token_counts_snapshots(spark, tmp_path, monkeypatch):
+    """The same totals with snapshots after every other batch; null ids and repeated rows; a snapshot that broke off is ignored."""
+    monkeypatch.setattr(token_counts, "COMPACT", 2)
+    r = token_counts.Rollup(spark, str(tmp_path / "s"))
+    enc = token_counts.encoding(*r.shared.value)
+    ddl = "doc_id long, text string, source string, lang string, op string, seq int"
+    rnd, now = random.Random(2), {}
+    for batch in range(7):
+        rows = []
+        for i in rnd.sample([None, *range(12)], 6):
+            op = rnd.choice(("insert", "revise", "delete"))
+            rows += [(i, prose(rnd.randint(0, 9), rnd), rnd.choice(("a", "b", None)), "en", op, batch)] * rnd.randint(1, 2)
+            now.pop(i, None) if op == "delete" else now.__setitem__(i, (rows[-1][2], "en", token_counts.count(rows[-1][1], enc)))
+        assert r.commit(f"b{batch}", spark.createDataFrame(rows, ddl))
+        want = Counter()
+        for s, lang, k in now.values():
+            want[s, lang, "docs"] += 1
+            want[s, lang, "tokens"] += k
+        got = {}
+        for x in r.totals().collect():
+            got |= {(x.source, x.lang, "docs"): x.docs, (x.source, x.lang, "tokens"): x.tokens}
+        assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+        if batch == 4:
+            (tmp_path / "s" / "_snapshots" / "broken" / "docs").mkdir(parents=True)
+    assert len(r._snapshot()[1]) >= 4 and not r.commit("b0", spark.createDataFrame([(1, "x", "a", "en", "insert", 9)], ddl))
+
+
+def test_token_counts_query_equals_brute_force(spark, tmp_path):
+    from tickloom.llm import queries
+
+    rows = [(i, prose(5 + i % 7).replace(" ", "  " if i % 3 else "\n"), f"s{i % 2}") for i in range(40)]
+    rows += [(100 + i, rows[i][1], "s9") for i in range(0, 40, 4)] + [(200, None), (201, ""), (202, " \t ")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    ranks, pattern = token_counts.default_tokenizer()
+    enc = token_counts.encoding(open(ranks, "rb").read(), pattern)
+    want, seen = {}, set()
+    for r in rows:
+        if r[1] is not None and r[1] in seen:
+            continue
+        seen.add(r[1])
+        t = re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "").strip(" ")
+        key = (r[2] if len(r) > 2 else "a", "en")
+        d, n = want.get(key, (0, 0))
+        want[key] = (d + 1, n + token_counts.count(t, enc))
+    assert {(x.source, x.lang): (x.docs, x.tokens) for x in queries.op1_token_counts(spark, str(tmp_path)).collect()} == want
+
+
 def test_long_texts_count_alike():
     ranks, pattern = token_counts.default_tokenizer()
     enc = token_counts.encoding(open(ranks, "rb").read(), pattern)

@@ -10,16 +10,23 @@ from tickloom.llm.common import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents taken in before their language is known, all revised (language known, blanks in a row made one), then later copies of a text deleted."""
     from pyspark.sql import functions as F
 
     from tickloom.llm import token_counts
-    from tickloom.llm.common import Scratch
-
-    state = f"{Scratch(spark, 'token-counts').root}/state"
-    rollup = token_counts.Rollup(spark, state)
-    changes = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", F.lit("insert").alias("op"), F.lit(0).alias("seq"))
-    rollup.commit("load", changes)
-    rollup.commit("load", changes)  # the same batch again changes nothing
+    from tickloom.llm.common import BLANK_CLASS, Scratch
+
+    rollup = token_counts.Rollup(spark, f"{Scratch(spark, 'token-counts').root}/state")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    change = lambda d, op, seq: d.withColumns({"op": F.lit(op), "seq": F.lit(seq)})
+    load = change(docs.withColumn("lang", F.lit(None).cast("string")), "insert", 0)
+    revise = change(docs.withColumn("text", F.trim(F.regexp_replace("text", BLANK_CLASS, " "))), "revise", 1)
+    first = docs.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("doc_id").alias("first"))
+    copies = docs.select("doc_id", F.sha2("text", 256).alias("key")).join(first, "key").where("doc_id > first")
+    delete = change(copies.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("text", "source", "lang")]), "delete", 2)
+    for name, changes in (("load", load), ("revise", revise), ("delete", delete)):
+        rollup.commit(name, changes)
+    rollup.commit("revise", revise)  # the same batch again changes nothing
     return rollup.totals()
 
 

@@ -5,6 +5,10 @@ and its sum by key (`rollup`). Totals are sums over batches, so inserts, deletes
 its rollup has _SUCCESS, which Spark writes last; a batch id that has it is skipped, one that broke off is written anew. What a
 document counted before is looked up in the logs by doc_id and tokenizer version, never by reading texts again.
 
+`compact` writes what every document counts into a snapshot that stands for the logs of the batches so far; a commit makes one by
+itself after COMPACT batches, so that looking up what documents counted reads one snapshot and a bounded number of logs. Snapshots only spare work: rollups
+are untouched, and a snapshot that broke off is ignored.
+
 Changes: doc_id, text, source, lang, op (insert, revise or delete), seq. An insert of a known document revises it; a delete of an unknown one does
 nothing; of several changes of a document in a batch the last by seq counts (ties: delete first, then the most tokens, then the last source, lang). Recounting under
 another tokenizer version is a batch of its own, beside the old version's counts.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +33,9 @@ KEY = ("source", "lang", "tokenizer_version")
 LOG = "doc_id long, source string, lang string, tokenizer_version string, docs long, tokens long"
 ROLLUP = "source string, lang string, tokenizer_version string, docs long, tokens long"
 PIECE = 1 << 16
+#: Batches after which their logs are made one snapshot.
+COMPACT = 16
+SNAPSHOTS = "_snapshots"
 _SAFE = re.compile(r"(?<=\S)(?= [^\s])")
 
 
@@ -82,18 +90,40 @@ class Rollup:
         fs, p = self._fs(self.path)
         if not fs.exists(p):
             return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith("_"))
         return [n for n in names if fs.exists(self._fs(f"{self.path}/{n}/rollup/_SUCCESS")[1])]
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{n}/{part}" for n in self.committed()]
+    def _read(self, part: str, schema: str, names: list[str]) -> DataFrame:
+        paths = [f"{self.path}/{n}/{part}" for n in names]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _snapshot(self) -> tuple[str | None, list[str]]:
+        """Path of the snapshot that covers most batches, and these."""
+        fs, p = self._fs(f"{self.path}/{SNAPSHOTS}")
+        best: tuple[str | None, list[str]] = (None, [])
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            at = s.getPath().toString()
+            if fs.exists(self._fs(f"{at}/batches/_SUCCESS")[1]):
+                covered = sorted(r[0] for r in self.spark.read.schema("batch string").parquet(f"{at}/batches").collect())
+                best = max(best, (at, covered), key=lambda x: (len(x[1]), x[0] or ""))
+        return best
+
     def known(self) -> DataFrame:
         """What each document counts now under each tokenizer version."""
-        log = self._read("docs", LOG).groupBy("doc_id", *KEY, (F.col("tokens") * F.col("docs")).alias("tokens")).agg(F.sum("docs").alias("docs"))
+        at, covered = self._snapshot()
+        log = self._read("docs", LOG, [n for n in self.committed() if n not in covered])
+        if at:
+            log = log.unionByName(self.spark.read.schema(LOG).parquet(f"{at}/docs"))
+        log = log.groupBy("doc_id", *KEY, (F.col("tokens") * F.col("docs")).alias("tokens")).agg(F.sum("docs").alias("docs"))
         return log.where("docs > 0").select("doc_id", *KEY, "tokens")
 
+    def compact(self) -> None:
+        """Make one snapshot of all logs so far. The list of batches is written last, so a snapshot counts only when whole."""
+        names = self.committed()
+        at = f"{self.path}/{SNAPSHOTS}/{uuid.uuid4().hex}"
+        self.known().select("doc_id", *KEY, F.lit(1).cast("long").alias("docs"), "tokens").write.parquet(f"{at}/docs")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").write.parquet(f"{at}/batches")
+
     def count(self, docs: DataFrame) -> DataFrame:
         """doc_id, source, lang and the tokens of each row's text."""
         shared = self.shared
@@ -115,6 +145,8 @@ class Rollup:
         before = self.committed()
         if batch in before:
             return False
+        if len(before) - len(self._snapshot()[1]) >= COMPACT:
+            self.compact()
         at = f"{self.path}/{batch}"
         counted = self.count(changes)
         order = F.struct("seq", F.col("op") == "delete", "tokens", "source", "lang")
@@ -134,5 +166,5 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, docs, tokens over all committed batches; keys without documents left are gone."""
-        out = self._read("rollup", ROLLUP).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        out = self._read("rollup", ROLLUP, self.committed()).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return out.where("docs <> 0")

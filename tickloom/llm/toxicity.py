@@ -6,7 +6,9 @@ phrase does not count; of several terms at one word the heaviest counts. With W
 score is the logistic function of a fitted line in log(1 + W) and W / sqrt(n + 16).
 
 The lexicon and the line are learned from a bounded sample of labelled rows (`SAMPLE_ROWS`, those of least hash), of
-which the held-out fold, crc32(doc_id as text) mod 5 = 0, is left out. Nothing but the text is an input of a score.
+which the held-out fold, crc32(doc_id as text) mod 5 = 0, is left out. Nothing but the text is an input of a score. Terms that may be learned are
+whole words of WORD_CHARS characters (longer runs are no words of a lexicon, shorter ones are particles) and beginnings of words of PREFIXES characters; the MAX_TERMS of them that
+weigh most (log odds times the root of the positive texts) are kept. These bounds are of the lexicon, which is a parameter of the operator, not of the texts scored.
 
 Defined cases: null or empty text scores as W = 0; repeated rows are scored alike; doc_id null is held out (no
 remainder); with no positive label the seed lexicon alone is used; an empty table gives no rows; other columns are not
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 12_000
 MAX_TERMS = 512
 PREFIXES = (4, 5, 6)
+WORD_CHARS = (3, 24)
 MAX_WEIGHT = 6.0
 
 #: Letters of other scripts that look like Latin ones, and digits or signs that stand for letters.
@@ -128,10 +131,10 @@ class Model:
 
 def _terms_of(text: str | None) -> set[str]:
     words = set(fold(text).split())
-    return {f" {w} " for w in words if 3 <= len(w) <= 24} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) > k}
+    return {f" {w} " for w in words if WORD_CHARS[0] <= len(w) <= WORD_CHARS[1]} | {f" {w[:k]}" for w in words for k in PREFIXES if len(w) > k}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seeds: Mapping[str, float] = SEED_TERMS, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS, seeds: Mapping[str, float] = SEED_TERMS, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
     """Learn from at most sample_rows labelled rows outside the held-out fold; counts are taken in Spark, by term."""
     fold_of = F.crc32(F.col("doc_id").cast("string")) % 5
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -156,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed
             least = max(4, n_pos // 100)
             odds = F.log(((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("neg") + 0.5) / (n_neg + 1)))
             counted = texts.mapInArrow(spread, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-            best = counted.where(F.col("pos") >= least).withColumn("w", odds).where("w >= 2.0").orderBy((F.col("w") * F.sqrt("pos")).desc(), "term").limit(MAX_TERMS)
+            best = counted.where(F.col("pos") >= least).withColumn("w", odds).where("w >= 2.0").orderBy((F.col("w") * F.sqrt("pos")).desc(), "term").limit(max_terms)
             terms |= {r["term"]: min(MAX_WEIGHT, float(r["w"])) for r in best.collect()}
         model = Model(terms, exceptions=tuple(exceptions))
 
