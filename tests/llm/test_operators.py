@@ -504,6 +504,25 @@ def test_ann_recall_ties_and_bad_vectors(spark):
     assert ann.search(v.where("vec_id in (1, 2)"), F.lit(True)).count() == 2
 
 
+def test_ann_many_files_and_ranges(spark, monkeypatch):
+    """The same result whether codes and queries lie in one file or many; rows repeated alike count once; a hot vector."""
+    g = np.random.default_rng(4)
+    x = g.normal(size=(400, 8)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[3].tolist()) for i in range(200)] + [(7, x[7].tolist())] * 3
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ask = lambda: [tuple(r) for r in ann.search(v, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    one = ask()
+    for code, query, parts in ((64, 3, 8), (1000, 1, 1), (32, 512, 4)):
+        monkeypatch.setattr(ann, "CODE_BLOCK", code)
+        monkeypatch.setattr(ann, "QUERY_BLOCK", query)
+        monkeypatch.setattr(ann, "RANGES", parts)
+        assert ask() == one
+    own = {i: np.array(e, np.float64) / np.linalg.norm(np.array(e, np.float64)) for i, e in rows}
+    for q in {r[0] for r in one}:
+        want = sorted(((-round(float(own[q] @ own[i]), 12), i) for i in own if i != q))[:5]
+        assert [r[2] for r in one if r[0] == q] == [i for _, i in want]
+
+
 # ---- licenses
 
 

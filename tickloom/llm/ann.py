@@ -6,9 +6,12 @@ sums is kept while encoding; the sum's squared norm is stored. A query's product
 tables, so a coded vector's score is BOOKS table entries over the stored norm. The CANDIDATES best by that score are
 reranked by the exact cosine of the original vectors in double precision.
 
-Codes are dealt into blocks of bounded size, queries too; each pair of blocks is one task, so every query meets every
-code, nothing is collected, and no task grows with the table. Equal vectors have equal codes and hashes: of such a
-group a block keeps the least ids, as many as a query can need, and no candidate's place is taken by further copies.
+Codes are written to files of at most CODE_BLOCK rows in the shared folder, queries to files of at most QUERY_BLOCK. A task takes one
+block of queries, reads the code files one after another and keeps the best CANDIDATES of each query, so every query meets every code, codes are
+never shuffled or copied by query, and a task holds one file. Only while there are few query blocks the code files are divided into up to RANGES ranges, to have more
+tasks: what is shuffled is at most RANGES * CANDIDATES narrow rows a query, in proportion to the queries. Work is the product of codes and queries, as every query is scored
+against every code. Equal vectors have equal codes and hashes: of such a group a file gives the least ids, as many as a query can need, and
+no candidate's place is taken by further copies.
 
 Defined cases: vectors null, zero, or with null or non-finite components take no part, as queries or candidates; vectors
 of another length than most of the sample take no part either; an id null takes no part; equal scores go by smaller vec_id; rows repeated alike count once;
@@ -22,15 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Scratch
+from tickloom.llm.common import Scratch, open_fs
 
 BOOKS, WORDS, BEAM = 24, 256, 3
 FIT_ROWS, FIT_STEPS = 8192, 8
 CANDIDATES, NEAREST = 200, 5
-CODE_BLOCK, QUERY_BLOCK = 65536, 128
+CODE_BLOCK, QUERY_BLOCK, RANGES = 65536, 512, 8
 
 
 def usable(v: Column) -> Column:
@@ -92,34 +96,49 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes, norms
 
 
-def _block(p: pd.DataFrame, q: pd.DataFrame, books: np.ndarray, keep: int, same: int) -> pd.DataFrame:
-    """The best codes of one block for each query of one block: lookup tables, summed by code, over the stored norms."""
-    none = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "vh": np.empty(0, np.int64), "approx": np.empty(0)})
-    if p.empty or q.empty:
-        return none
-    p = p.sort_values("vec_id", ignore_index=True)
-    p = p[p.groupby(["vh", "codes"]).cumcount() < same]
-    ids, vh = p["vec_id"].to_numpy(), p["vh"].to_numpy()
-    codes = np.frombuffer(b"".join(p["codes"]), np.uint8).reshape(len(p), -1)
-    scale = 1 / np.sqrt(np.maximum(p["norm"].to_numpy(), 1e-12))
-    x = np.frombuffer(b"".join(q["unit"]), np.float64).reshape(len(q), -1).astype(np.float32)
-    out = []
-    for lo in range(0, len(x), 64):
-        tables = np.einsum("qd,mkd->mqk", x[lo : lo + 64], books, optimize=True)
-        s = np.zeros((len(tables[0]), len(codes)), np.float32)
-        for b in range(len(books)):
-            s += np.take(tables[b], codes[:, b], axis=1)
-        s = s * scale
-        n = min(keep + 1, s.shape[1])  # one for the query itself
-        # Ties of the last place go to smaller ids: codes stand by id, and a stable sort keeps that.
-        least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-        for r in range(len(s)):
-            at = np.flatnonzero(s[r] >= least[r])
-            at = at[np.argsort(-s[r][at], kind="stable")][:n]
-            out.append((np.full(len(at), q["query_id"].iloc[lo + r]), ids[at], vh[at], s[r][at].astype(np.float64)))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-    found = pd.DataFrame(dict(zip(("query_id", "vec_id", "vh", "approx"), cols, strict=True)))
-    return found[found["query_id"] != found["vec_id"]]
+def _read(path: str, columns: list[str]) -> pa.Table:
+    fs, at = open_fs(path)
+    with fs.open_input_file(at) as f:
+        return pq.read_table(f, columns=columns)
+
+
+class Best:
+    """The best candidates of a block of queries so far: highest score, then least id; at most `same` of equal vectors."""
+
+    def __init__(self, query_ids: np.ndarray, units: np.ndarray, books: np.ndarray, keep: int, same: int):
+        self.query_ids, self.units, self.books, self.keep, self.same = query_ids, units, books, keep, same
+        self.found = [(np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64))] * len(query_ids)  # score, vec_id, vh
+
+    def meet(self, ids: np.ndarray, vh: np.ndarray, codes: np.ndarray, norm: np.ndarray) -> None:
+        """Score one file's codes: lookup tables, summed by code, over the stored norms."""
+        by = np.lexsort((ids, vh))
+        first = np.flatnonzero(np.r_[True, vh[by][1:] != vh[by][:-1]])
+        nth = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
+        use = np.sort(by[nth < self.same])
+        ids, vh, codes, scale = ids[use], vh[use], codes[use], (1 / np.sqrt(np.maximum(norm[use], 1e-12))).astype(np.float32)
+        for lo in range(0, len(self.units), 64):
+            tables = np.einsum("qd,mkd->mqk", self.units[lo : lo + 64], self.books, optimize=True)
+            s = np.zeros((tables.shape[1], len(codes)), np.float32)
+            for b in range(len(self.books)):
+                s += np.take(tables[b], codes[:, b], axis=1)
+            s *= scale
+            n = min(self.keep + 1, s.shape[1])  # one for the query itself
+            least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+            for r in range(len(s)):
+                score, own, hashes = self.found[lo + r]
+                at = np.flatnonzero(s[r] >= (max(least[r], score[-1]) if len(score) >= self.keep else least[r]))
+                at = at[ids[at] != self.query_ids[lo + r]]
+                self.found[lo + r] = _top(np.r_[score, s[r][at]], np.r_[own, ids[at]], np.r_[hashes, vh[at]], self.keep, self.same)
+
+
+def _top(score: np.ndarray, ids: np.ndarray, vh: np.ndarray, keep: int, same: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    by = np.lexsort((ids, -score))
+    score, ids, vh = score[by], ids[by], vh[by]
+    copies = np.argsort(vh, kind="stable")
+    first = np.flatnonzero(np.r_[True, vh[copies][1:] != vh[copies][:-1]]) if len(vh) else np.empty(0, np.int64)
+    nth = np.arange(len(vh)) - np.repeat(first, np.diff(np.r_[first, len(vh)]))
+    fine = np.sort(copies[nth < same])[:keep]
+    return score[fine], ids[fine], vh[fine]
 
 
 def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, candidates: int = CANDIDATES) -> DataFrame:
@@ -143,28 +162,43 @@ def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, candidat
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vh"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float64()), unit], ["vec_id", "vh", "codes", "norm", "unit"])
 
     coded = v.select("vec_id", F.xxhash64("embedding").alias("vh"), "embedding", "asks").mapInArrow(index, "vec_id long, vh long, codes binary, norm double, unit binary")
-    coded = scratch.keep(coded, "codes")
+    coded = scratch.keep(coded, "coded")
     n, asked = coded.agg(F.count("*"), F.count("unit")).first()
-    code_blocks, query_blocks = max(1, -(-n // CODE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    block = lambda c, k: F.pmod(F.xxhash64(c, F.lit(17)), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = coded.drop("unit").withColumn("cb", block("vec_id", code_blocks)).withColumn("qb", every(query_blocks))
-    right = coded.where("unit is not null").select(F.col("vec_id").alias("query_id"), "unit").withColumn("qb", block("query_id", query_blocks)).withColumn("cb", every(code_blocks))
+    if not asked:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    code_files, query_files = max(-(-n // CODE_BLOCK), min(RANGES, n)), -(-asked // QUERY_BLOCK)
+    scratch.keep(coded.select("vec_id", "vh", "codes", "norm").repartition(code_files), "codes", rows=CODE_BLOCK)
+    scratch.keep(coded.where("unit is not null").select("vec_id", "unit").repartition(query_files), "queries", rows=QUERY_BLOCK)
+    scratch.drop("coded")
+    code_at, query_at = scratch.files("codes"), scratch.files("queries")
+    ranges = min(len(code_at), max(1, RANGES // len(query_at)))
     same = nearest + 1
-    run = lambda p, q: _block(p, q, books.value, candidates, same)
-    met = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(run, "query_id long, vec_id long, vh long, approx double")
-
-    def best(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["approx", "vec_id"], ascending=[False, True])
-        p = p[p.groupby("vh").cumcount() < same]
-        return p.head(candidates)[["query_id", "vec_id"]]
-
-    # Blocks give candidates + 1 rows a query each, so lists are merged in steps of bounded size.
-    while code_blocks > 32:
-        code_blocks = -(-code_blocks // 16)
-        step = lambda p: best(p.drop(columns="part")).merge(p, on=["query_id", "vec_id"])[["query_id", "vec_id", "vh", "approx"]]
-        met = met.withColumn("part", block("vec_id", code_blocks)).groupBy("query_id", "part").applyInPandas(step, "query_id long, vec_id long, vh long, approx double")
-    top = scratch.keep(met.groupBy("query_id").applyInPandas(best, "query_id long, vec_id long"), "candidates")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column("id").to_pylist():
+                q = _read(query_at[task % len(query_at)], ["vec_id", "unit"])
+                if not q.num_rows:
+                    continue
+                units = np.frombuffer(b"".join(q["unit"].to_pylist()), np.float64).reshape(q.num_rows, -1).astype(np.float32)
+                best = Best(q["vec_id"].to_numpy(), units, books.value, candidates, same)
+                for at in code_at[task // len(query_at) :: ranges]:
+                    c = _read(at, ["vec_id", "vh", "codes", "norm"])
+                    if c.num_rows:
+                        best.meet(c["vec_id"].to_numpy(), c["vh"].to_numpy(), np.frombuffer(b"".join(c["codes"].to_pylist()), np.uint8).reshape(c.num_rows, -1), c["norm"].to_numpy())
+                for i, (score, ids, vh) in zip(best.query_ids.tolist(), best.found, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), i)), pa.array(ids), pa.array(vh), pa.array(score)], ["query_id", "vec_id", "vh", "approx"])
+
+    tasks = len(query_at) * ranges
+    top = spark.range(0, tasks, 1, tasks).mapInArrow(look, "query_id long, vec_id long, vh long, approx float")
+    if ranges > 1:
+
+        def merge(p: pd.DataFrame) -> pd.DataFrame:  # at most RANGES lists of `candidates`
+            _, ids, _ = _top(p["approx"].to_numpy(), p["vec_id"].to_numpy(), p["vh"].to_numpy(), candidates, same)
+            return pd.DataFrame({"query_id": np.full(len(ids), p["query_id"].iloc[0]), "vec_id": ids})
+
+        top = top.groupBy("query_id").applyInPandas(merge, "query_id long, vec_id long")
+    top = scratch.keep(top.select("query_id", "vec_id"), "candidates")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

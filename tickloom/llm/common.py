@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.fs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,12 +53,18 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back."""
+    def keep(self, df: DataFrame, name: str, rows: int = 0) -> DataFrame:
+        """Write df, with at most `rows` rows a file unless that is 0, and read it back."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def files(self, name: str) -> list[str]:
+        """The data files of a kept table, in order."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        found = p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).listStatus(p)
+        return sorted(f"{self.root}/{name}/{f.getPath().getName()}" for f in found if f.getPath().getName().startswith("part-"))
+
     def drop(self, name: str) -> None:
         _delete(self.spark, f"{self.root}/{name}")
 
@@ -74,6 +81,11 @@ class Scratch:
             pass
 
 
+def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a file or folder in the shared folder, for workers."""
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, each with underscores in front until no column of `taken` is called so (case apart)."""
     have, out = {c.lower() for c in taken}, []

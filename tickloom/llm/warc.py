@@ -22,11 +22,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Scratch
+from tickloom.llm.common import Scratch, open_fs
 
 FILE_BYTES = 1 << 28
 GAP, MOST, TASK_BYTES = 1 << 16, 1 << 22, 1 << 23
@@ -34,10 +33,6 @@ INDEX = "file string, offset long, length long, page_id long, url string, digest
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-
-
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -95,7 +90,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     full = full.select("page_id", "url", "_body", F.coalesce("_first", F.lit(True)).alias("_first"), "_least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, at = _open(folder)
+        fs, at = open_fs(folder)
         fs.create_dir(at, recursive=True)
         out, name, pos = None, "", 0
         try:
@@ -142,7 +137,7 @@ def read(index: DataFrame, payload: bool = False, gap: int = GAP, most: int = MO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, a, z, offs, lens in zip(*(b.column(c).to_pylist() for c in ("file", "start", "stop", "offsets", "lengths")), strict=True):
-                fs, at = _open(f)
+                fs, at = open_fs(f)
                 with fs.open_input_file(at) as src:
                     got = src.read_at(z - a, a)
                 rows = [parse(got[o - a : o - a + n]) for o, n in zip(offs, lens, strict=True)]
