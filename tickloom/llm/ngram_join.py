@@ -10,11 +10,13 @@ Candidates share a key among the first n - ceil(t n) + 1 of both sets, at places
 they stream by, at most HOT of a key held. Where at most HOT classes share a key, pairs are listed and those whose 512-bit
 parity sketches differ in more bits than the two sets may differ in elements are dropped (that many elements do differ).
 What is left is verified on whole sets: a pair's two sets meet in one task, and their overlap, binned by fragment, is summed per pair.
-Where more classes share a key, no pairs are listed: classes that hang together by such keys form clusters. One that fits
-a block is met whole; others are dealt into blocks bounded in classes and shingles, and two blocks of one or of
-neighbouring length bands meet in a task, which counts overlaps fragment by fragment and returns a spanning forest of
-the links: at most one row a class. Sets travel as compressed words and are hashed again where they meet. No link's
-components are lost, whatever the size of a group.
+Where more classes share a key, no pairs are listed. Such a key's classes are dealt over WAYS ways; each is verified against the first and the last
+class of its way, and these against the first and last of the key: pairs in proportion to rows, which join copies of one text into one component. Keys
+whose classes hang together by then are done, for only components are asked for. Classes that hang together by the keys left form clusters. One that fits
+a block is met whole; in others the classes not yet in the cluster's largest component are met with all (those in it need not meet each other), in blocks bounded in
+classes and shingles; two blocks of one or of neighbouring length bands meet in a task, which counts overlaps fragment by fragment and returns a spanning forest of
+the links: at most one row a class. Sets travel as compressed words, made with the sets in the one pass over texts, and are hashed again where they meet. No link's
+components are lost, whatever the size of a group; pairs of different texts that share a busy key and do not link are the part whose work is a product.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing; fewer words than k make the whole
 sequence one shingle; equal sets link; repeated rows are each returned; rows of a null doc_id neither name a component
@@ -66,26 +68,28 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """For each row its doc_id, text hash, set size, class and parity sketch; and for each task its part of the count sketch (n = -1)."""
+    """For each row its doc_id, text hash, set size, class, parity sketch and packed words; and for each task its part of the count sketch (n = -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        cells, names = np.zeros(1 << CELL_BITS, np.uint32), ["doc_id", "h", "n", "sig", "par", "words"]
         for b in batches:
-            n, sig, par = [], [], []
+            n, sig, par, packed = [], [], [], []
             for t in b.column("text").to_pylist():
-                s = shingle_set(t, k)
+                words = lower_words(t)
+                s = _set_of(words, k)
+                packed.append(zlib.compress(b" ".join(words), 1) if words else None)
                 np.add.at(cells, _cell(s), 1)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 par.append(_parity(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(par, pa.binary())], ["doc_id", "h", "n", "sig", "par"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(par, pa.binary()), pa.array(packed, pa.binary())], names)
         parts = np.split(cells, SKETCH_ROWS)
         some = [i for i, p in enumerate(parts) if p.any()]
         ids = pa.array(some, pa.int64())
         none = pa.array([-1] * len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, none, none, pa.array([parts[i].tobytes() for i in some], pa.binary()), pa.nulls(len(some), pa.binary())], ["doc_id", "h", "n", "sig", "par"])
+        yield pa.RecordBatch.from_arrays([ids, none, none, pa.array([parts[i].tobytes() for i in some], pa.binary()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("h")).mapInArrow(run, "doc_id long, h long, n long, sig binary, par binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("h")).mapInArrow(run, "doc_id long, h long, n long, sig binary, par binary, words binary")
 
 
 def _order(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +139,7 @@ def _id(sig: str) -> Column:
     return F.conv(F.hex(F.substring(sig, 1, 8)), 16, -10).cast("long")
 
 
-def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: int, order) -> DataFrame:
+def _prefixes(rows: DataFrame, k: int, num: int, den: int, hot: int, order) -> DataFrame:
     """Rows (tok, way, id, np) of the prefixes, np holding set size and place.
 
     A key that more than hot classes of one batch share is busy for certain: its rows are dealt over WAYS ways, and one row
@@ -147,15 +151,12 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: int, order) -> D
         seen: set[bytes] = set()
         for b in batches:
             tok, ids, np_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for t in b.column("text").to_pylist():
-                s = shingle_set(t, k)
-                if not len(s):
-                    continue
-                g = xxhash.xxh3_128_digest(s.tobytes())
+            for g, words in zip(b.column("sig").to_pylist(), b.column("words").to_pylist(), strict=True):
                 if g in seen:  # only to spare rows; the rest are made distinct later
                     continue
                 if len(seen) < 200_000:
                     seen.add(g)
+                s = _set_of(zlib.decompress(words).split(), k)
                 m = len(s)
                 p = m - -(-num * m // den) + 1
                 keys = _keys(s, rank)[:p]
@@ -170,7 +171,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, hot: int, order) -> D
             ids, np_ = np.concatenate([ids, np.full(len(busy), np.iinfo(np.int64).min)]), np.concatenate([np_, np.full(len(busy), -1)])
             yield pa.RecordBatch.from_arrays([pa.array(tok), pa.array(way.astype(np.int32)), pa.array(ids), pa.array(np_)], ["tok", "way", "id", "np"])
 
-    return docs.select("text").mapInArrow(run, "tok long, way int, id long, np long")
+    return rows.select("sig", "words").mapInArrow(run, "tok long, way int, id long, np long")
 
 
 def _candidates(pre: DataFrame, num: int, den: int, hot: int) -> DataFrame:
@@ -239,28 +240,6 @@ def _candidates(pre: DataFrame, num: int, den: int, hot: int) -> DataFrame:
     return dealt.mapInArrow(run, "tok long, a long, b long, na long, nb long")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id -> its words, lower-cased and compressed: less to send than texts or keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [zlib.compress(b" ".join(lower_words(t)), 5) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.binary())], ["doc_id", "words"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, words binary")
-
-
-def _own_words(texts: DataFrame, k: int) -> DataFrame:
-    """Of (sig, id, words) the rows whose words make that class: another row of an id may have another text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [xxhash.xxh3_128_digest(_set_of(zlib.decompress(w).split(), k).tobytes()) == g for g, w in zip(b.column("sig").to_pylist(), b.column("words").to_pylist(), strict=True)]
-            yield b.filter(pa.array(own, pa.bool_()))
-
-    return texts.select("sig", "id", "words").mapInArrow(run, "sig binary, id long, words binary")
-
-
 def _unpack(words: bytes, k: int, rank: np.ndarray) -> np.ndarray:
     """The sorted keys of a set from its packed words."""
     return _keys(_set_of(zlib.decompress(words).split(), k), rank)
@@ -330,30 +309,68 @@ def _forest(pdf: pd.DataFrame, k: int, num: int, den: int, rank: np.ndarray, piv
     return pd.DataFrame({"a": [sig[x] for x, _ in out], "b": [sig[y] for _, y in out]}, columns=["a", "b"])
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, order, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links among classes that share a key with more than HOT others, as spanning forests of bounded blocks."""
+def _alike(x: str, y: str, num: int, den: int) -> Column:
+    """May two classes link? x and y are structs of n and par. Sets differ at least where their sketches do."""
+    word = lambda c, i: F.conv(F.hex(F.substring(f"{c}.par", 8 * i + 1, 8)), 16, -10).cast("long")
+    unlike = sum((F.bit_count(word(x, i).bitwiseXOR(word(y, i))) for i in range(WORDS64)), F.lit(0))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (unlike * (num + den) <= F.lit(den - num) * (n + m))
+
+
+def _star_pairs(busy: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of each class of a busy key with the first and last class of its way, and of these with the key's."""
+    x = F.struct("sig", "n", "par")
+    ends = lambda c: [F.min(c).alias("lo"), F.max(c).alias("hi")]
+    ways = busy.groupBy("tok", "way").agg(*ends(x))
+    met = busy.select("tok", "way", x.alias("x")).join(ways, ["tok", "way"])
+    keys = ways.groupBy("tok").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))  # at most WAYS rows a key
+    both = ways.join(keys, "tok")
+    side = lambda d, p, q: d.select(F.col(p).alias("x"), F.col(q).alias("y"))
+    pairs = side(met, "x", "lo").unionByName(side(met, "x", "hi"))
+    for p in ("lo", "hi"):
+        pairs = pairs.unionByName(side(both, p, "first")).unionByName(side(both, p, "last"))
+    pairs = pairs.where(F.col("x.sig") != F.col("y.sig")).where(_alike("x", "y", num, den))
+    return pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+
+
+def _open_rows(busy: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(tok, way, sig, n, part, least) of the busy keys whose classes lie in more than one component of the links so far."""
+    roots = scratch.keep(components(links, scratch), "star-roots").withColumnsRenamed({"node": "sig", "root": "part"})
+    rows = busy.select("tok", "way", "sig", "n").join(roots, "sig", "left").withColumn("part", F.coalesce("part", "sig"))
+    ways = rows.groupBy("tok", "way").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("sig").alias("least"))
+    keys = ways.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least")).where("lo <> hi").select("tok", "least")
+    return rows.join(ways.select("tok", "way").join(keys, "tok"), ["tok", "way"])
+
+
+def _hot_links(rows: DataFrame, sets: DataFrame, order, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links among classes that share a busy key (tok, sig, n, part, least), as spanning forests of bounded blocks; part is the component a class is in already."""
     # A key's classes hang together by its least class: one edge a row.
-    least = hot.groupBy("tok").agg(F.min("id").alias("b"))
-    roots = components(hot.join(least, "tok").select(F.col("id").alias("a"), "b"), scratch)
-    nodes = hot.select("id", "n").distinct().join(roots.withColumnRenamed("node", "id"), "id")
+    roots = components(rows.select(F.col("sig").alias("a"), F.col("least").alias("b")), scratch)
+    nodes = rows.select("sig", "n", "part").distinct().join(roots.withColumnRenamed("node", "sig"), "sig")
+    # Classes of the cluster's largest component have no need to meet each other.
+    main = nodes.groupBy("root", "part").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
     # Sets that can link differ in length by less than one band. A cluster that fits one block is not cut into bands.
-    nodes = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9))
-    need = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_SHINGLES))
-    full = nodes.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-    whole = full.groupBy("root").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).select("root", (need <= 1).alias("whole"))
-    full = full.withColumn("blocks", need).select("root", "band", "blocks")
-    up = full.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    down = full.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
-    plan = full.join(up, ["root", "band"], "left").join(down, ["root", "band"], "left").join(whole, "root")
-    nodes = nodes.join(plan, ["root", "band"]).withColumn("own", F.abs(F.xxhash64("id")) % F.col("blocks"))
+    nodes = nodes.join(main, "root").withColumn("rest", F.col("part") != F.col("main")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9))
+    need = lambda c, w: F.greatest(F.ceil(F.col(c) / BLOCK_SETS), F.ceil(F.col(w) / BLOCK_SHINGLES))
+    of = lambda rest, x: F.coalesce(F.sum(F.when(F.col("rest") == rest, x)), F.lit(0))
+    full = nodes.groupBy("root", "band").agg(of(True, 1).alias("rc"), of(True, F.col("n")).alias("rw"), of(False, 1).alias("mc"), of(False, F.col("n")).alias("mw"))
+    whole = full.groupBy("root").agg(F.sum(F.col("rc") + F.col("mc")).alias("c"), F.sum(F.col("rw") + F.col("mw")).alias("w")).select("root", (need("c", "w") <= 1).alias("whole"))
+    # r blocks of the rest come first, then m of the main component.
+    full = full.select("root", "band", need("rc", "rw").alias("r"), need("mc", "mw").alias("m"))
+    up = full.select("root", (F.col("band") - 1).alias("band"), F.col("r").alias("ar"), F.col("m").alias("am"))
+    down = full.select("root", (F.col("band") + 1).alias("band"), F.col("r").alias("ur"), F.col("m").alias("um"))
+    plan = full.join(up, ["root", "band"], "left").join(down, ["root", "band"], "left").join(whole, "root").fillna(0, ["ar", "am", "ur", "um"])
+    at = F.abs(F.xxhash64("sig"))
+    nodes = nodes.join(plan, ["root", "band"]).withColumn("own", F.when(F.col("rest"), at % F.greatest("r", F.lit(1))).otherwise(F.col("r") + at % F.greatest("m", F.lit(1))))
     # A block's own pairs are met wherever it meets another block, so it meets itself only if it has no other.
+    met = lambda r, m: f"filter(sequence(0L, {r} + {m}), i -> i < if(rest, {r} + {m}, {r}))"
     meet = F.expr(
-        "if(whole or (blocks = 1 and above is null and under is null), array(struct(if(whole, -1L, band) as lo, 0L as x, -1L as hi, 0L as y)), concat("
-        "transform(filter(sequence(0L, blocks - 1), i -> i <> own), i -> struct(band as lo, least(own, i) as x, band as hi, greatest(own, i) as y)),"
-        "if(above is null, array(), transform(sequence(0L, above - 1), i -> struct(band as lo, own as x, band + 1 as hi, i as y))),"
-        "if(under is null, array(), transform(sequence(0L, under - 1), i -> struct(band - 1 as lo, i as x, band as hi, own as y)))))"
+        "if(whole or (rest and r + m = 1 and ar + am = 0 and ur + um = 0), array(struct(if(whole, -1L, band) as lo, 0L as x, -1L as hi, 0L as y)), concat("
+        f"transform(filter({met('r', 'm')}, i -> i <> own), i -> struct(band as lo, least(own, i) as x, band as hi, greatest(own, i) as y)),"
+        f"transform({met('ar', 'am')}, i -> struct(band as lo, own as x, band + 1 as hi, i as y)),"
+        f"transform({met('ur', 'um')}, i -> struct(band - 1 as lo, i as x, band as hi, own as y))))"
     )
-    dealt = nodes.select("root", "id", F.explode(meet).alias("m")).select("root", "id", "m.*").join(sets, "id")
+    dealt = nodes.select("root", "sig", F.explode(meet).alias("m")).select("root", "sig", "m.*").join(sets, "sig")
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
         return _forest(pdf[["sig", "words"]], k, num, den, *order.value)
@@ -365,45 +382,44 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
     """doc_id, h, n, root and component_id of each row; root names the component itself, as a repeated doc_id may be the least of several."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    docs = docs.select("doc_id", "text")
-    named = docs.where("doc_id is not null")
     seen = scratch.keep(_sets(docs, k), "sets")
     order = spark.sparkContext.broadcast(_order(seen.where("n = -1")))
     rows = seen.where("n >= 0")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
 
-    found = scratch.keep(_candidates(_prefixes(named, k, num, den, hot, order), num, den, hot), "found")
+    known = rows.where("n > 0 and doc_id is not null")
+    found = scratch.keep(_candidates(_prefixes(known, k, num, den, hot, order), num, den, hot), "found")
     scratch.free()
-    busy = found.where("b is null").select("tok", F.col("a").alias("id"), F.col("na").alias("n"))
-    near = found.where("b is not null").select("a", "b", "na", "nb").distinct()
-    par = rows.where("n > 0 and doc_id is not null").select("sig", _id("sig").alias("id"), "n", "par")
-    x, y = (par.select(F.col("sig").alias(s), F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("par").alias(p)) for s, c, p in (("sa", "a", "x"), ("sb", "b", "y")))
-    word = lambda c, i: F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
     # Repeated rows of a class are all alike: one stands for them, so that copies do not multiply pairs.
-    near = near.join(x.dropDuplicates(["sa"]), ["a", "na"]).join(y.dropDuplicates(["sb"]), ["b", "nb"])
-    unlike = sum((F.bit_count(word("x", i).bitwiseXOR(word("y", i))) for i in range(WORDS64)), F.lit(0))
-    near = near.where(unlike * (num + den) <= F.lit(den - num) * (F.col("na") + F.col("nb"))).select(F.col("sa").alias("a"), F.col("sb").alias("b"), "na", "nb")
-    near = scratch.keep(near, "pairs")
-
-    # One row of each class wanted stands for it; its text is fetched by id, as packed words.
-    by_pair = near.select(F.col("a").alias("sig")).unionByName(near.select(F.col("b").alias("sig"))).distinct().withColumn("pair", F.lit(True))
-    by_key = busy.select("id").distinct().withColumn("key", F.lit(True))
-    ids = rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).withColumn("id", _id("sig"))
-    ids = ids.join(by_pair, "sig", "left").join(by_key, "id", "left").where("pair or key").select("sig", "id", "doc_id")
-    texts = _packed(named).join(ids.hint("shuffle_hash"), "doc_id")
-    sets = scratch.keep(_own_words(texts, k).dropDuplicates(["sig"]), "words")
-    del texts, by_pair, by_key, ids
+    one = known.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("par").alias("par")).withColumn("id", _id("sig"))
+    one = scratch.keep(one, "one")
+    near = found.where("b is not null").select("a", "b", "na", "nb").distinct()
+    x, y = (one.select(F.struct("sig", "n", "par").alias(s), F.col("id").alias(c), F.col("n").alias(f"n{c}")) for s, c in (("x", "a"), ("y", "b")))
+    near = near.join(x, ["a", "na"]).join(y, ["b", "nb"]).where(_alike("x", "y", num, den))
+    near = scratch.keep(near.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), "na", "nb"), "pairs")
+    busy = found.where("b is null").select("tok", F.col("a").alias("id"), F.col("na").alias("n"))
+    busy = busy.join(one.select("id", "n", "sig", "par"), ["id", "n"]).withColumn("way", F.pmod(F.xxhash64("sig"), F.lit(WAYS)))
+    busy = scratch.keep(busy.select("tok", "way", "sig", "n", "par"), "busy")
+    stars = scratch.keep(_star_pairs(busy, num, den), "star-pairs")
+
+    # One row of each class wanted stands for it; its packed words are fetched by id and class.
+    wanted = busy.select("sig").unionByName(near.select(F.col("a").alias("sig"))).unionByName(near.select(F.col("b").alias("sig"))).distinct()
+    ids = one.select("sig", "doc_id").join(wanted, "sig", "left_semi")
+    sets = known.select("sig", "doc_id", "words").join(ids.hint("shuffle_hash"), ["sig", "doc_id"], "left_semi")
+    sets = scratch.keep(sets.dropDuplicates(["sig"]).select("sig", "words"), "words")
+    del wanted, ids, x, y, one
     scratch.free()
-    cold = scratch.keep(_count_pairs(near, sets, order, k, num, den), "cold")
+    cold = scratch.keep(_count_pairs(near, sets, order, k, num, den).unionByName(_count_pairs(stars, sets, order, k, num, den)), "cold")
     scratch.free()
-    links = cold.unionByName(_hot_links(busy, sets, order, k, num, den, scratch))
+    left = scratch.keep(_open_rows(busy, cold, scratch), "open")
+    links = cold.unionByName(_hot_links(left, sets, order, k, num, den, scratch))
     roots = components(scratch.keep(links, "links"), scratch)
     # Classes of a component share its least document.
     rooted = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     comp = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = scratch.keep(rooted.join(comp, "root").select("sig", "root", "component_id"), "classes")
     out = rows.join(by_class, "sig", "left")
-    for name in ("found", "pairs", "words", "cold", "links"):
+    for name in ("found", "one", "pairs", "busy", "star-pairs", "words", "cold", "star-roots", "open", "links"):
         scratch.drop(name)
     return out.select("doc_id", "h", "n", "root", "component_id")
 
