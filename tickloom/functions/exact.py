@@ -6,9 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ratio8(num: Column, den: Column, num_type: str = "decimal(30,16)") -> Column:
-    """num / den, half-even at scale 8. den must not be 0."""
-    return F.bround(num.cast(num_type) / den.cast("decimal(20,8)"), 8).cast("decimal(28,8)")
+def _unscaled(c: Column, scale: int) -> Column:
+    """A non-negative decimal times 10^scale as an integer of up to 38 digits, whole part and rest apart, so that no type in between loses digits."""
+    whole, rest = F.floor(c).cast(f"decimal({38 - scale},0)"), c % F.lit(1).cast("decimal(1,0)")
+    up = F.lit(10**scale).cast(f"decimal({scale + 1},0)")
+    return (whole * up).cast("decimal(38,0)") + (rest * up).cast("decimal(38,0)")
+
+
+def half_even(num: Column, den: Column) -> Column:
+    """num / den of integers (num >= 0, den > 0) to the nearest integer, ties to even."""
+    q, rest = F.call_function("div", num, den).cast("decimal(20,0)"), num % den
+    twice = rest.cast("decimal(37,0)") * F.lit(2)
+    return q + F.when((twice > den) | ((twice == den) & (q % 2 == 1)), 1).otherwise(0)
+
+
+def ratio8(num: Column, den: Column) -> Column:
+    """num / den, exactly half-even at scale 8: num below 10^22 with 16 digits after the point, den positive below 10^20 with 8."""
+    n, d = num.cast("decimal(38,16)"), den.cast("decimal(28,8)")
+    value = half_even(_unscaled(F.abs(n), 16), _unscaled(d, 8)).cast("decimal(20,0)") * F.lit("0.00000001").cast("decimal(8,8)")
+    return (F.when(n < 0, -value).otherwise(value)).cast("decimal(28,8)")
 
 
 def event_id(*parts: Column) -> Column:

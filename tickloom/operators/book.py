@@ -31,16 +31,38 @@ def contiguous(deltas: DataFrame, snapshot_seq: DataFrame, keys: list[str]) -> D
 
 
 def levels(deltas: DataFrame) -> DataFrame:
-    """Quantity by instrument, side and price: an order has the price and side of its first ADD and its last quantity unless deleted."""
-    added = F.when(F.col("action") == "ADD", F.col("seq"))
-    g = deltas.groupBy("instrument", "order_id").agg(
-        F.min_by(F.struct("side", "price"), added).alias("o"), F.min(added).alias("since"), F.max_by("quantity", F.when(F.col("action") != "DELETE", F.col("seq"))).alias("quantity"), F.max(F.when(F.col("action") == "DELETE", F.col("seq"))).alias("gone")
-    )
-    live = g.where("since is not null and (gone is null or gone < since)")
+    """Quantity by instrument, side and price of the orders that live once all deltas are applied in order of seq.
+
+    An order's life begins with an ADD while it does not live: of its deltas only those after its last DELETE count, from the first ADD on. That ADD gives
+    side, price and quantity, the last MODIFY since another quantity; further ADDs of a living order, and MODIFY or DELETE of one that does not live, do nothing.
+    """
+    w = W.partitionBy("instrument", "order_id")
+    is_ = lambda a: F.when(F.col("action") == a, F.col("seq"))
+    d = deltas.withColumn("_gone", F.max(is_("DELETE")).over(w)).where("_gone is null or seq > _gone")
+    d = d.withColumn("_since", F.min(is_("ADD")).over(w)).where("seq >= _since")
+    g = d.groupBy("instrument", "order_id").agg(F.min_by(F.struct("side", "price", "quantity"), is_("ADD")).alias("o"), F.max_by(F.struct("quantity"), is_("MODIFY")).alias("m"))
     side = F.when(F.col("o.side") == "BUY", "BUY").otherwise("SELL")
-    return live.groupBy("instrument", side.alias("side"), F.col("o.price").alias("price")).agg(F.sum("quantity").alias("quantity"), F.count("*").alias("orders"))
+    quantity = F.when(F.col("m").isNull(), F.col("o.quantity")).otherwise(F.col("m.quantity"))
+    return g.groupBy("instrument", side.alias("side"), F.col("o.price").alias("price")).agg(F.sum(quantity).alias("quantity"), F.count("*").alias("orders"))
 
 
 def best(levels_df: DataFrame) -> DataFrame:
-    g = levels_df.where("quantity > 0").groupBy("instrument")
+    """Best prices of the levels that hold an order, whatever its quantity."""
+    g = levels_df.groupBy("instrument")
     return g.agg(F.max(F.when(F.col("side") == "BUY", F.col("price"))).alias("best_bid"), F.min(F.when(F.col("side") == "SELL", F.col("price"))).alias("best_ask"))
+
+
+#: Deltas that a book may hold back while it waits for a missing number.
+HELD = 1000
+
+
+def sync_state(deltas: DataFrame, snapshot_seq: DataFrame, keys: list[str], held: int = HELD) -> DataFrame:
+    """keys, state and waiting: AWAITING_SNAPSHOT without a snapshot; DESYNCED once more than `held` deltas wait behind a missing number; else SYNCHRONIZED."""
+    snap = snapshot_seq.select(*keys, "snapshot_seq")
+    known = deltas.select(*keys).distinct().join(snap, keys, "left")
+    applied = contiguous(deltas, snap, keys).groupBy(*keys).agg(F.max("seq").alias("_last"))
+    d = deltas.join(snap, keys).where("seq > snapshot_seq").join(applied, keys, "left").where("seq > coalesce(_last, snapshot_seq)")
+    waiting = d.groupBy(*keys).agg(F.count("*").alias("waiting"))
+    out = known.join(waiting, keys, "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
+    state = F.when(F.col("snapshot_seq").isNull(), "AWAITING_SNAPSHOT").when(F.col("waiting") > held, "DESYNCED").otherwise("SYNCHRONIZED")
+    return out.select(*keys, state.alias("state"), "waiting")

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import event_id, ratio8
+from tickloom.functions.exact import event_id, half_even, ratio8
 from tickloom.operators.running import running
 
 CODE_VERSION = "tickloom-1"
 
 
-def vwap(df: DataFrame, size: str) -> DataFrame:
-    """Sum of price x size over sum of size, else the mean price; a row for each window with a trade."""
-    g = df.groupBy("instrument", F.window("event_time", size).alias("w")).agg(
-        F.sum((F.col("price") * F.col("size")).cast("decimal(37,16)")).alias("pv"), F.sum("size").alias("v"), F.sum("price").alias("p"), F.count("*").alias("trade_count")
-    )
+def _sums() -> list[Column]:
+    return [F.sum((F.col("price") * F.col("size")).cast("decimal(37,16)")).alias("pv"), F.sum("size").alias("v"), F.sum("price").alias("p"), F.count("*").alias("trade_count")]
+
+
+def _vwap() -> Column:
     zero = F.col("v") == 0
     mean = ratio8(F.col("p"), F.col("trade_count").cast("decimal(20,8)"))
-    value = F.when(zero, mean).otherwise(ratio8(F.col("pv"), F.when(~zero, F.col("v"))))
-    return g.select("instrument", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), value.alias("vwap"), F.bround("pv", 8).alias("sum_price_times_size"), F.col("v").alias("sum_size"), "trade_count")
+    return F.when(zero, mean).otherwise(ratio8(F.col("pv"), F.when(~zero, F.col("v"))))
+
+
+def vwap(df: DataFrame, size: str) -> DataFrame:
+    """Sum of price x size over sum of size, else the mean price; a row for each window with a trade."""
+    g = df.groupBy("instrument", F.window("event_time", size).alias("w")).agg(*_sums())
+    return g.select("instrument", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), _vwap().alias("vwap"), F.bround("pv", 8).alias("sum_price_times_size"), F.col("v").alias("sum_size"), "trade_count")
 
 
 def last_snapshot(books: DataFrame, size: str) -> DataFrame:
@@ -36,32 +42,36 @@ def _volume(side: str, levels: int) -> Column:
     return F.expr(f"aggregate(slice({side}, 1, {levels}), cast(0 as decimal(28,8)), (a, x) -> cast(a + x.size as decimal(28,8)))")
 
 
+def _obi(levels: int) -> dict[str, Column]:
+    bid, ask = _volume("bids", levels), _volume("asks", levels)
+    value = F.when(bid + ask == 0, F.lit(0).cast("decimal(28,8)")).otherwise(ratio8(bid - ask, F.when(bid + ask != 0, bid + ask)))
+    used = F.greatest(F.least(F.lit(levels), F.size("bids")), F.least(F.lit(levels), F.size("asks")))
+    return {"obi": value, "bid_volume": bid, "ask_volume": ask, "levels": used}
+
+
 def obi(books: DataFrame, size: str, levels: int = 5) -> DataFrame:
     """(bid - ask) / (bid + ask) volume of the top levels of the last snapshot; 0 without volume."""
     if levels <= 0:
         raise ValueError("levels must be positive")
-    d = last_snapshot(books, size).withColumns({"bid_volume": _volume("bids", levels), "ask_volume": _volume("asks", levels)})
-    total, less = F.col("bid_volume") + F.col("ask_volume"), F.col("bid_volume") - F.col("ask_volume")
-    value = F.when(total == 0, F.lit(0).cast("decimal(28,8)")).otherwise(ratio8(less, F.when(total != 0, total), "decimal(20,8)"))
-    used = F.greatest(F.least(F.lit(levels), F.size("bids")), F.least(F.lit(levels), F.size("asks")))
-    return d.select("instrument", "window_start", "window_end", value.alias("obi"), "bid_volume", "ask_volume", used.alias("levels"), "event_id")
+    return last_snapshot(books, size).select("instrument", "window_start", "window_end", *[c.alias(n) for n, c in _obi(levels).items()], "event_id")
+
+
+def _micro() -> dict[str, Column]:
+    bp, bv, ap, av = (F.get(F.col(s), F.lit(0))[c] for s in ("bids", "asks") for c in ("price", "size"))
+    total = bv + av
+    num = (bp * av).cast("decimal(37,16)") + (ap * bv).cast("decimal(37,16)")
+    value = F.when(total == 0, ratio8(bp + ap, F.lit(2))).otherwise(ratio8(num, F.when(total != 0, total)))
+    return {"micro_price": value, "best_bid": bp, "best_ask": ap, "bid_volume": bv, "ask_volume": av}
 
 
 def micro_price(books: DataFrame, size: str) -> DataFrame:
     """Best prices weighed by the other side's volume; only where the last snapshot has both sides."""
     d = last_snapshot(books, size).where("size(bids) > 0 and size(asks) > 0")
-    d = d.select("instrument", "window_start", "window_end", "event_id", F.expr("bids[0].price").alias("bp"), F.expr("bids[0].size").alias("bv"), F.expr("asks[0].price").alias("ap"), F.expr("asks[0].size").alias("av"))
-    total = F.col("bv") + F.col("av")
-    num = (F.col("bp") * F.col("av")).cast("decimal(37,16)") + (F.col("ap") * F.col("bv")).cast("decimal(37,16)")
-    value = F.when(total == 0, ratio8(F.col("bp") + F.col("ap"), F.lit(2))).otherwise(ratio8(num, F.when(total != 0, total)))
-    return d.select("instrument", "window_start", "window_end", value.alias("micro_price"), F.col("bp").alias("best_bid"), F.col("ap").alias("best_ask"), F.col("bv").alias("bid_volume"), F.col("av").alias("ask_volume"), "event_id")
+    return d.select("instrument", "window_start", "window_end", *[c.alias(n) for n, c in _micro().items()], "event_id")
 
 
-def vpin(trades: DataFrame, size: str, bucket: Decimal | int, history: int) -> DataFrame:
-    """Order-flow imbalance of the last `history` full volume buckets at each window's end.
-
-    Volumes are exact integers of 1e-8; trades of an instrument run in (event_time, event_id) order, day by day with carried totals.
-    """
+def _trade_windows(trades: DataFrame, size: str, bucket: Decimal | int, history: int) -> DataFrame:
+    """Per window the sums of `vwap` and the volume buckets of `vpin`, of one running pass: m buckets closed by its end, their trailing imbalance (null below `history`)."""
     unit = int(Decimal(bucket) * 10**8)
     if unit <= 0 or history <= 0:
         raise ValueError("bucket and history must be positive")
@@ -74,13 +84,23 @@ def vpin(trades: DataFrame, size: str, bucket: Decimal | int, history: int) -> D
     sign = F.when(F.col("side") == "BUY", 1).when(F.col("side") == "SELL", -1).otherwise(0)
     imb = parts.groupBy("instrument", "k").agg(F.abs(F.sum(portion * sign)).alias("imb"))
     w = W.partitionBy("instrument").orderBy("k").rowsBetween(-(history - 1), 0)
-    trail = imb.withColumn("trail", F.sum("imb").over(w)).select("instrument", (F.col("k") + 1).alias("m"), "trail")
+    trail = imb.withColumn("trail", F.sum("imb").over(w)).where(F.col("k") >= history - 1).select("instrument", (F.col("k") + 1).alias("m"), "trail")
     unknown = F.sum(F.when(F.col("side") == "UNKNOWN", F.col("size")).otherwise(F.lit(0).cast("decimal(18,8)")))
-    g = d.groupBy("instrument", F.window("event_time", size).alias("w")).agg(F.max("hi").alias("hi"), unknown.alias("unknown_volume"), F.count("*").alias("trade_count"))
-    g = g.withColumn("m", F.expr(f"hi div {v}")).where(F.col("m") >= history)
-    # hi and lo are within 38 digits; the quotient is of two integers that fit in 20.
-    value = F.bround(F.col("trail").cast("decimal(20,0)") / F.lit(history * unit).cast("decimal(20,0)"), 8).cast("decimal(28,8)")
-    return g.join(trail, ["instrument", "m"]).select("instrument", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), value.alias("vpin"), F.col("m").alias("buckets_closed"), "unknown_volume", "trade_count")
+    g = d.groupBy("instrument", F.window("event_time", size).alias("w")).agg(F.max("hi").alias("hi"), unknown.alias("unknown_volume"), *_sums())
+    g = g.withColumn("m", F.expr(f"hi div {v}")).join(trail, ["instrument", "m"], "left")
+    # In units of 1e-8: trail * 1e8 over history * unit.
+    share = half_even((F.col("trail").cast("decimal(29,0)") * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(38,0)"), F.lit(history * unit).cast("decimal(36,0)"))
+    value = (share.cast("decimal(20,0)") * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(28,8)")
+    return g.withColumn("vpin", value).withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")}).drop("w")
+
+
+def vpin(trades: DataFrame, size: str, bucket: Decimal | int, history: int) -> DataFrame:
+    """Order-flow imbalance of the last `history` full volume buckets at each window's end.
+
+    Volumes are exact integers of 1e-8; trades of an instrument run in (event_time, event_id) order, day by day with carried totals.
+    """
+    g = _trade_windows(trades, size, bucket, history).where("vpin is not null")
+    return g.select("instrument", "window_start", "window_end", "vpin", F.col("m").alias("buckets_closed"), "unknown_volume", "trade_count")
 
 
 def candles(trades: DataFrame, size: str) -> DataFrame:
@@ -104,18 +124,44 @@ def generic(df: DataFrame, aggregation: str, column: str, size: str, slide: str
     return g.select("instrument", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "value")
 
 
-def long_form(df: DataFrame, feature: str, value: str, count: str | None, version: str = "v1") -> DataFrame:
-    """Any feature as (event_id, instrument, feature_name, ..., value, input_count)."""
-    n = F.col(count).cast("bigint") if count else F.lit(1).cast("bigint")
-    return df.select(
-        event_id(F.lit(feature), F.lit(version), F.col("instrument"), F.unix_millis("window_start")).alias("event_id"), "instrument", F.lit(feature).alias("feature_name"), F.lit(version).alias("feature_version"),
-        F.col(value).cast("decimal(28,8)").alias("value"), "window_start", "window_end", n.alias("input_count"), F.lit(CODE_VERSION).alias("code_version"),
-    )
+def _named(feature: Column, version: str, value: Column, n: Column) -> list[Column]:
+    return [
+        event_id(feature, F.lit(version), F.col("instrument"), F.unix_millis("window_start")).alias("event_id"), F.col("instrument"), feature.alias("feature_name"), F.lit(version).alias("feature_version"),
+        value.cast("decimal(28,8)").alias("value"), F.col("window_start"), F.col("window_end"), n.cast("bigint").alias("input_count"), F.lit(CODE_VERSION).alias("code_version"),
+    ]
+
+
+def long_form(df: DataFrame, feature: str, value: str, count: str | None, version: str = "v1", values: dict[str, str] | None = None) -> DataFrame:
+    """Any feature as (event_id, instrument, feature_name, ..., value, input_count). values: key -> column of the map of further numbers, added when given."""
+    cols = _named(F.lit(feature), version, F.col(value), F.col(count) if count else F.lit(1))
+    if values:
+        pairs = [x for k, c in values.items() for x in (F.lit(k), F.col(c).cast("decimal(28,8)"))]
+        cols.append(F.create_map(*pairs).alias("values"))
+    return df.select(*cols)
+
+
+#: Further numbers that consumers get with a volume-weighted price: fixed key names.
+VWAP_VALUES = {"sumPriceTimesSize": "sum_price_times_size", "sumSize": "sum_size", "tradeCount": "trade_count"}
+
+#: Feature -> (its input, its value from a row of that input's windows). Another feature of these inputs is one more line.
+REGISTRY: dict[str, tuple[str, Callable[[int], Column]]] = {
+    "vwap.1m": ("trades", lambda levels: _vwap()),
+    "vpin": ("trades", lambda levels: F.col("vpin")),
+    "obi": ("books", lambda levels: _obi(levels)["obi"]),
+    "micro_price": ("books", lambda levels: F.when((F.size("bids") > 0) & (F.size("asks") > 0), _micro()["micro_price"])),
+}
 
 
 def all_features(trades: DataFrame, books: DataFrame | None, size: str, levels: int = 5, bucket: Decimal | int = 1, history: int = 1) -> DataFrame:
-    """Every registered feature in long form: the one plan for live and replay."""
-    out = long_form(vwap(trades, size), "vwap.1m", "vwap", "trade_count").unionByName(long_form(vpin(trades, size, bucket, history), "vpin", "vpin", "trade_count"))
-    if books is not None:
-        out = out.unionByName(long_form(obi(books, size, levels), "obi", "obi", None)).unionByName(long_form(micro_price(books, size), "micro_price", "micro_price", None))
+    """Every registered feature in long form: the one plan for live and replay. Features of one input come from one row a window, those without a value left out."""
+    if levels <= 0:
+        raise ValueError("levels must be positive")
+    inputs = {"trades": _trade_windows(trades, size, bucket, history)} | ({} if books is None else {"books": last_snapshot(books, size)})
+    out = None
+    for name, d in inputs.items():
+        own = [F.struct(F.lit(k).alias("name"), value(levels).alias("value")) for k, (of, value) in REGISTRY.items() if of == name]
+        n = F.col("trade_count") if name == "trades" else F.lit(1)
+        rows = d.select("instrument", "window_start", "window_end", n.alias("n"), F.explode(F.array(*own)).alias("f")).where("f.value is not null")
+        rows = rows.select(*_named(F.col("f.name"), "v1", F.col("f.value"), F.col("n")))
+        out = rows if out is None else out.unionByName(rows)
     return out

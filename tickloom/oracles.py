@@ -49,15 +49,21 @@ f as (select p.instrument, p.event_id, p.event_time, p.sig::double as signal, p.
   join p x on x.instrument = p.instrument and x.event_id = (select y.event_id from p y where y.instrument = p.instrument and y.event_time >= p.event_time + interval 1 hour order by y.event_time, y.event_id limit 1)
   where p.sig is not null and p.last_p is not null)"""
 RET = "(exit - entry) / nullif(entry, 0)"
+#: Each order's deltas replayed one by one.
 DELTA = """d as (select 'U' || (event_id // 5 % 8) as instrument, (event_id // 5)::varchar as order_id, case when event_id // 5 % 2 = 0 then 'BUY' else 'SELL' end as side, round(value, 0) as price, json_extract_string(props, '$.k')::double as quantity,
   case event_type when 'error' then 'DELETE' when 'view' then 'MODIFY' else 'ADD' end as action, event_id as seq from events),
-o as (select instrument, order_id, arg_min({'s': side, 'p': price}, seq) filter (action = 'ADD') as o, min(seq) filter (action = 'ADD') as since, arg_max(quantity, seq) filter (action <> 'DELETE') as quantity, max(seq) filter (action = 'DELETE') as gone from d group by all),
-lv as (select instrument, o.s as side, o.p as price, sum(quantity) as quantity, count(*) as orders from o where since is not null and (gone is null or gone < since) group by all)"""
-RAW = """raw as (select (user_id % 3)::int as partition, event_id as "offset", epoch_us(ts) // 1000 as timestamp, user_id::varchar as key, ts, case when event_id % 10 = 0 then null when event_id % 10 = 1 then 'not json'
-  else '{"source":"' || event_type || '","instrument":{"symbol":"U' || (user_id % 8) || '"},"price":1.500}' end as value, event_type, user_id from events),
-rl as (select *, case when value is null then '_unknown' when value = 'not json' then '_unparsed' else event_type end as source, case when value is null then '_unknown' when value = 'not json' then '_unparsed' else 'U' || (user_id % 8) end as instrument,
-  '{"topic":"events.trade","partition":' || partition || ',"offset":' || "offset" || ',"timestamp":' || timestamp || ',"key":"' || key || '"' ||
-  case when value is null then ',"value":null}' when value = 'not json' then ',"valueBase64":"' || base64(value::blob) || '"}' else ',"value":' || value || '}' end as line from raw)"""
+n as (select *, row_number() over (partition by instrument, order_id order by seq) as k from d),
+st as (select instrument, order_id, 0::bigint as k, false as live, '' as side, 0::double as price, 0::double as quantity from d group by all
+  union all select n.instrument, n.order_id, n.k, case action when 'ADD' then true when 'DELETE' then false else live end, case when action = 'ADD' and not live then n.side else st.side end,
+  case when action = 'ADD' and not live then n.price else st.price end, case when (action = 'ADD' and not live) or (action = 'MODIFY' and live) then n.quantity else st.quantity end
+  from st join n on n.instrument = st.instrument and n.order_id = st.order_id and n.k = st.k + 1),
+o as (select * from st qualify row_number() over (partition by instrument, order_id order by k desc) = 1),
+lv as (select instrument, side, price, sum(quantity) as quantity, count(*) as orders from o where live group by all)"""
+RAW = """raw as (select (user_id % 3)::int as partition, event_id as "offset", epoch_us(ts) // 1000 as timestamp, case when event_id % 7 = 0 then 'null' else '"' || user_id || '"' end as key, ts, event_id % 10 as kind, event_type, user_id,
+  '{"source":"' || event_type || '","instrument":{"symbol":"U' || (user_id % 8) || '"},"price":1.500}' as value from events),
+rl as (select *, case when kind = 0 then '_unknown' when kind in (1, 2) then '_unparsed' else event_type end as source, case when kind = 0 then '_unknown' when kind in (1, 2) then '_unparsed' else 'U' || (user_id % 8) end as instrument,
+  '{"topic":"events.trade","partition":' || partition || ',"offset":' || "offset" || ',"timestamp":' || timestamp || ',"key":' || key ||
+  case kind when 0 then ',"value":null}' when 1 then ',"valueBase64":"bm90IGpzb24="}' when 2 then ',"valueBase64":"e/99"}' else ',"value":' || value || '}' end as line from raw)"""
 
 
 def pairs() -> str:
@@ -77,6 +83,10 @@ def agg(expr: str, window: str = "time_bucket(interval '1 day', event_time)", si
     return f"with {T} select instrument, {window} as window_start, {window} + interval '{size}' as window_end, ({expr})::double as value from {source} group by all"
 
 
+ACCEPTED = f"""with {ARRIVED}, f as (select instrument, arg_max(watermark, seq) as w from m group by 1), acc as (select l.* from l join f using (instrument) where not late and window_start + interval 1 hour <= w), {run('acc')}
+select instrument, 'vwap.1m' as feature_name, window_start, vwap as value, trade_count as input_count from ({vwap('1 hour', source='acc')}) union all select instrument, 'vpin', window_start, vpin, trade_count from ({vpin('1 hour')})"""
+
+
 SQL: dict[str, str] = {
     "vwap_1m": f"with {T} {vwap('1 minute')}",
     "vwap_1h": f"with {T} {vwap('1 hour')}",
@@ -111,19 +121,34 @@ SQL: dict[str, str] = {
     "live_replay_diff": pairs(),
     "replay_range": f"with {T} select instrument, window_start, vwap, trade_count from ({vwap('1 hour', "event_time >= '2024-01-05' and event_time < '2024-01-06'")})",
     "replay_callback_range": f"with {T} select instrument, count(*) as n, min(event_time) as first_time, max(event_time) as last_time from t where event_time between '2024-01-05' and '2024-01-06' group by 1",
-    "l3_levels": f"with {DELTA} select * from lv",
-    "l3_bbo": f"with {DELTA} select instrument, max(price) filter (side = 'BUY') as best_bid, min(price) filter (side = 'SELL') as best_ask from lv where quantity > 0 group by 1",
+    "l3_levels": f"with recursive {DELTA} select * from lv",
+    "l3_bbo": f"with recursive {DELTA} select instrument, max(price) filter (side = 'BUY') as best_bid, min(price) filter (side = 'SELL') as best_ask from lv group by 1",
     "sequence_gaps": "select 'all' as venue, seq, missing from (select event_id as seq, event_id - lag(event_id) over (order by event_id) - 1 as missing from events where event_id % 97 not in (5, 6)) where missing > 0",
-    "l3_contiguous": "select 0 as venue, count(*) as applied, max(event_id) as last_seq from events where event_id > 100 and event_id < 996",
+    "l3_contiguous": "select 0 as venue, count(*) as applied, max(event_id) as last_seq from events where event_id > 100 and event_id < (select max(event_id) - 3 from events)",
     "feature_range_query": f"with {T} select window_start, window_end, vwap as value, trade_count as input_count from ({vwap('1 hour', "instrument = 'U3'")}) where window_start >= '2024-01-02' and window_end <= '2024-01-10' order by 1 limit 50",
     "latest_snapshot": f"with {B} select instrument, event_id, event_time, len(bids)::int as n_bids, len(asks)::int as n_asks from (select *, row_number() over (partition by instrument order by event_time desc, event_id desc) as r from b) where r = 1",
-    "raw_dedup": f"with {T} select 'events.trade' as topic, part as partition, count(*) as n, max(event_id) as last_offset from t group by all",
-    "raw_groups": f"""with {RAW} select 'events.trade' as topic, partition, source, instrument, year(ts)::int as year, month(ts)::int as month, day(ts)::int as day, hour(ts)::int as hour, min("offset") as first_offset, max("offset") as last_offset, count(*) as records, sum((source = '_unparsed')::int)::bigint as unparsed from rl group by all""",
+    "raw_dedup": "select 'events.trade' as topic, (user_id % 3)::int as partition, count(*) as n, max(event_id) as last_offset, count(*) filter (event_id % 7 <> 0) as keys, count(*) filter (event_id % 10 in (1, 2)) as not_json from events group by all",
+    "raw_groups": f"""with {RAW}, g as (select 'events.trade' as topic, partition, source, instrument, year(ts)::int as year, month(ts)::int as month, day(ts)::int as day, hour(ts)::int as hour, min("offset") as first_offset, max("offset") as last_offset, count(*) as records, sum((source = '_unparsed')::int)::bigint as unparsed from rl group by all)
+  select *, printf('events.trade/%s/%s/%d/%02d/%02d/%02d/p%d-%020d-%020d.jsonl.gz', source, instrument, year, month, day, hour, partition, first_offset, last_offset) as object_key from g""",
     "raw_encoding": f"""with {RAW} select "offset", line, source, instrument from rl""",
     "feature_catalog": "select * from (values ('micro_price', 'v1', 'MICRO_PRICE', '1 minute'), ('obi', 'v1', 'OBI', '1 minute'), ('vpin', 'v1', 'VPIN', '1 minute'), ('vwap.1m', 'v1', 'VWAP', '1 minute')) t(name, version, aggregation, window_duration)",
     "known_instruments": f"with {T} select instrument, count(*) as n, instrument in (select 'U' || n_nationkey from nation where n_nationkey in (1, 3, 5)) as known from t group by 1",
-    "sequence_numbers": "select event_id as arrival, 'BTC-USDT' as instrument, row_number() over (order by event_id) as sequence_number, case when event_id % 9 = 0 or event_id % 2 = 0 then 'SELL' else 'BUY' end as side, case when event_id % 9 = 0 then timestamp '1970-01-01' else date_trunc('milliseconds', ts) end as event_time, case when event_id % 9 = 0 then 'symbol does not match stream' else '' end as reason from events where event_id < 3000",
+    "sequence_numbers": "select event_id as arrival, 'BTC-USDT' as instrument, row_number() over (order by event_id) as sequence_number, case when event_id % 9 = 0 or event_id % 2 = 0 then 'SELL' else 'BUY' end as side, case when event_id % 9 = 0 then timestamp '1970-01-01' else date_trunc('milliseconds', ts) end as event_time, case when event_id % 9 = 0 then 'symbol does not match stream' else '' end as reason from events",
     "feature_topics": "select name, 'features.' || name || '.v1' as topic, 'features_' || replace(replace(name, '.', '_'), '-', '_') as table_name from (values ('vwap.1m'), ('obi'), ('micro_price'), ('vpin')) t(name)",
     "features_long": f"with {T}, {run()}, {B} select instrument, 'vwap.1m' as feature_name, window_start, vwap as value, trade_count as input_count from ({vwap('1 day')}) union all select instrument, 'vpin', window_start, vpin, trade_count from ({vpin('1 day')}) union all select instrument, 'obi', window_start, obi, 1 from ({OBI}) union all select instrument, 'micro_price', window_start, micro_price, 1 from ({MICRO})",
-    "sql_passthrough": "select event_type, count(*) as n, max(ts) as last_time from events where event_id >= 100 group by 1",
+    "sql_passthrough": "select event_type, count(*) as n, max(ts) as last_time from events group by 1",
+    "vwap_large": f"with {T}, big as (select * replace (size + 9000000000 as size) from t) select instrument, time_bucket(interval '1 day', event_time) as window_start, round(sum(price::decimal(38,8) * size::decimal(18,8))::double / sum(size)::double, 4) as vwap, sum(size)::double as sum_size, count(*) as trade_count from big group by all",
+    "feature_values": f"with {T} select instrument, window_start, sum_price_times_size, sum_size, trade_count::double as trade_count from ({vwap('1 day')})",
+    "accepted_features": ACCEPTED,
+    "exact_stream": ACCEPTED,
+    "operational_counts": f"with {ARRIVED} select instrument, count(*) as received, count(*) filter (not late) as accepted, count(*) filter (late) as late, count(distinct case when not late then window_start end) as windows, coalesce(sum(size) filter (not late and side = 'UNKNOWN'), 0)::double as unknown_volume from l group by 1",
+    "published_events": f"with {CHECKED} select case when reasons = '' then 'events.trade' else 'events.deadletter' end as topic, count(*) as n from r group by 1",
+    "feature_files": f"with {T} select window_start, window_end, vwap as value, trade_count as input_count from ({vwap('1 day', "instrument = 'U3'")}) where window_start >= '2024-01-02' and window_end <= '2024-01-10'",
+    "rule_counts": f"""with {B}, e as (select *, json_extract_string(props, '$.k')::double as k, case when ts > timestamp '2024-01-20' + interval 5 minute then 'event_time is in the future' end as f from events)
+  select 'candle' as kind, concat_ws('; ', f, case when value < k then 'high is below low' end, case when event_id % 3 < 2 then 'window is empty' end, case when k < 50 then 'volume must not be negative' end) as reasons, count(*) as n from e group by all
+  union all select 'book', concat_ws('; ', case when event_time < timestamp '2020-01-01' then 'event_time is before 2020-01-01' end, case when len(bids) < 1 then 'bids are empty' end, case when len(asks) < 1 then 'asks are empty' end, case when len(bids) < 1 then 'depth must be positive' end), count(*) from b group by all
+  union all select 'delta', concat_ws('; ', f, case when event_id % 10 = 0 then 'order_id is required' end, case when event_type <> 'error' and value <= 100 then 'price must be positive' end, case when k < 50 then 'quantity must not be negative' end), count(*) from e group by all""",
+    "book_messages": f"with {T} select event_id as arrival, 'ETH-USD' as instrument, 'book' as kind, row_number() over (order by event_id) as sequence_number, (size > 0)::int as n_bids, 1::int as n_asks, case when size > 0 then price::double end as bid, 2.5::double as ask, 1::int as depth, event_time from t",
+    "listed_messages": f"with {T} select event_id as arrival, i::int as item, case i when 0 then 'BTC-USDT' else 'BTC-USDT-SWAP' end as instrument, row_number() over (partition by i order by event_id) as sequence_number, case i when 0 then 'SELL' else 'BUY' end as side, case i when 0 then price::double else 5 end as price, case i when 0 then size::double else 2 end as size, case i when 0 then timestamp '2025-05-11 21:46:40' else timestamp '1970-01-01 00:00:00.001' end as event_time, case i when 0 then event_id::varchar else '1' end as exchange_trade_id, case i when 0 then '' else 'not BASE-QUOTE' end as reason from t, (select unnest([0, 1]) as i)",
+    "sync_states": "select * from (values ('none', 'AWAITING_SNAPSHOT', 0::bigint), ('whole', 'SYNCHRONIZED', 0::bigint)) t(instrument, state, waiting) union all select 'holed', case when count(*) > 500 then 'DESYNCED' else 'SYNCHRONIZED' end, count(*) from events where event_id > 20",
 }

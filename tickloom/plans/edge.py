@@ -50,6 +50,15 @@ def metered(df: DataFrame, seen: Observation, time: str = "event_time") -> DataF
     return df.observe(seen, F.count("*").alias("rows"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
 
 
+def counters(marked: DataFrame) -> DataFrame:
+    """By instrument, of rows marked late or not: events received, accepted and late, windows with accepted events, and volume of unknown side among these."""
+    ok = ~F.col("late")
+    return marked.groupBy("instrument").agg(
+        F.count("*").alias("received"), F.count_if(ok).alias("accepted"), F.count_if(F.col("late")).alias("late"), F.count_distinct(F.when(ok, F.col("window_start"))).alias("windows"),
+        F.coalesce(F.sum(F.when(ok & (F.col("side") == "UNKNOWN"), F.col("size"))), F.lit(0)).alias("unknown_volume"),
+    )
+
+
 @dataclass
 class Replayed:
     rows: int

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,10 @@ class BadRequest(ValueError):
     """What an HTTP edge would answer with 400."""
 
 
+class StorageUnavailable(RuntimeError):
+    """What an HTTP edge would answer with 503: the store did not answer, so that nothing is known of the rows."""
+
+
 def check_names(feature: str, instrument: str) -> None:
     if not re.fullmatch(r"[A-Za-z0-9._-]+", feature):
         raise BadRequest(f"feature: {feature!r}")
@@ -39,10 +43,11 @@ def feature_series(spark: SparkSession, root: str, feature: str, instrument: str
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], "window_start timestamp, window_end timestamp, value decimal(28,8), input_count bigint")
         raise
-    # The range's years (and day, when it is one) prune folders; the columns' own bounds do the rest.
-    d = d.where(F.col("year").between(a.year, b.year))
-    if a.date() == (b - timedelta(microseconds=1)).date():
-        d = d.where((F.col("month").cast("int") == a.month) & (F.col("day").cast("int") == a.day))
+    except Exception as e:
+        raise StorageUnavailable(str(e)) from e
+    # The range's days prune folders by one composed key; the columns' own bounds do the rest.
+    day = F.col("year").cast("int") * 10000 + F.col("month").cast("int") * 100 + F.col("day").cast("int")
+    d = d.where(day.between(a.year * 10000 + a.month * 100 + a.day, b.year * 10000 + b.month * 100 + b.day))
     return series(d.select("window_start", "window_end", "value", "input_count"), start, end, limit)
 
 

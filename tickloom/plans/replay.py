@@ -78,6 +78,10 @@ class Jobs:
         except Exception as e:  # noqa: BLE001  a failed job is a result
             job.status, job.error = "FAILED", str(e)
 
+    def list(self) -> list[Job]:
+        """All jobs, the last submitted first."""
+        return [*self.jobs.values()][::-1]
+
     def get(self, job_id: str, wait: bool = False) -> Job:
         job = self.jobs[job_id]
         if wait:

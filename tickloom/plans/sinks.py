@@ -45,14 +45,15 @@ def checked_topic(prefix: str, name: Column, version: Column) -> Column:
 def raw_lines(records: DataFrame) -> DataFrame:
     """Raw records (topic, partition, offset, timestamp, key, value binary) as log lines: a JSON object is embedded as it is, anything else as base64.
 
-    Numbers keep their digits, for the value's own text is used. Null values go under _unknown, others under _unparsed.
+    Numbers keep their digits, for the value's own text is used. Null values go under _unknown; what is no JSON object, or not UTF-8, under _unparsed. A null key is written as null.
     """
-    text = F.decode("value", "UTF-8")
+    records = records.withColumn("_text", F.try_validate_utf8(F.col("value").cast("string")))
+    text = F.col("_text")
     flat = F.regexp_replace(text, "[\r\n]", " ")
     # In brackets, so that anything after the object makes the text no array of one.
-    one = "try_parse_json(concat('[', decode(value, 'UTF-8'), ']'))"
+    one = "try_parse_json(concat('[', _text, ']'))"
     whole = F.coalesce(F.expr(f"{one} is not null and try_variant_get({one}, '$[1]', 'variant') is null"), F.lit(False)) & F.trim(flat).startswith("{")
-    head = F.to_json(F.struct("topic", "partition", "offset", "timestamp", "key"))
+    head = F.to_json(F.struct("topic", "partition", "offset", "timestamp", "key"), {"ignoreNullFields": "false"})
     cut = F.substring(head, F.lit(1), F.length(head) - 1)
     line = F.when(F.col("value").isNull(), F.concat(cut, F.lit(',"value":null}'))).when(whole, F.concat(cut, F.lit(',"value":'), flat, F.lit("}"))).otherwise(F.concat(cut, F.lit(',"valueBase64":"'), F.base64("value"), F.lit('"}')))
     at = lambda p, other: F.when(F.col("value").isNull(), "_unknown").when(~whole, "_unparsed").otherwise(path_segment(F.get_json_object(flat, p)))

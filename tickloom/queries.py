@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom import session
 from tickloom.functions import exact
 from tickloom.operators import book, features, signals, validation, windows
 from tickloom.plans import edge, query, replay, sinks
 from tickloom.sources import readers, testdata, venues
+from tickloom.streaming import live
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 D = "double"
@@ -207,23 +209,28 @@ def latest_snapshot(s, d):
     return query.latest(b, ["instrument"], ["event_time", "event_id"], ["event_id", "event_time", "bids", "asks"]).select("instrument", "event_id", "event_time", F.size("bids").alias("n_bids"), F.size("asks").alias("n_asks"))
 
 
-@q
-def raw_dedup(s, d):
-    t = testdata.trades(s, d).select(F.lit("events.trade").alias("topic"), "partition", F.col("event_id").alias("offset"), "instrument")
-    return t.unionByName(t.where("offset % 5 = 0")).dropDuplicates(["topic", "partition", "offset"]).groupBy("topic", "partition").agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"))
-
-
 def _raw(s, d):
+    """Raw records with tombstones, text that is no JSON, bytes that are no UTF-8, and null keys."""
     e = testdata.events(s, d)
     js = F.concat(F.lit('{"source":"'), F.col("event_type"), F.lit('","instrument":{"symbol":"U'), (F.col("user_id") % 8).cast("string"), F.lit('"},"price":1.500}'))
-    value = F.when(F.col("event_id") % 10 == 0, None).when(F.col("event_id") % 10 == 1, F.lit("not json")).otherwise(js)
-    return e.select(F.lit("events.trade").alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset"), F.unix_millis("ts").alias("timestamp"), F.col("user_id").cast("string").alias("key"), value.cast("binary").alias("value"))
+    kind = F.col("event_id") % 10
+    value = F.when(kind == 0, None).when(kind == 1, F.lit("not json").cast("binary")).when(kind == 2, F.unhex(F.lit("7BFF7D"))).otherwise(js.cast("binary"))
+    key = F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("string"))
+    return e.select(F.lit("events.trade").alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset"), F.unix_millis("ts").alias("timestamp"), key.alias("key"), value.alias("value"))
+
+
+@q
+def raw_dedup(s, d):
+    root = session.work_dir(s, "raw")
+    for _ in range(2):  # the second write repeats every record
+        sinks.write_raw(_raw(s, d).withColumn("timestamp", F.lit(1_704_067_200_000)), root)
+    t = readers.raw_log(s, root)
+    return t.groupBy("topic", "partition").agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"), F.count("key").alias("keys"), F.count("value_base64").alias("not_json"))
 
 
 @q
 def raw_groups(s, d):
-    g = sinks.raw_groups(_raw(s, d)).withColumns({"month": F.col("month").cast("int"), "day": F.col("day").cast("int"), "hour": F.col("hour").cast("int")})
-    return g.drop("object_key")
+    return sinks.raw_groups(_raw(s, d)).withColumns({"month": F.col("month").cast("int"), "day": F.col("day").cast("int"), "hour": F.col("hour").cast("int")})
 
 
 @q
@@ -287,7 +294,115 @@ def features_long(s, d):
 @q
 def sql_passthrough(s, d):
     testdata.events(s, d).createOrReplaceTempView("events_sql")
-    return readers.sql(s, "select event_type, count(*) as n, max(ts) as last_time from events_sql where event_id >= :least group by event_type", {"least": 100})
+    return readers.sql(s, "select event_type, count(*) as n, max(ts) as last_time from events_sql where event_id >= :least group by event_type", {"least": 0})
+
+
+@q
+def vwap_large(s, d):
+    """Volumes of cheap tokens: a day's notional is beyond 10^14."""
+    t = testdata.trades(s, d).withColumn("size", (F.col("size") + F.lit(9_000_000_000)).cast("decimal(18,8)"))
+    return features.vwap(t, "1 day").select("instrument", "window_start", F.round(F.col("vwap").cast(D), 4).alias("vwap"), F.col("sum_size").cast(D).alias("sum_size"), "trade_count")
+
+
+@q
+def feature_values(s, d):
+    f = features.long_form(features.vwap(testdata.trades(s, d), "1 day"), "vwap.1m", "vwap", "trade_count", values=features.VWAP_VALUES)
+    return f.select("instrument", "window_start", *[F.col("values")[k].cast(D).alias(c) for k, c in features.VWAP_VALUES.items()])
+
+
+def _marked(s, d):
+    return windows.watermarked(testdata.arrivals(s, d), "1 hour", [0, 1, 2], F.expr("seq div 1000000 div 86400"))
+
+
+@q
+def accepted_features(s, d):
+    """Features of the events that were not late, in windows that have closed."""
+    f = features.all_features(windows.closed(_marked(s, d)), None, "1 hour", bucket=500, history=5)
+    return f.select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
+
+
+@q
+def exact_stream(s, d):
+    """The same from the stream engine, stopped half-way and started again from its checkpoint."""
+    root = session.work_dir(s, "exact-stream")
+    t = testdata.arrivals(s, d)
+    half = t.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for part in ("seq <= {}", "seq > {}"):
+        t.where(part.format(half)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        out = live.ExactEngine(3600, [0, 1, 2], "500", 5).run(s.readStream.schema(t.schema).parquet(f"{root}/in"))
+        w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
+        w.trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(live.OUT).parquet(f"{root}/out").select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
+
+
+@q
+def operational_counts(s, d):
+    return _doubles(edge.counters(_marked(s, d)), "unknown_volume")
+
+
+@q
+def published_events(s, d):
+    root = session.work_dir(s, "published")
+    edge.publish(_checked(s, d), "trade", root, "2024-01-20 00:00:00")
+    good, dead = (s.read.parquet(f"{root}/topic={t}").agg(F.count("*").alias("n")).withColumn("topic", F.lit(t)) for t in ("events.trade", "events.deadletter"))
+    return good.unionByName(dead)
+
+
+@q
+def feature_files(s, d):
+    """Written under their folders and served from them."""
+    root = session.work_dir(s, "features")
+    sinks.write_features(features.long_form(features.vwap(testdata.trades(s, d), "1 day"), "vwap.1m", "vwap", "trade_count"), root)
+    f = query.feature_series(s, root, "vwap.1m", "U3", "2024-01-02T00:00:00", "2024-01-10T00:00:00")
+    return f.select("window_start", "window_end", F.col("value").cast(D).alias("value"), "input_count")
+
+
+def _k():
+    return F.get_json_object("props", "$.k").cast(D)
+
+
+@q
+def rule_counts(s, d):
+    """Rules of candles, books and deltas: how many rows fail which."""
+    e = testdata.events(s, d).withColumns({"instrument": F.lit("I"), "event_time": F.col("ts"), "k": _k()})
+    candle = e.withColumns({"high": F.col("value"), "low": F.col("k"), "volume": F.col("k") - 50, "window_start": F.col("ts"), "window_end": F.expr("ts + make_interval(0, 0, 0, 0, cast(event_id % 3 - 1 as int))")}).drop("value")
+    book_ = testdata.books(s, d).withColumn("depth", F.size("bids"))
+    delta = e.withColumns({"order_id": F.when(F.col("event_id") % 10 == 0, " ").otherwise(F.col("event_id").cast("string")), "price": F.col("value") - 100, "quantity": F.col("k") - 50, "action": F.when(F.col("event_type") == "error", "DELETE").otherwise("ADD")})
+    out = None
+    for kind, df in (("candle", candle), ("book", book_), ("delta", delta)):
+        v = validation.validate(df, kind, "2024-01-20 00:00:00").groupBy(F.lit(kind).alias("kind"), F.concat_ws("; ", "reasons").alias("reasons")).agg(F.count("*").alias("n"))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+def _messages(s, d, *parts):
+    e = testdata.events(s, d).withColumn("k", F.get_json_object("props", "$.k"))
+    return e.select(F.col("event_id").alias("arrival"), F.col("ts").alias("ingest_time"), F.concat(*[F.col(p[1:]).cast("string") if p.startswith("@") else F.lit(p) for p in parts]).alias("value"))
+
+
+@q
+def book_messages(s, d):
+    m = _messages(s, d, '{"stream":"ethusd@depth5","data":{"lastUpdateId":', "@event_id", ',"bids":[["', "@value", '","', "@k", '"],["1","0"]],"asks":[["2.5","1"]]}}')
+    p = venues.combined_stream(m)
+    best = lambda c: F.get(F.col(c), F.lit(0))["price"].cast(D)
+    return p.select("arrival", "instrument", "kind", F.col("sequence_number").cast("bigint").alias("sequence_number"), F.size("bids").alias("n_bids"), F.size("asks").alias("n_asks"), best("bids").alias("bid"), best("asks").alias("ask"), "depth", "event_time")
+
+
+@q
+def listed_messages(s, d):
+    """Two items a message, the second of a market that is no BASE-QUOTE pair."""
+    m = _messages(s, d, '{"arg":{"channel":"trades","instId":"BTC-USDT"},"data":[{"instId":"BTC-USDT","tradeId":"', "@event_id", '","px":"', "@value", '","sz":"', "@k", '","side":"sell","ts":"1747000000000"},{"instId":"BTC-USDT-SWAP","tradeId":"1","px":"5","sz":"2","side":"buy","ts":"1"}]}')
+    p = venues.listed_stream(m)
+    return p.select("arrival.arrival", "arrival.item", "instrument", F.col("sequence_number").cast("bigint").alias("sequence_number"), "side", F.col("price").cast(D).alias("price"), F.col("size").cast(D).alias("size"), "event_time", "exchange_trade_id", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@q
+def sync_states(s, d):
+    """Books by symbol: without a snapshot, in step, and with too many deltas waiting behind a hole."""
+    t = _deltas(s, d).select(F.col("instrument").alias("_i"), "seq", "event_time").withColumn("instrument", F.explode(F.array(F.lit("none"), F.lit("whole"), F.lit("holed")))).drop("_i")
+    t = t.where("instrument <> 'holed' or seq <> 20")
+    snap = s.createDataFrame([("whole", 10), ("holed", 10)], "instrument string, snapshot_seq bigint")
+    return book.sync_state(t, snap, ["instrument"], held=500)
 
 
 def _naive(run):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -36,3 +38,26 @@ def ship(spark: SparkSession) -> None:
             z.write(ROOT / "corpus_pipeline.py", "corpus_pipeline.py")
     sc.addPyFile(str(at))
     sc._tickloom_shipped = True
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that all executors share (spark.checkpoint.dir), deleted when the driver ends. Only a local session may go without the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tickloom-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    at = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        try:
+            if spark.sparkContext._jsc is not None:
+                p = spark._jvm.org.apache.hadoop.fs.Path(at)
+                p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            pass
+
+    atexit.register(clear)
+    return at

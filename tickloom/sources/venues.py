@@ -74,3 +74,13 @@ def listed_stream(raw: DataFrame, source: str = "okx") -> DataFrame:
         "arrival", "source", "kind", "instrument", "sequence_number", F.timestamp_millis(F.expr("try_cast(d.ts as bigint)")).alias("event_time"), "ingest_time", F.expr("try_cast(d.px as decimal(18,8))").alias("price"),
         F.expr("try_cast(d.sz as decimal(18,8))").alias("size"), F.when(F.col("kind") == "trade", side).alias("side"), F.col("d.tradeId").alias("exchange_trade_id"), bids.alias("bids"), asks.alias("asks"), F.greatest(F.size(bids), F.size(asks)).alias("depth"), "reason", "value",
     )
+
+
+def stream_names(instruments: list[str], streams: list[str]) -> list[str]:
+    """`<symbol>@<stream>` of each configured instrument and stream, each once and in order of first mention."""
+    symbols, kinds = dict.fromkeys(x.strip().lower() for x in instruments), dict.fromkeys(streams)
+    if not symbols or not kinds:
+        raise ValueError("at least one instrument and one stream are needed")
+    if sum(k.startswith("depth") for k in kinds) > 1:
+        raise ValueError("more than one book depth")
+    return [f"{s}@{k}" for s in symbols for k in kinds]

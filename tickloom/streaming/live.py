@@ -13,6 +13,7 @@ from decimal import ROUND_HALF_EVEN, Decimal, localcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -46,75 +47,122 @@ def record(records: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
     return lines.writeStream.format("text").option("path", root).option("compression", "gzip").option("checkpointLocation", checkpoint).partitionBy("topic", "source", *sinks.HOUR)
 
 
-def fan_out(df: DataFrame, clients: dict[str | None, Callable[[list], None]]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch target: each client gets the rows of its feature (None: all). A client that fails is dropped."""
+def fan_out(df: DataFrame, clients: dict[str | None, Callable[[list], None]], refused: list[tuple[str | None, str]] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch target: each client gets the rows of its feature (None: all), a bounded piece at a time. A client that fails is dropped and told in `refused`.
+
+    A batch holds closed windows only; its rows stream to the driver once, partition by partition, whatever the number of clients.
+    """
 
     def send(batch: DataFrame, _: int) -> None:
-        for name, call in list(clients.items()):
-            try:
-                call((batch if name is None else batch.where(batch["feature_name"] == name)).collect())  # one micro-batch of closed windows
-            except Exception:  # noqa: BLE001
-                clients.pop(name)
+        def give(piece: list) -> None:
+            for name, call in list(clients.items()):
+                if rows := [r for r in piece if name is None or r["feature_name"] == name]:
+                    try:
+                        call(rows)
+                    except Exception as e:  # noqa: BLE001  one client's failure is not another's
+                        clients.pop(name)
+                        if refused is not None:
+                            refused.append((name, str(e)))
+
+        piece = []
+        for row in batch.toLocalIterator():
+            piece.append(row)
+            if len(piece) == PIECE:
+                give(piece)
+                piece = []
+        give(piece)
 
     return send
 
 
+#: Rows given to a client at once.
+PIECE = 1000
 OUT = "instrument string, feature_name string, window_start timestamp, window_end timestamp, value decimal(28,8), input_count bigint"
 STATE = "blob binary"
 
 
 class ExactEngine:
-    def __init__(self, size_seconds: int, partitions: list[int], bucket: str = "1", history: int = 1):
-        self.size, self.partitions, self.bucket, self.history = size_seconds * 1_000_000, partitions, Decimal(bucket), history
+    """All four features by the exact rules. State per instrument: each partition's clock, open windows (their trades and last book), and the volume bucket being filled."""
+
+    def __init__(self, size_seconds: int, partitions: list[int], bucket: str = "1", history: int = 1, levels: int = 5):
+        self.size, self.partitions, self.bucket, self.history, self.levels = size_seconds * 1_000_000, partitions, Decimal(bucket), history, levels
 
     def fresh(self) -> dict:
         return {"tops": {}, "open": {}, "buy": Decimal(0), "sell": Decimal(0), "past": [], "late": 0}
 
     def step(self, s: dict, rows: list[tuple]) -> list[tuple]:
-        """Take rows (us, event_id, price, size, side, partition) in arrival order; what closes, in order."""
+        """Take rows in arrival order; what closes, in order. Trades: (us, event_id, price, size, side, partition); books: (us, event_id, None, None, None, partition, bids, asks), sides as [(price, size)]."""
         out = []
-        for us, eid, price, size, side, part in rows:
+        for us, eid, price, size, side, part, *book in rows:
             s["tops"][part] = max(us, s["tops"].get(part, us))
             # The partition set is known up front; one without data yet is not counted.
-            mark = min(s["tops"][p] for p in self.partitions if p in s["tops"]) if s["tops"] else us
+            mark = min((s["tops"][p] for p in self.partitions if p in s["tops"]), default=us)
             start = us // self.size * self.size
             if start + self.size <= mark:
                 s["late"] += 1
             else:
-                s["open"].setdefault(start, []).append((us, eid, price, size, side))
-            for w in sorted(w for w in s["open"] if w + self.size <= mark):
-                out += self._close(s, w, sorted(s["open"].pop(w), key=lambda r: r[:2]))
+                w = s["open"].setdefault(start, {"trades": [], "book": None})
+                if price is not None:
+                    w["trades"].append((us, eid, price, size, side))
+                elif w["book"] is None or (us, eid) > w["book"][:2]:
+                    w["book"] = (us, eid, *book)
+            for at in sorted(at for at in s["open"] if at + self.size <= mark):
+                out += self._close(s, at, s["open"].pop(at))
         return out
 
-    def _close(self, s: dict, w: int, rows: list[tuple]) -> Iterator[tuple]:
+    def _close(self, s: dict, at: int, window: dict) -> Iterator[tuple]:
         with localcontext() as c:
             c.prec = 50
-            v, pv = sum((r[3] for r in rows), Decimal(0)), sum((r[2] * r[3] for r in rows), Decimal(0))
-            q = pv / v if v else sum((r[2] for r in rows), Decimal(0)) / len(rows)
-            yield ("vwap.1m", w, w + self.size, q.quantize(SCALE, ROUND_HALF_EVEN), len(rows))
-            for _, _, _, size, side in rows:
-                left = size
-                while left > 0:
-                    part = min(left, self.bucket - s["buy"] - s["sell"])
-                    half = {"BUY": (part, 0), "SELL": (0, part)}.get(side, (part / 2, part / 2))
-                    s["buy"], s["sell"], left = s["buy"] + half[0], s["sell"] + half[1], left - part
-                    if s["buy"] + s["sell"] == self.bucket:
-                        s["past"] = [*s["past"], abs(s["buy"] - s["sell"])][-self.history :]
-                        s["buy"] = s["sell"] = Decimal(0)
-            if len(s["past"]) == self.history:
-                yield ("vpin", w, w + self.size, (sum(s["past"]) / (self.history * self.bucket)).quantize(SCALE, ROUND_HALF_EVEN), len(rows))
-
-    def run(self, trades: DataFrame) -> DataFrame:
-        """A streaming (or batch) DataFrame of TICK columns -> closed features. State is checkpointed by Spark."""
+            to8 = lambda x: x.quantize(SCALE, ROUND_HALF_EVEN)
+            if rows := sorted(window["trades"], key=lambda r: r[:2]):
+                v, pv = sum((r[3] for r in rows), Decimal(0)), sum((r[2] * r[3] for r in rows), Decimal(0))
+                q = pv / v if v else sum((r[2] for r in rows), Decimal(0)) / len(rows)
+                yield ("vwap.1m", at, at + self.size, to8(q), len(rows))
+                for _, _, _, size, side in rows:
+                    self._fill(s, size, side)
+                if len(s["past"]) == self.history:
+                    yield ("vpin", at, at + self.size, to8(sum(s["past"]) / (self.history * self.bucket)), len(rows))
+            if window["book"] is not None:
+                bids, asks = window["book"][2:]
+                bid, ask = (sum((q for _, q in x[: self.levels]), Decimal(0)) for x in (bids, asks))
+                yield ("obi", at, at + self.size, to8((bid - ask) / (bid + ask) if bid + ask else Decimal(0)), 1)
+                if bids and asks:
+                    (bp, bv), (ap, av) = bids[0], asks[0]
+                    yield ("micro_price", at, at + self.size, to8((bp * av + ap * bv) / (bv + av) if bv + av else (bp + ap) / 2), 1)
+
+    def _fill(self, s: dict, size: Decimal, side: str) -> None:
+        while size > 0:
+            part = min(size, self.bucket - s["buy"] - s["sell"])
+            half = {"BUY": (part, 0), "SELL": (0, part)}.get(side, (part / 2, part / 2))
+            s["buy"], s["sell"], size = s["buy"] + half[0], s["sell"] + half[1], size - part
+            if s["buy"] + s["sell"] == self.bucket:
+                s["past"] = [*s["past"], abs(s["buy"] - s["sell"])][-self.history :]
+                s["buy"] = s["sell"] = Decimal(0)
+
+    def run(self, trades: DataFrame, books: DataFrame | None = None) -> DataFrame:
+        """Streaming (or batch) DataFrames of trades (TICK columns) and books (instrument, event_id, event_time, partition, seq, bids, asks) -> closed features. State is checkpointed by Spark."""
         engine = self
+        key = ["instrument", "event_id", "event_time", "partition", "seq"]
+        sides = ("bids.price", "bids.size", "asks.price", "asks.size")
+        none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+        both = trades.select(*key, "price", "size", "side", *none("array<decimal(18,8)>", "bp", "bs", "ap", "as"))
+        if books is not None:
+            both = both.unionByName(books.select(*key, *none("decimal(18,8)", "price", "size"), *none("string", "side"), *[F.col(c).alias(n) for c, n in zip(sides, ("bp", "bs", "ap", "as"), strict=True)]))
 
         def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
             s = pickle.loads(state.get[0]) if state.exists else engine.fresh()
             d = pd.concat(list(frames)).sort_values("seq", kind="stable")
             us = (d["event_time"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
-            got = engine.step(s, list(zip(us.tolist(), d["event_id"].tolist(), d["price"].tolist(), d["size"].tolist(), d["side"].tolist(), d["partition"].tolist(), strict=True)))
+            rows = []
+            for t, e, p, q, side, part, *levels in zip(us.tolist(), *(d[c].tolist() for c in ("event_id", "price", "size", "side", "partition", "bp", "bs", "ap", "as")), strict=True):
+                if p is None:
+                    bp, bs, ap, as_ = (list(x) for x in levels)
+                    rows.append((t, e, None, None, None, part, list(zip(bp, bs, strict=True)), list(zip(ap, as_, strict=True))))
+                else:
+                    rows.append((t, e, p, q, side, part))
+            got = engine.step(s, rows)
             state.update((pickle.dumps(s),))
             cols = list(zip(*got, strict=True)) or [[]] * 5
             yield pd.DataFrame({"instrument": [key[0]] * len(got), "feature_name": cols[0], "window_start": pd.to_datetime(list(cols[1]), unit="us"), "window_end": pd.to_datetime(list(cols[2]), unit="us"), "value": list(cols[3]), "input_count": list(cols[4])})
 
-        return trades.groupBy("instrument").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+        return both.groupBy("instrument").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
