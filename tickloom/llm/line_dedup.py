@@ -10,7 +10,7 @@ they are equal, the match grows line by line over the neighbouring chunks: a chu
 matches is removed if it holds two lines with words or a line of LONG_WORDS words. A removed line always has an equal one
 at an earlier place, so the first copy of anything stays.
 
-Occurrences travel as (hash, document, place); texts move only by document, once to fetch repeated chunks with their neighbours and once to
+Occurrences travel as (hash, document, place) with hashes of the lines beside them, which rule out most short lines that repeat alone; texts move only by document, once to fetch repeated chunks with their neighbours and once to
 take lines out (by sort-merge at every size). A chunk in a third of all documents is one row a task after partial aggregation, and its joins can be split.
 
 What is missed: a passage of short lines between different neighbours that holds no whole chunk (README gives the share), or
@@ -66,22 +66,30 @@ def marked(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     """(_id, _h, gone: the lines' numbers, in order) of the documents that lose lines, and the scratch that holds it. _id and _h name a row of docs: (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     d = docs.where(f"text is not null and (instr(text, '\\n') > 0 or length(text) >= {2 * LONG_WORDS - 1})").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text")
-    own = f"array_join({_lines('c')}, '\\n')"
-    keyed = f"transform(array({chunks()}), x -> transform(x.cs, c -> transform(array({own}), t -> if(btrim(t, {_BLANKS}) <> '', unhex(md5(t)), null))[0]))[0]"
-    occ = d.select("_id", "_h", F.posexplode(F.expr(keyed)).alias("at", "key")).where("key is not null")
+    # A chunk that would not go by itself goes only if a line beside it is like that beside its first occurrence: told by hashes of these lines, before any text moves.
+    own, line = _lines("c"), lambda i: f"xxhash64(get(x.ls, {i}))"
+    big = f"size(filter(v, l -> btrim(l, {_BLANKS}) <> '')) >= 2 or exists(v, l -> length(l) >= {2 * LONG_WORDS - 1} and {_words('l')} >= {LONG_WORDS})"
+    key = f"if(btrim(array_join(v, '\n'), {_BLANKS}) <> '', unhex(md5(array_join(v, '\n'))), null) as key"
+    beside = f"if(c.s > 0, {line('c.s - 1')}, null) as above, if(c.s + c.n < size(x.ls), {line('c.s + c.n')}, null) as under"
+    keyed = f"transform(array({chunks()}), x -> transform(x.cs, (c, i) -> transform(array({own}), v -> struct(i as at, {key}, {big} as big, {beside}))[0]))[0]"
+    occ = d.select("_id", "_h", F.explode(F.expr(keyed)).alias("m")).select("_id", "_h", "m.*").where("key is not null")
     occ = scratch.keep(occ.distinct(), "places")
-    first = occ.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "at")).alias("f")).where("n > 1").select("key", "f")
-    # Places of repeated chunks, gathered by document, fetch the chunks and their neighbours.
-    rep = occ.join(first, "key").withColumn("first", F.struct("_id", "_h", "at").eqNullSafe(F.col("f"))).drop("f")
-    wanted = rep.groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "key", "first")).alias("w")).hint("merge").withColumnsRenamed({"_id": "_i", "_h": "_g"})
+    first = occ.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "at", "above", "under")).alias("f")).where("n > 1").select("key", "f")
+    rep = occ.join(first, "key").where("not (_id <=> f._id and _h = f._h and at = f.at) and (big or above = f.above or under = f.under)")
+    rep = scratch.keep(rep.select("_id", "_h", "at", "key", F.col("f._id").alias("fi"), F.col("f._h").alias("fh"), F.col("f.at").alias("fa")), "repeated")
+    # Places, with those of the first occurrences they are compared with, gathered by document, fetch the chunks and their neighbours.
+    firsts = rep.select(F.col("fi").alias("_id"), F.col("fh").alias("_h"), F.col("fa").alias("at"), "key").distinct().withColumn("first", F.lit(True))
+    places = rep.select("_id", "_h", "at", "key").withColumn("first", F.lit(False)).unionByName(firsts)
+    wanted = places.groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "key", "first")).alias("w")).hint("merge").withColumnsRenamed({"_id": "_i", "_h": "_g"})
     one = d.join(wanted, d["_id"].eqNullSafe(wanted["_i"]) & (d["_h"] == wanted["_g"])).drop("_i", "_g")
     none = "cast(array() as array<string>)"
     near = f"reverse({_lines('get(x.cs, y.at - 1)')}) as prev, {_lines('get(x.cs, y.at + 1)')} as next"
     got = one.select("_id", "_h", F.explode(F.expr(f"transform(array({chunks()}), x -> transform(w, y -> struct(y.key as key, y.first as first, x.cs[y.at].s as s, {_lines('x.cs[y.at]')} as own, {near})))[0]")).alias("m"))
     got = got.select("_id", "_h", "m.key", "m.first", "m.s", "m.own", F.coalesce("m.prev", F.expr(none)).alias("prev"), F.coalesce("m.next", F.expr(none)).alias("next"))
     got = scratch.keep(got, "chunks")
-    del occ, first, rep, wanted, one
+    del occ, first, rep, firsts, places, wanted, one
     scratch.drop("places")
+    scratch.drop("repeated")
     scratch.free()
     kept = got.where("first").groupBy("key").agg(F.min(F.struct("own", "prev", "next")).alias("k"))
     met = got.where("not first").join(kept, "key").where("own = k.own").withColumns({"back": F.expr(_common("prev", "k.prev")), "on": F.expr(_common("next", "k.next"))})
