@@ -129,11 +129,12 @@ def brute_lines(text):
     """[first, last] of each chunk."""
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    alone = [len(x.split()) >= 17 for x in lines]
+    roll = [(x * 31 + y) % 1000003 for x, y in zip(h, h[1:] + [0], strict=True)]
+    alone = [len(x.split()) >= 13 for x in lines]
     out, at = [], 0
     for i in range(len(lines)):
         end = i + 1 == len(lines)
-        if end or alone[i] or alone[i + 1] or (h[i] * 31 + h[i + 1]) % 1000003 % 2 == 0:
+        if end or alone[i] or alone[i + 1] or roll[i] < roll[i + 1] or (i and roll[i - 1] >= roll[i]):
             out.append((at, i))
             at = i + 1
     return lines, out
@@ -148,12 +149,11 @@ def brute_dedup(rows):
             continue
         lines, parts = brute_lines(text)
         gone = set()
-        for c, (a, z) in enumerate(parts):
+        for a, z in parts:
             own = tuple(lines[a : z + 1])
             if not any(x.strip() for x in own):
                 continue
-            prev = lines[parts[c - 1][0] : a][::-1] if c else []
-            after = lines[z + 1 : parts[c + 1][1] + 1] if c + 1 < len(parts) else []
+            prev, after = lines[max(0, a - 2) : a][::-1], lines[z + 1 : z + 3]
             if own not in first:
                 first[own] = (prev, after)
                 continue
@@ -194,11 +194,11 @@ def test_line_dedup_equals_brute_force(spark):
 
 
 def test_line_dedup_removes_whole_passages(spark):
-    """Passages of over 50 words between different neighbours, of 1 to 8 lines; and texts that lie at the least length a passage has."""
+    """Passages of over 50 words between different neighbours, of 1 to 13 lines; and texts that lie at the least length a passage has."""
     r, rows, want = random.Random(3), [], {}
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
     line = lambda n: " ".join(word() for _ in range(n))
-    for n in range(1, 9):
+    for n in range(1, 14):
         for k in range(40):
             passage = [line(-(-52 // n)) for _ in range(n)]
             for copy in (0, 1):
@@ -206,13 +206,13 @@ def test_line_dedup_removes_whole_passages(spark):
                 rows.append((2 * (100 * n + k) + copy, "\n".join([*own[0], *passage, *own[1]])))
             want[rows[-1][0]] = "\n".join(own[0] + own[1])
     short = " ".join("abcdefghij"[i % 10] for i in range(50))
-    rows += [(5000, short), (5001, short), (5002, short + "k"), (5003, short[:97]), (5004, short[:97])]
+    rows += [(9000, short), (9001, short), (9002, short + "k"), (9003, short[:97]), (9004, short[:97])]
     got = {x.doc_id: x.text for x in line_dedup.dedup(docs(spark, rows)).collect()}
-    assert all(got[i] == t for i, t in rows if i % 2 == 0 and i < 5000)
-    for n in range(1, 9):
+    assert all(got[i] == t for i, t in rows if i % 2 == 0 and i < 9000)
+    for n in range(1, 14):
         whole = sum(got[i] == want[i] for i in want if i // 200 == n)
-        assert whole == 40 if n <= 3 else whole >= 16 + 4 * (n - 4), n
-    assert [got[i] == "" for i in range(5000, 5005)] == [False, True, False, False, False]
+        assert whole == 40, n
+    assert [got[i] == "" for i in range(9000, 9005)] == [False, True, False, False, False]
 
 
 def test_line_dedup_odd_rows(spark):

@@ -1,20 +1,23 @@
 """Line dedup by content-defined line chunks. DataFrame functions only.
 
 A text is split at line feeds. Each line has a 28-bit hash from its MD5; the rolling hash at a line mixes the hashes of SPAN
-lines from it on. A chunk ends after a line whose rolling hash is 0 modulo EVERY, so boundaries depend on nearby lines alone and
-survive shifts. A line of ALONE_WORDS words or more is a chunk by itself: a boundary stands before and after it, so that a
-passage of over 3 * (ALONE_WORDS - 1) words always holds a whole chunk if it has three lines or fewer.
+lines from it on. Of any two lines in a row the one of the smaller rolling hash (the later, if alike) ends a chunk, so boundaries
+depend on nearby lines alone, survive shifts and stand two lines apart at most. A line of ALONE_WORDS words or more is a chunk by
+itself: a boundary stands before and after it.
 
 A chunk that occurred before (less doc_id, then text hash, then place) is compared with its first occurrence by its bytes. Where
-they are equal, the match grows line by line over the neighbouring chunks: a chunk beyond that is a match of its own. What then
+they are equal, the match grows line by line over SIDE lines on either side: what lies beyond is a match of its own. What then
 matches is removed if it holds two lines with words or a line of LONG_WORDS words. A removed line always has an equal one
 at an earlier place, so the first copy of anything stays.
 
+A repeated passage of over 4 * (ALONE_WORDS - 1) words, so one of 50 words or more, holds a whole chunk whatever its neighbours:
+with four lines or fewer one of them is alone; with five or more, the rolling hashes that lie wholly in it set two boundaries. Only
+boundaries after its first and its last two lines can depend on neighbours, and SIDE lines reach over those.
+
 Occurrences travel as (hash, document, place) with hashes of the lines beside them, which rule out most short lines that repeat alone; texts move only by document, once to fetch repeated chunks with their neighbours and once to
 take lines out (by sort-merge at every size). A chunk in a third of all documents is one row a task after partial aggregation, and its joins can be split.
 
-What is missed: a passage of short lines between different neighbours that holds no whole chunk (README gives the share), or
-whose chunks all occurred earlier in other surroundings.
+What is missed: a passage, or an end of it, whose chunks all occurred earlier in other surroundings.
 
 Defined cases: null text stays null, an empty text stays; blank lines are no match by themselves; rows of equal doc_id and text are one
 document, decided alike; doc_id null counts as the least id; documents with nothing removed keep their text byte for byte; an empty table gives no rows; other
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import Scratch, fresh
 
-SPAN, EVERY, ALONE_WORDS, LONG_WORDS = 2, 2, 17, 50
+SPAN, SIDE, ALONE_WORDS, LONG_WORDS = 2, 2, 13, 50
 _BLANKS = "' \\t\\r\\n\\u000b\\u000c'"
 
 
@@ -43,13 +46,14 @@ def chunks(text: str = "text") -> str:
     """
     line = f"struct(cast(conv(substring(md5(l), 1, 7), 16, 10) as bigint) as h, length(l) >= {2 * ALONE_WORDS - 1} and {_words('l')} >= {ALONE_WORDS} as p)"
     rolled = " + ".join(f"coalesce(get(hs, i + {k}).h, 0L) * {31 ** (SPAN - 1 - k)}" for k in range(SPAN))
-    ends = f"hs[i].p or coalesce(get(hs, i + 1).p, true) or ({rolled}) % 1000003 % {EVERY} = 0"  # no next line: the end
+    ends = "hs[i].p or coalesce(get(hs, i + 1).p, true) or rs[i] < rs[i + 1] or coalesce(get(rs, i - 1) >= rs[i], false)"  # no next line: the end
     start = "coalesce(get(es, k - 1) + 1, 0)"
     return (
         f"transform(array(split({text}, '\\n', -1)), ls -> "
         f"transform(array(transform(ls, l -> {line})), hs -> "
+        f"transform(array(transform(hs, (x, i) -> ({rolled}) % 1000003)), rs -> "
         f"transform(array(filter(sequence(0, size(hs) - 1), i -> {ends})), es -> "
-        f"struct(ls as ls, transform(es, (e, k) -> struct({start} as s, e - {start} + 1 as n)) as cs))[0])[0])[0]"
+        f"struct(ls as ls, transform(es, (e, k) -> struct({start} as s, e - {start} + 1 as n)) as cs))[0])[0])[0])[0]"
     )
 
 
@@ -77,15 +81,14 @@ def marked(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     first = occ.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_h", "at", "above", "under")).alias("f")).where("n > 1").select("key", "f")
     rep = occ.join(first, "key").where("not (_id <=> f._id and _h = f._h and at = f.at) and (big or above = f.above or under = f.under)")
     rep = scratch.keep(rep.select("_id", "_h", "at", "key", F.col("f._id").alias("fi"), F.col("f._h").alias("fh"), F.col("f.at").alias("fa")), "repeated")
-    # Places, with those of the first occurrences they are compared with, gathered by document, fetch the chunks and their neighbours.
+    # Places, with those of the first occurrences they are compared with, gathered by document, fetch the chunks and the lines beside them.
     firsts = rep.select(F.col("fi").alias("_id"), F.col("fh").alias("_h"), F.col("fa").alias("at"), "key").distinct().withColumn("first", F.lit(True))
     places = rep.select("_id", "_h", "at", "key").withColumn("first", F.lit(False)).unionByName(firsts)
     wanted = places.groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "key", "first")).alias("w")).hint("merge").withColumnsRenamed({"_id": "_i", "_h": "_g"})
     one = d.join(wanted, d["_id"].eqNullSafe(wanted["_i"]) & (d["_h"] == wanted["_g"])).drop("_i", "_g")
-    none = "cast(array() as array<string>)"
-    near = f"reverse({_lines('get(x.cs, y.at - 1)')}) as prev, {_lines('get(x.cs, y.at + 1)')} as next"
+    near = f"transform(array(x.cs[y.at]), c -> struct(reverse(slice(x.ls, greatest(c.s - {SIDE}, 0) + 1, least(c.s, {SIDE}))) as prev, slice(x.ls, c.s + c.n + 1, {SIDE}) as next))[0] as near"
     got = one.select("_id", "_h", F.explode(F.expr(f"transform(array({chunks()}), x -> transform(w, y -> struct(y.key as key, y.first as first, x.cs[y.at].s as s, {_lines('x.cs[y.at]')} as own, {near})))[0]")).alias("m"))
-    got = got.select("_id", "_h", "m.key", "m.first", "m.s", "m.own", F.coalesce("m.prev", F.expr(none)).alias("prev"), F.coalesce("m.next", F.expr(none)).alias("next"))
+    got = got.select("_id", "_h", "m.key", "m.first", "m.s", "m.own", "m.near.prev", "m.near.next")
     got = scratch.keep(got, "chunks")
     del occ, first, rep, firsts, places, wanted, one
     scratch.drop("places")
@@ -95,7 +98,7 @@ def marked(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     met = got.where("not first").join(kept, "key").where("own = k.own").withColumns({"back": F.expr(_common("prev", "k.prev")), "on": F.expr(_common("next", "k.next"))})
     run = met.withColumn("run", F.expr("concat(slice(prev, 1, back), own, slice(next, 1, on))"))
     run = run.where(f"size(filter(run, l -> btrim(l, {_BLANKS}) <> '')) >= 2 or exists(run, l -> length(l) >= {2 * LONG_WORDS - 1} and {_words('l')} >= {LONG_WORDS})")
-    gone = run.groupBy("_id", "_h").agg(F.collect_list(F.expr("sequence(s - back, s + size(own) - 1 + on)")).alias("g"))  # at most three times the document's lines
+    gone = run.groupBy("_id", "_h").agg(F.collect_list(F.expr("sequence(s - back, s + size(own) - 1 + on)")).alias("g"))  # at most 1 + 2 * SIDE times the document's lines
     gone = gone.select("_id", "_h", F.array_sort(F.array_distinct(F.flatten("g"))).alias("gone"))
     gone = scratch.keep(gone, "gone")
     del got, kept, met, run

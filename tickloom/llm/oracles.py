@@ -6,16 +6,18 @@ LINE_DEDUP = f"""
 with line as (
   select doc_id, i, l, ('0x' || substr(md5(l), 1, 7))::bigint as h, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) as w
   from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null)
+), rolled as (
+  select *, (h * 31 + coalesce(lead(h) over (partition by doc_id order by i), 0)) % 1000003 as r from line
 ), cut as (
-  select *, w >= 17 or coalesce(lead(w) over o >= 17, true) or (h * 31 + coalesce(lead(h) over o, 0)) % 1000003 % 2 = 0 as e from line window o as (partition by doc_id order by i)
+  select *, w >= 13 or coalesce(lead(w) over o >= 13, true) or coalesce(r < lead(r) over o, false) or coalesce(lag(r) over o >= r, false) as e,
+    lag(l) over o as p1, lag(l, 2) over o as p2, lead(l) over o as n1, lead(l, 2) over o as n2 from rolled window o as (partition by doc_id order by i)
 ), numbered as (
   select *, coalesce(sum(e::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as c from cut
 ), chunk as (
-  select doc_id, c, min(i) as s, list(l order by i) as ls, sum(w) as w from numbered group by all
-), beside as (
-  select *, coalesce(list_reverse(lag(ls) over o), []) as prev, coalesce(lead(ls) over o, []) as next from chunk window o as (partition by doc_id order by c)
+  select doc_id, c, min(i) as s, list(l order by i) as ls, sum(w) as w, list_filter(list([p1, p2] order by i)[1], lambda q: q is not null) as prev,
+    list_filter(list([n1, n2] order by i)[-1], lambda q: q is not null) as next from numbered group by doc_id, c
 ), ranked as (
-  select *, row_number() over (partition by ls order by doc_id, c) as k from beside where w > 0
+  select *, row_number() over (partition by ls order by doc_id, c) as k from chunk where w > 0
 ), grown as (
   select r.doc_id, r.s - len(list_filter(range(1, least(len(r.prev), len(f.prev)) + 1), lambda q: r.prev[1:q] = f.prev[1:q])) as a,
     r.s + len(r.ls) + len(list_filter(range(1, least(len(r.next), len(f.next)) + 1), lambda q: r.next[1:q] = f.next[1:q])) as z
