@@ -537,7 +537,9 @@ def test_license_scan(spark):
 # ---- WARC
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("hot", [1000, 5, 0])  # all payloads broadcast, some, none
+def test_warc_round_trip(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT", hot)
     rows = [(i, f"http://x/{i}", f"<p>{i % 4}</p>" * 50) for i in range(40)] + [(100, None, None), (101, "a\r\nb%", ""), (None, "u", "<p>1</p>" * 50), (7, "http://x/7", "<p>3</p>" * 50), (200, "long", "é" * 300_000)]
     p = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     index = warc.write(p, str(tmp_path / "a"))

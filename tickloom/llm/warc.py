@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import Scratch, open_fs
 
 FILE_BYTES = 1 << 28
+#: A payload with more than this part of the rows is met without a shuffle.
+HOT = 1000
 GAP, MOST, TASK_BYTES = 1 << 16, 1 << 22, 1 << 23
 INDEX = "file string, offset long, length long, page_id long, url string, digest string"
 DATE = "2024-01-01T00:00:00Z"
@@ -81,10 +83,15 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write the archives of pages (page_id, url, html) under folder; the index, not yet run. Write it out once, then use that."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("_body"))
     pages = pages.withColumns({"_sha": F.unhex(F.sha1("_body")), "_len": F.octet_length("_body")})
-    # Decided on narrow rows: one for each (page_id, payload), whatever the size of a group of copies.
-    who = pages.select("page_id", "_sha", "_len").distinct()
-    least = who.groupBy("_sha", "_len").agg(F.min("page_id").alias("_least"))
-    told = who.join(least, ["_sha", "_len"]).where((F.col("_len") >= least_bytes) & F.col("_least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_least")))
+    # Decided on narrow rows: one for each (page_id, payload), of payloads that occur again only.
+    who = Scratch(pages.sparkSession, "warc-payloads").keep(pages.where(F.col("_len") >= least_bytes).select("page_id", "_sha", "_len").distinct(), "who")
+    least = who.groupBy("_sha", "_len").agg(F.min("page_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1 and _least is not null")
+    # A payload with a share of over 1 / HOT of the rows (HOT of them at most, so they may be broadcast) is met without a shuffle; the rest by key.
+    rows = who.count()
+    hot = F.broadcast(least.where(F.col("_n") * HOT > rows))
+    cold = least.where(F.col("_n") * HOT <= rows)
+    rest = who.join(hot.select("_sha", "_len"), ["_sha", "_len"], "left_anti")
+    told = who.join(hot, ["_sha", "_len"]).unionByName(rest.join(cold, ["_sha", "_len"])).where(~F.col("page_id").eqNullSafe(F.col("_least")))
     told = told.select(F.col("page_id").alias("_p"), F.col("_sha").alias("_s"), F.lit(False).alias("_first"), "_least")
     full = pages.join(told, pages["page_id"].eqNullSafe(told["_p"]) & (pages["_sha"] == told["_s"]), "left")
     full = full.select("page_id", "url", "_body", F.coalesce("_first", F.lit(True)).alias("_first"), "_least")
