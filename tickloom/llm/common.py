@@ -81,6 +81,11 @@ class Scratch:
             pass
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """A kept table dealt out by about `rows` rows a task: for rows that are heavy in work, not in bytes."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """File system and path of a file or folder in the shared folder, for workers."""
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")

@@ -21,10 +21,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Scratch
+from tickloom.llm.common import Scratch, spread
 
 SHINGLE, THRESHOLD, BANDS = 5, 0.8, 64
 MAX_TEMPLATES = 2000
+#: Rows a task takes, of documents with an anchor and of windows: few bytes, much work.
+DOCS, WINDOWS = 512, 4096
 
 #: Notices by which licenses are commonly named.
 TEMPLATES: Mapping[str, str] = {
@@ -87,7 +89,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
         anchored = anchored | F.contains(F.col("_low"), F.lit(w))
     scratch = Scratch(spark, "license-scan")
     d = docs.withColumn("_low", F.lower("text")).where(anchored).select("_r", F.split(plain, " ").alias("w"))
-    d = scratch.keep(d, "words")  # few documents hold an anchor
+    d = spread(scratch.keep(d, "words"), DOCS)  # few documents hold an anchor
     held = "array(" + ", ".join(f"'{w}'" for w in words) + ")"
     # (class, shingle size, first shingle) of windows that hold an anchor: found from the anchors' places, not by trying all.
     places = F.expr(f"filter(transform(w, (x, i) -> if(array_contains({held}, x), i, null)), i -> i is not null)")
@@ -99,7 +101,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     d = d.select("_r", "w", F.explode(F.expr("concat(" + ", ".join(parts) + ")")).alias("win")).select("_r", "w", "win.*")
     d = d.select("_r", "class", "size", "first", F.expr("slice(w, first + 1, 2 * class + size - 1)").alias("w"))
     d = d.where("size(w) >= size").withColumn("own", F.expr("transform(array(w), v -> array_distinct(transform(sequence(1, size(v) - size + 1), i -> array_join(slice(v, i, size), ' '))))[0]"))
-    d = scratch.keep(d.select("_r", "class", "size", "first", "own"), "windows")
+    d = spread(scratch.keep(d.select("_r", "class", "size", "first", "own"), "windows"), WINDOWS)
     d = d.select("_r", "class", "size", "first", "own", F.explode(F.expr(hashed)).alias("key"))
     met = d.join(F.broadcast(keys), ["class", "size", "key"]).dropDuplicates(["_r", "class", "size", "first", "license"])
     share = F.size(F.array_intersect("template", "own")) / F.size("template")
