@@ -35,8 +35,10 @@ SPAN, SIDE, ALONE_WORDS, LONG_WORDS = 2, 2, 13, 50
 _BLANKS = "' \\t\\r\\n\\u000b\\u000c'"
 
 
-def _words(line: str) -> str:
-    return f"size(split(btrim({line}, {_BLANKS}), '[\\\\x20\\\\x09-\\\\x0D]+'))"
+def _long(line: str, words: int) -> str:
+    """SQL: whether a line has that many words. It reads no further than it must."""
+    blank = "\\\\x20\\\\x09-\\\\x0D"
+    return f"(length({line}) >= {2 * words - 1} and {line} rlike '^[{blank}]*+(?:[^{blank}]++[{blank}]++){{{words - 1}}}[^{blank}]')"
 
 
 def chunks(text: str = "text") -> str:
@@ -44,7 +46,7 @@ def chunks(text: str = "text") -> str:
 
     transform(array(x), v -> ...)[0] binds v to x once. Every step is linear in the text.
     """
-    line = f"struct(cast(conv(substring(md5(l), 1, 7), 16, 10) as bigint) as h, length(l) >= {2 * ALONE_WORDS - 1} and {_words('l')} >= {ALONE_WORDS} as p)"
+    line = f"struct(cast(conv(substring(md5(l), 1, 7), 16, 10) as bigint) as h, {_long('l', ALONE_WORDS)} as p)"
     rolled = " + ".join(f"coalesce(get(hs, i + {k}).h, 0L) * {31 ** (SPAN - 1 - k)}" for k in range(SPAN))
     ends = "hs[i].p or coalesce(get(hs, i + 1).p, true) or rs[i] < rs[i + 1] or coalesce(get(rs, i - 1) >= rs[i], false)"  # no next line: the end
     start = "coalesce(get(es, k - 1) + 1, 0)"
@@ -72,7 +74,7 @@ def marked(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     d = docs.where(f"text is not null and (instr(text, '\\n') > 0 or length(text) >= {2 * LONG_WORDS - 1})").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text")
     # A chunk that would not go by itself goes only if a line beside it is like that beside its first occurrence: told by hashes of these lines, before any text moves.
     own, line = _lines("c"), lambda i: f"xxhash64(get(x.ls, {i}))"
-    big = f"size(filter(v, l -> btrim(l, {_BLANKS}) <> '')) >= 2 or exists(v, l -> length(l) >= {2 * LONG_WORDS - 1} and {_words('l')} >= {LONG_WORDS})"
+    big = f"size(filter(v, l -> btrim(l, {_BLANKS}) <> '')) >= 2 or exists(v, l -> {_long('l', LONG_WORDS)})"
     key = f"if(btrim(array_join(v, '\n'), {_BLANKS}) <> '', unhex(md5(array_join(v, '\n'))), null) as key"
     beside = f"if(c.s > 0, {line('c.s - 1')}, null) as above, if(c.s + c.n < size(x.ls), {line('c.s + c.n')}, null) as under"
     keyed = f"transform(array({chunks()}), x -> transform(x.cs, (c, i) -> transform(array({own}), v -> struct(i as at, {key}, {big} as big, {beside}))[0]))[0]"
@@ -97,7 +99,7 @@ def marked(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     kept = got.where("first").groupBy("key").agg(F.min(F.struct("own", "prev", "next")).alias("k"))
     met = got.where("not first").join(kept, "key").where("own = k.own").withColumns({"back": F.expr(_common("prev", "k.prev")), "on": F.expr(_common("next", "k.next"))})
     run = met.withColumn("run", F.expr("concat(slice(prev, 1, back), own, slice(next, 1, on))"))
-    run = run.where(f"size(filter(run, l -> btrim(l, {_BLANKS}) <> '')) >= 2 or exists(run, l -> length(l) >= {2 * LONG_WORDS - 1} and {_words('l')} >= {LONG_WORDS})")
+    run = run.where(f"size(filter(run, l -> btrim(l, {_BLANKS}) <> '')) >= 2 or exists(run, l -> {_long('l', LONG_WORDS)})")
     gone = run.groupBy("_id", "_h").agg(F.collect_list(F.expr("sequence(s - back, s + size(own) - 1 + on)")).alias("g"))  # at most 1 + 2 * SIDE times the document's lines
     gone = gone.select("_id", "_h", F.array_sort(F.array_distinct(F.flatten("g"))).alias("gone"))
     gone = scratch.keep(gone, "gone")
