@@ -153,7 +153,8 @@ def brute_dedup(rows):
             own = tuple(lines[a : z + 1])
             if not any(x.strip() for x in own):
                 continue
-            prev, after = lines[max(0, a - 2) : a][::-1], lines[z + 1 : z + 3]
+            side = lambda k: 1 if 0 <= k < len(lines) and len(lines[k].split()) >= 13 else 2
+            prev, after = lines[max(0, a - side(a - 1)) : a][::-1], lines[z + 1 : z + 1 + side(z + 1)]
             if own not in first:
                 first[own] = (prev, after)
                 continue

@@ -6,8 +6,8 @@ depend on nearby lines alone, survive shifts and stand two lines apart at most.
 itself: a boundary stands before and after it.
 
 A chunk that occurred before (less doc_id, then text hash, then place) is compared with its first occurrence by its bytes. Where
-they are equal, the match grows line by line over SIDE lines on either side: what lies beyond is a match of its own. What then
-matches is removed if it holds two lines with words or a line of LONG_WORDS words. A removed line always has an equal one
+they are equal, the match grows line by line over SIDE lines on either side, not past one that is alone: what lies beyond is a match
+of its own. What then matches is removed if it holds two lines with words or a line of LONG_WORDS words. A removed line always has an equal one
 at an earlier place, so the first copy of anything stays.
 
 A repeated passage of over 4 * (ALONE_WORDS - 1) words, so one of 50 words or more, holds a whole chunk whatever its neighbours:
@@ -42,7 +42,7 @@ def _long(line: str, words: int) -> str:
 
 
 def chunks(text: str = "text") -> str:
-    """SQL for struct<ls, cs>: a text's lines, and its chunks as (s, n): first line and number of lines.
+    """SQL for struct<ls, ps, cs>: a text's lines, whether each is alone, and its chunks as (s, n): first line and number of lines.
 
     transform(array(x), v -> ...)[0] binds v to x once. Every step is linear in the text.
     """
@@ -55,7 +55,7 @@ def chunks(text: str = "text") -> str:
         f"transform(array(transform(ls, l -> {line})), hs -> "
         f"transform(array(transform(hs, (x, i) -> ({rolled}) % 1000003)), rs -> "
         f"transform(array(filter(sequence(0, size(hs) - 1), i -> {ends})), es -> "
-        f"struct(ls as ls, transform(es, (e, k) -> struct({start} as s, e - {start} + 1 as n)) as cs))[0])[0])[0])[0]"
+        f"struct(ls as ls, hs.p as ps, transform(es, (e, k) -> struct({start} as s, e - {start} + 1 as n)) as cs))[0])[0])[0])[0]"
     )
 
 
@@ -88,7 +88,9 @@ def marked(docs: DataFrame) -> tuple[DataFrame, Scratch]:
     places = rep.select("_id", "_h", "at", "key").withColumn("first", F.lit(False)).unionByName(firsts)
     wanted = places.groupBy("_id", "_h").agg(F.collect_list(F.struct("at", "key", "first")).alias("w")).hint("merge").withColumnsRenamed({"_id": "_i", "_h": "_g"})
     one = d.join(wanted, d["_id"].eqNullSafe(wanted["_i"]) & (d["_h"] == wanted["_g"])).drop("_i", "_g")
-    near = f"transform(array(x.cs[y.at]), c -> struct(reverse(slice(x.ls, greatest(c.s - {SIDE}, 0) + 1, least(c.s, {SIDE}))) as prev, slice(x.ls, c.s + c.n + 1, {SIDE}) as next))[0] as near"
+    far = lambda i: f"if(coalesce(get(x.ps, {i}), false), 1, {SIDE})"
+    prev = f"transform(array(least(c.s, {far('c.s - 1')})), k -> reverse(slice(x.ls, c.s - k + 1, k)))[0]"
+    near = f"transform(array(x.cs[y.at]), c -> struct({prev} as prev, slice(x.ls, c.s + c.n + 1, {far('c.s + c.n')}) as next))[0] as near"
     got = one.select("_id", "_h", F.explode(F.expr(f"transform(array({chunks()}), x -> transform(w, y -> struct(y.key as key, y.first as first, x.cs[y.at].s as s, {_lines('x.cs[y.at]')} as own, {near})))[0]")).alias("m"))
     got = got.select("_id", "_h", "m.key", "m.first", "m.s", "m.own", "m.near.prev", "m.near.next")
     got = scratch.keep(got, "chunks")

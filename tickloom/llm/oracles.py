@@ -10,7 +10,7 @@ with line as (
   select *, (h * 31 + coalesce(lead(h) over (partition by doc_id order by i), 0)) % 1000003 as r from line
 ), cut as (
   select *, w >= 13 or coalesce(lead(w) over o >= 13, true) or coalesce(r < lead(r) over o, false) or coalesce(lag(r) over o >= r, false) as e,
-    lag(l) over o as p1, lag(l, 2) over o as p2, lead(l) over o as n1, lead(l, 2) over o as n2 from rolled window o as (partition by doc_id order by i)
+    lag(l) over o as p1, case when lag(w) over o < 13 then lag(l, 2) over o end as p2, lead(l) over o as n1, case when lead(w) over o < 13 then lead(l, 2) over o end as n2 from rolled window o as (partition by doc_id order by i)
 ), numbered as (
   select *, coalesce(sum(e::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as c from cut
 ), chunk as (
