@@ -216,6 +216,21 @@ def test_line_dedup_removes_whole_passages(spark):
     assert [got[i] == "" for i in range(9000, 9005)] == [False, True, False, False, False]
 
 
+@pytest.mark.parametrize("between", [[], [""]])
+def test_line_dedup_rule_finds_every_passage(between):
+    """The rule itself: passages of 51 words and more, lines of any length, between different neighbours, with or without blank lines."""
+    r = random.Random(5)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    for _ in range(500):
+        most, passage = r.choice((4, 8, 12, 16, 25)), []
+        while sum(len(x.split()) for x in passage) <= 50:
+            passage += [line(r.randint(1, most)), *between]
+        own = [[[line(r.randint(1, most)) for _ in range(3)] for _ in range(2)] for _ in range(2)]
+        rows = [(k, "\n".join(a + passage + b)) for k, (a, b) in enumerate(own)]
+        first, second = brute_dedup(rows)
+        assert first == rows[0] and [x for x in second[1].split("\n") if x] == own[1][0] + own[1][1]
+
+
 def test_line_dedup_odd_rows(spark):
     passage = prose(60)
     rows = [(20, f"own line one\n{passage}\nown line two"), (21, f"{prose(4)}\n{prose(9)}\n{passage}"), *ODD, (None, f"first of all\n{passage}"), (22, f"x\n{passage}"), (22, f"x\n{passage}")]
