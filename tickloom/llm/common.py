@@ -20,6 +20,8 @@ BLANK_CLASS = r"[\x20\x09-\x0D]+"
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Words that a worker keeps hashed at most; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
+#: Narrow tables are written by tasks of about so many rows, but by LEAST_FILES tasks at least where there are as many.
+FILE_ROWS, LEAST_FILES = 500_000, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,13 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_narrow(self, df: DataFrame, name: str, most: int) -> DataFrame:
+        """Keep a table of narrow rows, whose last step reads `most` rows at most: in files by that bound, not one for each shuffle partition.
+
+        Only the step after the last shuffle is run by fewer tasks; beyond FILE_ROWS a shuffle partition nothing changes.
+        """
+        return self.keep(df.coalesce(max(LEAST_FILES, -(-most // FILE_ROWS))), name)
+
     def files(self, name: str) -> list[str]:
         """The data files of a kept table, in order."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -26,6 +26,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) links -> (node, root) of every node in a link, root being the least node of its component.
 
     Nulls and self-links are left out. Steps go on until the edges no longer change. Every intermediate edge list is written to the shared folder; no list is collected.
+    A step never makes more edges than two for each it was given, which sizes the files written.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.keep(e, "edges0")
@@ -34,7 +35,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     for k in count(1):
         if now[0] == 0:
             break
-        new = scratch.keep(_stars(_stars(e, small=False), small=True), f"edges{k}")
+        new = scratch.keep_narrow(_stars(_stars(e, small=False), small=True), f"edges{k}", 2 * now[0])
         then = mark(new)
         scratch.drop(f"edges{k - 1}")
         e, done, now = new, then == now, then

@@ -335,7 +335,7 @@ def _star_pairs(busy: DataFrame, num: int, den: int) -> DataFrame:
 
 def _open_rows(busy: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(tok, way, sig, n, part, least) of the busy keys whose classes lie in more than one component of the links so far."""
-    roots = scratch.keep(components(links, scratch), "star-roots").withColumnsRenamed({"node": "sig", "root": "part"})
+    roots = scratch.keep_narrow(components(links, scratch), "star-roots", 2 * links.count()).withColumnsRenamed({"node": "sig", "root": "part"})
     rows = busy.select("tok", "way", "sig", "n").join(roots, "sig", "left").withColumn("part", F.coalesce("part", "sig"))
     ways = rows.groupBy("tok", "way").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("sig").alias("least"))
     keys = ways.groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least")).where("lo <> hi").select("tok", "least")
@@ -388,19 +388,22 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
 
     known = rows.where("n > 0 and doc_id is not null")
+    n_rows = rows.count()
     found = scratch.keep(_candidates(_prefixes(known, k, num, den, hot, order), num, den, hot), "found")
     scratch.free()
     # Repeated rows of a class are all alike: one stands for them, so that copies do not multiply pairs.
     one = known.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("par").alias("par")).withColumn("id", _id("sig"))
-    one = scratch.keep(one, "one")
+    one = scratch.keep_narrow(one, "one", n_rows)
+    n_found = found.count()
     near = found.where("b is not null").select("a", "b", "na", "nb").distinct()
     x, y = (one.select(F.struct("sig", "n", "par").alias(s), F.col("id").alias(c), F.col("n").alias(f"n{c}")) for s, c in (("x", "a"), ("y", "b")))
     near = near.join(x, ["a", "na"]).join(y, ["b", "nb"]).where(_alike("x", "y", num, den))
-    near = scratch.keep(near.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), "na", "nb"), "pairs")
+    near = scratch.keep_narrow(near.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), "na", "nb"), "pairs", n_found + 2 * n_rows)
     busy = found.where("b is null").select("tok", F.col("a").alias("id"), F.col("na").alias("n"))
     busy = busy.join(one.select("id", "n", "sig", "par"), ["id", "n"]).withColumn("way", F.pmod(F.xxhash64("sig"), F.lit(WAYS)))
-    busy = scratch.keep(busy.select("tok", "way", "sig", "n", "par"), "busy")
-    stars = scratch.keep(_star_pairs(busy, num, den), "star-pairs")
+    busy = scratch.keep_narrow(busy.select("tok", "way", "sig", "n", "par"), "busy", n_found + n_rows)
+    n_pairs = near.count() + 4 * busy.count()
+    stars = scratch.keep_narrow(_star_pairs(busy, num, den), "star-pairs", n_pairs)
 
     # One row of each class wanted stands for it; its packed words are fetched by id and class.
     wanted = busy.select("sig").unionByName(near.select(F.col("a").alias("sig"))).unionByName(near.select(F.col("b").alias("sig"))).distinct()
@@ -409,15 +412,15 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
     sets = scratch.keep(sets.dropDuplicates(["sig"]).select("sig", "words"), "words")
     del wanted, ids, x, y, one
     scratch.free()
-    cold = scratch.keep(_count_pairs(near, sets, order, k, num, den).unionByName(_count_pairs(stars, sets, order, k, num, den)), "cold")
+    cold = scratch.keep_narrow(_count_pairs(near, sets, order, k, num, den).unionByName(_count_pairs(stars, sets, order, k, num, den)), "cold", n_pairs)
     scratch.free()
-    left = scratch.keep(_open_rows(busy, cold, scratch), "open")
+    left = scratch.keep_narrow(_open_rows(busy, cold, scratch), "open", n_found)
     links = cold.unionByName(_hot_links(left, sets, order, k, num, den, scratch))
     roots = components(scratch.keep(links, "links"), scratch)
     # Classes of a component share its least document.
     rooted = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     comp = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = scratch.keep(rooted.join(comp, "root").select("sig", "root", "component_id"), "classes")
+    by_class = scratch.keep_narrow(rooted.join(comp, "root").select("sig", "root", "component_id"), "classes", n_rows)
     out = rows.join(by_class, "sig", "left")
     for name in ("found", "one", "pairs", "busy", "star-pairs", "words", "cold", "star-roots", "open", "links"):
         scratch.drop(name)

@@ -84,7 +84,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("_body"))
     pages = pages.withColumns({"_sha": F.unhex(F.sha1("_body")), "_len": F.octet_length("_body")})
     # Decided on narrow rows: one for each (page_id, payload), of payloads that occur again only.
-    who = Scratch(pages.sparkSession, "warc-payloads").keep(pages.where(F.col("_len") >= least_bytes).select("page_id", "_sha", "_len").distinct(), "who")
+    who = pages.where(F.col("_len") >= least_bytes).select("page_id", "_sha", "_len").distinct()
+    who = Scratch(pages.sparkSession, "warc-payloads").keep_narrow(who, "who", pages.count())
     least = who.groupBy("_sha", "_len").agg(F.min("page_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1 and _least is not null")
     # A payload with a share of over 1 / HOT of the rows (HOT of them at most, so they may be broadcast) is met without a shuffle; the rest by key.
     rows = who.count()
