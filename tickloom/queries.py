@@ -323,12 +323,12 @@ def accepted_features(s, d):
 
 @q
 def exact_stream(s, d):
-    """The same from the stream engine, stopped half-way and started again from its checkpoint."""
+    """The same from the stream engine, stopped half-way and started again from its checkpoint; the second half ends the input."""
     root = session.work_dir(s, "exact-stream")
     t = testdata.arrivals(s, d)
     half = t.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    for part in ("seq <= {}", "seq > {}"):
-        t.where(part.format(half)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    for part in (t.where(F.col("seq") <= half), t.where(F.col("seq") > half).unionByName(live.ended(t))):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
         out = live.ExactEngine(3600, [0, 1, 2], "500", 5).run(s.readStream.schema(t.schema).parquet(f"{root}/in"))
         w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
         w.trigger(availableNow=True).start().awaitTermination()

@@ -81,33 +81,51 @@ OUT = "instrument string, feature_name string, window_start timestamp, window_en
 STATE = "blob binary"
 
 
+def ended(trades: DataFrame) -> DataFrame:
+    """A row for each instrument of trades that tells `ExactEngine`, last in arrival order, that partitions without data so far will have none."""
+    of = {"instrument": F.col("instrument"), "partition": F.lit(-1), "event_id": F.lit(-1), "seq": F.lit(2**63 - 1)}
+    return trades.select("instrument").distinct().select(*[of.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in trades.schema])
+
+
 class ExactEngine:
-    """All four features by the exact rules. State per instrument: each partition's clock, open windows (their trades and last book), and the volume bucket being filled."""
+    """All four features by the exact rules. State per instrument: each partition's clock, open windows (their trades and last book), and the volume bucket being filled.
+
+    A partition without data yet is not counted for what is late, so its first arrival may take the watermark back. No window closes before: each is told
+    once, with all it accepted, when every partition has had data or an end (see `ended`) says that the others have none. Until then windows wait in the state.
+    """
 
     def __init__(self, size_seconds: int, partitions: list[int], bucket: str = "1", history: int = 1, levels: int = 5):
         self.size, self.partitions, self.bucket, self.history, self.levels = size_seconds * 1_000_000, partitions, Decimal(bucket), history, levels
 
     def fresh(self) -> dict:
-        return {"tops": {}, "open": {}, "buy": Decimal(0), "sell": Decimal(0), "past": [], "late": 0}
+        return {"tops": {}, "open": {}, "buy": Decimal(0), "sell": Decimal(0), "past": [], "late": 0, "ended": False, "done": None}
 
     def step(self, s: dict, rows: list[tuple]) -> list[tuple]:
-        """Take rows in arrival order; what closes, in order. Trades: (us, event_id, price, size, side, partition); books: (us, event_id, None, None, None, partition, bids, asks), sides as [(price, size)]."""
+        """Take rows in arrival order; what closes, in order. Trades: (us, event_id, price, size, side, partition); books: (us, event_id, None, None, None, partition, bids, asks), sides as [(price, size)]; an end: us None."""
         out = []
         for us, eid, price, size, side, part, *book in rows:
-            s["tops"][part] = max(us, s["tops"].get(part, us))
-            # The partition set is known up front; one without data yet is not counted.
-            mark = min((s["tops"][p] for p in self.partitions if p in s["tops"]), default=us)
-            start = us // self.size * self.size
-            if start + self.size <= mark:
-                s["late"] += 1
+            if us is None:
+                s["ended"] = True
             else:
-                w = s["open"].setdefault(start, {"trades": [], "book": None})
-                if price is not None:
-                    w["trades"].append((us, eid, price, size, side))
-                elif w["book"] is None or (us, eid) > w["book"][:2]:
-                    w["book"] = (us, eid, *book)
-            for at in sorted(at for at in s["open"] if at + self.size <= mark):
-                out += self._close(s, at, s["open"].pop(at))
+                s["tops"][part] = max(us, s["tops"].get(part, us))
+            # The partition set is known up front; one without data yet is not counted.
+            seen = [s["tops"][p] for p in self.partitions if p in s["tops"]]
+            mark = min(seen, default=us)
+            if us is not None:
+                start = us // self.size * self.size
+                # Only a partition that begins after an end can meet a window told already.
+                if start + self.size <= mark or (s["done"] is not None and start <= s["done"]):
+                    s["late"] += 1
+                else:
+                    w = s["open"].setdefault(start, {"trades": [], "book": None})
+                    if price is not None:
+                        w["trades"].append((us, eid, price, size, side))
+                    elif w["book"] is None or (us, eid) > w["book"][:2]:
+                        w["book"] = (us, eid, *book)
+            if seen and (s["ended"] or len(seen) == len(set(self.partitions))):
+                for at in sorted(at for at in s["open"] if at + self.size <= mark):
+                    out += self._close(s, at, s["open"].pop(at))
+                    s["done"] = at
         return out
 
     def _close(self, s: dict, at: int, window: dict) -> Iterator[tuple]:
@@ -140,7 +158,7 @@ class ExactEngine:
                 s["buy"] = s["sell"] = Decimal(0)
 
     def run(self, trades: DataFrame, books: DataFrame | None = None) -> DataFrame:
-        """Streaming (or batch) DataFrames of trades (TICK columns) and books (instrument, event_id, event_time, partition, seq, bids, asks) -> closed features. State is checkpointed by Spark."""
+        """Streaming (or batch) DataFrames of trades (TICK columns; rows without event_time are ends) and books (instrument, event_id, event_time, partition, seq, bids, asks) -> closed features. State is checkpointed by Spark."""
         engine = self
         key = ["instrument", "event_id", "event_time", "partition", "seq"]
         sides = ("bids.price", "bids.size", "asks.price", "asks.size")
@@ -150,12 +168,15 @@ class ExactEngine:
             both = both.unionByName(books.select(*key, *none("decimal(18,8)", "price", "size"), *none("string", "side"), *[F.col(c).alias(n) for c, n in zip(sides, ("bp", "bs", "ap", "as"), strict=True)]))
 
         def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            s = pickle.loads(state.get[0]) if state.exists else engine.fresh()
+            s = engine.fresh() | (pickle.loads(state.get[0]) if state.exists else {})
             d = pd.concat(list(frames)).sort_values("seq", kind="stable")
-            us = (d["event_time"] - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
+            us = (d["event_time"].fillna(pd.Timestamp(0)) - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
+            us = us.astype(object).where(d["event_time"].notna(), None)
             rows = []
             for t, e, p, q, side, part, *levels in zip(us.tolist(), *(d[c].tolist() for c in ("event_id", "price", "size", "side", "partition", "bp", "bs", "ap", "as")), strict=True):
-                if p is None:
+                if t is None:
+                    rows.append((None,) * 6)
+                elif p is None:
                     bp, bs, ap, as_ = (list(x) for x in levels)
                     rows.append((t, e, None, None, None, part, list(zip(bp, bs, strict=True)), list(zip(ap, as_, strict=True))))
                 else:
