@@ -116,6 +116,46 @@ def test_ngram_join_small_batches_and_blocks(spark, monkeypatch, batch, hot, set
     assert got == brute_groups(rows, 5, 4, 5)
 
 
+@pytest.mark.parametrize(("hot", "k", "num", "den"), [(48, 3, 9, 10), (2, 3, 9, 10), (2, 5, 4, 5)])
+def test_long_texts_that_share_keys_by_chance_send_no_words(spark, monkeypatch, hot, k, num, den):
+    """Sets beyond what a 512-bit sketch tells apart: the pairs and blocks that words are sent for don't grow with the square of such texts."""
+    r = random.Random(8)
+    shared = [" ".join(f"s{i}x{j}" for j in range(k)) for i in range(1200)]
+    parts = [[[f"w{r.randint(0, 10**9)}" for _ in range(2600)]] for _ in range(36)]
+    for i, phrase in enumerate(shared):
+        for x in r.sample(range(36), 2 if hot > 2 else 6):
+            parts[x].append([phrase])
+    texts = [" ".join(w for part in p for w in part) for p in parts]
+    near = texts[5].split()
+    near[7] = near[2000] = "other"
+    rows = [(i + 1, x) for i, x in enumerate(texts)] + [(50, " ".join(near))]
+    # Without counts to go by, every shingle is as likely to be in a prefix.
+    monkeypatch.setattr(ngram_join, "_order", lambda parts: (np.arange(1 << ngram_join.CELL_BITS, dtype=np.uint64), np.empty(0, np.uint64)))
+    sent, count, blocks = [], ngram_join._count_pairs, ngram_join._blocks
+    monkeypatch.setattr(ngram_join, "_count_pairs", lambda pairs, *a: sent.append(pairs.count()) or count(pairs, *a))
+
+    def spied(nodes, edges, num, den, most_sets, *a):
+        out = blocks(nodes, edges, num, den, most_sets, *a)
+        if most_sets == ngram_join.BLOCK_SETS:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_blocks", spied)
+    got = sorted(tuple(x) for x in ngram_join.groups(docs(spark, rows), k, num, den, hot).collect())
+    assert got == brute_groups(rows, k, num, den)
+    assert len(sent) == 3 and sum(sent) <= 6
+
+
+def test_full_sketches_fold_to_smaller_ones():
+    r = np.random.default_rng(3)
+    for n in (513, 1024, 1025, 9000):
+        s = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        bits = ngram_join._bits(len(s))
+        assert len(s) <= bits < 2 * len(s) + 2
+        for size in (512, bits):
+            assert (ngram_join._fold(ngram_join._parity(s, bits).tobytes(), size) == ngram_join._parity(s, size)).all()
+
+
 def test_ngram_join_null_ids_and_empty(spark):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.groups(docs(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (4, None), (None, "q r s t u v")])).collect()}
     assert got == {(None, 2, 3), (3, 2, 3), (4, 0, 4), (None, 2, None)}

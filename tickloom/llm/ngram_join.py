@@ -9,11 +9,14 @@ Candidates share a key among the first n - ceil(t n) + 1 of both sets, at places
 (prefix, position and length filters). One shuffle deals narrow rows (key, 64-bit class id, size and place) by key; sorted,
 they stream by, at most HOT of a key held. Where at most HOT classes share a key, pairs are listed and those whose 512-bit
 parity sketches differ in more bits than the two sets may differ in elements are dropped (that many elements do differ).
+Such a sketch tells nothing of sets much larger than it, and long texts share a rare-looking key by chance in pairs that grow with the square of their number.
+So sets of over 512 shingles have a second sketch, of a bit a shingle or more, and pairs of two such sets are held against these before any words are sent.
 What is left is verified on whole sets: a pair's two sets meet in one task, and their overlap, binned by fragment, is summed per pair.
 Where more classes share a key, no pairs are listed. Such a key's classes are dealt over WAYS ways; each is verified against the first and the last
 class of its way, and these against the first and last of the key: pairs in proportion to rows, which join copies of one text into one component. Keys
-whose classes hang together by then are done, for only components are asked for. Classes that hang together by the keys left form clusters. One that fits
-a block is met whole; in others the classes not yet in the cluster's largest component are met with all (those in it need not meet each other), in blocks bounded in
+whose classes hang together by then are done, for only components are asked for. Classes that hang together by the keys left form clusters, whose classes
+meet by their full sketches first, in bounded blocks; only those that may link to one of another component stay, and form smaller clusters by that. One that fits
+a block is met whole on sets; in others the classes not yet in the cluster's largest component are met with all (those in it need not meet each other), in blocks bounded in
 classes and shingles; two blocks of one or of neighbouring length bands meet in a task, which counts overlaps fragment by fragment and returns a spanning forest of
 the links: at most one row a class. Sets travel as compressed words, made with the sets in the one pass over texts, and are hashed again where they meet. No link's
 components are lost, whatever the size of a group; pairs of different texts that share a busy key and do not link are the part whose work is a product.
@@ -43,6 +46,8 @@ CELL_BITS = 18
 FRAGMENTS = 8
 HOT = 48
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 800_000
+#: The same for blocks of full sketches, which take a bit or two a shingle: 4 MB.
+SKETCH_SETS, SKETCH_SHINGLES = 2048, 16_000_000
 #: Ways over which the rows of a key known to be busy are dealt.
 WAYS = 64
 SKETCH_ROWS = 64
@@ -68,12 +73,12 @@ def _cell(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """For each row its doc_id, text hash, set size, class, parity sketch and packed words; and for each task its part of the count sketch (n = -1)."""
+    """For each row its doc_id, text hash, set size, class, parity sketch, full sketch (null: no larger) and packed words; and for each task its part of the count sketch (n = -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, names = np.zeros(1 << CELL_BITS, np.uint32), ["doc_id", "h", "n", "sig", "par", "words"]
+        cells, names = np.zeros(1 << CELL_BITS, np.uint32), ["doc_id", "h", "n", "sig", "par", "fine", "words"]
         for b in batches:
-            n, sig, par, packed = [], [], [], []
+            n, sig, par, fine, packed = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 words = lower_words(t)
                 s = _set_of(words, k)
@@ -82,14 +87,15 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 par.append(_parity(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(par, pa.binary()), pa.array(packed, pa.binary())], names)
+                fine.append(_parity(s, _bits(len(s))).tobytes() if len(s) > 64 * WORDS64 else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(par, pa.binary()), pa.array(fine, pa.binary()), pa.array(packed, pa.binary())], names)
         parts = np.split(cells, SKETCH_ROWS)
         some = [i for i, p in enumerate(parts) if p.any()]
         ids = pa.array(some, pa.int64())
         none = pa.array([-1] * len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, none, none, pa.array([parts[i].tobytes() for i in some], pa.binary()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([ids, none, none, pa.array([parts[i].tobytes() for i in some], pa.binary()), *[pa.nulls(len(some), pa.binary())] * 3], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("h")).mapInArrow(run, "doc_id long, h long, n long, sig binary, par binary, words binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("h")).mapInArrow(run, "doc_id long, h long, n long, sig binary, par binary, fine binary, words binary")
 
 
 def _order(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -125,12 +131,27 @@ def _keys(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.sort((rank[_cell(s)] << np.uint64(64 - CELL_BITS)) | (s & low))
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
+def _bits(n: int) -> int:
+    """Bits of a full sketch: a power of two, one a shingle at least."""
+    return max(64 * WORDS64, 1 << (n - 1).bit_length())
+
+
+def _parity(s: np.ndarray, size: int = 64 * WORDS64) -> np.ndarray:
+    """The parity of how many shingles fall to each of size bits, a power of two."""
     at = mix64(s + np.uint64(0x9E3779B97F4A7C15))
-    bits = np.bincount((at >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS64) & 1
+    bits = np.bincount((at >> np.uint64(65 - size.bit_length())).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def _fold(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of fewer bits that the same set has: neighbouring bits fall together."""
+    x = np.frombuffer(sketch, np.uint8)
+    while 8 * len(x) > size:
+        bits = np.unpackbits(x)
+        x = np.packbits(bits[::2] ^ bits[1::2])
+    return x.view(np.uint64)
+
+
 def _id(sig: str) -> Column:
     """The class id that candidates carry: the first half of the class's hash.
 
@@ -245,6 +266,24 @@ def _unpack(words: bytes, k: int, rank: np.ndarray) -> np.ndarray:
     return _keys(_set_of(zlib.decompress(words).split(), k), rank)
 
 
+def _fine_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, na, nb) without those of two large sets that differ in more bits of their full sketches than they may in elements. Only sketches are sent."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for p, q, n, m in zip(*(b.column(c).to_pylist() for c in ("x", "y", "na", "nb")), strict=True):
+                size = 8 * min(len(p), len(q))
+                unlike = int(np.bitwise_count(_fold(p, size) ^ _fold(q, size)).sum())
+                ok.append(unlike * (num + den) <= (den - num) * (n + m))
+            yield b.select(["a", "b", "na", "nb"]).filter(pa.array(ok, pa.bool_()))
+
+    large = F.least("na", "nb") > 64 * WORDS64
+    side = lambda c, x: sets.select(F.col("sig").alias(c), F.col("fine").alias(x))
+    met = pairs.where(large).join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+    return pairs.where(~large).unionByName(met.mapInArrow(keep, "a binary, b binary, na long, nb long"))
+
+
 def _count_pairs(pairs: DataFrame, sets: DataFrame, order, k: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that link, verified on whole sets; their overlaps are told by fragment and summed, but no data are dealt by fragment."""
 
@@ -342,16 +381,62 @@ def _open_rows(busy: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame
     return rows.join(ways.select("tok", "way").join(keys, "tok"), ["tok", "way"])
 
 
+def _may_link(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Pairs of two components whose full sketches allow a link, among the sets of two blocks: a spanning forest of them."""
+    pdf = pdf.drop_duplicates("sig").sort_values(["n", "sig"])
+    n, part, sketch, sig = pdf["n"].to_numpy(), pd.factorize(pdf["part"])[0], pdf["fine"].tolist(), pdf["sig"].tolist()
+    bits = np.array([8 * len(x) for x in sketch])
+    up, out = list(range(len(n))), []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    # Rows come by size, so what may link to a set of a level and is not smaller is a run from there on; it is folded to the level once.
+    for size in np.unique(bits):
+        own = np.flatnonzero(bits == size)
+        end = int(np.searchsorted(n * num, n[own[-1]] * den, side="right"))
+        at = np.stack([_fold(x, int(size)) for x in sketch[own[0] : end]])
+        for i in own:
+            last = int(np.searchsorted(n * num, n[i] * den, side="right"))
+            near = np.arange(i + 1, last)
+            near = near[part[near] != part[i]]
+            if len(near):
+                unlike = np.bitwise_count(at[near - own[0]] ^ at[i - own[0]]).sum(axis=1, dtype=np.int64)
+                for j in near[unlike * (num + den) <= (den - num) * (n[i] + n[near])]:
+                    if (x := top(i)) != (y := top(j)):
+                        up[y] = x
+                        out.append((i, j))
+    return pd.DataFrame({"a": [sig[x] for x, _ in out], "b": [sig[y] for _, y in out]}, columns=["a", "b"])
+
+
 def _hot_links(rows: DataFrame, sets: DataFrame, order, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Links among classes that share a busy key (tok, sig, n, part, least), as spanning forests of bounded blocks; part is the component a class is in already."""
-    # A key's classes hang together by its least class: one edge a row.
-    roots = components(rows.select(F.col("sig").alias("a"), F.col("least").alias("b")), scratch)
-    nodes = rows.select("sig", "n", "part").distinct().join(roots.withColumnRenamed("node", "sig"), "sig")
+    # A key's classes hang together by its least class: one edge a row. Those that may link hang together by a forest of a row a class and block.
+    nodes = rows.select("sig", "n", "part").distinct()
+    by_key = rows.select(F.col("sig").alias("a"), F.col("least").alias("b"))
+    block = ["root", "lo", "x", "hi", "y"]
+    dealt = _blocks(nodes, by_key, num, den, SKETCH_SETS, SKETCH_SHINGLES, scratch).join(sets.select("sig", "fine"), "sig")
+    may = dealt.groupBy(*block).applyInPandas(lambda pdf: _may_link(pdf[["sig", "n", "part", "fine"]], num, den), "a binary, b binary")
+    may = scratch.keep(may, "may-link")
+    scratch.free()
+    dealt = _blocks(nodes, may, num, den, BLOCK_SETS, BLOCK_SHINGLES, scratch).join(sets.select("sig", "words"), "sig")
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _forest(pdf[["sig", "words"]], k, num, den, *order.value)
+
+    return dealt.groupBy(*block).applyInPandas(forest, "a binary, b binary")
+
+
+def _blocks(nodes: DataFrame, edges: DataFrame, num: int, den: int, most_sets: int, most_shingles: int, scratch: Scratch) -> DataFrame:
+    """(root, sig, n, part, lo, x, hi, y): the nodes (sig, n, part) in the clusters that edges (a, b) make, dealt to the pairs of bounded blocks that meet."""
+    nodes = nodes.join(components(edges, scratch).withColumnRenamed("node", "sig"), "sig")
     # Classes of the cluster's largest component have no need to meet each other.
     main = nodes.groupBy("root", "part").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
     # Sets that can link differ in length by less than one band. A cluster that fits one block is not cut into bands.
     nodes = nodes.join(main, "root").withColumn("rest", F.col("part") != F.col("main")).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9))
-    need = lambda c, w: F.greatest(F.ceil(F.col(c) / BLOCK_SETS), F.ceil(F.col(w) / BLOCK_SHINGLES))
+    need = lambda c, w: F.greatest(F.ceil(F.col(c) / most_sets), F.ceil(F.col(w) / most_shingles))
     of = lambda rest, x: F.coalesce(F.sum(F.when(F.col("rest") == rest, x)), F.lit(0))
     full = nodes.groupBy("root", "band").agg(of(True, 1).alias("rc"), of(True, F.col("n")).alias("rw"), of(False, 1).alias("mc"), of(False, F.col("n")).alias("mw"))
     whole = full.groupBy("root").agg(F.sum(F.col("rc") + F.col("mc")).alias("c"), F.sum(F.col("rw") + F.col("mw")).alias("w")).select("root", (need("c", "w") <= 1).alias("whole"))
@@ -370,12 +455,7 @@ def _hot_links(rows: DataFrame, sets: DataFrame, order, k: int, num: int, den: i
         f"transform({met('ar', 'am')}, i -> struct(band as lo, own as x, band + 1 as hi, i as y)),"
         f"transform({met('ur', 'um')}, i -> struct(band - 1 as lo, i as x, band as hi, own as y))))"
     )
-    dealt = nodes.select("root", "sig", F.explode(meet).alias("m")).select("root", "sig", "m.*").join(sets, "sig")
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _forest(pdf[["sig", "words"]], k, num, den, *order.value)
-
-    return dealt.groupBy("root", "lo", "x", "hi", "y").applyInPandas(forest, "a binary, b binary")
+    return nodes.select("root", "sig", "n", "part", F.explode(meet).alias("m")).select("root", "sig", "n", "part", "m.*")
 
 
 def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
@@ -408,10 +488,14 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
     # One row of each class wanted stands for it; its packed words are fetched by id and class.
     wanted = busy.select("sig").unionByName(near.select(F.col("a").alias("sig"))).unionByName(near.select(F.col("b").alias("sig"))).distinct()
     ids = one.select("sig", "doc_id").join(wanted, "sig", "left_semi")
-    sets = known.select("sig", "doc_id", "words").join(ids.hint("shuffle_hash"), ["sig", "doc_id"], "left_semi")
-    sets = scratch.keep(sets.dropDuplicates(["sig"]).select("sig", "words"), "words")
+    sets = known.select("sig", "doc_id", "words", F.coalesce("fine", "par").alias("fine")).join(ids.hint("shuffle_hash"), ["sig", "doc_id"], "left_semi")
+    sets = scratch.keep(sets.dropDuplicates(["sig"]).select("sig", "words", "fine"), "words")
     del wanted, ids, x, y, one
     scratch.free()
+    # Pairs with their sketches are heavier than narrow rows, so fewer of them go to a task.
+    near = scratch.keep_narrow(_fine_pairs(near, sets, num, den), "near", 16 * n_pairs)
+    stars = scratch.keep_narrow(_fine_pairs(stars, sets, num, den), "stars", 16 * n_pairs)
+    scratch.free()
     cold = scratch.keep_narrow(_count_pairs(near, sets, order, k, num, den).unionByName(_count_pairs(stars, sets, order, k, num, den)), "cold", n_pairs)
     scratch.free()
     left = scratch.keep_narrow(_open_rows(busy, cold, scratch), "open", n_found)
@@ -422,7 +506,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
     comp = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = scratch.keep_narrow(rooted.join(comp, "root").select("sig", "root", "component_id"), "classes", n_rows)
     out = rows.join(by_class, "sig", "left")
-    for name in ("found", "one", "pairs", "busy", "star-pairs", "words", "cold", "star-roots", "open", "links"):
+    for name in ("found", "one", "pairs", "busy", "star-pairs", "words", "near", "stars", "cold", "star-roots", "open", "may-link", "links"):
         scratch.drop(name)
     return out.select("doc_id", "h", "n", "root", "component_id")
 
