@@ -146,6 +146,27 @@ def test_long_texts_that_share_keys_by_chance_send_no_words(spark, monkeypatch,
     assert len(sent) == 3 and sum(sent) <= 6
 
 
+def test_the_order_tells_busy_keys_from_rare_ones_at_6_gb():
+    """6 GB of text hold about 1.2e9 shingles (100 million were counted in 0.5 GB): a key of 60 texts must not come among a text's rarest fifth by the noise of its cell."""
+    r = np.random.default_rng(4)
+    counts = r.poisson(1.2e9 / (1 << ngram_join.CELL_BITS), 1 << ngram_join.CELL_BITS).astype(np.uint32)
+    busy = r.choice(len(counts), 4000, replace=False)
+    counts[busy] += 60
+    rank = ngram_join._ranked(counts)[0]
+    assert (rank[busy] < len(rank) // 5).mean() < 0.002
+
+
+def test_the_sketch_adds_up(spark):
+    """The tasks' packed rows of the sketch give the counts of all shingles, however they are dealt."""
+    rows = [(i, prose(40, random.Random(i % 30))) for i in range(60)]
+    counts = np.zeros(1 << ngram_join.CELL_BITS, np.uint32)
+    for _, text in rows:
+        np.add.at(counts, ngram_join._cell(ngram_join.shingle_set(text, 3)), 1)
+    rank, pivots = ngram_join._order(ngram_join._sets(docs(spark, rows).repartition(5), 3).where("n = -1"))
+    want = ngram_join._ranked(counts)
+    assert (rank == want[0]).all() and (pivots == want[1]).all()
+
+
 def test_full_sketches_fold_to_smaller_ones():
     r = np.random.default_rng(3)
     for n in (513, 1024, 1025, 9000):

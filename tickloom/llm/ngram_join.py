@@ -42,7 +42,9 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import Scratch, lower_words, mix64, shingle_hashes, signed, text_key, word_hashes
 from tickloom.llm.components import components
 
-CELL_BITS = 18
+#: Cells of the count sketch. A cell's count varies by the root of its mean, and only keys that are more frequent than that are told from rare ones.
+#: A key of over HOT classes taken for a rare one makes clusters of texts that do not link, whose work is a product; with so many cells 6 GB of text still have a mean of about 300.
+CELL_BITS = 22
 FRAGMENTS = 8
 HOT = 48
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 800_000
@@ -50,7 +52,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 1024, 800_000
 SKETCH_SETS, SKETCH_SHINGLES = 2048, 16_000_000
 #: Ways over which the rows of a key known to be busy are dealt.
 WAYS = 64
-SKETCH_ROWS = 64
+#: Rows in which the sketch travels, and parts by which the tasks' sketches are added up first.
+SKETCH_ROWS, SKETCH_PARTS = 256, 4
 WORDS64 = 8
 #: A fragment's columns counted at once.
 COLUMNS = 4096
@@ -93,42 +96,54 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         some = [i for i, p in enumerate(parts) if p.any()]
         ids = pa.array(some, pa.int64())
         none = pa.array([-1] * len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, none, none, pa.array([parts[i].tobytes() for i in some], pa.binary()), *[pa.nulls(len(some), pa.binary())] * 3], names)
+        yield pa.RecordBatch.from_arrays([ids, none, none, pa.array([_pack(parts[i]) for i in some], pa.binary()), *[pa.nulls(len(some), pa.binary())] * 3], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("h")).mapInArrow(run, "doc_id long, h long, n long, sig binary, par binary, fine binary, words binary")
 
 
-def _order(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each cell, rare first, and the fragments' pivots. What is collected has the sketch's fixed size."""
+def _pack(cells: np.ndarray) -> bytes:
+    """A row of the sketch: most counts are small, so it packs well."""
+    return pa.compress(cells.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack_cells(row: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(row, (4 << CELL_BITS) // SKETCH_ROWS, codec="zstd", asbytes=True), np.uint32)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["sig"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "sig": [total.tobytes()]})
 
+def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sum of rows of the sketch; a count beyond 32 bits stays there, last in the order."""
+    total = np.zeros((1 << CELL_BITS) // SKETCH_ROWS, np.uint64)
+    for x in pdf["sig"]:
+        total += _unpack_cells(x)
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "sig": [_pack(np.minimum(total, np.uint64(0xFFFFFFFF)))]})
+
+
+def _order(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each cell, rare first, and the fragments' pivots. What is collected has the sketch's fixed size."""
     # Two steps, so that no task adds up more than a few of the tasks' sketches.
-    spread = parts.select(F.col("doc_id").alias("part"), "sig", (F.abs(F.xxhash64("sig")) % 16).alias("salt"))
-    once = spread.groupBy("part", "salt").applyInPandas(add, "part long, sig binary")
-    rows = once.groupBy("part").applyInPandas(_add64, "part long, sig binary").collect()
+    spread = parts.select(F.col("doc_id").alias("part"), "sig", (F.abs(F.xxhash64("sig")) % SKETCH_PARTS).alias("salt"))
+    once = spread.groupBy("part", "salt").applyInPandas(_add, "part long, sig binary")
+    rows = once.groupBy("part").applyInPandas(_add, "part long, sig binary").collect()
     size = (1 << CELL_BITS) // SKETCH_ROWS
-    counts = np.zeros(1 << CELL_BITS, np.uint64)
+    counts = np.zeros(1 << CELL_BITS, np.uint32)
     for r in rows:
-        counts[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["sig"], np.uint64)
+        counts[r["part"] * size : (r["part"] + 1) * size] = _unpack_cells(r["sig"])
+    return _ranked(counts)
+
+
+def _ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each cell by its count, and the pivots."""
     by = np.argsort(counts, kind="stable")
-    rank = np.empty(1 << CELL_BITS, np.uint64)
-    rank[by] = np.arange(1 << CELL_BITS, dtype=np.uint64)
-    mass = np.cumsum(counts[by].astype(np.float64))
+    rank = np.empty(len(by), np.uint32)
+    rank[by] = np.arange(len(by), dtype=np.uint32)
+    mass = np.cumsum(counts[by], dtype=np.float64)
     cuts = np.searchsorted(mass, mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS)
     return rank, np.unique(cuts).astype(np.uint64) << np.uint64(64 - CELL_BITS)
 
 
-def _add64(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.uint64) for x in pdf["sig"])
-    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "sig": [total.tobytes()]})
-
-
 def _keys(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
     low = np.uint64((1 << (64 - CELL_BITS)) - 1)
-    return np.sort((rank[_cell(s)] << np.uint64(64 - CELL_BITS)) | (s & low))
+    return np.sort((rank[_cell(s)].astype(np.uint64) << np.uint64(64 - CELL_BITS)) | (s & low))
 
 
 def _bits(n: int) -> int:
@@ -464,6 +479,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
     seen = scratch.keep(_sets(docs, k), "sets")
     order = spark.sparkContext.broadcast(_order(seen.where("n = -1")))
+    scratch.free()
     rows = seen.where("n >= 0")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
 
