@@ -1,15 +1,17 @@
 """Each operator against a brute-force version or exact round trip, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import ann, decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, token_counts, toxicity, warc
+from tickloom.llm import ann, common, decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, token_counts, toxicity, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(5)
@@ -167,6 +169,25 @@ def test_the_sketch_adds_up(spark):
     assert (rank == want[0]).all() and (pivots == want[1]).all()
 
 
+def test_the_driver_holds_no_order(spark):
+    """The cells are ranked by a task and read by tasks: the driver, whose memory a session bounds, neither collects nor sends them."""
+    parts = ngram_join._sets(docs(spark, [(i, prose(40, random.Random(i))) for i in range(60)]), 3).where("n = -1")
+    tracemalloc.start()
+    try:
+        order = ngram_join._order(parts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < (4 << ngram_join.CELL_BITS) // 8
+    assert len(pickle.dumps(order)) < 10_000
+    rank, _ = order
+    assert (np.sort(rank) == np.arange(1 << ngram_join.CELL_BITS)).all()
+
+
+def test_the_driver_hands_native_memory_back(spark):
+    assert "Trim native heap" in common.trim(spark)
+
+
 def test_full_sketches_fold_to_smaller_ones():
     r = np.random.default_rng(3)
     for n in (513, 1024, 1025, 9000):

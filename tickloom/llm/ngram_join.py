@@ -31,15 +31,18 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from weakref import finalize
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Scratch, lower_words, mix64, shingle_hashes, signed, text_key, word_hashes
+from tickloom.llm.common import Scratch, lower_words, mix64, open_fs, shingle_hashes, signed, text_key, word_hashes
 from tickloom.llm.components import components
 
 #: Cells of the count sketch. A cell's count varies by the root of its mean, and only keys that are more frequent than that are told from rare ones.
@@ -118,17 +121,55 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "sig": [_pack(np.minimum(total, np.uint64(0xFFFFFFFF)))]})
 
 
-def _order(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each cell, rare first, and the fragments' pivots. What is collected has the sketch's fixed size."""
+class _Order:
+    """Rank of each cell, rare first, and the fragments' pivots: tasks read them from the shared folder, the driver holds neither."""
+
+    def __init__(self, files: list[str]):
+        self.files = tuple(files)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return iter(_read_order(self.files))
+
+
+@lru_cache(maxsize=1)
+def _read_order(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    size, rank, pivots = (1 << CELL_BITS) // SKETCH_ROWS, np.arange(1 << CELL_BITS, dtype=np.uint32), np.empty(0, np.uint64)
+    for f in files:
+        fs, at = open_fs(f)
+        with pq.ParquetFile(at, filesystem=fs) as file:
+            for b in file.iter_batches(SKETCH_ROWS // 8):
+                for part, x in zip(b.column("part").to_pylist(), b.column("sig"), strict=True):
+                    if part < 0:
+                        pivots = np.frombuffer(x.as_py(), np.uint64)
+                    else:
+                        rank[part * size : (part + 1) * size] = np.frombuffer(x.as_buffer(), np.uint32)
+    return rank, pivots
+
+
+def _order(parts: DataFrame) -> _Order:
+    """The order of the cells, ranked by one task: the sketch has a fixed size. It is deleted once nothing here holds it."""
     # Two steps, so that no task adds up more than a few of the tasks' sketches.
     spread = parts.select(F.col("doc_id").alias("part"), "sig", (F.abs(F.xxhash64("sig")) % SKETCH_PARTS).alias("salt"))
     once = spread.groupBy("part", "salt").applyInPandas(_add, "part long, sig binary")
-    rows = once.groupBy("part").applyInPandas(_add, "part long, sig binary").collect()
-    size = (1 << CELL_BITS) // SKETCH_ROWS
-    counts = np.zeros(1 << CELL_BITS, np.uint32)
-    for r in rows:
-        counts[r["part"] * size : (r["part"] + 1) * size] = _unpack_cells(r["sig"])
-    return _ranked(counts)
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = (1 << CELL_BITS) // SKETCH_ROWS
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
+        for b in batches:
+            for part, x in zip(b.column("part").to_pylist(), b.column("sig").to_pylist(), strict=True):
+                counts[part * size : (part + 1) * size] = _unpack_cells(x)
+        rank, pivots = _ranked(counts)
+        for lo in range(0, SKETCH_ROWS, SKETCH_ROWS // 8):
+            own = range(lo, lo + SKETCH_ROWS // 8)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([rank[i * size : (i + 1) * size].tobytes() for i in own], pa.binary())], ["part", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([pivots.tobytes()], pa.binary())], ["part", "sig"])
+
+    scratch = Scratch(parts.sparkSession, "ngram-order")
+    total = once.groupBy("part").applyInPandas(_add, "part long, sig binary").coalesce(1)
+    scratch.keep(total.mapInArrow(ranked, "part long, sig binary"), "order")
+    order = _Order(scratch.files("order"))
+    finalize(order, scratch.close)
+    return order
 
 
 def _ranked(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +224,7 @@ def _prefixes(rows: DataFrame, k: int, num: int, den: int, hot: int, order) -> D
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value[0]
+        rank, _ = order
         seen: set[bytes] = set()
         for b in batches:
             tok, ids, np_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -303,7 +344,7 @@ def _count_pairs(pairs: DataFrame, sets: DataFrame, order, k: int, num: int, den
     """Pairs (a, b) that link, verified on whole sets; their overlaps are told by fragment and summed, but no data are dealt by fragment."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, pivots = order.value
+        rank, pivots = order
         for b in batches:
             row, frag, got = [], [], []
             last, y = None, None
@@ -439,7 +480,7 @@ def _hot_links(rows: DataFrame, sets: DataFrame, order, k: int, num: int, den: i
     dealt = _blocks(nodes, may, num, den, BLOCK_SETS, BLOCK_SHINGLES, scratch).join(sets.select("sig", "words"), "sig")
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _forest(pdf[["sig", "words"]], k, num, den, *order.value)
+        return _forest(pdf[["sig", "words"]], k, num, den, *order)
 
     return dealt.groupBy(*block).applyInPandas(forest, "a binary, b binary")
 
@@ -475,10 +516,9 @@ def _blocks(nodes: DataFrame, edges: DataFrame, num: int, den: int, most_sets: i
 
 def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
     """doc_id, h, n, root and component_id of each row; root names the component itself, as a repeated doc_id may be the least of several."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
+    scratch = Scratch(docs.sparkSession, "ngram-join")
     seen = scratch.keep(_sets(docs, k), "sets")
-    order = spark.sparkContext.broadcast(_order(seen.where("n = -1")))
+    order = _order(seen.where("n = -1"))
     scratch.free()
     rows = seen.where("n >= 0")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
@@ -524,6 +564,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
     out = rows.join(by_class, "sig", "left")
     for name in ("found", "one", "pairs", "busy", "star-pairs", "words", "near", "stars", "cold", "star-roots", "open", "may-link", "links"):
         scratch.drop(name)
+    scratch.free()
     return out.select("doc_id", "h", "n", "root", "component_id")
 
 
