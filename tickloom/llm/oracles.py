@@ -121,10 +121,10 @@ MERKLE = f"""
 with recursive doc as (
   select row_number() over () as r, doc_id, coalesce('s' || lang, 'n') as g, {_leaf('text')} as h,
     case when {crc32('doc_id::varchar')} % 3 = 0 then {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as claim from documents
-), at as (
+), pos as (
   select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as i from doc
 ), lv(g, k, i, h) as (
-  select g, 0, i, h from at
+  select g, 0, i, h from pos
   union all
   select g, k + 1, i // 8, sha256(string_agg(h, '' order by i)) from (select *, count(*) over (partition by g) as c from lv) where c > 1 group by g, k, i // 8
 ), sub as (
@@ -137,7 +137,7 @@ with recursive doc as (
   select g, k, i, coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') as a, coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') as z
   from (select g, k, i, h, count(*) over (partition by g, k) as c from lv union all select '', k, i, h, count(*) over (partition by k) from top) where c > 1 window w as (partition by g, k, i // 8 order by i)
 ), fold(r, g, i, j, height, k, node, seen) as (
-  select r, at.g, at.i, sub.i, height, 0, coalesce(claim, h), '' from at join sub using (g)
+  select r, pos.g, pos.i, sub.i, height, 0, coalesce(claim, h), '' from pos join sub using (g)
   union all
   select r, f.g, f.i, j, height, f.k + 1, sha256(a || node || z), seen || a || z from fold f join near n
     on (f.k < height and n.g = f.g and n.k = f.k and n.i = f.i >> (3 * f.k)) or (f.k >= height and n.g = '' and n.k = f.k - height and n.i = j >> (3 * (f.k - height)))
@@ -145,7 +145,7 @@ with recursive doc as (
   select r, node, sha256(seen) as proof from fold qualify row_number() over (partition by r order by k desc) = 1
 )
 select doc_id, h as leaf, subroot, (select h from top order by k desc limit 1) as root, proof as proof_sha256, node as folded_root, node = (select h from top order by k desc limit 1) as verified
-from at join sub using (g) join done using (r)
+from pos join sub using (g) join done using (r)
 """
 
 SQL: dict[str, str] = {"op13_merkle": MERKLE, "op9_license_scan": _licenses(), "op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING}
