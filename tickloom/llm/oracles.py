@@ -148,4 +148,50 @@ select doc_id, h as leaf, subroot, (select h from top order by k desc limit 1) a
 from pos join sub using (g) join done using (r)
 """
 
-SQL: dict[str, str] = {"op13_merkle": MERKLE, "op9_license_scan": _licenses(), "op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING}
+#: Costs to go turn by turn from the last, then edits letter by letter; states 0 nothing yet, 1 after s, 2 after u, 3 after a.
+CONVERSATION = f"""
+with recursive raw as (
+  select conv_id, coalesce('s' || conv_id, 'n') as c, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as n from conversations
+), hurt as (
+  select c, turn, case when n = 4 then 'user' else role end as role, case n when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(range(case n when 0 then 0 when 3 then 2 else 1 end)) from raw)
+), t as (
+  select *, row_number() over (partition by c order by turn nulls first, role, sha256(text)) - 1 as i, count(*) over (partition by c) as m, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as said from hurt
+), f as (
+  select *, said = '' as blank, said <> '' and row_number() over (partition by c, role, text order by i) > 1 as dup, left(role, 1) as x, lag(left(role, 1)) over (partition by c order by i) as p from t
+), turns as (
+  select *, not blank and not dup and right(said, 1) not in ('.', '!', '?') as cut, blank or dup as must from f
+), stat as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (blank) as blank, count(*) filter (dup) as duplicate, count(*) filter (cut) as truncated,
+    count(*) filter (i > 0 and p || x not in ('su', 'ua', 'au')) as illegal from turns group by c
+), back(c, i, v0, v1, v2, v3) as (
+  select distinct c, m, 0, 4, 2, 0 from turns
+  union all
+  select c, i, least(w0, 2 + w2, 4 + w3), least(w1, 2 + w2, 4 + w3), least(w2, 2 + w3), least(w3, 2 + w2) from (
+    select b.c, t.i,
+      least(v0 + 3, case when not must and x = 's' then cut::int + v1 else 1e9::bigint end, case when not must then cut::int + v2 + if(x = 'u', 0, 2) else 1e9::bigint end) as w0,
+      least(v1 + 3, case when not must then cut::int + v2 + if(x = 'u', 0, 2) else 1e9::bigint end) as w1,
+      least(v2 + 3, case when not must then cut::int + v3 + if(x = 'a', 0, 2) else 1e9::bigint end) as w2,
+      least(v3 + 3, case when not must then cut::int + v2 + if(x = 'u', 0, 2) else 1e9::bigint end) as w3
+    from back b join turns t on t.c = b.c and t.i = b.i - 1)
+), cost as (
+  select b.c, b.i, [v0, v1, v2, v3] as v from back b
+), walk(c, i, g, k, audit, lines) as (
+  select c, 0, 0, 0, '', []::varchar[] from cost where i = 0
+  union all
+  select c, case when e = 'I' then i else i + 1 end, case e when 'D' then g when 'K' then if(x = 's', 1, if(x = 'u', 2, 3)) else if(g = 2, 3, 2) end, k + 1, audit || e,
+    case e when 'D' then lines when 'K' then list_append(lines, role || ':' || text) when 'R' then list_append(lines, if(g = 2, 'assistant:', 'user:') || text) else list_append(lines, if(g = 2, 'assistant:', 'user:')) end
+  from (
+    select w.*, x, role, text, case when t.i is not null and h.v[g + 1] = 3 + a.v[g + 1] then 'D' when h.v[g + 1] = 2 + h.v[if(g = 2, 3, 2) + 1] then 'I'
+      when not must and ((x = 's' and g = 0 and h.v[1] = cut::int + a.v[2]) or (x = 'u' and g <> 2 and h.v[g + 1] = cut::int + a.v[3]) or (x = 'a' and g = 2 and h.v[3] = cut::int + a.v[4])) then 'K' when t.i is not null then 'R' end as e
+    from walk w join cost h on h.c = w.c and h.i = w.i left join turns t on t.c = w.c and t.i = w.i left join cost a on a.c = w.c and a.i = w.i + 1
+  ) where e is not null
+), done as (
+  select c, audit, sha256(array_to_string(lines, chr(10))) as sha from walk qualify row_number() over (partition by c order by k desc) = 1
+)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(v[1], 0)::bigint as cost, coalesce(audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from (select distinct conv_id, c from raw) left join stat using (c) left join (select c, v from cost where i = 0) using (c) left join done using (c)
+"""
+
+SQL: dict[str, str] = {"op11_conversation_repair": CONVERSATION, "op13_merkle": MERKLE, "op9_license_scan": _licenses(), "op2_line_dedup": LINE_DEDUP, "op5_mixing": MIXING}

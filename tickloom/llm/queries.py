@@ -87,6 +87,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import conversation
+
+    return conversation.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import merkle
 
