@@ -127,7 +127,7 @@ def _stream(df: DataFrame, make: Callable[[Iterator[dict]], Iterator[dict]], ddl
     return df.mapInArrow(run, ddl)
 
 
-def _blocks(rows: Iterator[dict]) -> Iterator[dict]:
+def _blocks(rows: Iterator[dict], size: int) -> Iterator[dict]:
     """Rows (conv, turn, role, h, kind, blank, cut, later, m), in order, as blocks; m rows alike are one mark each."""
     held, first, k, illegal = bytearray(), None, 0, 0
 
@@ -136,7 +136,7 @@ def _blocks(rows: Iterator[dict]) -> Iterator[dict]:
 
     for r in rows:
         for j in range(r["m"]):
-            if held and (first["conv"] != r["conv"] or len(held) >= BLOCK):
+            if held and (first["conv"] != r["conv"] or len(held) >= size):
                 yield block()
                 held, k, illegal = bytearray(), k + 1, 0
             if not held:
@@ -231,7 +231,7 @@ _INTS = pa.list_(pa.int64())
 class Repair:
     """The repair of turns (conv_id, turn, role, text): `faults` and `audits`, a row a conversation each, and `turns()`, what is left."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, block: int = BLOCK):
         scratch = Scratch(rows.sparkSession, "conversation")
         space = lambda c: F.coalesce(c, F.lit(" "))
         rows = rows.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), space("role").alias("role"), space("text").alias("text"))
@@ -253,7 +253,7 @@ class Repair:
             F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).alias("gaps"),
         )
         up = [F.asc_nulls_first(c) for c in same]
-        blocks = _stream(told.repartitionByRange(*up).sortWithinPartitions(*up), _blocks, f"{KEY}, marks binary, matrix array<long>, illegal long", pa.schema([*_KEY, ("marks", pa.binary()), ("matrix", _INTS), ("illegal", pa.int64())]))
+        blocks = _stream(told.repartitionByRange(*up).sortWithinPartitions(*up), lambda r: _blocks(r, block), f"{KEY}, marks binary, matrix array<long>, illegal long", pa.schema([*_KEY, ("marks", pa.binary()), ("matrix", _INTS), ("illegal", pa.int64())]))
         down = [F.desc_nulls_last(c) for c in same] + [F.desc("k")]
         costs = _stream(blocks.repartition("conv").sortWithinPartitions(*down), _costs, f"{KEY}, marks binary, illegal long, after array<long>, cost long", pa.schema([*_KEY, ("marks", pa.binary()), ("illegal", pa.int64()), ("after", _INTS), ("cost", pa.int64())]), 200)
         walks = _stream(
@@ -285,9 +285,9 @@ def damaged(rows: DataFrame) -> DataFrame:
     return rows.where(n != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(n == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_again")).drop("_again")
 
 
-def report(rows: DataFrame) -> DataFrame:
-    """Each conversation of rows: the faults that damage() left, their repair's cost and edits, and the digest of what is left."""
-    done = Repair(damaged(rows))
+def report(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each conversation of rows: the faults that damaged() left, their repair's cost and edits, and the digest of what is left."""
+    done = Repair(damaged(rows), block)
     parts = [rows.select(F.col("conv_id").cast("long").alias("conv")).distinct(), done.faults, done.audits, done.digests()]
     every = parts[0]
     for p in parts[1:]:

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import Scratch
 
 ARITY, STEP = 8, 4
-STRETCH = ARITY**STEP
+#: Rows a batch of results.
+ROWS = 4096
 #: The tree over the groups; groups are numbered from 0.
 TOP = -1
 #: Fragments of a range of nodes each that treeReduce merges: what reaches the driver is bounded by them and by the tree's height.
@@ -117,7 +118,7 @@ def ranked(scratch: Scratch, leaves: DataFrame) -> DataFrame:
 
 
 def _stretches(rows: Iterator[dict]) -> Iterator[list[dict]]:
-    """Rows, sorted so, by (tree, stretch): STRETCH nodes and a row that hands a path down at most."""
+    """Rows, sorted so, by (tree, stretch): ARITY ** step nodes and a row that hands a path down at most."""
     held: list[dict] = []
     for r in rows:
         if held and (held[-1]["tree"], held[-1]["stretch"]) != (r["tree"], r["stretch"]):
@@ -129,41 +130,44 @@ def _stretches(rows: Iterator[dict]) -> Iterator[list[dict]]:
 
 
 def _mapped(df: DataFrame, make: Callable[[list[dict]], list[dict]], ddl: str, kinds: pa.Schema) -> DataFrame:
-    """make() applied to each stretch of df."""
+    """make() applied to each stretch of df, which has a column for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         for part in _stretches(r for b in batches for r in b.to_pylist()):
             out += make(part)
-            if len(out) >= STRETCH:
+            if len(out) >= ROWS:
                 yield pa.RecordBatch.from_pylist(out, kinds)
                 out = []
         yield pa.RecordBatch.from_pylist(out, kinds)
 
-    dealt = df.withColumn("stretch", F.floor(F.col("idx") / F.lit(STRETCH))) if "stretch" not in df.columns else df
-    return dealt.repartition("tree", "stretch").sortWithinPartitions("tree", "stretch", "idx").mapInArrow(run, ddl)
+    return df.repartition("tree", "stretch").sortWithinPartitions("tree", "stretch", "idx").mapInArrow(run, ddl)
 
 
 NODE = "tree long, size long, level int, idx long, node string"
 _NODE = pa.schema([("tree", pa.int64()), ("size", pa.int64()), ("level", pa.int32()), ("idx", pa.int64()), ("node", pa.string())])
 
 
-def raised(nodes: DataFrame) -> DataFrame:
-    """The nodes STEP levels up, or a tree's root where that comes first."""
+def _cut(nodes: DataFrame, step: int) -> DataFrame:
+    return nodes.withColumn("stretch", F.floor(F.col("idx") / F.lit(ARITY**step)))
+
+
+def raised(nodes: DataFrame, step: int = STEP) -> DataFrame:
+    """The nodes `step` levels up, or a tree's root where that comes first."""
 
     def make(part: list[dict]) -> list[dict]:
-        forest = Forest(top=part[0]["level"] + STEP)
+        forest = Forest(top=part[0]["level"] + step)
         for r in part:
             forest.add((r["tree"], r["size"], r["level"], r["idx"]), r["node"])
         ((key, value),) = forest.nodes.items()
         return [dict(zip(_NODE.names, (*key, value), strict=True))]
 
-    return _mapped(nodes, make, NODE, _NODE)
+    return _mapped(_cut(nodes, step), make, NODE, _NODE)
 
 
-def levels(part: list[str], size: int, level: int) -> list[list[tuple[str, str]]]:
+def levels(part: list[str], size: int, level: int, step: int) -> list[list[tuple[str, str]]]:
     """For each level that a stretch resolves, each node's siblings left and right of it."""
-    out, top = [], level + STEP
+    out, top = [], level + step
     while level < top and width(size, level) > 1:
         runs = [part[i : i + ARITY] for i in range(0, len(part), ARITY)]
         out.append([("".join(r[:k]), "".join(r[k + 1 :])) for r in runs for k in range(len(r))])
@@ -175,30 +179,29 @@ def _path(found: list[list[tuple[str, str]]], i: int) -> list[tuple[str, str]]:
     return [lv[i // ARITY**k] for k, lv in enumerate(found)]
 
 
-def lowered(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def lowered(nodes: DataFrame, above: DataFrame, step: int = STEP) -> DataFrame:
     """Paths (tree, idx, path) of nodes, given those of the nodes that `raised` made of them."""
 
     def make(part: list[dict]) -> list[dict]:
         head, *rest = part
-        found = levels([r["node"] for r in rest], rest[0]["size"], rest[0]["level"])
+        found = levels([r["node"] for r in rest], rest[0]["size"], rest[0]["level"], step)
         return [{"tree": r["tree"], "idx": r["idx"], "path": [{"l": a, "r": b} for a, b in _path(found, i)] + head["path"]} for i, r in enumerate(rest)]
 
     kinds = pa.schema([("tree", pa.int64()), ("idx", pa.int64()), ("path", _PATH)])
-    return _mapped(_headed(nodes, above), make, f"tree long, idx long, path {PATH}", kinds)
+    return _mapped(_headed(nodes, above, step), make, f"tree long, idx long, path {PATH}", kinds)
 
 
-def _headed(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _headed(nodes: DataFrame, above: DataFrame, step: int) -> DataFrame:
     """nodes, each stretch led by the row of `above` that hands its path down (idx -1)."""
-    own = nodes.withColumn("stretch", F.floor(F.col("idx") / F.lit(STRETCH)))
-    return own.unionByName(above.withColumnRenamed("idx", "stretch").withColumn("idx", F.lit(-1).cast("long")), allowMissingColumns=True)
+    return _cut(nodes, step).unionByName(above.withColumnRenamed("idx", "stretch").withColumn("idx", F.lit(-1).cast("long")), allowMissingColumns=True)
 
 
-def rounds(scratch: Scratch, nodes: DataFrame, name: str) -> list[DataFrame]:
+def rounds(scratch: Scratch, nodes: DataFrame, name: str, step: int = STEP) -> list[DataFrame]:
     """nodes and what they are raised to, until every tree is one node. The last are the trees' roots."""
     most, out = nodes.agg(F.max("size")).first()[0] or 0, [nodes]
     while most > 1:
-        out.append(scratch.keep(raised(out[-1]), f"{name}{len(out)}"))
-        most = -(-most // STRETCH)
+        out.append(scratch.keep(raised(out[-1], step), f"{name}{len(out)}"))
+        most = -(-most // ARITY**step)
     return out
 
 
@@ -224,32 +227,33 @@ _RESULT = pa.schema([("doc_id", pa.int64()), *[(c, pa.string()) for c in ("leaf"
 class Manifest:
     """Trees over leaves (group, doc_id, leaf, claim): their root, and what verifying each claim (else the leaf) against it gives."""
 
-    def __init__(self, leaves: DataFrame):
+    def __init__(self, leaves: DataFrame, step: int = STEP):
+        self.step = step
         self.scratch = s = Scratch(leaves.sparkSession, "merkle")
         self.leaves = s.keep(ranked(s, leaves), "ranked")
         base = self.leaves.select("tree", "size", F.lit(0).alias("level"), "idx", F.col("leaf").alias("node"))
-        self.up = rounds(s, base, "nodes")
+        self.up = rounds(s, base, "nodes", step)
         roots = self.up[-1]
         self.groups = roots.count()
         over = roots.select(F.lit(TOP).cast("long").alias("tree"), F.lit(self.groups).cast("long").alias("size"), F.lit(0).alias("level"), F.col("tree").alias("idx"), "node")
-        self.over = rounds(s, over, "over")
+        self.over = rounds(s, over, "over", step)
         self.root = reduced(self.up[min(1, len(self.up) - 1)], self.groups)
 
     def proved(self) -> DataFrame:
         """One row a leaf: proof_sha256 over its siblings to the root, and the root that its claim folds to."""
-        s, root = self.scratch, self.root
+        s, root, step = self.scratch, self.root, self.step
         path = self.over[-1].select("tree", "idx", F.from_json(F.lit("[]"), PATH).alias("path"))
         for k, nodes in enumerate(reversed(self.over[:-1])):
-            path = s.keep(lowered(nodes, path), f"over-path{k}")
+            path = s.keep(lowered(nodes, path, step), f"over-path{k}")
         # A group's path in the tree over the groups is what its root hands down.
         path = path.select(F.col("idx").alias("tree"), F.lit(0).cast("long").alias("idx"), "path")
         for k, nodes in enumerate(reversed(self.up[1:-1])):
-            path = s.keep(lowered(nodes, path), f"path{k}")
+            path = s.keep(lowered(nodes, path, step), f"path{k}")
         path = path.join(self.up[-1].select("tree", F.col("node").alias("subroot")), "tree")
 
         def make(part: list[dict]) -> list[dict]:
             head, *rest = part
-            found = levels([r["leaf"] for r in rest], rest[0]["size"], 0)
+            found = levels([r["leaf"] for r in rest], rest[0]["size"], 0, step)
             above = [(p["l"], p["r"]) for p in head["path"]]
             out = []
             for i, r in enumerate(rest):
@@ -261,11 +265,11 @@ class Manifest:
                 out.append({"doc_id": r["doc_id"], "leaf": r["leaf"], "subroot": head["subroot"], "root": root, "proof_sha256": proof, "folded_root": node, "verified": node == root})
             return out
 
-        return _mapped(_headed(self.leaves.select("tree", "size", "idx", "doc_id", "leaf", "claim"), path), make, RESULT, _RESULT)
+        return _mapped(_headed(self.leaves.select("tree", "size", "idx", "doc_id", "leaf", "claim"), path, step), make, RESULT, _RESULT)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, step: int = STEP) -> DataFrame:
     """Every document proved, where 3 divides its id's crc32 from a text with A-Z lower-cased."""
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
     claim = F.when(hit, leaf(F.translate("text", UPPER, LOWER)))
-    return Manifest(docs.select(F.col("lang").alias("group"), F.col("doc_id").cast("long").alias("doc_id"), leaf(F.col("text")).alias("leaf"), claim.alias("claim"))).proved()
+    return Manifest(docs.select(F.col("lang").alias("group"), F.col("doc_id").cast("long").alias("doc_id"), leaf(F.col("text")).alias("leaf"), claim.alias("claim")), step).proved()
