@@ -93,6 +93,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm import html_text
+
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm import merkle
 
