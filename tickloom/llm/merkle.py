@@ -230,7 +230,8 @@ class Manifest:
     def __init__(self, leaves: DataFrame, step: int = STEP):
         self.step = step
         self.scratch = s = Scratch(leaves.sparkSession, "merkle")
-        self.leaves = s.keep(ranked(s, leaves), "ranked")
+        # Hashed once: the sort reads its input twice, to find its bounds and to deal it out.
+        self.leaves = s.keep(ranked(s, s.keep(leaves, "leaves")), "ranked")
         base = self.leaves.select("tree", "size", F.lit(0).alias("level"), "idx", F.col("leaf").alias("node"))
         self.up = rounds(s, base, "nodes", step)
         roots = self.up[-1]
