@@ -21,10 +21,18 @@ def half_even(num: Column, den: Column) -> Column:
 
 
 def ratio8(num: Column, den: Column) -> Column:
-    """num / den, exactly half-even at scale 8: num below 10^22 with 16 digits after the point, den positive below 10^20 with 8."""
+    """num / den, exactly half-even at scale 8: num below 10^22 with 16 digits after the point, den positive below 10^20 with 8.
+
+    A plain division has 12 digits after the point, rounded. Rounding them again, half-even, is wrong only where they say a tie that they were
+    rounded to; such rows, and numbers too long for it, are divided as integers.
+    """
     n, d = num.cast("decimal(38,16)"), den.cast("decimal(28,8)")
-    value = half_even(_unscaled(F.abs(n), 16), _unscaled(d, 8)).cast("decimal(20,0)") * F.lit("0.00000001").cast("decimal(8,8)")
-    return (F.when(n < 0, -value).otherwise(value)).cast("decimal(28,8)")
+    long = half_even(_unscaled(F.abs(n), 16), _unscaled(d, 8)).cast("decimal(20,0)") * F.lit("0.00000001").cast("decimal(8,8)")
+    long = F.when(n < 0, -long).otherwise(long).cast("decimal(28,8)")
+    short = n.cast("decimal(34,16)") / d
+    tie = F.abs(short % F.lit("0.00000001").cast("decimal(8,8)")) == F.lit("0.000000005").cast("decimal(12,12)")
+    fits = F.abs(n) < F.lit(10**18).cast("decimal(19,0)")
+    return F.when(fits & ~tie, F.bround(short, 8).cast("decimal(28,8)")).otherwise(long)
 
 
 def event_id(*parts: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.functions.exact import event_id, half_even, ratio8
+from tickloom.functions.exact import event_id, ratio8
 from tickloom.operators.running import running
 
 CODE_VERSION = "tickloom-1"
@@ -70,8 +70,17 @@ def micro_price(books: DataFrame, size: str) -> DataFrame:
     return d.select("instrument", "window_start", "window_end", *[c.alias(n) for n, c in _micro().items()], "event_id")
 
 
+#: Buckets of volume whose imbalances one task sums up, or `history` where that is more.
+STRETCH = 1_000_000
+
+
 def _trade_windows(trades: DataFrame, size: str, bucket: Decimal | int, history: int) -> DataFrame:
-    """Per window the sums of `vwap` and the volume buckets of `vpin`, of one running pass: m buckets closed by its end, their trailing imbalance (null below `history`)."""
+    """Per window the sums of `vwap` and the volume buckets of `vpin`, of one running pass: m buckets closed by its end, vpin (null below `history`).
+
+    A trade is at most two parts of buckets and a run of whole buckets between them, all of one imbalance; of a run only the last `history` can be in
+    the trail of a window, since none ends before the trade does. Parts are summed by bucket and windows by their start in one aggregate. A trail is a difference of two sums of
+    runs, so it is taken within a stretch of buckets (and `history` before it): no task has all of a series, and work does not grow with the buckets that a trade fills.
+    """
     unit = int(Decimal(bucket) * 10**8)
     if unit <= 0 or history <= 0:
         raise ValueError("bucket and history must be positive")
@@ -79,19 +88,34 @@ def _trade_windows(trades: DataFrame, size: str, bucket: Decimal | int, history:
     d = running(d, ["instrument"], "day", ["event_time", "event_id"], hi=("sum", F.col("u")))
     d = d.withColumns({"hi": F.col("hi").cast("decimal(38,0)"), "lo": (F.col("hi") - F.col("u")).cast("decimal(38,0)")})
     v = f"cast({unit} as decimal(38,0))"
-    parts = d.where("u > 0").select("instrument", "lo", "hi", "side", F.explode(F.expr(f"sequence(lo div {v}, (hi - 1) div {v})")).alias("k"))
-    portion = F.expr(f"cast(least(hi, cast((k + 1) * {v} as decimal(38,0))) - greatest(lo, cast(k * {v} as decimal(38,0))) as decimal(38,0))")
     sign = F.when(F.col("side") == "BUY", 1).when(F.col("side") == "SELL", -1).otherwise(0)
-    imb = parts.groupBy("instrument", "k").agg(F.abs(F.sum(portion * sign)).alias("imb"))
-    w = W.partitionBy("instrument").orderBy("k").rowsBetween(-(history - 1), 0)
-    trail = imb.withColumn("trail", F.sum("imb").over(w)).where(F.col("k") >= history - 1).select("instrument", (F.col("k") + 1).alias("m"), "trail")
+    d = d.withColumns({"sign": sign, "a": F.expr(f"lo div {v}"), "b": F.expr(f"if(u > 0, (hi - 1) div {v}, lo div {v})"), "w": F.window("event_time", size)})
+    # at: a bucket's number or a window's start; of: how many buckets (0: a window); signed: volume by side in a part, of one bucket in a run.
+    part = lambda at, of, signed: f"named_struct('at', {at}, 'of', {of}, 'signed', cast({signed} as decimal(38,0)))"
+    rows = f"""array({part("unix_micros(w.start)", "0L", "null")}, if(u > 0, {part("b", "1L", f"sign * (hi - greatest(lo, cast(b * {v} as decimal(38,0))))")}, null),
+        if(b > a and b - a <= {history}, {part("a", "1L", f"sign * (cast((a + 1) * {v} as decimal(38,0)) - lo)")}, null),
+        if(b - a > 1, {part(f"greatest(a + 1, b - {history})", f"b - greatest(a + 1, b - {history})", f"sign * {v}")}, null))"""
+    d = d.withColumn("r", F.explode(F.expr(rows))).where("r is not null")
+    # What a window sums is null in the rows of buckets.
+    d = d.select("instrument", "r.*", "hi", "side", *[F.when(F.col("r.of") == 0, F.col(c)).alias(c) for c in ("price", "size")], F.when(F.col("r.of") == 0, F.col("w.end")).alias("window_end"))
     unknown = F.sum(F.when(F.col("side") == "UNKNOWN", F.col("size")).otherwise(F.lit(0).cast("decimal(18,8)")))
-    g = d.groupBy("instrument", F.window("event_time", size).alias("w")).agg(F.max("hi").alias("hi"), unknown.alias("unknown_volume"), *_sums())
-    g = g.withColumn("m", F.expr(f"hi div {v}")).join(trail, ["instrument", "m"], "left")
-    # In units of 1e-8: trail * 1e8 over history * unit.
-    share = half_even((F.col("trail").cast("decimal(29,0)") * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(38,0)"), F.lit(history * unit).cast("decimal(36,0)"))
-    value = (share.cast("decimal(20,0)") * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(28,8)")
-    return g.withColumn("vpin", value).withColumns({"window_start": F.col("w.start"), "window_end": F.col("w.end")}).drop("w")
+    g = d.groupBy("instrument", "at", "of").agg(F.abs(F.sum("signed")).alias("imb"), F.max("hi").alias("hi"), F.max("window_end").alias("window_end"), unknown.alias("unknown_volume"), *_sums())
+    wide = max(STRETCH, history)
+    g = g.withColumn("m", F.expr(f"if(of = 0, hi div {v}, null)"))
+    # Runs go to each stretch that they are in or up to `history` before; a window asks its stretch for the sums up to m and up to m - history.
+    places = f"""if(of = 0, array(named_struct('stretch', greatest(m - 1, 0) div {wide}, 'x', m), named_struct('stretch', greatest(m - 1, 0) div {wide}, 'x', m - {history})),
+        transform(sequence(at div {wide}, (at + of - 1 + {history}) div {wide}), s -> named_struct('stretch', s, 'x', at)))"""
+    g = g.withColumn("place", F.explode(F.expr(places))).select("*", "place.*").drop("place")
+    order = W.partitionBy("instrument", "stretch").orderBy("x", "of").rowsBetween(W.unboundedPreceding, 0)
+    run = F.when(F.col("of") > 0, F.struct((F.col("at") + F.col("of")).alias("end"), "imb"))
+    g = g.withColumns({"upto": F.coalesce(F.sum(F.when(F.col("of") > 0, F.col("of") * F.col("imb"))).over(order), F.lit(0)).cast("decimal(38,0)"), "run": F.last(run, ignorenulls=True).over(order)})
+    over = F.coalesce(F.greatest(F.col("run.end") - F.col("x"), F.lit(0)) * F.col("run.imb"), F.lit(0)).cast("decimal(38,0)")
+    g = g.where("of = 0").withColumn("upto", (F.col("upto") - over).cast("decimal(38,0)"))
+    kept = ["window_end", "m", "unknown_volume", "pv", "v", "p", "trade_count"]
+    trail = (F.max("upto") - F.min("upto")).cast("decimal(28,0)")  # sums only grow
+    g = g.groupBy("instrument", "stretch", "at").agg(trail.alias("trail"), *[F.first(c).alias(c) for c in kept])
+    value = ratio8((F.col("trail") * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(37,8)"), F.lit(history * unit).cast("decimal(27,0)") * F.lit("0.00000001").cast("decimal(8,8)"))
+    return g.withColumns({"vpin": F.when(F.col("m") >= history, value), "window_start": F.timestamp_micros("at")}).drop("stretch", "at", "trail")
 
 
 def vpin(trades: DataFrame, size: str, bucket: Decimal | int, history: int) -> DataFrame:

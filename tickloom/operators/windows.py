@@ -31,18 +31,17 @@ def fence(df: DataFrame, instrument: str, exchange_id: str | None = None) -> Dat
 
 
 def watermarked(df: DataFrame, size: str, partitions: Sequence[int], chunk: Column) -> DataFrame:
-    """df with window_start, window_end, watermark (after each arrival, in seq order per instrument) and late."""
+    """df with window_start, window_end, watermark (after each arrival, in seq order per instrument), late, and final_watermark (after the last arrival)."""
     d = assign(df, size).withColumn("_chunk", chunk)
     tops = {f"_wm{p}": ("max", F.when(F.col("partition") == p, F.col("event_time"))) for p in partitions}
-    d = running(d, ["instrument"], "_chunk", ["seq"], **tops)
-    mark = F.least(*[F.col(f"_wm{p}") for p in partitions]) if len(partitions) > 1 else F.col(f"_wm{partitions[0]}")
-    return d.withColumn("watermark", mark).withColumn("late", F.col("window_end") <= F.col("watermark")).drop("_chunk", *tops)
+    d = running(d, ["instrument"], "_chunk", ["seq"], ends="_end", **tops)
+    least = lambda names: F.least(*map(F.col, names)) if len(names) > 1 else F.col(names[0])
+    ends = [f"_end{n}" for n in tops]
+    d = d.withColumns({"watermark": least(list(tops)), "final_watermark": least(ends)})
+    return d.withColumn("late", F.col("window_end") <= F.col("watermark")).drop("_chunk", *tops, *ends)
 
 
 def closed(marked: DataFrame, flush: bool = False) -> DataFrame:
     """Accepted events of closed windows; flush closes all."""
     ok = marked.where("not late")
-    if flush:
-        return ok
-    final = marked.groupBy("instrument").agg(F.max_by("watermark", "seq").alias("final_watermark"))
-    return ok.join(final, "instrument").where("window_end <= final_watermark").drop("final_watermark")
+    return ok if flush else ok.where("window_end <= final_watermark")

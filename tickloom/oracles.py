@@ -138,6 +138,12 @@ SQL: dict[str, str] = {
     "features_long": f"with {T}, {run()}, {B} select instrument, 'vwap.1m' as feature_name, window_start, vwap as value, trade_count as input_count from ({vwap('1 day')}) union all select instrument, 'vpin', window_start, vpin, trade_count from ({vpin('1 day')}) union all select instrument, 'obi', window_start, obi, 1 from ({OBI}) union all select instrument, 'micro_price', window_start, micro_price, 1 from ({MICRO})",
     "sql_passthrough": "select event_type, count(*) as n, max(ts) as last_time from events group by 1",
     "vwap_large": f"with {T}, big as (select * replace (size + 9000000000 as size) from t) select instrument, time_bucket(interval '1 day', event_time) as window_start, round(sum(price::decimal(38,8) * size::decimal(18,8))::double / sum(size)::double, 4) as vwap, sum(size)::double as sum_size, count(*) as trade_count from big group by all",
+    "vpin_large": f"""with {T}, big as (select * replace ((size + 9000000000)::decimal(18,8) as size) from t), run as (select *, sum(size) over (partition by instrument order by event_time, event_id) as hi from big),
+win as (select instrument, time_bucket(interval '1 day', event_time) as window_start, floor(max(hi))::bigint as m, count(*) as trade_count from run group by all),
+k as (select *, unnest(range(m - 5, m)) as k from win),
+net as (select k.instrument, window_start, m, trade_count, k, abs(sum((least(hi, (k + 1)::decimal(38,8)) - greatest(hi - size, k::decimal(38,8))) * case side when 'BUY' then 1 when 'SELL' then -1 else 0 end)) as imb
+  from k join run on run.instrument = k.instrument and hi > k and hi - size < k + 1 group by all)
+select instrument, window_start, round(sum(imb)::double / 5, 8) as vpin, m as buckets_closed, trade_count from net group by all""",
     "feature_values": f"with {T} select instrument, window_start, sum_price_times_size, sum_size, trade_count::double as trade_count from ({vwap('1 day')})",
     "accepted_features": ACCEPTED,
     "exact_stream": ACCEPTED,

@@ -304,6 +304,13 @@ def vwap_large(s, d):
     return features.vwap(t, "1 day").select("instrument", "window_start", F.round(F.col("vwap").cast(D), 4).alias("vwap"), F.col("sum_size").cast(D).alias("sum_size"), "trade_count")
 
 
+@q
+def vpin_large(s, d):
+    """Each trade fills some nine billion buckets."""
+    t = testdata.trades(s, d).withColumn("size", (F.col("size") + F.lit(9_000_000_000)).cast("decimal(18,8)"))
+    return features.vpin(t, "1 day", 1, 5).select("instrument", "window_start", F.round(F.col("vpin").cast(D), 8).alias("vpin"), "buckets_closed", "trade_count")
+
+
 @q
 def feature_values(s, d):
     f = features.long_form(features.vwap(testdata.trades(s, d), "1 day"), "vwap.1m", "vwap", "trade_count", values=features.VWAP_VALUES)
