@@ -136,3 +136,34 @@ def test_stream_names_and_jobs(spark, tmp_path):
     sinks.write_features(t.drop("event_time"), str(tmp_path / "f"))
     got = query.feature_series(spark, str(tmp_path / "f"), "vwap.1m", "I", "2026-04-30T00:00:00", "2026-05-12T00:00:00")
     assert got.count() == 1
+
+
+def test_series_by_instants_of_any_offset(spark, tmp_path):
+    """The same seven hours, told in three zones and without one, are the same rows."""
+    rows = spark.range(48).selectExpr("'e' as event_id", "'BTC-USDT' as instrument", "'vwap.1m' as feature_name", "'v1' as feature_version", "cast(id as decimal(28,8)) as value", "timestamp'2026-05-10 12:00:00' + make_interval(0,0,0,0,cast(id as int)) as window_start", "timestamp'2026-05-10 13:00:00' + make_interval(0,0,0,0,cast(id as int)) as window_end", "1L as input_count", "'c' as code_version")
+    sinks.write_features(rows, str(tmp_path / "f"))
+    ask = lambda a, b: [float(r.value) for r in query.feature_series(spark, str(tmp_path / "f"), "vwap.1m", "BTC-USDT", a, b).collect()]
+    want = [float(i) for i in range(8, 15)]
+    for a, b in (("2026-05-10T20:00:00+00:00", "2026-05-11T03:00:00Z"), ("2026-05-11T01:00:00+05:00", "2026-05-11T08:00:00+05:00"), ("2026-05-10T17:00:00-03:00", "2026-05-11T00:00:00-03:00"), ("2026-05-10T20:00:00", "2026-05-11T06:00:00+03:00"), ("2026-05-10T20:00:00", "2026-05-11T03:00:00")):
+        assert ask(a, b) == want, (a, b)
+    for a, b in (("yesterday", "2026-05-11T03:00:00"), ("2026-05-11T03:00:00+05:00", "2026-05-10T20:00:00")):
+        with pytest.raises(query.BadRequest):
+            ask(a, b)
+
+
+def test_raw_lines_read_as_a_json_parser_reads_them(spark):
+    import json
+
+    cases = [
+        ('{"source":"a","source":"b","instrument":{"symbol":"X"}}', "b", "X"), ('\t {"source":"a","instrument":{"symbol":"X-1"}} \r\n', "a", "X-1"), ('{"source":7,"instrument":{"symbol":7}}', "_unknown", "_unknown"),
+        ('{"source":["a"],"instrument":"X"}', "_unknown", "_unknown"), ('{"source":"a"} {}', "_unparsed", "_unparsed"), ('{"source":"a"},{"b":1}', "_unparsed", "_unparsed"), ("[1]", "_unparsed", "_unparsed"), ('"{"', "_unparsed", "_unparsed"),
+        ("{'source':'a'}", "_unparsed", "_unparsed"), ('{"source":NaN}', "_unparsed", "_unparsed"), ('{"source":"a\nb"}', "_unparsed", "_unparsed"), ('{"source":\n"a"\r\n}', "a", "_unknown"), ("{}", "_unknown", "_unknown"), ("", "_unparsed", "_unparsed"), ('{"a":{"b":1,"b":2},"source":"s"}', "s", "_unknown"), ("x" * 300, "_unparsed", "_unparsed"),
+        ('{"source":null,"instrument":{"symbol":"a/b"}}', "_unknown", "a_b"), ('{"source":"..","instrument":{"symbol":true}}', "_unknown", "_unknown"),
+    ]
+    d = spark.createDataFrame([("t", 0, i, 0, None, bytearray(v.encode())) for i, (v, _, _) in enumerate(cases)], schemas.RAW)
+    got = {r.offset: r for r in sinks.raw_lines(d).collect()}
+    for i, (v, source, instrument) in enumerate(cases):
+        r = got[i]
+        assert (r.source, r.instrument) == (source, instrument), v
+        assert "\n" not in r.line and "\r" not in r.line
+        assert json.loads(r.line)["offset"] == i

@@ -60,10 +60,11 @@ st as (select instrument, order_id, 0::bigint as k, false as live, '' as side, 0
 o as (select * from st qualify row_number() over (partition by instrument, order_id order by k desc) = 1),
 lv as (select instrument, side, price, sum(quantity) as quantity, count(*) as orders from o where live group by all)"""
 RAW = """raw as (select (user_id % 3)::int as partition, event_id as "offset", epoch_us(ts) // 1000 as timestamp, case when event_id % 7 = 0 then 'null' else '"' || user_id || '"' end as key, ts, event_id % 10 as kind, event_type, user_id,
-  '{"source":"' || event_type || '","instrument":{"symbol":"U' || (user_id % 8) || '"},"price":1.500}' as value from events),
-rl as (select *, case when kind = 0 then '_unknown' when kind in (1, 2) then '_unparsed' else event_type end as source, case when kind = 0 then '_unknown' when kind in (1, 2) then '_unparsed' else 'U' || (user_id % 8) end as instrument,
+  case event_id % 10 when 3 then '{"source":"old","source":"' when 4 then chr(9) || '  {"source":"' else '{"source":"' end || event_type || '","instrument":{"symbol":' || case event_id % 10 when 6 then '7' else '"U' || (user_id % 8) || '"' end || '},"price":1.500}'
+  || case event_id % 10 when 5 then ' x' when 7 then '  ' else '' end as value from events),
+rl as (select *, case when kind = 0 then '_unknown' when kind in (1, 2, 5) then '_unparsed' else event_type end as source, case when kind in (0, 6) then '_unknown' when kind in (1, 2, 5) then '_unparsed' else 'U' || (user_id % 8) end as instrument,
   '{"topic":"events.trade","partition":' || partition || ',"offset":' || "offset" || ',"timestamp":' || timestamp || ',"key":' || key ||
-  case kind when 0 then ',"value":null}' when 1 then ',"valueBase64":"bm90IGpzb24="}' when 2 then ',"valueBase64":"e/99"}' else ',"value":' || value || '}' end as line from raw)"""
+  case kind when 0 then ',"value":null}' when 1 then ',"valueBase64":"bm90IGpzb24="}' when 2 then ',"valueBase64":"e/99"}' when 5 then ',"valueBase64":"' || to_base64(encode(value)) || '"}' else ',"value":' || value || '}' end as line from raw)"""
 
 
 def pairs() -> str:
@@ -127,7 +128,7 @@ SQL: dict[str, str] = {
     "l3_contiguous": "select 0 as venue, count(*) as applied, max(event_id) as last_seq from events where event_id > 100 and event_id < (select max(event_id) - 3 from events)",
     "feature_range_query": f"with {T} select window_start, window_end, vwap as value, trade_count as input_count from ({vwap('1 hour', "instrument = 'U3'")}) where window_start >= '2024-01-02' and window_end <= '2024-01-10' order by 1 limit 50",
     "latest_snapshot": f"with {B} select instrument, event_id, event_time, len(bids)::int as n_bids, len(asks)::int as n_asks from (select *, row_number() over (partition by instrument order by event_time desc, event_id desc) as r from b) where r = 1",
-    "raw_dedup": "select 'events.trade' as topic, (user_id % 3)::int as partition, count(*) as n, max(event_id) as last_offset, count(*) filter (event_id % 7 <> 0) as keys, count(*) filter (event_id % 10 in (1, 2)) as not_json from events group by all",
+    "raw_dedup": "select 'events.trade' as topic, (user_id % 3)::int as partition, count(*) as n, max(event_id) as last_offset, count(*) filter (event_id % 7 <> 0) as keys, count(*) filter (event_id % 10 in (1, 2, 5)) as not_json from events group by all",
     "raw_groups": f"""with {RAW}, g as (select 'events.trade' as topic, partition, source, instrument, year(ts)::int as year, month(ts)::int as month, day(ts)::int as day, hour(ts)::int as hour, min("offset") as first_offset, max("offset") as last_offset, count(*) as records, sum((source = '_unparsed')::int)::bigint as unparsed from rl group by all)
   select *, printf('events.trade/%s/%s/%d/%02d/%02d/%02d/p%d-%020d-%020d.jsonl.gz', source, instrument, year, month, day, hour, partition, first_offset, last_offset) as object_key from g""",
     "raw_encoding": f"""with {RAW} select "offset", line, source, instrument from rl""",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,15 @@ def check_names(feature: str, instrument: str) -> None:
         raise BadRequest(f"instrument: {instrument!r}")
 
 
+def instant(text: str) -> datetime:
+    """An ISO 8601 time as an instant in UTC; one without an offset is in UTC."""
+    try:
+        t = datetime.fromisoformat(text)
+    except ValueError as e:
+        raise BadRequest(str(e)) from e
+    return t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=UTC)
+
+
 def series(df: DataFrame, start, end, limit: int | None = None) -> DataFrame:
     """window_start >= start and window_end <= end, by window_start; a negative limit is ignored, 0 gives nothing."""
     d = df.where((F.col("window_start") >= F.lit(start).cast("timestamp")) & (F.col("window_end") <= F.lit(end).cast("timestamp"))).orderBy("window_start")
@@ -34,7 +43,7 @@ def series(df: DataFrame, start, end, limit: int | None = None) -> DataFrame:
 def feature_series(spark: SparkSession, root: str, feature: str, instrument: str, start: str, end: str, limit: int | None = None, version: str = "v1") -> DataFrame:
     """window_start, window_end, value, input_count from a written feature folder. A folder that is not there has no rows; other errors are raised."""
     check_names(feature, instrument)
-    a, b = datetime.fromisoformat(start), datetime.fromisoformat(end)
+    a, b = instant(start), instant(end)
     if a > b:
         raise BadRequest("start is after end")
     try:
@@ -45,10 +54,10 @@ def feature_series(spark: SparkSession, root: str, feature: str, instrument: str
         raise
     except Exception as e:
         raise StorageUnavailable(str(e)) from e
-    # The range's days prune folders by one composed key; the columns' own bounds do the rest.
+    # Folders are named in UTC. The range's days prune folders by one composed key; the columns' own bounds do the rest.
     day = F.col("year").cast("int") * 10000 + F.col("month").cast("int") * 100 + F.col("day").cast("int")
     d = d.where(day.between(a.year * 10000 + a.month * 100 + a.day, b.year * 10000 + b.month * 100 + b.day))
-    return series(d.select("window_start", "window_end", "value", "input_count"), start, end, limit)
+    return series(d.select("window_start", "window_end", "value", "input_count"), a, b, limit)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.plans.query import instant
 from tickloom.sources.readers import in_range
 
 KEY = ["instrument", "feature_name", "feature_version", "window_start"]
@@ -60,7 +61,7 @@ class Jobs:
         self.pool = ThreadPoolExecutor(1)
 
     def submit(self, events: DataFrame, start: str, end: str) -> Job:
-        if start > end:
+        if instant(start) > instant(end):
             raise ValueError("start is after end")
         job = Job(uuid.uuid4().hex, start, end)
         self.jobs[job.id] = job

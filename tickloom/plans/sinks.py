@@ -42,23 +42,28 @@ def checked_topic(prefix: str, name: Column, version: Column) -> Column:
     return F.when(t.startswith(prefix), t).otherwise(F.raise_error(F.concat(F.lit("topic outside prefix: "), t)))
 
 
+#: JSON as it is defined, but for keys: repeated ones are allowed, the last counts.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def raw_lines(records: DataFrame) -> DataFrame:
     """Raw records (topic, partition, offset, timestamp, key, value binary) as log lines: a JSON object is embedded as it is, anything else as base64.
 
-    Numbers keep their digits, for the value's own text is used. Null values go under _unknown; what is no JSON object, or not UTF-8, under _unparsed. A null key is written as null.
+    Numbers keep their digits, for the value's own text is used, line breaks between its tokens as blanks. Null values go under _unknown; what is no JSON
+    object, or not UTF-8, under _unparsed. A source or symbol that is no text is unknown. A null key is written as null.
     """
-    records = records.withColumn("_text", F.try_validate_utf8(F.col("value").cast("string")))
-    text = F.col("_text")
-    flat = F.regexp_replace(text, "[\r\n]", " ")
-    # In brackets, so that anything after the object makes the text no array of one.
-    one = "try_parse_json(concat('[', _text, ']'))"
-    whole = F.coalesce(F.expr(f"{one} is not null and try_variant_get({one}, '$[1]', 'variant') is null"), F.lit(False)) & F.trim(flat).startswith("{")
+    text = F.try_validate_utf8(F.col("value").cast("string"))
+    # In brackets, so that anything after the object makes the text no array of one. A line break within a string is no JSON, so those left are between tokens.
+    records = records.withColumn("_text", text).withColumn("_all", F.from_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")), "array<string>", STRICT))
+    whole = F.coalesce((F.size("_all") == 1) & F.ltrim("_text", F.lit(" \t\r\n")).startswith("{"), F.lit(False))
+    records = records.withColumns({"_whole": whole, "_to": F.from_json("_text", "source variant, instrument struct<symbol: variant>", STRICT), "_flat": F.translate("_text", "\r\n", "  ")})
     head = F.to_json(F.struct("topic", "partition", "offset", "timestamp", "key"), {"ignoreNullFields": "false"})
     cut = F.substring(head, F.lit(1), F.length(head) - 1)
-    line = F.when(F.col("value").isNull(), F.concat(cut, F.lit(',"value":null}'))).when(whole, F.concat(cut, F.lit(',"value":'), flat, F.lit("}"))).otherwise(F.concat(cut, F.lit(',"valueBase64":"'), F.base64("value"), F.lit('"}')))
-    at = lambda p, other: F.when(F.col("value").isNull(), "_unknown").when(~whole, "_unparsed").otherwise(path_segment(F.get_json_object(flat, p)))
+    line = F.when(F.col("value").isNull(), F.concat(cut, F.lit(',"value":null}'))).when(F.col("_whole"), F.concat(cut, F.lit(',"value":'), F.col("_flat"), F.lit("}"))).otherwise(F.concat(cut, F.lit(',"valueBase64":"'), F.translate(F.base64("value"), "\r\n", ""), F.lit('"}')))
+    said = lambda c: F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string"))
+    at = lambda c: F.when(F.col("value").isNull(), "_unknown").when(~F.col("_whole"), "_unparsed").otherwise(path_segment(said(F.col(c))))
     t = F.timestamp_millis("timestamp")
-    return by_hour(records.select("topic", "partition", "offset", "timestamp", line.alias("line"), at("$.source", "").alias("source"), at("$.instrument.symbol", "").alias("instrument"), t.alias("_t")), "_t").drop("_t")
+    return by_hour(records.select("topic", "partition", "offset", "timestamp", line.alias("line"), at("_to.source").alias("source"), at("_to.instrument.symbol").alias("instrument"), t.alias("_t")), "_t").drop("_t")
 
 
 def write_raw(records: DataFrame, root: str) -> None:

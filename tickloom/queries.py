@@ -210,10 +210,13 @@ def latest_snapshot(s, d):
 
 
 def _raw(s, d):
-    """Raw records with tombstones, text that is no JSON, bytes that are no UTF-8, and null keys."""
+    """Raw records with tombstones, text that is no JSON, bytes that are no UTF-8, null keys, repeated JSON keys, white space around, things after the object, and fields of other types."""
     e = testdata.events(s, d)
-    js = F.concat(F.lit('{"source":"'), F.col("event_type"), F.lit('","instrument":{"symbol":"U'), (F.col("user_id") % 8).cast("string"), F.lit('"},"price":1.500}'))
     kind = F.col("event_id") % 10
+    symbol = F.when(kind == 6, F.lit("7")).otherwise(F.concat(F.lit('"U'), (F.col("user_id") % 8).cast("string"), F.lit('"')))
+    head = F.when(kind == 3, '{"source":"old","source":"').when(kind == 4, '\t\n {"source":"').otherwise('{"source":"')
+    tail = F.when(kind == 5, '},"price":1.500} x').when(kind == 7, '},"price":1.500}\r\n').otherwise('},"price":1.500}')
+    js = F.concat(head, F.col("event_type"), F.lit('","instrument":{"symbol":'), symbol, tail)
     value = F.when(kind == 0, None).when(kind == 1, F.lit("not json").cast("binary")).when(kind == 2, F.unhex(F.lit("7BFF7D"))).otherwise(js.cast("binary"))
     key = F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("string"))
     return e.select(F.lit("events.trade").alias("topic"), (F.col("user_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset"), F.unix_millis("ts").alias("timestamp"), key.alias("key"), value.alias("value"))
@@ -357,10 +360,10 @@ def published_events(s, d):
 
 @q
 def feature_files(s, d):
-    """Written under their folders and served from them."""
+    """Written under their folders and served from them, by instants of other zones."""
     root = session.work_dir(s, "features")
     sinks.write_features(features.long_form(features.vwap(testdata.trades(s, d), "1 day"), "vwap.1m", "vwap", "trade_count"), root)
-    f = query.feature_series(s, root, "vwap.1m", "U3", "2024-01-02T00:00:00", "2024-01-10T00:00:00")
+    f = query.feature_series(s, root, "vwap.1m", "U3", "2024-01-02T05:00:00+05:00", "2024-01-09T19:00:00-05:00")
     return f.select("window_start", "window_end", F.col("value").cast(D).alias("value"), "input_count")
 
 
