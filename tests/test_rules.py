@@ -45,13 +45,6 @@ def test_levels_equal_replayed_deltas(spark):
     assert [tuple(x) for x in book.levels(spark.createDataFrame(again, DELTAS)).collect()] == [("I", "SELL", 5.0, 1.0, 1)]
 
 
-def test_sync_state_overflows_beyond_what_may_wait(spark):
-    d = spark.createDataFrame([("a", i, T0) for i in range(2, 20)] + [("b", 1, T0)], "v string, seq bigint, event_time timestamp")
-    snap = spark.createDataFrame([("a", 0)], "v string, snapshot_seq bigint")
-    state = lambda held: {r.v: (r.state, r.waiting) for r in book.sync_state(d, snap, ["v"], held).collect()}
-    assert state(18) == {"a": ("SYNCHRONIZED", 18), "b": ("AWAITING_SNAPSHOT", 0)} and state(17)["a"] == ("DESYNCED", 18)
-
-
 def test_raw_lines_of_any_bytes(spark):
     rows = [("t", 0, 1, 0, None, b'{"source":"x"}'), ("t", 0, 2, 0, "k", b"{\xff}"), ("t", 0, 3, 0, "k", b"")]
     got = sinks.raw_lines(spark.createDataFrame(rows, schemas.RAW)).orderBy("offset").collect()

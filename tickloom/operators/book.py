@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.operators.running import running
+from tickloom.session import settled
 
 #: Sequence numbers of a series that one task orders.
 STRETCH = 1_000_000
@@ -54,15 +56,47 @@ def best(levels_df: DataFrame) -> DataFrame:
 
 #: Deltas that a book may hold back while it waits for a missing number.
 HELD = 1000
+STATES = ("AWAITING_SNAPSHOT", "SYNCHRONIZED", "DESYNCED")
 
 
-def sync_state(deltas: DataFrame, snapshot_seq: DataFrame, keys: list[str], held: int = HELD) -> DataFrame:
-    """keys, state and waiting: AWAITING_SNAPSHOT without a snapshot; DESYNCED once more than `held` deltas wait behind a missing number; else SYNCHRONIZED."""
-    snap = snapshot_seq.select(*keys, "snapshot_seq")
-    known = deltas.select(*keys).distinct().join(snap, keys, "left")
-    applied = contiguous(deltas, snap, keys).groupBy(*keys).agg(F.max("seq").alias("_last"))
-    d = deltas.join(snap, keys).where("seq > snapshot_seq").join(applied, keys, "left").where("seq > coalesce(_last, snapshot_seq)")
-    waiting = d.groupBy(*keys).agg(F.count("*").alias("waiting"))
-    out = known.join(waiting, keys, "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
-    state = F.when(F.col("snapshot_seq").isNull(), "AWAITING_SNAPSHOT").when(F.col("waiting") > held, "DESYNCED").otherwise("SYNCHRONIZED")
-    return out.select(*keys, state.alias("state"), "waiting")
+def followed(deltas: DataFrame, snapshots: DataFrame, keys: list[str]) -> DataFrame:
+    """Each number that came after a snapshot and beyond it, once: keys, _since and _base (that snapshot's arrival and number), seq, at (first arrival), and applied_at (null: never).
+
+    A delta is applied once all numbers from the snapshot on are there: a running maximum of their arrivals tells when, as long as a running count tells of no hole.
+    """
+    none = F.lit(None).cast("bigint")
+    both = snapshots.select(*keys, "arrival", none.alias("seq"), "snapshot_seq").unionByName(deltas.select(*keys, "arrival", F.col("seq").cast("bigint").alias("seq"), none.alias("snapshot_seq")))
+    # Of equal arrivals the snapshot comes first.
+    both = both.withColumns({"_chunk": F.expr(f"arrival div {STRETCH}"), "_rank": F.col("seq").isNotNull()})
+    snap = F.when(~F.col("_rank"), F.struct(F.col("arrival").alias("since"), F.col("snapshot_seq").alias("base")))
+    d = running(both, keys, "_chunk", ["arrival", "_rank", "seq"], snap=("last", snap)).where("seq > snap.base")
+    d = d.groupBy(*keys, F.col("snap.since").alias("_since"), F.col("snap.base").alias("_base"), "seq").agg(F.min("arrival").alias("at"))
+    d = settled(d, "followed").withColumn("_chunk", F.expr(f"seq div {STRETCH}"))
+    d = running(d, [*keys, "_since", "_base"], "_chunk", ["seq"], n=("sum", F.lit(1)), top=("max", F.col("at")))
+    return d.withColumn("applied_at", F.when(F.col("seq") - F.col("_base") == F.col("n"), F.col("top"))).drop("_chunk", "n", "top")
+
+
+def synced(deltas: DataFrame, snapshots: DataFrame, keys: list[str]) -> DataFrame:
+    """The deltas that a book applies, each once, with applied_at: what arrives early waits for what is missing, what arrives late or before any snapshot is dropped."""
+    f = followed(deltas, snapshots, keys).where("applied_at is not null").select(*keys, "seq", F.col("at").alias("arrival"), "applied_at")
+    d = deltas.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "arrival", "seq").orderBy("event_time"))).where("_n = 1").drop("_n")
+    return d.join(f, [*keys, "seq", "arrival"])
+
+
+def sync_state(deltas: DataFrame, snapshots: DataFrame, keys: list[str], held: int = HELD) -> DataFrame:
+    """keys, state, waiting, applied and last_seq once all of deltas (keys, arrival, seq) and snapshots (keys, arrival, snapshot_seq) have arrived, in order of arrival.
+
+    Deltas ahead wait, each number once; when more than `held` do, the book is DESYNCED and stays so until its next snapshot, although what then comes in order is applied.
+    Snapshots drop what waits. How many wait is a running sum over arrivals: one more for each number that comes, one less when it is applied. No series is one task.
+    """
+    f = settled(followed(deltas, snapshots, keys), "applied")
+    own = [*keys, "_since"]
+    moves = f.select(*own, F.explode(F.expr("filter(array(struct(at, 1L as step), struct(applied_at as at, -1L as step)), x -> x.at is not null)")).alias("x")).groupBy(*own, F.col("x.at").alias("at")).agg(F.sum("x.step").alias("step"))
+    moves = running(moves.withColumn("_chunk", F.expr(f"at div {STRETCH}")), own, "_chunk", ["at"], ends="left_", waiting=("sum", F.col("step")))
+    most = moves.groupBy(*own).agg(F.max("waiting").alias("most"), F.max("left_waiting").alias("waiting"))
+    told = f.groupBy(*own).agg(F.count("applied_at").alias("n"), F.max(F.when(F.col("applied_at").isNotNull(), F.col("seq"))).alias("top")).join(most, own)
+    base = snapshots.select(*keys, F.col("arrival").alias("_since"), "snapshot_seq")
+    last = base.join(told, own, "left").groupBy(*keys).agg(F.max_by(F.struct("most", "waiting", F.coalesce("top", "snapshot_seq").alias("top")), "_since").alias("r"), F.sum("n").alias("n"))
+    known = deltas.select(*keys).unionByName(snapshots.select(*keys)).distinct().join(last, keys, "left")
+    state = F.when(F.col("r").isNull(), STATES[0]).when(F.coalesce("r.most", F.lit(0)) > held, STATES[2]).otherwise(STATES[1])
+    return known.select(*keys, state.alias("state"), F.coalesce("r.waiting", F.lit(0)).alias("waiting"), F.coalesce("n", F.lit(0)).alias("applied"), F.col("r.top").alias("last_seq"))

@@ -88,6 +88,24 @@ ACCEPTED = f"""with {ARRIVED}, f as (select instrument, arg_max(watermark, seq)
 select instrument, 'vwap.1m' as feature_name, window_start, vwap as value, trade_count as input_count from ({vwap('1 hour', source='acc')}) union all select instrument, 'vpin', window_start, vpin, trade_count from ({vpin('1 hour')})"""
 
 
+#: Books replayed arrival by arrival, what waits as a sorted list.
+SYNC = """with recursive d as (select 'S' || (event_id % 6) as instrument, event_id // 6 as seq, event_id as id from events where event_id % 6 <> 2 or event_id // 6 <> 20),
+a as (select instrument, seq, case when instrument in ('S3', 'S4') and seq = 30 then id + 10::bigint ** 15 else (id + id * 7919 % 60) * 1000000 + id % 1000000 end::bigint as arrival from d),
+b as (select * from a union all select instrument, seq, arrival + 200000000 from a where instrument = 'S5'),
+half as (select max(seq) // 2 as seq from b where instrument = 'S4'),
+m as (select instrument, arrival, 1 as kind, seq from b union all select distinct instrument, 0, 0, 9 from b where instrument <> 'S0'
+  union all select instrument, max(arrival), 0, seq from b where instrument = 'S4' and seq = (select seq from half) and seq <> 30 group by all),
+n as (select *, row_number() over (partition by instrument order by arrival, kind, seq) as k from m),
+st as (select distinct instrument, 0::bigint as k, 'AWAITING_SNAPSHOT' as state, 0::bigint as expected, []::bigint[] as w, 0::bigint as applied from m
+  union all select instrument, k, case when kind = 0 then 'SYNCHRONIZED' when state <> 'AWAITING_SNAPSHOT' and len(nw) > 40 and seq > expected then 'DESYNCED' else state end,
+    case when kind = 0 then seq + 1 when state <> 'AWAITING_SNAPSHOT' and seq = expected then seq + 1 + run else expected end,
+    case when kind = 0 then [] when state = 'AWAITING_SNAPSHOT' then w when seq = expected then w[run + 1:] else nw end,
+    applied + case when kind = 1 and state <> 'AWAITING_SNAPSHOT' and seq = expected then 1 + run else 0 end
+  from (select st.instrument, n.k, state, expected, w, applied, kind, seq, case when seq > expected and not list_contains(w, seq) then list_sort(list_append(w, seq)) else w end as nw,
+      len(list_filter(w, lambda x, i: x = seq + i)) as run from st join n on n.instrument = st.instrument and n.k = st.k + 1))
+select instrument, state, len(w) as waiting, applied, case when state <> 'AWAITING_SNAPSHOT' then expected - 1 end as last_seq from st qualify row_number() over (partition by instrument order by k desc) = 1"""
+
+
 SQL: dict[str, str] = {
     "vwap_1m": f"with {T} {vwap('1 minute')}",
     "vwap_1h": f"with {T} {vwap('1 hour')}",
@@ -157,5 +175,6 @@ select instrument, window_start, round(sum(imb)::double / 5, 8) as vpin, m as bu
   union all select 'delta', concat_ws('; ', f, case when event_id % 10 = 0 then 'order_id is required' end, case when event_type <> 'error' and value <= 100 then 'price must be positive' end, case when k < 50 then 'quantity must not be negative' end), count(*) from e group by all""",
     "book_messages": f"with {T} select event_id as arrival, 'ETH-USD' as instrument, 'book' as kind, row_number() over (order by event_id) as sequence_number, (size > 0)::int as n_bids, 1::int as n_asks, case when size > 0 then price::double end as bid, 2.5::double as ask, 1::int as depth, event_time from t",
     "listed_messages": f"with {T} select event_id as arrival, i::int as item, case i when 0 then 'BTC-USDT' else 'BTC-USDT-SWAP' end as instrument, row_number() over (partition by i order by event_id) as sequence_number, case i when 0 then 'SELL' else 'BUY' end as side, case i when 0 then price::double else 5 end as price, case i when 0 then size::double else 2 end as size, case i when 0 then timestamp '2025-05-11 21:46:40' else timestamp '1970-01-01 00:00:00.001' end as event_time, case i when 0 then event_id::varchar else '1' end as exchange_trade_id, case i when 0 then '' else 'not BASE-QUOTE' end as reason from t, (select unnest([0, 1]) as i)",
-    "sync_states": "select * from (values ('none', 'AWAITING_SNAPSHOT', 0::bigint), ('whole', 'SYNCHRONIZED', 0::bigint)) t(instrument, state, waiting) union all select 'holed', case when count(*) > 500 then 'DESYNCED' else 'SYNCHRONIZED' end, count(*) from events where event_id > 20",
+    "sync_states": SYNC,
+    "sync_stream": SYNC,
 }

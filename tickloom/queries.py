@@ -13,7 +13,7 @@ from tickloom.functions import exact
 from tickloom.operators import book, features, signals, validation, windows
 from tickloom.plans import edge, query, replay, sinks
 from tickloom.sources import readers, testdata, venues
-from tickloom.streaming import live
+from tickloom.streaming import live, sync
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 D = "double"
@@ -406,13 +406,46 @@ def listed_messages(s, d):
     return p.select("arrival.arrival", "arrival.item", "instrument", F.col("sequence_number").cast("bigint").alias("sequence_number"), "side", F.col("price").cast(D).alias("price"), F.col("size").cast(D).alias("size"), "event_time", "exchange_trade_id", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+#: Books that stay in step, or not: S0 has no snapshot, S2 misses a delta, S3 gets one last, S4 too but is snapshotted again, S5 gets all twice.
+def _arrived(s, d):
+    t = _deltas(s, d).withColumns({"instrument": F.concat(F.lit("S"), (F.col("seq") % 6).cast("string")), "id": F.col("seq"), "seq": F.expr("seq div 6")})
+    t = t.where("instrument <> 'S2' or seq <> 20")
+    arrival = F.expr("(id + id * 7919 % 60) * 1000000 + id % 1000000")
+    t = t.withColumn("arrival", F.when(F.col("instrument").isin("S3", "S4") & (F.col("seq") == 30), F.col("id") + F.lit(10**15)).otherwise(arrival))
+    twice = t.where("instrument = 'S5'").withColumn("arrival", F.col("arrival") + 200 * 10**6)
+    return t.unionByName(twice).select("instrument", "arrival", "seq", "order_id", "side", "price", "quantity", "action", "event_time")
+
+
+def _snapshots(t):
+    """One before anything else, and one more of S4 half-way through the numbers it got."""
+    first = t.where("instrument <> 'S0'").select("instrument").distinct().select("instrument", F.lit(0).cast("long").alias("arrival"), F.lit(9).cast("long").alias("snapshot_seq"))
+    again = t.where("instrument = 'S4'").groupBy("instrument").agg(F.floor(F.max("seq") / 2).alias("snapshot_seq"))
+    at = t.where("instrument = 'S4' and seq <> 30").groupBy("instrument", "seq").agg(F.max("arrival").alias("arrival"))
+    again = again.join(at, "instrument").where("seq = snapshot_seq").select("instrument", F.col("arrival").cast("long").alias("arrival"), F.col("snapshot_seq").cast("long").alias("snapshot_seq"))
+    return first.unionByName(again)
+
+
 @q
 def sync_states(s, d):
-    """Books by symbol: without a snapshot, in step, and with too many deltas waiting behind a hole."""
-    t = _deltas(s, d).select(F.col("instrument").alias("_i"), "seq", "event_time").withColumn("instrument", F.explode(F.array(F.lit("none"), F.lit("whole"), F.lit("holed")))).drop("_i")
-    t = t.where("instrument <> 'holed' or seq <> 20")
-    snap = s.createDataFrame([("whole", 10), ("holed", 10)], "instrument string, snapshot_seq bigint")
-    return book.sync_state(t, snap, ["instrument"], held=500)
+    """Books by order of arrival: without a snapshot, in step, desynchronised by too many deltas that wait, and in step again."""
+    t = _arrived(s, d)
+    return book.sync_state(t, _snapshots(t), ["instrument"], held=40)
+
+
+@q
+def sync_stream(s, d):
+    """The same from the stream of snapshots and the stream of deltas, stopped half-way and started again from its checkpoint."""
+    root = session.work_dir(s, "sync-stream")
+    t = _arrived(s, d)
+    snaps = _snapshots(t)
+    half = t.agg(F.percentile_approx("arrival", 0.5)).first()[0]
+    for part in (F.col("arrival") <= half, F.col("arrival") > half):
+        t.where(part).write.mode("append").parquet(f"{root}/deltas")
+        snaps.where(part).write.mode("append").parquet(f"{root}/snapshots")
+        told = sync.synced(s.readStream.schema(t.schema).parquet(f"{root}/deltas"), s.readStream.schema(snaps.schema).parquet(f"{root}/snapshots"), held=40)
+        w = told.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
+        w.trigger(availableNow=True).start().awaitTermination()
+    return sync.states(s.read.schema(sync.OUT).parquet(f"{root}/out"))
 
 
 def _naive(run):

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -61,3 +61,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
     atexit.register(clear)
     return at
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that what reads it several times does not run it several times."""
+    at = work_dir(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
