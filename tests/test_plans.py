@@ -8,7 +8,7 @@ from tests.test_features import T0, ticks
 from tickloom.operators import features
 from tickloom.plans import query, replay, sinks
 from tickloom.sources import readers, venues
-from tickloom.streaming import live
+from tickloom.streaming import engine, live
 
 
 def plan(t):
@@ -48,8 +48,8 @@ def test_exact_engine_in_stream_equals_batch_plan(spark, tmp_path):
     path = str(tmp_path / "in")
     t.where("seq < 40").coalesce(1).write.mode("append").parquet(path)
     t.where("seq >= 40").coalesce(1).write.mode("append").parquet(path)
-    engine = live.ExactEngine(60, [0], "20", 3)
-    stream = engine.run(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    exact = engine.ExactEngine(60, [0], "20", 3)
+    stream = exact.run(spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path))
     q = stream.writeStream.format("memory").queryName("exact").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {(r.feature_name, r.window_start): (r.value, r.input_count) for r in spark.table("exact").collect()}
@@ -58,14 +58,6 @@ def test_exact_engine_in_stream_equals_batch_plan(spark, tmp_path):
     assert got == want and last == T0 + timedelta(minutes=2)
 
 
-def test_exact_engine_late_trap():
-    e = live.ExactEngine(60, [0])
-    s = e.fresh()
-    row = lambda t: (t * 1_000_000, t, D(1), D(1), "BUY", 0)
-    out = e.step(s, [row(5), row(60), row(30)]) + e.step(s, [row(50), row(90)])
-    assert [(x[0], x[1], x[4]) for x in out if x[0] == "vwap.1m"] == [("vwap.1m", 0, 1)] and s["late"] == 2
-
-
 def test_builtin_watermark_stream(spark, tmp_path):
     t = some(spark, 100)
     path = str(tmp_path / "in")

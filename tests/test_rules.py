@@ -17,7 +17,7 @@ from tickloom.functions import exact
 from tickloom.operators import book, features
 from tickloom.plans import query, replay, sinks
 from tickloom.sources import venues
-from tickloom.streaming import live
+from tickloom.streaming import engine, live
 
 DELTAS = "instrument string, order_id string, side string, price double, quantity double, action string, seq bigint"
 
@@ -71,32 +71,18 @@ def test_engine_emits_all_features_and_restarts(spark, tmp_path):
     b = books(spark, [(i * 7, level(100), [(101 + j, q) for j, (_, q) in enumerate(level(100))]) for i in range(34)])
     b = b.withColumns({"partition": F.lit(0), "seq": F.col("event_id") * 3 + 1})
     want = {(x.feature_name, x.window_start): (x.value, x.input_count) for x in features.all_features(t, b, "1 minute", bucket=20, history=3).collect()}
-    engine, at = live.ExactEngine(60, [0, 1], "20", 3), str(tmp_path)
+    exact_, at = engine.ExactEngine(60, [0, 1], "20", 3), str(tmp_path)
     for k, part in enumerate(("event_time < '2026-05-11 14:01:30'", "event_time >= '2026-05-11 14:01:30'")):
         t.where(part).coalesce(1).write.mode("append").parquet(f"{at}/t")
         b.where(part).coalesce(1).write.mode("append").parquet(f"{at}/b")
-        out = engine.run(*(spark.readStream.schema(d.schema).parquet(f"{at}/{x}") for d, x in ((t, "t"), (b, "b"))))
+        out = exact_.run(*(spark.readStream.schema(d.schema).parquet(f"{at}/{x}") for d, x in ((t, "t"), (b, "b"))))
         finish(out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").outputMode("append"))
-    rows = spark.read.schema(live.OUT).parquet(f"{at}/out").collect()
+    rows = spark.read.schema(engine.FEATURE).parquet(f"{at}/out").collect()
     got = {(x.feature_name, x.window_start): (x.value, x.input_count) for x in rows}
     closed = {k: v for k, v in want.items() if k[1] < T0 + timedelta(minutes=3)}
     assert len(got) == len(rows) and got == closed and {k[0] for k in got} == set(features.REGISTRY)
 
 
-def test_a_window_waits_for_partitions_without_data_and_is_told_once():
-    row = lambda t, part: (t * 1_000_000, t, D(t), D(1), "BUY", part)
-    told = lambda out: [(x[1] // 1_000_000, x[3], x[4]) for x in out if x[0] == "vwap.1m"]
-    e = live.ExactEngine(60, [0, 1])
-    s = e.fresh()
-    # The first arrival of partition 1 takes the watermark back into the window that partition 0 has passed.
-    assert told(e.step(s, [row(10, 0), row(70, 0)])) == [] and told(e.step(s, [row(20, 1), row(80, 1)])) == [(0, 15, 2)] and s["late"] == 0
-    # What never has data does not hold windows for ever: an end tells so, and nothing is told again after it.
-    s = e.fresh()
-    assert told(e.step(s, [row(10, 0), row(70, 0), (None,) * 6])) == [(0, 10, 1)]
-    assert told(e.step(s, [row(20, 1), row(140, 0), row(150, 1)])) == [(60, 70, 1)] and s["late"] == 1
-    assert e.step(e.fresh(), [(None,) * 6]) == []
-
-
 def test_the_stream_tells_each_closed_window_once(spark):
     """On these tables an instrument's first window is passed before its last partition begins."""
     if not os.path.isdir(sf := "/root/testdata/sf0.01"):

@@ -13,7 +13,7 @@ from tickloom.functions import exact
 from tickloom.operators import book, features, signals, validation, windows
 from tickloom.plans import edge, query, replay, sinks
 from tickloom.sources import readers, testdata, venues
-from tickloom.streaming import live, sync
+from tickloom.streaming import engine, sync
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 D = "double"
@@ -331,18 +331,29 @@ def accepted_features(s, d):
     return f.select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
 
 
-@q
-def exact_stream(s, d):
-    """The same from the stream engine, stopped half-way and started again from its checkpoint; the second half ends the input."""
+def _engine(s, d):
+    """What the stream engine tells, stopped half-way and started again from its checkpoint; the second half ends the input."""
     root = session.work_dir(s, "exact-stream")
     t = testdata.arrivals(s, d)
     half = t.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    for part in (t.where(F.col("seq") <= half), t.where(F.col("seq") > half).unionByName(live.ended(t))):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-        out = live.ExactEngine(3600, [0, 1, 2], "500", 5).run(s.readStream.schema(t.schema).parquet(f"{root}/in"))
+    for part in (t.where(F.col("seq") <= half), t.where(F.col("seq") > half).unionByName(engine.ended(t))):
+        part.write.mode("append").parquet(f"{root}/in")
+        out = engine.ExactEngine(3600, [0, 1, 2], "500", 5).told(s.readStream.schema(t.schema).parquet(f"{root}/in"))
         w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
         w.trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(live.OUT).parquet(f"{root}/out").select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
+    return s.read.schema(engine.TOLD).parquet(f"{root}/out")
+
+
+@q
+def exact_stream(s, d):
+    """The features of the stream engine."""
+    return engine.features(_engine(s, d)).select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
+
+
+@q
+def late_stream(s, d):
+    """The arrivals that were too late for the stream engine."""
+    return engine.late(_engine(s, d)).select("instrument", "window_start", "event_id", "event_time")
 
 
 @q

@@ -1,27 +1,18 @@
 """The feature plan over unbounded input.
 
 `closed_windows` uses the built-in watermark (a window closes once its end is not after it; late rows are judged by the watermark of the batch
-before). `ExactEngine` keeps its own state per instrument and has the exact rules: every arrival moves its partition's clock, windows close
-in order, volume buckets carry over.
+before). The engine in `streaming.engine` has the exact rules.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
-from decimal import ROUND_HALF_EVEN, Decimal, localcontext
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.plans import replay, sinks
 
-SCALE = Decimal("0.00000001")
-
-
 def closed_windows(events: DataFrame, feature: Callable[[DataFrame], DataFrame], delay: str = "0 seconds") -> DataFrame:
     """The same feature function as in batch, over a stream; write in append mode."""
     return feature(events.withWatermark("event_time", delay))
@@ -77,113 +68,3 @@ def fan_out(df: DataFrame, clients: dict[str | None, Callable[[list], None]], re
 
 #: Rows given to a client at once.
 PIECE = 1000
-OUT = "instrument string, feature_name string, window_start timestamp, window_end timestamp, value decimal(28,8), input_count bigint"
-STATE = "blob binary"
-
-
-def ended(trades: DataFrame) -> DataFrame:
-    """A row for each instrument of trades that tells `ExactEngine`, last in arrival order, that partitions without data so far will have none."""
-    of = {"instrument": F.col("instrument"), "partition": F.lit(-1), "event_id": F.lit(-1), "seq": F.lit(2**63 - 1)}
-    return trades.select("instrument").distinct().select(*[of.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in trades.schema])
-
-
-class ExactEngine:
-    """All four features by the exact rules. State per instrument: each partition's clock, open windows (their trades and last book), and the volume bucket being filled.
-
-    A partition without data yet is not counted for what is late, so its first arrival may take the watermark back. No window closes before: each is told
-    once, with all it accepted, when every partition has had data or an end (see `ended`) says that the others have none. Until then windows wait in the state.
-    """
-
-    def __init__(self, size_seconds: int, partitions: list[int], bucket: str = "1", history: int = 1, levels: int = 5):
-        self.size, self.partitions, self.bucket, self.history, self.levels = size_seconds * 1_000_000, partitions, Decimal(bucket), history, levels
-
-    def fresh(self) -> dict:
-        return {"tops": {}, "open": {}, "buy": Decimal(0), "sell": Decimal(0), "past": [], "late": 0, "ended": False, "done": None}
-
-    def step(self, s: dict, rows: list[tuple]) -> list[tuple]:
-        """Take rows in arrival order; what closes, in order. Trades: (us, event_id, price, size, side, partition); books: (us, event_id, None, None, None, partition, bids, asks), sides as [(price, size)]; an end: us None."""
-        out = []
-        for us, eid, price, size, side, part, *book in rows:
-            if us is None:
-                s["ended"] = True
-            else:
-                s["tops"][part] = max(us, s["tops"].get(part, us))
-            # The partition set is known up front; one without data yet is not counted.
-            seen = [s["tops"][p] for p in self.partitions if p in s["tops"]]
-            mark = min(seen, default=us)
-            if us is not None:
-                start = us // self.size * self.size
-                # Only a partition that begins after an end can meet a window told already.
-                if start + self.size <= mark or (s["done"] is not None and start <= s["done"]):
-                    s["late"] += 1
-                else:
-                    w = s["open"].setdefault(start, {"trades": [], "book": None})
-                    if price is not None:
-                        w["trades"].append((us, eid, price, size, side))
-                    elif w["book"] is None or (us, eid) > w["book"][:2]:
-                        w["book"] = (us, eid, *book)
-            if seen and (s["ended"] or len(seen) == len(set(self.partitions))):
-                for at in sorted(at for at in s["open"] if at + self.size <= mark):
-                    out += self._close(s, at, s["open"].pop(at))
-                    s["done"] = at
-        return out
-
-    def _close(self, s: dict, at: int, window: dict) -> Iterator[tuple]:
-        with localcontext() as c:
-            c.prec = 50
-            to8 = lambda x: x.quantize(SCALE, ROUND_HALF_EVEN)
-            if rows := sorted(window["trades"], key=lambda r: r[:2]):
-                v, pv = sum((r[3] for r in rows), Decimal(0)), sum((r[2] * r[3] for r in rows), Decimal(0))
-                q = pv / v if v else sum((r[2] for r in rows), Decimal(0)) / len(rows)
-                yield ("vwap.1m", at, at + self.size, to8(q), len(rows))
-                for _, _, _, size, side in rows:
-                    self._fill(s, size, side)
-                if len(s["past"]) == self.history:
-                    yield ("vpin", at, at + self.size, to8(sum(s["past"]) / (self.history * self.bucket)), len(rows))
-            if window["book"] is not None:
-                bids, asks = window["book"][2:]
-                bid, ask = (sum((q for _, q in x[: self.levels]), Decimal(0)) for x in (bids, asks))
-                yield ("obi", at, at + self.size, to8((bid - ask) / (bid + ask) if bid + ask else Decimal(0)), 1)
-                if bids and asks:
-                    (bp, bv), (ap, av) = bids[0], asks[0]
-                    yield ("micro_price", at, at + self.size, to8((bp * av + ap * bv) / (bv + av) if bv + av else (bp + ap) / 2), 1)
-
-    def _fill(self, s: dict, size: Decimal, side: str) -> None:
-        while size > 0:
-            part = min(size, self.bucket - s["buy"] - s["sell"])
-            half = {"BUY": (part, 0), "SELL": (0, part)}.get(side, (part / 2, part / 2))
-            s["buy"], s["sell"], size = s["buy"] + half[0], s["sell"] + half[1], size - part
-            if s["buy"] + s["sell"] == self.bucket:
-                s["past"] = [*s["past"], abs(s["buy"] - s["sell"])][-self.history :]
-                s["buy"] = s["sell"] = Decimal(0)
-
-    def run(self, trades: DataFrame, books: DataFrame | None = None) -> DataFrame:
-        """Streaming (or batch) DataFrames of trades (TICK columns; rows without event_time are ends) and books (instrument, event_id, event_time, partition, seq, bids, asks) -> closed features. State is checkpointed by Spark."""
-        engine = self
-        key = ["instrument", "event_id", "event_time", "partition", "seq"]
-        sides = ("bids.price", "bids.size", "asks.price", "asks.size")
-        none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-        both = trades.select(*key, "price", "size", "side", *none("array<decimal(18,8)>", "bp", "bs", "ap", "as"))
-        if books is not None:
-            both = both.unionByName(books.select(*key, *none("decimal(18,8)", "price", "size"), *none("string", "side"), *[F.col(c).alias(n) for c, n in zip(sides, ("bp", "bs", "ap", "as"), strict=True)]))
-
-        def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            s = engine.fresh() | (pickle.loads(state.get[0]) if state.exists else {})
-            d = pd.concat(list(frames)).sort_values("seq", kind="stable")
-            us = (d["event_time"].fillna(pd.Timestamp(0)) - pd.Timestamp(0)) // pd.Timedelta(microseconds=1)
-            us = us.astype(object).where(d["event_time"].notna(), None)
-            rows = []
-            for t, e, p, q, side, part, *levels in zip(us.tolist(), *(d[c].tolist() for c in ("event_id", "price", "size", "side", "partition", "bp", "bs", "ap", "as")), strict=True):
-                if t is None:
-                    rows.append((None,) * 6)
-                elif p is None:
-                    bp, bs, ap, as_ = (list(x) for x in levels)
-                    rows.append((t, e, None, None, None, part, list(zip(bp, bs, strict=True)), list(zip(ap, as_, strict=True))))
-                else:
-                    rows.append((t, e, p, q, side, part))
-            got = engine.step(s, rows)
-            state.update((pickle.dumps(s),))
-            cols = list(zip(*got, strict=True)) or [[]] * 5
-            yield pd.DataFrame({"instrument": [key[0]] * len(got), "feature_name": cols[0], "window_start": pd.to_datetime(list(cols[1]), unit="us"), "window_end": pd.to_datetime(list(cols[2]), unit="us"), "value": list(cols[3]), "input_count": list(cols[4])})
-
-        return both.groupBy("instrument").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
