@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tickloom.streaming.state import stateful
+from tickloom.streaming.state import framed, stateful
 
 UNIT = 10**8
 FEATURE = "instrument string, feature_name string, window_start timestamp, window_end timestamp, value decimal(28,8), input_count bigint"
@@ -133,8 +133,7 @@ class Engine(StatefulProcessor):
         self.take(zip(*(d[c].tolist() for c in _ROW), strict=True), out)
         at = lambda x: None if x is None else pd.Timestamp(x, unit="us")
         told = [(what, key[0], name, at(start), at(start + self.size), None if v is None else Decimal(v).scaleb(-8), n, event_id, at(us), seq) for what, name, start, v, n, event_id, us, seq in out]
-        frame = pd.DataFrame(dict(zip(names(TOLD), zip(*told, strict=True), strict=True)) if told else {c: [] for c in names(TOLD)})
-        yield frame.astype({c: "datetime64[us]" for c in ("window_start", "window_end", "event_time")})
+        yield framed(TOLD, told)
 
     def take(self, rows: Iterator[tuple], out: list[tuple]) -> None:
         """Arrivals (_ROW) in order; what is told is added to out as (what, feature, window, value, inputs, event_id, us, seq)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -13,3 +14,9 @@ def stateful(grouped: GroupedData, processor: StatefulProcessor, out: str) -> Da
     """The processor over a grouped stream, append mode, without timers."""
     grouped._df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     return grouped.transformWithStateInPandas(processor, out, "Append", "None")
+
+
+def framed(ddl: str, rows: list[tuple]) -> pd.DataFrame:
+    """Rows as a frame whose columns keep their values as they are, whatever is null."""
+    kinds = {x.split()[0]: "datetime64[us]" if x.endswith(" timestamp") else "object" for x in ddl.split(", ")}
+    return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=kind) for k, (c, kind) in enumerate(kinds.items())})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.operators.book import HELD, STATES
-from tickloom.streaming.state import stateful
+from tickloom.streaming.state import framed, stateful
 
 FIELDS = "order_id string, side string, price double, quantity double, action string, event_time timestamp"
 #: What is told: applied deltas (in order of position) and, at the end of each batch that moved a book, its state.
@@ -79,8 +79,7 @@ class Book(StatefulProcessor):
         self.at.update((state, expected, waiting, position))
         known = None if state == AWAITING else expected - 1
         out.append((key[0], "state", position, last, None, *[None] * len(_COLS), state, waiting, known))
-        names = [x.split()[0] for x in OUT.split(", ")]
-        yield pd.DataFrame({n: pd.Series(c, dtype="datetime64[us]" if n == "event_time" else "object") for n, c in zip(names, zip(*out, strict=True), strict=True)})
+        yield framed(OUT, out)
 
     def close(self) -> None:
         pass
