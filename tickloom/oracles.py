@@ -166,6 +166,8 @@ select instrument, window_start, round(sum(imb)::double / 5, 8) as vpin, m as bu
     "feature_values": f"with {T} select instrument, window_start, sum_price_times_size, sum_size, trade_count::double as trade_count from ({vwap('1 day')})",
     "accepted_features": ACCEPTED,
     "exact_stream": ACCEPTED,
+    "live_features": ACCEPTED,
+    "recorded_stream": "select 'events.trade' as topic, (user_id % 3)::int as partition, count(*) as n, max(event_id) as last_offset, count(*) filter (event_id % 7 <> 0) as keys, count(*) filter (event_id % 10 not in (0, 1, 2, 5)) as objects from events group by all",
     "late_stream": f"with {ARRIVED} select instrument, window_start, event_id, event_time from l where late",
     "operational_counts": f"with {ARRIVED} select instrument, count(*) as received, count(*) filter (not late) as accepted, count(*) filter (late) as late, count(distinct case when not late then window_start end) as windows, coalesce(sum(size) filter (not late and side = 'UNKNOWN'), 0)::double as unknown_volume from l group by 1",
     "published_events": f"with {CHECKED} select case when reasons = '' then 'events.trade' else 'events.deadletter' end as topic, count(*) as n from r group by 1",

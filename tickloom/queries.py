@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tickloom import session
 from tickloom.functions import exact
 from tickloom.operators import book, features, signals, validation, windows
+from tickloom.operators.running import running
 from tickloom.plans import edge, query, replay, sinks
-from tickloom.sources import readers, testdata, venues
+from tickloom.sources import rawlog, readers, testdata, venues
 from tickloom.streaming import engine, sync
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,6 +357,47 @@ def late_stream(s, d):
     return engine.late(_engine(s, d)).select("instrument", "window_start", "event_id", "event_time")
 
 
+def _log(t):
+    """Trades in arrival order as raw records: offsets by partition without holes, ends under a topic of their own."""
+    t = t.withColumns({"_chunk": F.expr("seq div 1000000 div 86400"), "_end": F.col("event_time").isNull()})
+    t = running(t, ["partition"], "_chunk", ["seq", "instrument"], offset=("sum", F.lit(1)))
+    said = F.struct(F.lit("feed").alias("source"), F.struct(F.col("instrument").alias("symbol")).alias("instrument"), "event_id", F.unix_micros("event_time").alias("event_us"), "price", "size", "side", "seq")
+    topic, part = F.when(F.col("_end"), "events.end").otherwise("events.trade"), F.when(F.col("_end"), 0).otherwise(F.col("partition"))
+    return t.select(topic.alias("topic"), part.cast("int").alias("partition"), (F.col("offset") - 1).cast("bigint").alias("offset"), F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("timestamp"), F.col("instrument").alias("key"), F.to_json(said).cast("binary").alias("value"))
+
+
+@q
+def live_features(s, d):
+    """Trades recorded as they arrive, read back from the log as a live stream, and turned into features; recorder and engine are stopped half-way and started again."""
+    root = session.work_dir(s, "live")
+    t = testdata.arrivals(s, d)
+    log = session.settled(_log(t.unionByName(engine.ended(t))), "log")
+    half = log.where("topic = 'events.trade'").groupBy("partition").agg((F.max("offset") / 2).alias("half"))
+    # Each partition's first records, as far as all of them are before the rest in order of arrival.
+    mark = log.join(half, "partition").where("topic = 'events.trade' and offset <= half").groupBy("partition").agg(F.max(F.get_json_object(F.col("value").cast("string"), "$.seq").cast("bigint")).alias("seq")).agg(F.min("seq")).first()[0]
+    early = F.get_json_object(F.col("value").cast("string"), "$.seq").cast("bigint") <= mark
+    exact = engine.ExactEngine(3600, [0, 1, 2], "500", 5)
+    for part in (early, ~early):
+        log.where(part).write.mode("append").parquet(f"{root}/in")
+        rawlog.record(s.readStream.schema(log.schema).parquet(f"{root}/in"), f"{root}/log", f"{root}/recorder").trigger(availableNow=True).start().awaitTermination()
+        out = exact.run(readers.ticks(rawlog.live(s, f"{root}/log")))
+        w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
+        w.trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(engine.FEATURE).parquet(f"{root}/out").select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
+
+
+@q
+def recorded_stream(s, d):
+    """Raw records of any bytes through the recorder, in two batches, and read back."""
+    root = session.work_dir(s, "recorded")
+    raw = _raw(s, d).withColumn("timestamp", F.lit(1_704_067_200_000))
+    for part in ("offset % 3 = 0", "offset % 3 <> 0"):
+        raw.where(part).write.mode("append").parquet(f"{root}/in")
+        rawlog.record(s.readStream.schema(raw.schema).parquet(f"{root}/in"), f"{root}/log", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    t = rawlog.whole(s, f"{root}/log")
+    return t.groupBy("topic", "partition").agg(F.count("*").alias("n"), F.max("offset").alias("last_offset"), F.count("key").alias("keys"), F.count("value").alias("objects"))
+
+
 @q
 def operational_counts(s, d):
     return _doubles(edge.counters(_marked(s, d)), "unknown_volume")

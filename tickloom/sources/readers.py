@@ -28,6 +28,13 @@ def raw_log(spark: SparkSession, path: str) -> DataFrame:
     return t.select("e.*", F.get_json_object("value", "$.valueBase64").alias("value_base64"), F.col("value").alias("line")).dropDuplicates(["topic", "partition", "offset"])
 
 
+def ticks(records: DataFrame) -> DataFrame:
+    """Trades (TICK) in records of a raw log; records of other shapes are left out. A record that says no time is an end. seq is the trade's own, else its time: the order within a batch."""
+    ddl = "instrument struct<symbol: string>, event_id bigint, event_us bigint, price decimal(18,8), size decimal(18,8), side string, seq bigint"
+    d = records.withColumn("e", F.from_json("value", ddl)).where("e.instrument.symbol is not null and e.event_id is not null")
+    return d.select(F.col("e.instrument.symbol").alias("instrument"), "e.event_id", F.timestamp_micros("e.event_us").alias("event_time"), "e.price", "e.size", "e.side", "partition", F.coalesce("e.seq", "e.event_us").alias("seq"))
+
+
 def feature_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schemas.FEATURE).parquet(path)
 
