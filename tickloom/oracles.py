@@ -106,6 +106,12 @@ st as (select distinct instrument, 0::bigint as k, 'AWAITING_SNAPSHOT' as state,
 select instrument, state, len(w) as waiting, applied, case when state <> 'AWAITING_SNAPSHOT' then expected - 1 end as last_seq from st qualify row_number() over (partition by instrument order by k desc) = 1"""
 
 
+FEATURES_LONG = f"""{T}, {run()}, {B}, f as (select instrument, 'vwap.1m' as feature_name, window_start, window_end, vwap as value, trade_count as input_count from ({vwap('1 day')}) union all select instrument, 'vpin', window_start, window_end, vpin, trade_count from ({vpin('1 day')})
+  union all select instrument, 'obi', window_start, window_end, obi, 1 from ({OBI}) union all select instrument, 'micro_price', window_start, window_end, micro_price, 1 from ({MICRO}))"""
+FORWARD = f"with {SIGNAL} select instrument, event_id, signal, entry, exit, exit_time, round({RET}, 9) as forward_return from f"
+FORWARD_IC = f"with {SIGNAL}, v as (select instrument, signal, {RET} as ret from f) select instrument, case when count(*) >= 2 and var_pop(signal) > 0 and var_pop(ret) > 0 then round(corr(signal, ret), 7) end as ic, count(*) as n from v where ret is not null group by 1"
+
+
 SQL: dict[str, str] = {
     "vwap_1m": f"with {T} {vwap('1 minute')}",
     "vwap_1h": f"with {T} {vwap('1 hour')}",
@@ -135,8 +141,10 @@ SQL: dict[str, str] = {
     "late_split": f"with {ARRIVED} select event_id, instrument, window_start, watermark, late from l",
     "closed_windows": f"with {ARRIVED}, f as (select instrument, arg_max(watermark, seq) as w from m group by 1) select l.instrument, window_start, count(*) as n from l join f using (instrument) where not late and window_start + interval 1 hour <= w group by all",
     "asof_price": f"with {SIGNAL} select event_id, last_p::double as asof_price from p",
-    "forward_return": f"with {SIGNAL} select instrument, event_id, signal, entry, exit, exit_time, round({RET}, 9) as forward_return from f",
-    "forward_return_ic": f"with {SIGNAL}, v as (select instrument, signal, {RET} as ret from f) select instrument, case when count(*) >= 2 and var_pop(signal) > 0 and var_pop(ret) > 0 then round(corr(signal, ret), 7) end as ic, count(*) as n from v where ret is not null group by 1",
+    "forward_return": FORWARD,
+    "signal_stream": FORWARD,
+    "forward_return_ic": FORWARD_IC,
+    "signal_stream_ic": FORWARD_IC,
     "live_replay_diff": pairs(),
     "replay_range": f"with {T} select instrument, window_start, vwap, trade_count from ({vwap('1 hour', "event_time >= '2024-01-05' and event_time < '2024-01-06'")})",
     "replay_callback_range": f"with {T} select instrument, count(*) as n, min(event_time) as first_time, max(event_time) as last_time from t where event_time between '2024-01-05' and '2024-01-06' group by 1",
@@ -150,11 +158,12 @@ SQL: dict[str, str] = {
     "raw_groups": f"""with {RAW}, g as (select 'events.trade' as topic, partition, source, instrument, year(ts)::int as year, month(ts)::int as month, day(ts)::int as day, hour(ts)::int as hour, min("offset") as first_offset, max("offset") as last_offset, count(*) as records, sum((source = '_unparsed')::int)::bigint as unparsed from rl group by all)
   select *, printf('events.trade/%s/%s/%d/%02d/%02d/%02d/p%d-%020d-%020d.jsonl.gz', source, instrument, year, month, day, hour, partition, first_offset, last_offset) as object_key from g""",
     "raw_encoding": f"""with {RAW} select "offset", line, source, instrument from rl""",
-    "feature_catalog": "select * from (values ('micro_price', 'v1', 'MICRO_PRICE', '1 minute'), ('obi', 'v1', 'OBI', '1 minute'), ('vpin', 'v1', 'VPIN', '1 minute'), ('vwap.1m', 'v1', 'VWAP', '1 minute')) t(name, version, aggregation, window_duration)",
+    "feature_catalog": f"with {FEATURES_LONG} select name, version, aggregation, window_duration, coalesce(count(instrument), 0) as n, count(distinct instrument) as instruments from (values ('micro_price', 'v1', 'MICRO_PRICE', '1 minute'), ('obi', 'v1', 'OBI', '1 minute'), ('vpin', 'v1', 'VPIN', '1 minute'), ('vwap.1m', 'v1', 'VWAP', '1 minute')) c(name, version, aggregation, window_duration) left join f on f.feature_name = c.name group by all",
     "known_instruments": f"with {T} select instrument, count(*) as n, instrument in (select 'U' || n_nationkey from nation where n_nationkey in (1, 3, 5)) as known from t group by 1",
     "sequence_numbers": "select event_id as arrival, 'BTC-USDT' as instrument, row_number() over (order by event_id) as sequence_number, case when event_id % 9 = 0 or event_id % 2 = 0 then 'SELL' else 'BUY' end as side, case when event_id % 9 = 0 then timestamp '1970-01-01' else date_trunc('milliseconds', ts) end as event_time, case when event_id % 9 = 0 then 'symbol does not match stream' else '' end as reason from events",
-    "feature_topics": "select name, 'features.' || name || '.v1' as topic, 'features_' || replace(replace(name, '.', '_'), '-', '_') as table_name from (values ('vwap.1m'), ('obi'), ('micro_price'), ('vpin')) t(name)",
-    "features_long": f"with {T}, {run()}, {B} select instrument, 'vwap.1m' as feature_name, window_start, vwap as value, trade_count as input_count from ({vwap('1 day')}) union all select instrument, 'vpin', window_start, vpin, trade_count from ({vpin('1 day')}) union all select instrument, 'obi', window_start, obi, 1 from ({OBI}) union all select instrument, 'micro_price', window_start, micro_price, 1 from ({MICRO})",
+    "feature_topics": f"with {FEATURES_LONG} select feature_name as name, 'features.' || feature_name || '.v1' as topic, 'features_' || replace(replace(feature_name, '.', '_'), '-', '_') as table_name, count(*) as n from f group by all",
+    "feature_tables": f"with {FEATURES_LONG} select feature_name, null::timestamp as window_start, null::double as value, count(*) as n from f where feature_name <> 'micro_price' group by all union all select 'series', window_start, value, input_count from f where feature_name = 'vwap.1m' and instrument = 'U3' and window_start >= '2024-01-02' and window_end <= '2024-01-10'",
+    "features_long": f"with {FEATURES_LONG} select instrument, feature_name, window_start, value, input_count from f",
     "sql_passthrough": "select event_type, count(*) as n, max(ts) as last_time from events group by 1",
     "vwap_large": f"with {T}, big as (select * replace (size + 9000000000 as size) from t) select instrument, time_bucket(interval '1 day', event_time) as window_start, round(sum(price::decimal(38,8) * size::decimal(18,8))::double / sum(size)::double, 4) as vwap, sum(size)::double as sum_size, count(*) as trade_count from big group by all",
     "vpin_large": f"""with {T}, big as (select * replace ((size + 9000000000)::decimal(18,8) as size) from t), run as (select *, sum(size) over (partition by instrument order by event_time, event_id) as hi from big),
@@ -167,6 +176,9 @@ select instrument, window_start, round(sum(imb)::double / 5, 8) as vpin, m as bu
     "accepted_features": ACCEPTED,
     "exact_stream": ACCEPTED,
     "live_features": ACCEPTED,
+    "revised_vwap": f"with {ARRIVED}, f as (select instrument, arg_max(watermark, seq) as w from m group by 1), o as (select l.* from l join f using (instrument) where window_start + interval 1 hour <= w), n as (select instrument, window_start, count(*) filter (late) as revision from o group by all) select instrument, window_start, window_end, vwap as value, trade_count as input_count, revision from ({vwap('1 hour', source='o')}) join n using (instrument, window_start)",
+    "stream_counters": f"with {ARRIVED}, e as ({ACCEPTED}) select count(*) as received, count(*) filter (late) as late, count(*) filter (not late) as accepted, (select count(*) from e) as emitted from l",
+    "delivered_stream": f"with {CHECKED}, x as (select case when event_id % 17 = 0 or event_id % 19 = 0 then 'not decodable' else reasons end as reason from r) select case when reason = '' then 'events.trade' else 'events.deadletter' end as topic, reason, count(*) as n from x group by all",
     "recorded_stream": "select 'events.trade' as topic, (user_id % 3)::int as partition, count(*) as n, max(event_id) as last_offset, count(*) filter (event_id % 7 <> 0) as keys, count(*) filter (event_id % 10 not in (0, 1, 2, 5)) as objects from events group by all",
     "late_stream": f"with {ARRIVED} select instrument, window_start, event_id, event_time from l where late",
     "operational_counts": f"with {ARRIVED} select instrument, count(*) as received, count(*) filter (not late) as accepted, count(*) filter (late) as late, count(distinct case when not late then window_start end) as windows, coalesce(sum(size) filter (not late and side = 'UNKNOWN'), 0)::double as unknown_volume from l group by 1",

@@ -60,6 +60,19 @@ def feature_series(spark: SparkSession, root: str, feature: str, instrument: str
     return series(d.select("window_start", "window_end", "value", "input_count"), a, b, limit)
 
 
+def table_series(spark: SparkSession, table: str, instrument: str, start: str, end: str, limit: int | None = None) -> DataFrame:
+    """The same from a feature's table. A table that is not there has no rows."""
+    if not re.fullmatch(r"[a-z0-9_]+[.]features_[a-z0-9_]+", table):
+        raise BadRequest(f"table: {table!r}")
+    check_names("table", instrument)
+    a, b = instant(start), instant(end)
+    if a > b:
+        raise BadRequest("start is after end")
+    if not spark.catalog.tableExists(table):
+        return spark.createDataFrame([], "window_start timestamp, window_end timestamp, value decimal(28,8), input_count bigint")
+    return series(spark.table(table).where(F.col("instrument") == instrument).select("window_start", "window_end", "value", "input_count"), a, b, limit)
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The last row by `order` for each key."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select(*keys, "r.*")

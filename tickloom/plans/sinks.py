@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +24,21 @@ def feature_files(df: DataFrame) -> DataFrame:
 
 
 def write_features(df: DataFrame, root: str, mode: str = "append") -> None:
-    """Long-form features under root/<topic>/instrument=/year=/month=/day=/hour=; one file a partition and task."""
-    feature_files(df).repartition("topic", "instrument", "year", "month", "day").write.mode(mode).option("compression", "snappy").partitionBy("topic", *HOUR).parquet(root)
+    """Long-form features under root/<topic>/instrument=/year=/month=/day=/hour=; tasks write ranges of (topic, instrument, time), so few files a folder and no task a hot instrument."""
+    feature_files(df).repartitionByRange("topic", "instrument", "window_start").write.mode(mode).option("compression", "snappy").partitionBy("topic", *HOUR).parquet(root)
 
 
-def save_tables(df: DataFrame, names: list[str], database: str = "default") -> list[str]:
-    """Append each feature to its own table, made when missing."""
-    spark, out = df.sparkSession, []
-    for n in names:
-        t = f"{database}.{spark.range(1).select(table_name(F.lit(n))).first()[0]}"
-        df.where(F.col("feature_name") == n).write.mode("append").format("parquet").saveAsTable(t)
-        out.append(t)
-    return out
+def save_tables(df: DataFrame, names: list[str], root: str, database: str = "default") -> list[str]:
+    """Append each feature to its own table, made when missing; one write for all, each table being a folder of it."""
+    spark, tables = df.sparkSession, {n: "features_" + re.sub("[.-]", "_", n.lower()) for n in names}
+    named = F.create_map(*[F.lit(x) for pair in tables.items() for x in pair])
+    out = df.where(F.col("feature_name").isin(*names)).withColumn("table", named[F.col("feature_name")])
+    out.repartitionByRange("table", "instrument", "window_start").write.mode("append").partitionBy("table").parquet(root)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    for t in tables.values():
+        spark.sql(f"create table if not exists {database}.{t} ({columns}) using parquet location '{root}/table={t}'")
+        spark.sql(f"refresh table {database}.{t}")
+    return [f"{database}.{t}" for t in tables.values()]
 
 
 def checked_topic(prefix: str, name: Column, version: Column) -> Column:
@@ -67,8 +72,9 @@ def raw_lines(records: DataFrame) -> DataFrame:
 
 
 def write_raw(records: DataFrame, root: str) -> None:
-    """Gzip lines by topic, source, instrument and hour, ordered by offset within a task."""
-    d = raw_lines(records).repartition("topic", "partition", "source", "instrument").sortWithinPartitions("topic", "source", *HOUR, "partition", "offset")
+    """Gzip lines by topic, source, instrument and hour, in ranges by offset, ordered within a file."""
+    order = ("topic", "source", *HOUR, "partition", "offset")
+    d = raw_lines(records).repartitionByRange(*order).sortWithinPartitions(*order)
     d.drop("partition", "offset", "timestamp").write.mode("append").option("compression", "gzip").partitionBy("topic", "source", *HOUR).text(root)
 
 

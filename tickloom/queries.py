@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom import session
+from tickloom import schemas, session
 from tickloom.functions import exact
 from tickloom.operators import book, features, signals, validation, windows
 from tickloom.operators.running import running
 from tickloom.plans import edge, query, replay, sinks
 from tickloom.sources import rawlog, readers, testdata, venues
-from tickloom.streaming import engine, sync
+from tickloom.streaming import delivery, engine, metrics, sync
+from tickloom.streaming import signals as judge
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 D = "double"
@@ -242,9 +243,17 @@ def raw_encoding(s, d):
     return sinks.raw_lines(_raw(s, d)).select("offset", "line", "source", "instrument")
 
 
+def _present(s, d):
+    """Rows and instruments of each feature that the tables give."""
+    f = features.all_features(testdata.trades(s, d), testdata.books(s, d), "1 day", bucket=500, history=5)
+    return f.groupBy(F.col("feature_name").alias("name")).agg(F.count("*").alias("n"), F.count_distinct("instrument").alias("instruments"))
+
+
 @q
 def feature_catalog(s, d):
-    return readers.catalog(s).where("active").select("name", "version", "aggregation", "window_duration").orderBy("name")
+    """Active definitions, with what there is of each."""
+    c = readers.catalog(s).where("active").join(_present(s, d), "name", "left")
+    return c.select("name", "version", "aggregation", "window_duration", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("instruments", F.lit(0)).alias("instruments"))
 
 
 @q
@@ -267,8 +276,24 @@ def sequence_numbers(s, d):
 
 @q
 def feature_topics(s, d):
-    c = readers.catalog(s)
-    return c.select("name", exact.topic(F.col("name"), F.col("version")).alias("topic"), exact.table_name(F.col("name")).alias("table_name"))
+    """Topic and table of each feature that there is."""
+    c = _present(s, d).join(readers.catalog(s).select("name", "version"), "name")
+    return c.select("name", exact.topic(F.col("name"), F.col("version")).alias("topic"), exact.table_name(F.col("name")).alias("table_name"), "n")
+
+
+@q
+def feature_tables(s, d):
+    """Features saved to a table each, twice over half of the instruments, and one instrument's series read back."""
+    root = session.work_dir(s, "tables")
+    database = "tickloom_" + root.rsplit("-", 1)[1]
+    s.sql(f"create database {database} location '{root}/database'")
+    f = features.all_features(testdata.trades(s, d), testdata.books(s, d), "1 day", bucket=500, history=5)
+    for part in ("instrument in ('U1', 'U3')", "instrument not in ('U1', 'U3')"):
+        saved = sinks.save_tables(f.where(part), ["vwap.1m", "obi", "vpin"], f"{root}/features", database)
+    one = query.table_series(s, saved[0], "U3", "2024-01-02T00:00:00Z", "2024-01-10T00:00:00Z")
+    n = [s.table(t).groupBy("feature_name").agg(F.count("*").alias("n")) for t in saved]
+    told = n[0].unionByName(n[1]).unionByName(n[2]).select("feature_name", F.lit(None).cast("timestamp").alias("window_start"), F.lit(None).cast(D).alias("value"), "n")
+    return told.unionByName(one.select(F.lit("series").alias("feature_name"), "window_start", F.col("value").cast(D).alias("value"), F.col("input_count").alias("n")))
 
 
 @q
@@ -332,7 +357,7 @@ def accepted_features(s, d):
     return f.select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
 
 
-def _engine(s, d):
+def _engine(s, d, name=None, counters=None):
     """What the stream engine tells, stopped half-way and started again from its checkpoint; the second half ends the input."""
     root = session.work_dir(s, "exact-stream")
     t = testdata.arrivals(s, d)
@@ -341,7 +366,10 @@ def _engine(s, d):
         part.write.mode("append").parquet(f"{root}/in")
         out = engine.ExactEngine(3600, [0, 1, 2], "500", 5).told(s.readStream.schema(t.schema).parquet(f"{root}/in"))
         w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
-        w.trigger(availableNow=True).start().awaitTermination()
+        run = (w.queryName(name) if name else w).trigger(availableNow=True).start()
+        run.awaitTermination()
+        if counters:
+            counters.wait(run)
     return s.read.schema(engine.TOLD).parquet(f"{root}/out")
 
 
@@ -357,6 +385,64 @@ def late_stream(s, d):
     return engine.late(_engine(s, d)).select("instrument", "window_start", "event_id", "event_time")
 
 
+@q
+def revised_vwap(s, d):
+    """Prices of closed windows, with those arrivals in them that came too late."""
+    return _doubles(engine.revised(_engine(s, d)), "value")
+
+
+@q
+def stream_counters(s, d):
+    """What a listener has counted while the stream engine ran, over its restart."""
+    counters = metrics.Counters()
+    s.streams.addListener(counters)
+    try:
+        _engine(s, d, "counted", counters)
+    finally:
+        s.streams.removeListener(counters)
+    t = counters.totals["counted"]
+    return s.createDataFrame([(t["received"], t["late"], t["received"] - t["late"], t["features"])], "received bigint, late bigint, accepted bigint, emitted bigint")
+
+
+def _judged(s, d):
+    """Signals judged by the stream, stopped half-way and started again."""
+    root = session.work_dir(s, "signals")
+    t = _signals(s, d)
+    half = t.agg(F.percentile_approx(F.unix_micros("event_time"), 0.5)).first()[0]
+    for part in (F.unix_micros("event_time") <= half, F.unix_micros("event_time") > half):
+        t.where(part).write.mode("append").parquet(f"{root}/in")
+        out = judge.judged(s.readStream.schema(t.schema).parquet(f"{root}/in"), F.col("sig"), 3600)
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(judge.OUT).parquet(f"{root}/out")
+
+
+@q
+def signal_stream(s, d):
+    return judge.returns(_judged(s, d)).select("instrument", F.col("seq").alias("event_id"), "signal", "entry", "exit", "exit_time", F.round("forward_return", 9).alias("forward_return"))
+
+
+@q
+def signal_stream_ic(s, d):
+    return judge.correlation(_judged(s, d)).withColumn("ic", F.round("ic", 7))
+
+
+@q
+def delivered_stream(s, d):
+    """Raw events, some undecodable and some against the rules, delivered as a stream to their topic and the dead letters, in two batches."""
+    root = session.work_dir(s, "delivered")
+    c = _checked(s, d).withColumns({"event_id": F.col("event_id").cast("string"), "number": F.col("event_id")})
+    body = F.to_json(F.struct("event_id", "event_time", "ingest_time", "source", "instrument", "price", "size", "side")).cast("binary")
+    value = F.when(F.col("number") % 17 == 0, F.lit("no json").cast("binary")).when(F.col("number") % 19 == 0, F.unhex(F.lit("7BFF"))).otherwise(body)
+    raw = c.select(F.lit("raw").alias("topic"), F.lit(0).alias("partition"), F.col("number").alias("offset"), F.lit(0).cast("bigint").alias("timestamp"), F.lit(None).cast("string").alias("key"), value.alias("value"))
+    send = delivery.deliver("trade", root, "trades", "2024-01-20 00:00:00")
+    for part in ("offset % 2 = 0", "offset % 2 = 1"):
+        raw.where(part).write.mode("append").parquet(f"{root}/in")
+        s.readStream.schema(raw.schema).parquet(f"{root}/in").writeStream.foreachBatch(send).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    good = delivery.delivered(s, root, "trades", "events.trade", schemas.TRADE).select(F.lit("events.trade").alias("topic"), F.lit("").alias("reason"))
+    dead = delivery.delivered(s, root, "trades", delivery.DEAD, delivery.LETTER).select(F.lit(delivery.DEAD).alias("topic"), "reason")
+    return good.unionByName(dead).groupBy("topic", "reason").agg(F.count("*").alias("n"))
+
+
 def _log(t):
     """Trades in arrival order as raw records: offsets by partition without holes, ends under a topic of their own."""
     t = t.withColumns({"_chunk": F.expr("seq div 1000000 div 86400"), "_end": F.col("event_time").isNull()})

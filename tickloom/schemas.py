@@ -24,3 +24,4 @@ TICK = f"instrument string, event_id bigint, event_time timestamp, price {NUMBER
 
 TOPICS = {"trade": "events.trade", "book": "events.book.snapshot", "candle": "events.candle", "delta": "events.book.delta"}
 FEATURES = ("vwap.1m", "obi", "micro_price", "vpin")
+SHAPES = {"trade": TRADE, "book": BOOK, "candle": CANDLE, "delta": DELTA}

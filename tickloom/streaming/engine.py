@@ -20,19 +20,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tickloom.functions.exact import ratio8
 from tickloom.streaming.state import framed, stateful
 
 UNIT = 10**8
 FEATURE = "instrument string, feature_name string, window_start timestamp, window_end timestamp, value decimal(28,8), input_count bigint"
 LATE = "instrument string, window_start timestamp, event_id bigint, event_time timestamp, seq bigint"
 #: What the engine tells: features of closed windows, and arrivals that came too late for theirs.
-TOLD = f"what string, {FEATURE}, event_id bigint, event_time timestamp, seq bigint"
+#: A window's sums stand beside its price, and a late trade's beside it, so that both add up to a revised window.
+SUMS = "pv decimal(38,0), v decimal(38,0), p decimal(38,0)"
+TOLD = f"what string, {FEATURE}, event_id bigint, event_time timestamp, seq bigint, {SUMS}"
 #: Of the clock: the version of the state's layout and of the features' rules. A checkpoint of another is refused.
 VERSION = "engine-1"
 _LEVELS = ("bid_p", "bid_q", "ask_p", "ask_q")
 #: An arrival. Its kind: an end (which has no time), a trade, or a book. No number is null, so none passes through a float on its way.
 _ROW = ("kind", "us", "event_id", "seq", "partition", "p", "q", "sign", *_LEVELS)
 END, TRADE, BOOK = range(3)
+NONE = (None, None, None)
 
 
 def names(ddl: str) -> list[str]:
@@ -132,11 +136,11 @@ class Engine(StatefulProcessor):
         out = []
         self.take(zip(*(d[c].tolist() for c in _ROW), strict=True), out)
         at = lambda x: None if x is None else pd.Timestamp(x, unit="us")
-        told = [(what, key[0], name, at(start), at(start + self.size), None if v is None else Decimal(v).scaleb(-8), n, event_id, at(us), seq) for what, name, start, v, n, event_id, us, seq in out]
+        told = [(what, key[0], name, at(start), at(start + self.size), None if v is None else Decimal(v).scaleb(-8), n, event_id, at(us), seq, *(None if x is None else Decimal(x) for x in sums)) for what, name, start, v, n, event_id, us, seq, sums in out]
         yield framed(TOLD, told)
 
     def take(self, rows: Iterator[tuple], out: list[tuple]) -> None:
-        """Arrivals (_ROW) in order; what is told is added to out as (what, feature, window, value, inputs, event_id, us, seq)."""
+        """Arrivals (_ROW) in order; what is told is added to out as (what, feature, window, value, inputs, event_id, us, seq, sums)."""
         version, tops, ended, done, first = self.clock.get() if self.clock.exists() else (VERSION, [None] * len(self.partitions), False, None, None)
         if version != VERSION:
             raise ValueError(f"state of {version}, not {VERSION}")
@@ -155,7 +159,7 @@ class Engine(StatefulProcessor):
                 start = us // self.size * self.size
                 # Only a partition that begins after an end can meet a window told already.
                 if start + self.size <= mark or (done is not None and start <= done):
-                    out.append(("late", None, start, None, None, event_id, us, seq))
+                    out.append(("late", None, start, None, 1, event_id, us, seq, (p * q, q, p) if kind == TRADE else NONE))
                     continue
                 w = held[start] if start in held else held.setdefault(start, Window(self._kept(start, first)))
                 first = start if first is None else min(first, start)
@@ -204,7 +208,8 @@ class Engine(StatefulProcessor):
         told = list(w.values(self.levels))
         if rows and (v := buckets.vpin()) is not None:
             told.insert(1, ("vpin", v, len(rows)))
-        out += [("feature", name, start, v, n, None, None, None) for name, v, n in told]
+        sums = (w.pv, w.v, w.p)
+        out += [("feature", name, start, v, n, None, None, None, sums if name == "vwap.1m" else NONE) for name, v, n in told]
 
     def close(self) -> None:
         pass
@@ -255,3 +260,18 @@ def features(told: DataFrame) -> DataFrame:
 
 def late(told: DataFrame) -> DataFrame:
     return told.where("what = 'late'").select(*names(LATE))
+
+
+def revised(told: DataFrame) -> DataFrame:
+    """Prices of told windows with the late trades in them: window, value, input_count and revision (how many came late, 0: none).
+
+    Each late trade is a version of its window; versions add up, so it does not matter in which batch they came, nor whether their window had any trade in time.
+    """
+    g = told.where("(feature_name = 'vwap.1m' or what = 'late') and v is not null").groupBy("instrument", "window_start", "window_end")
+    total = lambda c, kind: F.sum(c).cast(kind)
+    d = g.agg(total("pv", "decimal(38,0)").alias("pv"), total("v", "decimal(38,0)").alias("v"), total("p", "decimal(38,0)").alias("p"), F.sum("input_count").alias("n"), F.count_if(F.col("what") == "late").alias("revision"))
+    scaled = lambda c, kind, by: (F.col(c).cast(kind) * F.lit(by).cast("decimal(8,8)"))
+    v, p = scaled("v", "decimal(28,0)", "0.00000001").cast("decimal(28,8)"), scaled("p", "decimal(28,0)", "0.00000001").cast("decimal(38,16)")
+    pv = (scaled("pv", "decimal(30,0)", "0.00000001").cast("decimal(38,8)") * F.lit("0.00000001").cast("decimal(8,8)")).cast("decimal(38,16)")
+    value = F.when(v == 0, ratio8(p, F.col("n").cast("decimal(20,8)"))).otherwise(ratio8(pv, F.when(v != 0, v)))
+    return d.select("instrument", "window_start", "window_end", value.alias("value"), F.col("n").alias("input_count"), "revision")
