@@ -4,9 +4,11 @@ Base spans (email, ip, card, phone) follow their patterns, leftmost and non-over
 They are found by scans that stay linear on runs of any length, and they always stay.
 
 The field labels whole segments as secret, id, one of the base kinds, or other: span features (length, mix of characters, prefix, word
-before, sign before) and a transition score one segment; bounded-entity dynamic programming picks boundaries and types together. Secrets and
-ids are of up to MAX_TOKENS tokens that hold a token of MIN_CHARS characters with a digit or mixed case, or MIN_CHARS digits, or that stand after a
-keyword (password, token, ssn, ...) and hold a token of MIN_CHARS characters; base kinds compete for the tokens of the base spans. All other segments are of label other, score 0. So only
+before, sign before) and a transition score one segment; bounded-entity dynamic programming picks boundaries and types together. A token is words joined
+by signs without a blank (`550e8400-e29b`, `a.b_c/d`), of any length, cut only where a base span begins or ends; so a secret, however many words its signs join, is one token, and
+a segment is of up to MAX_TOKENS tokens: more than the nine groups of the longest account number that is written with blanks. Secrets and
+ids are segments that hold a token of MIN_CHARS characters with a digit or mixed case, or MIN_CHARS digits, or that stand after a
+keyword (password, token, ssn, ...) and hold a token of MIN_CHARS characters or one joined by other signs than in words; base kinds compete for the tokens of the base spans. All other segments are of label other, score 0. So only
 MARGIN tokens around digits, mixed case, keywords and base spans are decoded: no other token can be part of an entity, and the result is that of decoding the whole text. The field is
 trained by maximum likelihood (forward-backward gradients) on sentences made from a fixed seed. Added spans never overlap base spans.
 
@@ -20,6 +22,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
-MAX_TOKENS, MIN_CHARS, MARGIN = 7, 6, 16
+MAX_TOKENS, MIN_CHARS, MARGIN = 10, 6, 24
 
 #: The patterns of the base kinds, with possessive or anchored forms where the plain ones are quadratic.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -83,12 +86,17 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 # ---- the field
 
-_TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
+#: Words joined by signs, with the padding of what is written to base 64; or one sign.
+_TOKEN = re.compile(r"[^\W_]+(?:[-_/+.~@!#$%&*^]+[^\W_]+)*(?:(?<=[A-Za-z0-9+/]{16})={1,2}(?![^\s\"'.,;)]))?|[^\w\s]|_")
+#: What only joins the words of secrets.
+_ODD = re.compile(r"[~@!#$%&*^+]")
 LABELS = (None, 4, 5, 0, 1, 2, 3)  # other, secret, id, then the base kinds
 _KEYWORDS = {
     "password": "pw", "passwd": "pw", "pwd": "pw", "passphrase": "pw", "secret": "pw", "token": "pw", "key": "pw", "apikey": "pw", "bearer": "pw", "credential": "pw",
     "ssn": "id", "iban": "id", "passport": "id", "license": "id", "licence": "id", "account": "id", "vat": "id",
 }
+#: Between a keyword and what it names.
+_FILLERS = frozenset("number no nr num is was code value".split())
 _WORD = re.compile(r"(?<![^\W_])(?:" + "|".join(_KEYWORDS) + r")(?![^\W_])", re.I)
 _MIXED = re.compile(r"[A-Z](?:(?<=[a-z][A-Z])|(?=[A-Z][a-z]))")
 _DIGIT = re.compile("[0-9]")
@@ -98,12 +106,28 @@ _BEFORE = 4
 Edge = tuple[int, int, list[str]]  # start, label or -1 (secret or id), features
 
 
+def tokens(t: str, base: list[tuple[int, int, int]] = ()) -> list[tuple[int, int]]:
+    """(start, end) of the tokens of a text, cut at the ends of its base spans."""
+    cuts, at, out = sorted({x for a, _, b in base for x in (a, b)}), 0, []
+    for cut in [*cuts, len(t)]:
+        out += [m.span() for m in _TOKEN.finditer(t, at, cut)]
+        at = cut
+    return out
+
+
 def _after(t: str, toks: list[tuple[int, int]], i: int) -> str | None:
-    """The nearest word before token i, over a few signs: its keyword class, else "word"; None without one."""
-    k = i - 1
-    while k >= 0 and i - k <= _BEFORE and not t[toks[k][0]].isalnum():
+    """The nearest word before token i, over a few signs and fillers: its keyword class, else "word"; None without one."""
+    k, filled = i - 1, False
+    while k >= 0 and i - k <= _BEFORE:
+        a, b = toks[k]
+        if t[a].isalnum():
+            # Of words that signs join the last names what follows.
+            word = re.split(r"[\W_]+", t[max(a, b - 24) : b])[-1].lower()
+            if word not in _FILLERS:
+                return _KEYWORDS.get(word, "word")
+            filled = True
         k -= 1
-    return _KEYWORDS.get(t[toks[k][0] : toks[k][1]].lower(), "word") if k >= 0 and i - k <= _BEFORE else None
+    return "word" if filled else None
 
 
 def _features(t: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str]:
@@ -125,12 +149,25 @@ def _features(t: str, toks: list[tuple[int, int]], i: int, j: int) -> list[str]:
         f.append("mixed")
     if up + dig == n and up and n >= 16:
         f.append("upper")
+    parts = [x for x in re.split(r"[\W_]+", s) if x] if not any(c.isspace() for c in s) else []
+    if len(parts) > 1:
+        f += [f"parts{min(4, len(parts))}", f"part{min(5, n // len(parts) // 3)}"]
+        if re.fullmatch(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", s):
+            f.append("uuid")
+        if _ODD.search(s):
+            f.append("odd")
+        if "/" in s and all(len(x) < 12 for x in parts):
+            f.append("path")
+        if not dig and not up:
+            f.append("words")
     if s[:4] in ("AKIA", "ASIA", "ghp_", "gho_", "xoxb", "sk-l", "sk_l", "glpa"):
         f.append("prefix")
     if re.fullmatch(r"[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}", s):
         f.append("3-2-4")
     if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?", s):
-        f.append("iban")
+        # Followed by one group more, it is cut short.
+        more = j < len(toks) and toks[j][0] == b + 1 and t[b] == " " and re.fullmatch(r"[A-Z0-9]{1,4}", t[slice(*toks[j])])
+        f.append("ibancut" if more else "iban")
     if any(c.isspace() for c in s):
         f.append("gap")
     if not (s[0].isalnum() and s[-1].isalnum()):
@@ -157,11 +194,12 @@ def lattice(t: str, toks: list[tuple[int, int]], base: list[tuple[int, int, int]
     digits = [sum("0" <= c <= "9" for c in t[a:b]) for a, b in toks]
     strong = [n >= MIN_CHARS and (d > 0 or _MIXED.search(t[a:b]) is not None) for n, d, (a, b) in zip(size, digits, toks, strict=True)]
     known = [_after(t, toks, i) in ("pw", "id") for i in range(len(toks))]
+    odd = [n >= 4 and t[a].isalnum() and _ODD.search(t, a, b) is not None for n, (a, b) in zip(size, toks, strict=True)]
     out: list[list[Edge]] = [[] for _ in range(len(toks) + 1)]
     for i in range(len(toks)):
         total, sure, long = 0, False, False
         for j in range(i + 1, min(i + MAX_TOKENS, len(toks)) + 1):
-            total, sure, long = total + digits[j - 1], sure or strong[j - 1], long or size[j - 1] >= MIN_CHARS
+            total, sure, long = total + digits[j - 1], sure or strong[j - 1], long or size[j - 1] >= MIN_CHARS or odd[j - 1]
             if sure or total >= MIN_CHARS or (long and known[i]):
                 out[j].append((i, -1, _features(t, toks, i, j)))
     starts, ends = {a: k for k, (a, _) in enumerate(toks)}, {b: k + 1 for k, (_, b) in enumerate(toks)}
@@ -213,15 +251,15 @@ def _sum(x: list[float]) -> float:
     return m + math.log(sum(math.exp(v - m) for v in x))
 
 
-def _train(rounds: int = 6, rate: float = 0.4, l2: float = 1e-3, sentences: int = 320) -> dict[tuple[int, str], float]:
+def _train(rounds: int = 6, rate: float = 0.4, l2: float = 1e-3, sentences: int = 640) -> dict[tuple[int, str], float]:
     """Maximum likelihood by stochastic gradient over made sentences: observed less expected features."""
     rng, w = random.Random(11), {}
     data = []
     for t, spans in _made(rng, sentences):
-        toks = [m.span() for m in _TOKEN.finditer(t)]
-        starts, ends = {a: k for k, (a, _) in enumerate(toks)}, {b: k + 1 for k, (_, b) in enumerate(toks)}
         base = base_spans(t)
-        gold = {(starts[a], ends[b], y) for a, b, y in spans}
+        toks = tokens(t, base)
+        starts, ends = {a: k for k, (a, _) in enumerate(toks)}, {b: k + 1 for k, (_, b) in enumerate(toks)}
+        gold = {(starts[a], ends[b], y) for a, b, y in spans if a in starts and b in ends}
         gold |= {(starts[a], ends[b], LABELS.index(k, 1)) for a, k, b in base if a in starts and b in ends}
         data.append((len(toks), lattice(t, toks, base), gold))
     for r in range(rounds):
@@ -285,12 +323,22 @@ def _made(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[int, int
         phrase = pick(low, rng.randint(14, 26))
         case = "".join(c.upper() if rng.random() < 0.5 else c for c in pick(low, rng.randint(18, 32)))
         short = pick(low, rng.randint(5, 8)) + digits(rng.randint(2, 4))
+        uuid = "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))
+        mixed = alnum + alnum.lower() + "0189"
+        cut = rng.choice("/+") .join(pick(mixed, k) for k in (rng.randint(8, 14), rng.randint(5, 9), rng.randint(12, 18)))
+        three = ".".join(pick(mixed, k) + rng.choice(("_", "-", "")) + pick(mixed, k) for k in (9, rng.randint(10, 20), 14))
+        sign = rng.choice("!@#$%&*^~").join((pick(low, rng.randint(1, 4)), pick(low, rng.randint(2, 5)) + rng.choice(("", digits(1)))))
         lead = rng.choice(("password=", "password: ", "passwd=", "pwd: ", "secret: ", "secret=", "passphrase: ", "Password: ", "credential: "))
         tail = rng.choice(('token = "', "token=", "api key: ", "bearer ", "api_key='", "token: ", "secret ", "key="))
+        if rng.random() < 0.4:
+            return rng.choice([(lead, uuid), (tail, uuid), (tail, cut), (lead, cut), (tail, cut + "="), (tail, three), ("", three), (lead, sign), (lead, sign)])
         return rng.choice([(lead, h), (tail, h), (lead, phrase), (lead, phrase), (lead, short), (tail, long), (tail, long), (tail, case), ("", h), ("", "AKIA" + pick(alnum, 15) + "5"), ("", "ghp_" + pick(alnum + alnum.lower(), 35) + "4")])
 
     def number() -> tuple[str, str]:
         iban = f"{pick('DEFRSGB', 2)}{digits(2)}" + "".join(" " + digits(4) for _ in range(4))
+        letters = f"{pick('MTLCNO', 2)}{digits(2)} {pick('MALTBCY', 4)}" + "".join(" " + pick("0123456789CLMT", 4) for _ in range(rng.randint(4, 5))) + " " + digits(2) + pick("STU", 1)
+        if rng.random() < 0.25:
+            return rng.choice([("iban ", letters), ("IBAN: ", letters), ("", letters), ("passport number ", pick("CFGHJK", 1) + digits(8)), ("passport no. ", pick("CFGHJK", 1) + digits(8)), ("account number is ", digits(rng.randint(8, 11))), ("license number: ", pick("ABCDE", 1) + digits(7))])
         ssn = rng.choice("- ").join((digits(3), digits(2), digits(4)))
         return rng.choice([("ssn ", ssn), ("SSN: ", ssn), ("ssn ", digits(9)), ("", f"{digits(3)}-{digits(2)}-{digits(4)}"), ("iban ", iban), ("", iban.replace(" ", "")), ("passport ", pick("CFGHJK", 1) + digits(8)), ("passport: ", pick("CFGHJK", 2) + digits(7)), ("account ", digits(rng.randint(8, 11))), ("license: ", pick("ABCDE", 1) + digits(7)), ("vat ", pick("DEFRGB", 2) + digits(9))])
 
@@ -300,6 +348,8 @@ def _made(rng: random.Random, n: int) -> Iterator[tuple[str, list[tuple[int, int
             f"2.{digits(1)}", digits(4), f"20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)}", f"{digits(3)},{digits(3)}.{digits(2)}", f"order {digits(7)}", f"page {digits(6)}", f"total {digits(8)}", f"isbn 978{digits(10)}", f"v{digits(6)}", f"item{digits(5)}",
             f"{digits(2)}:{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(3)}.{digits(3)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{key} {rng.choice(words)} {rng.choice(plainer)}", f"{key}: {rng.choice(plainer)}", f"the {key} {rng.choice(plainer)}", f"{key} is {rng.choice(plainer)}",
             f"{pick(low, 6)}@{pick(low, 7)}.com", f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 255)}", f"{pick(low, 4).title()}{pick(low, 5).title()}", f"{pick(low, 5)}{pick(low, 6).title()}", f"{pick(low, 3).upper()}{pick(low, 6)}", pick(low, rng.randint(14, 22)), f"server {pick(low, 5)}{digits(2)}",
+            "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), f"{pick(low, 6)}.{pick(low, 3)}/{pick(low, 7)}/{digits(3)}.html", f"https://{pick(low, 8)}.org/{pick(low, 5)}/{digits(4)}", f"{pick(low, 5)}-{pick(low, 4)}-{pick(low, 7)}", f"{pick(low, 6).title()}-{pick(low, 7).title()}", f"{pick(low, 5)}/{pick(low, 6)}", f"{digits(4)}/{digits(2)}", f"v{digits(1)}.{digits(2)}.{digits(1)}",
+            f"{pick(low, 4)}_{pick(low, 5)}_{digits(2)}", f"{pick(low, 3)}.{pick(low, 6)}()", f"{rng.choice(words)}.{rng.choice(words).title()}", f"{pick(low, 1).upper()}&{pick(low, 1).upper()}", f"{key} number {rng.choice(words)}", f"{key}-{rng.choice(words)}", f"covid-{digits(2)}-{pick(low, 7)}", f"{digits(2)}%-{pick(low, 4)}",
         ])
 
     for _ in range(n):
@@ -333,39 +383,22 @@ def _triggers(t: str) -> list[int]:
 
 def windows(t: str, base: list[tuple[int, int, int]] = ()) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """(start, end, tokens) of the stretches that may hold entities: MARGIN tokens around each digit, change of case, keyword and base span, near ones as one."""
-    at, toks, begin = 0, [], 0  # tokens up to `at` are known; toks are those of the stretch at hand
-    left = 0  # tokens still to take after the last trigger; 0: no stretch
-    triggers = iter(sorted({*_triggers(t), *(i for a, _, b in base for i in range(a, b))}))
-    mark = next(triggers, None)
-    while mark is not None or left:
-        if not left:
-            # Go on at the MARGIN-th token before the trigger; it is looked for in pieces that double.
-            back, got = 64, []
-            while True:
-                a = max(0, mark - back)
-                while a and t[a - 1].isalnum() and t[a].isalnum():
-                    a -= 1
-                got = [m.span() for m in _TOKEN.finditer(t, a, mark)]
-                if got and got[-1][1] == mark and t[mark].isalnum() and t[mark - 1].isalnum():
-                    got.pop()  # the token that the trigger is in
-                if len(got) >= MARGIN or not a:
-                    break
-                back *= 2
-            toks, left = got[-MARGIN:], 2 * MARGIN  # a stretch ends where no entity of this one or the next can reach
-            at = toks[-1][1] if toks else a
-            begin = toks[0][0] if toks else None
-        m = _TOKEN.search(t, at)
-        if m is None:
-            break
-        toks.append(m.span())
-        begin = m.start() if begin is None else begin
-        at, left = m.end(), left - 1
-        while mark is not None and mark < at:
-            left, mark = 2 * MARGIN, next(triggers, None)
-        if not left:
-            yield begin, at, toks
-    if left and toks:
-        yield begin, at, toks
+    marks = sorted({*_triggers(t), *(a for a, _, _ in base), *(b - 1 for _, _, b in base)})
+    if not marks:
+        return
+    toks = tokens(t, base)
+    begins = [a for a, _ in toks]
+    first = last = None  # of the stretch at hand
+    # A base span of many tokens has a mark at both ends only; it is one stretch with them.
+    held = sorted({k for m in marks if (k := bisect_right(begins, m) - 1) >= 0} | {k for a, _, b in base for k in range(bisect_left(begins, a), bisect_left(begins, b))})
+    for k in held:
+        if last is not None and k - MARGIN > last + MARGIN:
+            yield toks[first][0], toks[last + MARGIN][1], toks[first : last + MARGIN + 1]
+            first = None
+        first, last = max(0, k - MARGIN) if first is None else first, k
+    if last is not None:
+        end = min(len(toks), last + MARGIN + 1)
+        yield toks[first][0], toks[end - 1][1], toks[first:end]
 
 
 def added_spans(text: str | None, base: list[tuple[int, int, int]], w: dict[tuple[int, str], float]) -> list[tuple[int, int, int]]:
