@@ -11,7 +11,8 @@ they stream by, at most HOT of a key held. Where at most HOT classes share a key
 parity sketches differ in more bits than the two sets may differ in elements are dropped (that many elements do differ).
 Such a sketch tells nothing of sets much larger than it, and long texts share a rare-looking key by chance in pairs that grow with the square of their number.
 So sets of over 512 shingles have a second sketch, of a bit a shingle or more, and pairs of two such sets are held against these before any words are sent.
-What is left is verified on whole sets: a pair's two sets meet in one task, and their overlap, binned by fragment, is summed per pair.
+What is left is counted by fragments: the sets of pairs that are left are cut at the pivots, a pair's parts meet fragment by fragment, dealt by (fragment, set), and the
+partial overlaps are summed per pair. So the two sets of a pair need not meet in one task, and a set of many pairs is dealt over the fragments.
 Where more classes share a key, no pairs are listed. Such a key's classes are dealt over WAYS ways; each is verified against the first and the last
 class of its way, and these against the first and last of the key: pairs in proportion to rows, which join copies of one text into one component. Keys
 whose classes hang together by then are done, for only components are asked for. Classes that hang together by the keys left form clusters, whose classes
@@ -60,6 +61,8 @@ SKETCH_ROWS, SKETCH_PARTS = 256, 4
 WORDS64 = 8
 #: A fragment's columns counted at once.
 COLUMNS = 4096
+#: Bytes of fragments handed on at once.
+PART_BYTES = 1 << 22
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -340,29 +343,43 @@ def _fine_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return pairs.where(~large).unionByName(met.mapInArrow(keep, "a binary, b binary, na long, nb long"))
 
 
-def _count_pairs(pairs: DataFrame, sets: DataFrame, order, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that link, verified on whole sets; their overlaps are told by fragment and summed, but no data are dealt by fragment."""
+def _fragments(sets: DataFrame, order, k: int) -> DataFrame:
+    """(sig, frag, part): each set cut by the pivots of the global order, a row for each fragment in which it has shingles; part holds these, sorted."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, pivots = order
         for b in batches:
-            row, frag, got = [], [], []
-            last, y = None, None
-            for i, (p, q) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)):
-                if q != last:  # rows come sorted by b
-                    last, y = q, _unpack(q, k, rank)
-                x = _unpack(p, k, rank)
-                at = np.searchsorted(y, x)
-                both = x[y[np.minimum(at, len(y) - 1)] == x]
-                parts = np.bincount(np.searchsorted(pivots, both, side="right"), minlength=len(pivots) + 1)
-                row += [i] * len(parts)
-                frag += range(len(parts))
-                got += parts.tolist()
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("a", "b", "na", "nb")), pa.array(frag, pa.int32()), pa.array(got, pa.int64())], ["a", "b", "na", "nb", "frag", "got"])
-
-    met = pairs.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("words").alias("y")), "b")
-    part = met.select("a", "b", "na", "nb", "x", "y").mapInArrow(partial, "a binary, b binary, na long, nb long, frag int, got long")
+            sig, frag, part, size = [], [], [], 0
+            for g, words in zip(b.column("sig").to_pylist(), b.column("words").to_pylist(), strict=True):
+                s = _unpack(words, k, rank)
+                at = np.r_[0, np.searchsorted(s, pivots), len(s)]
+                for f in np.flatnonzero(np.diff(at)):
+                    sig.append(g)
+                    frag.append(int(f))
+                    part.append(s[at[f] : at[f + 1]].tobytes())
+                size += s.nbytes
+                if size >= PART_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(frag, pa.int32()), pa.array(part, pa.binary())], ["sig", "frag", "part"])
+                    sig, frag, part, size = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(frag, pa.int32()), pa.array(part, pa.binary())], ["sig", "frag", "part"])
+
+    return sets.select("sig", "words").mapInArrow(cut, "sig binary, frag int, part binary")
+
+
+def _count_pairs(pairs: DataFrame, fragments: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that link: a pair meets in each fragment by itself, dealt by fragment and set, and its partial overlaps are summed."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for p, q in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                got.append(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(got, pa.int64())], ["a", "b", "na", "nb", "got"])
+
+    met = pairs.join(fragments.select(F.col("sig").alias("a"), "frag", F.col("part").alias("x")), "a").join(fragments.select(F.col("sig").alias("b"), "frag", F.col("part").alias("y")), ["frag", "b"])
+    part = met.select("a", "b", "na", "nb", "x", "y").mapInArrow(partial, "a binary, b binary, na long, nb long, got long")
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("got").alias("got"))
     return total.where(F.col("got") * den >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("got"))).select("a", "b")
 
@@ -552,7 +569,12 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, hot: int) -> DataFrame:
     near = scratch.keep_narrow(_fine_pairs(near, sets, num, den), "near", 16 * n_pairs)
     stars = scratch.keep_narrow(_fine_pairs(stars, sets, num, den), "stars", 16 * n_pairs)
     scratch.free()
-    cold = scratch.keep_narrow(_count_pairs(near, sets, order, k, num, den).unionByName(_count_pairs(stars, sets, order, k, num, den)), "cold", n_pairs)
+    # Only sets of pairs that are left are cut.
+    left_in = near.unionByName(stars).select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    cut = scratch.keep(_fragments(sets.join(left_in, "sig", "left_semi"), order, k), "fragments")
+    cold = scratch.keep_narrow(_count_pairs(near, cut, num, den).unionByName(_count_pairs(stars, cut, num, den)), "cold", n_pairs)
+    scratch.drop("fragments")
+    del left_in, cut
     scratch.free()
     left = scratch.keep_narrow(_open_rows(busy, cold, scratch), "open", n_found)
     links = cold.unionByName(_hot_links(left, sets, order, k, num, den, scratch))
