@@ -779,3 +779,20 @@ def test_long_texts_count_alike():
     enc = token_counts.encoding(open(ranks, "rb").read(), pattern)
     t = prose(40_000) + "  \n\n  " + prose(100)
     assert token_counts.count(t, enc) == len(enc.encode_ordinary(t))
+
+
+def test_tiles_of_repeated_words_are_the_same_and_take_no_product():
+    r = random.Random(3)
+    ids = lambda w: np.array([hash((x, 7)) & 0xFFFFFFFFFFFFFFFF for x in w], np.uint64)
+    found = 0
+    for _ in range(600):
+        few, least = r.choice((1, 2, 3, 8)), r.choice((1, 2, 3, 5))
+        a, b = (ids(r.randint(0, few) for _ in range(r.randint(least, n))) for n in (40, 70))
+        own, far = (common.shingle_hashes(x, least) for x in (a, b))
+        runs = decontaminate._by_runs(len(a), len(b), decontaminate._place(own), far, np.flatnonzero(np.isin(far, own)), least)
+        assert sorted(runs) == sorted(decontaminate._by_length(a, b, least))
+        found += len(runs)
+    assert found > 1000
+    a, b = (ids(r.choice("ab") for _ in range(12_000)) for _ in range(2))
+    began = time.perf_counter()
+    assert sum(t[2] for t in decontaminate.tiles(a, b)) > 9000 and time.perf_counter() - began < 20

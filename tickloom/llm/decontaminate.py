@@ -17,6 +17,7 @@ only doc_id, text, item_id and text are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,10 @@ MIN_COVERAGE = 0.5
 BROADCAST_WORDS, BROADCAST_BYTES = 2_000_000, 1 << 25
 #: Ways over which the documents of a seed are dealt.
 SALTS = 16
+#: Meetings of windows, by the words of both texts, from which on they are not listed.
+MEETINGS = 8
+#: Fixed value: an odd multiplier for sums of word hashes, modulo 2^64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _place(s: np.ndarray) -> dict[int, list[int]]:
@@ -44,14 +49,24 @@ def _place(s: np.ndarray) -> dict[int, list[int]]:
 def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """(start in item, start in document, length) of the marked runs. Both are lists of word hashes.
 
-    Runs of equal words are found through the hashes of least-word windows. A run is taken longest first; when a part of it has been
-    marked meanwhile, what is left unmarked goes back among the shorter runs, as a pass with a smaller length would find it.
+    Where windows of `least` words meet few others, their runs are listed. Where words repeat, so that meetings are a product, lengths are run through
+    with Karp-Rabin sums instead. Both mark the same runs.
     """
     least = max(1, min(least, len(item)))
     if len(item) < least or len(doc) < least:
         return []
     own, far = shingle_hashes(item, least), shingle_hashes(doc, least)
     where = _place(own)
+    hits = np.flatnonzero(np.isin(far, own))
+    if sum(len(where[x]) for x in far[hits].tolist()) > MEETINGS * (len(own) + len(far)):
+        return _by_length(item, doc, least)
+    return _by_runs(len(item), len(doc), where, far, hits, least)
+
+
+def _by_runs(n_item: int, n_doc: int, where: dict[int, list[int]], far: np.ndarray, hits: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Runs of equal words are found through the hashes of least-word windows. A run is taken longest first; when a part of it has been
+    marked meanwhile, what is left unmarked goes back among the shorter runs, as a pass with a smaller length would find it.
+    """
     heap: dict[int, list[tuple[int, int]]] = {}
 
     def put(i: int, j: int, n: int) -> None:
@@ -59,7 +74,6 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[in
             heap.setdefault(n, []).append((i, j))
 
     open_runs: dict[int, tuple[int, int]] = {}  # diagonal -> (start in item, end in item)
-    hits = np.flatnonzero(np.isin(far, own))
     for j in hits.tolist():
         for i in where[int(far[j])]:
             d = j - i
@@ -72,7 +86,7 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[in
                 open_runs[d] = (i, i + least)
     for d, (a, b) in open_runs.items():
         put(a, a + d, b - a)
-    in_item, in_doc, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
+    in_item, in_doc, out = np.zeros(n_item, bool), np.zeros(n_doc, bool), []
     while heap and not in_item.all():
         n = max(heap)
         for i, j in sorted(heap.pop(n)):
@@ -87,6 +101,52 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[in
     return out
 
 
+def _by_length(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The longest length at which windows without a mark are equal is sought by halving, and all its runs are marked, until none of `least` is left.
+
+    A length costs a sort of both texts' windows; what is marked of m words has less than sqrt(2 m) lengths.
+    """
+    sums = []
+    with np.errstate(over="ignore"):
+        for x in (item, doc):
+            up, down = (np.cumprod(np.r_[np.uint64(1), np.full(len(x), b)]) for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
+            sums.append((np.r_[np.uint64(0), np.cumsum(x * up[:-1])], down))
+    free, out, most = [np.ones(len(item), bool), np.ones(len(doc), bool)], [], min(len(item), len(doc))
+
+    def windows(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and sums of the windows of n words that hold no mark."""
+        held = np.cumsum(np.r_[0, ~free[k]])
+        at = np.flatnonzero(held[n:] == held[:-n])
+        with np.errstate(over="ignore"):
+            return at, mix64((sums[k][0][at + n] - sums[k][0][at]) * sums[k][1][at])
+
+    while most >= least:
+        low, high = least - 1, most  # a common run of `low` is known to be there, one of more than `high` is not
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if np.isin(windows(0, n)[1], windows(1, n)[1]).any() else (low, n - 1)
+        if low < least:
+            break
+        (own, x), (far, y) = windows(0, low), windows(1, low)
+        order = np.lexsort((far, y))
+        far, y = far[order], y[order]
+        first = dict.fromkeys(x.tolist(), -1)
+        for i, h in zip(own.tolist(), x.tolist(), strict=True):
+            if not free[0][i] or not free[0][i + low - 1]:
+                continue
+            k = first[h] if first[h] >= 0 else int(np.searchsorted(y, h))
+            # Windows that have met a mark never lose it, so they are passed once.
+            while k < len(y) and int(y[k]) == h and not (free[1][far[k]] and free[1][far[k] + low - 1]):
+                k += 1
+            first[h] = k
+            if k < len(y) and int(y[k]) == h and np.array_equal(item[i : i + low], doc[far[k] : far[k] + low]):
+                j = int(far[k])
+                free[0][i : i + low] = free[1][j : j + low] = False
+                out.append((i, j, low))
+        most = low - 1
+    return out
+
+
 class Benchmark:
     """Items ready for tiling, found through their shingles."""
 
@@ -124,6 +184,17 @@ class Benchmark:
         return sorted(out, key=_first), short
 
 
+_INDEX: dict[str, Benchmark] = {}
+
+
+def _indexed(name: str, rows: list[tuple[object, str]], least: int) -> Benchmark:
+    """The index of a worker's last benchmark, made once and not for each task."""
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Benchmark(rows, least)
+    return _INDEX[name]
+
+
 def _first(x: tuple[float, object]) -> tuple:
     return -x[0], x[1] is None, x[1] or 0
 
@@ -144,10 +215,10 @@ def _columns(found: list[tuple[list[tuple[float, object]], int]]) -> list[pa.Arr
 
 def _by_broadcast(docs: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
     rows = sorted(((r[0], r[1]) for r in items.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # at most BROADCAST_BYTES
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    shared, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark(shared.value, least)
+        bench = _indexed(name, shared.value, least)
         for b in batches:
             found = [bench.look(t, coverage) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, *_columns(found)], [*b.schema.names, *NAMES])

@@ -12,8 +12,8 @@
    part in the mix from its own place on the line, without a list. `taken` is the words of these, repeats counted.
 
 Defined cases: null or blank text has size 0 and takes 0; an empty table gives no rows; repeated rows each count as a
-document (they take alike, since equal rows stand together on the line); ties in hash go by doc_id, then text; a null doc_id is
-an id of its own, first in order. Other columns are not read. `sources` is taken to be a small dimension: its totals,
+document and stand side by side on the line, so they may take unlike numbers of words, as blocks begin and end among them; ties in hash go by doc_id, then size; rows of a
+null doc_id are placed by their text's hash, so that they are dealt over all shards. Other columns are not read. `sources` is taken to be a small dimension: its totals,
 not its documents, are ranked together.
 """
 
@@ -80,9 +80,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     """doc_id, size, source_size, target, taken for each row of docs (doc_id, source, text). See the module's docstring."""
     hashed = lambda *c: F.md5(F.concat_ws("/", F.lit(seed), *c))
     number = lambda h, at: F.conv(F.substring(h, at, 12), 16, 10).cast("long")
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    by_text = F.when(F.col("doc_id").isNull(), F.concat(F.lit("n"), F.md5(F.coalesce("text", F.lit("")))))
+    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), by_text.alias("_t"))
     # _sk: the source as a key that is never null; _h: a document's seeded place.
-    d = d.withColumns({"_sk": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "_h": hashed(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
+    d = d.withColumns({"_sk": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "_h": hashed(F.coalesce(F.col("doc_id").cast("string"), "_t"))}).drop("_t")
     # Texts are read once; what follows works on sizes.
     scratch = Scratch(docs.sparkSession, "mixing")
     d = scratch.keep(d, "sizes")

@@ -35,7 +35,7 @@ from documents d left join kept k on d.doc_id = k.doc_id
 #: The same mix from the definition: seats one by one, blocks and words as rows of their own.
 MIXING = """
 with recursive doc as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, md5('mix-7/' || coalesce(doc_id::varchar, '')) as h,
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, md5('mix-7/' || coalesce(doc_id::varchar, 'n' || md5(coalesce(text, '')))) as h,
     coalesce('s' || source, 'n') as sk from documents
 ), src as (
   select sk, sum(size)::bigint as source_size, [3.0, 1.0, 2.0][(row_number() over (order by sk = 'n', sk) - 1) % 3 + 1] as w from doc group by sk

@@ -8,7 +8,8 @@ Reading: the index rows selected are sorted by file and offset, ranges at most `
 `most` bytes, and each range is one read. Ranges, not files, are the unit of work.
 
 Defined cases: null html is an empty payload; null url is written empty and read back as null; page_id null counts as larger
-than any other and is kept as null; rows alike in page_id and payload are decided alike (each a response if its page_id is the least);
+than any other and is kept as null; rows alike in page_id and payload are decided alike (each a response if its page_id is the least; ids of responses follow from page and payload, for revisits to name
+them in WARC-Refers-To, so of rows alike in one task the first gets it and in several tasks one each);
 an empty table gives no rows; other columns are not read.
 """
 
@@ -30,6 +31,8 @@ from tickloom.llm.common import Scratch, open_fs
 FILE_BYTES = 1 << 28
 #: A payload with more than this part of the rows is met without a shuffle.
 HOT = 1000
+#: Responses of a task that are remembered, so that rows alike do not get one id.
+SEEN = 1_000_000
 GAP, MOST, TASK_BYTES = 1 << 16, 1 << 22, 1 << 23
 INDEX = "file string, offset long, length long, page_id long, url string, digest string"
 DATE = "2024-01-01T00:00:00Z"
@@ -39,9 +42,14 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: bool, refers_to: int | None) -> bytes:
-    """One gzip member. page_id and the whole payload's length are carried in headers of our own."""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{digest}/{url}")
+def named(page_id: int | None, digest: str) -> uuid.UUID:
+    """The id of the response of a page, which its revisits can tell."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{digest}")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: bool, refers_to: int | None, again: bool = False) -> bytes:
+    """One gzip member. page_id and the whole payload's length are carried in headers of our own; again: a response like it was written before."""
+    name = named(page_id, digest) if first and not again else uuid.uuid4()
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (payload if first else b"")
     # A line break in a URL would end the header.
     safe = "" if url is None else url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
@@ -51,7 +59,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if not first:
-        head.insert(6, f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nX-Refers-To-Page: {'' if refers_to is None else refers_to}")
+        head.insert(6, f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:uuid:{named(refers_to, digest)}>\r\nX-Refers-To-Page: {'' if refers_to is None else refers_to}")
     if url is None:
         head.remove("WARC-Target-URI: ")
     raw = ("\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
@@ -100,7 +108,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = open_fs(folder)
         fs.create_dir(at, recursive=True)
-        out, name, pos = None, "", 0
+        out, name, pos, seen = None, "", 0, set()
         try:
             for b in batches:
                 rows = []
@@ -111,7 +119,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
                         name, pos = f"part-{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{at}/{name}", compression=None)
                     d = digest32(body)
-                    member = record(p, u, body, d, first, refers)
+                    again = first and (p, d) in seen
+                    if first and len(seen) < SEEN:
+                        seen.add((p, d))
+                    member = record(p, u, body, d, first, refers, again)
                     out.write(member)
                     rows.append((f"{folder}/{name}", pos, len(member), p, u, d))
                     pos += len(member)
