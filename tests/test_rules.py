@@ -105,14 +105,15 @@ def test_clients_get_their_rows_and_a_failing_one_is_told(spark):
 
 def test_stream_names_and_jobs(spark, tmp_path):
     assert venues.stream_names([" BTCUSDT", "ethusdt", "btcusdt"], ["trade", "trade", "depth5"]) == ["btcusdt@trade", "btcusdt@depth5", "ethusdt@trade", "ethusdt@depth5"]
-    for bad in (([], ["trade"]), (["x"], []), (["x"], ["depth5", "depth10"])):
+    for bad in (([], ["trade"]), (["x"], []), (["x"], ["depth5", "depth10"]), (["x"], ["depth"]), (["x"], ["depth7"]), ([f"s{i}" for i in range(513)], ["trade", "depth5"])):
         with pytest.raises(ValueError):
             venues.stream_names(*bad)
     jobs = replay.Jobs(lambda d: d, str(tmp_path))
     t = features.long_form(features.vwap(ticks(spark, [(0, 1, 1, "BUY", 0)]), "1 minute"), "vwap.1m", "vwap", "trade_count").withColumn("event_time", F.col("window_start"))
     ids = [jobs.get(jobs.submit(t, "2026-05-11 14:00:00", "2026-05-11 15:00:00").id, wait=True).id for _ in range(2)]
     assert [j.id for j in jobs.list()] == ids[::-1] and all(j.status == "COMPLETED" for j in jobs.list())
-    sinks.write_features(t.drop("event_time"), str(tmp_path / "f"))
+    assert len(venues.stream_names([f"s{i}" for i in range(512)], ["trade", "depth20@100ms"])) == 1024
+    assert sinks.write_features(t.drop("event_time"), str(tmp_path / "f")) == sinks.Written(str(tmp_path / "f"), 1, "parquet")
     got = query.feature_series(spark, str(tmp_path / "f"), "vwap.1m", "I", "2026-04-30T00:00:00", "2026-05-12T00:00:00")
     assert got.count() == 1
 

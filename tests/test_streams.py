@@ -158,8 +158,11 @@ def test_features_are_saved_to_tables_and_streamed(spark, tmp_path):
     f = features.all_features(t, None, "1 minute", bucket=20, history=2)
     spark.sql(f"create database saved location '{at}/db'")
     try:
-        names = sinks.save_tables(f.where("instrument <> 'I-2'"), ["vwap.1m", "vpin"], f"{at}/f", "saved")
-        assert names == ["saved.features_vwap_1m", "saved.features_vpin"] == sinks.save_tables(f.where("instrument = 'I-2'"), ["vwap.1m", "vpin"], f"{at}/f", "saved")
+        n = {r[0]: r[1] for r in f.where("instrument <> 'I-2'").groupBy("feature_name").count().collect()}
+        written = sinks.save_tables(f.where("instrument <> 'I-2'"), ["vwap.1m", "vpin"], f"{at}/f", "saved")
+        assert written == [sinks.Written("saved.features_vwap_1m", n["vwap.1m"], "tables"), sinks.Written("saved.features_vpin", n["vpin"], "tables")]
+        names = [w.location for w in sinks.save_tables(f.where("instrument = 'I-2'"), ["vwap.1m", "vpin"], f"{at}/f", "saved")]
+        assert names == [w.location for w in written]
         want = sorted((r.window_start, r.value) for r in f.where("feature_name = 'vwap.1m' and instrument = 'I-2'").collect())
         got = query.table_series(spark, names[0], "I-2", "2026-05-11T15:00:00+01:00", "2026-05-11T15:00:00Z").collect()
         assert [(r.window_start, r.value) for r in got] == want and spark.table(names[0]).count() == f.where("feature_name = 'vwap.1m'").count()

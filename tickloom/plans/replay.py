@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.plans.query import instant
+from tickloom.plans.query import BadRequest, instant
 from tickloom.sources.readers import in_range
 
 KEY = ["instrument", "feature_name", "feature_version", "window_start"]
@@ -62,7 +62,7 @@ class Jobs:
 
     def submit(self, events: DataFrame, start: str, end: str) -> Job:
         if instant(start) > instant(end):
-            raise ValueError("start is after end")
+            raise BadRequest("start is after end")
         job = Job(uuid.uuid4().hex, start, end)
         self.jobs[job.id] = job
         job._done = self.pool.submit(self._run, job, events)

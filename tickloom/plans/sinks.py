@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tickloom.functions.exact import path_segment, table_name, topic
@@ -23,22 +24,35 @@ def feature_files(df: DataFrame) -> DataFrame:
     return d.withColumn("instrument", path_segment(F.col("instrument")))
 
 
-def write_features(df: DataFrame, root: str, mode: str = "append") -> None:
+@dataclass(frozen=True)
+class Written:
+    """Where a write landed, how many rows it has, and by which sink."""
+
+    location: str
+    rows: int
+    sink: str
+
+
+def write_features(df: DataFrame, root: str, mode: str = "append") -> Written:
     """Long-form features under root/<topic>/instrument=/year=/month=/day=/hour=; tasks write ranges of (topic, instrument, time), so few files a folder and no task a hot instrument."""
-    feature_files(df).repartitionByRange("topic", "instrument", "window_start").write.mode(mode).option("compression", "snappy").partitionBy("topic", *HOUR).parquet(root)
+    seen = Observation()
+    out = feature_files(df).repartitionByRange("topic", "instrument", "window_start").observe(seen, F.count("*").alias("rows"))
+    out.write.mode(mode).option("compression", "snappy").partitionBy("topic", *HOUR).parquet(root)
+    return Written(root, seen.get["rows"], "parquet")
 
 
-def save_tables(df: DataFrame, names: list[str], root: str, database: str = "default") -> list[str]:
+def save_tables(df: DataFrame, names: list[str], root: str, database: str = "default") -> list[Written]:
     """Append each feature to its own table, made when missing; one write for all, each table being a folder of it."""
-    spark, tables = df.sparkSession, {n: "features_" + re.sub("[.-]", "_", n.lower()) for n in names}
+    spark, tables, seen = df.sparkSession, {n: "features_" + re.sub("[.-]", "_", n.lower()) for n in names}, Observation()
     named = F.create_map(*[F.lit(x) for pair in tables.items() for x in pair])
     out = df.where(F.col("feature_name").isin(*names)).withColumn("table", named[F.col("feature_name")])
-    out.repartitionByRange("table", "instrument", "window_start").write.mode("append").partitionBy("table").parquet(root)
+    out = out.repartitionByRange("table", "instrument", "window_start").observe(seen, *[F.count_if(F.col("table") == t).alias(t) for t in tables.values()])
+    out.write.mode("append").partitionBy("table").parquet(root)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     for t in tables.values():
         spark.sql(f"create table if not exists {database}.{t} ({columns}) using parquet location '{root}/table={t}'")
         spark.sql(f"refresh table {database}.{t}")
-    return [f"{database}.{t}" for t in tables.values()]
+    return [Written(f"{database}.{t}", seen.get[t], "tables") for t in tables.values()]
 
 
 def checked_topic(prefix: str, name: Column, version: Column) -> Column:

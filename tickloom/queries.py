@@ -14,7 +14,7 @@ from tickloom.operators import book, features, signals, validation, windows
 from tickloom.operators.running import running
 from tickloom.plans import edge, query, replay, sinks
 from tickloom.sources import rawlog, readers, testdata, venues
-from tickloom.streaming import delivery, engine, metrics, sync
+from tickloom.streaming import delivery, engine, live, metrics, state, sync
 from tickloom.streaming import signals as judge
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -290,8 +290,8 @@ def feature_tables(s, d):
     f = features.all_features(testdata.trades(s, d), testdata.books(s, d), "1 day", bucket=500, history=5)
     for part in ("instrument in ('U1', 'U3')", "instrument not in ('U1', 'U3')"):
         saved = sinks.save_tables(f.where(part), ["vwap.1m", "obi", "vpin"], f"{root}/features", database)
-    one = query.table_series(s, saved[0], "U3", "2024-01-02T00:00:00Z", "2024-01-10T00:00:00Z")
-    n = [s.table(t).groupBy("feature_name").agg(F.count("*").alias("n")) for t in saved]
+    one = query.table_series(s, saved[0].location, "U3", "2024-01-02T00:00:00Z", "2024-01-10T00:00:00Z")
+    n = [s.table(t.location).groupBy("feature_name").agg(F.count("*").alias("n")) for t in saved]
     told = n[0].unionByName(n[1]).unionByName(n[2]).select("feature_name", F.lit(None).cast("timestamp").alias("window_start"), F.lit(None).cast(D).alias("value"), "n")
     return told.unionByName(one.select(F.lit("series").alias("feature_name"), "window_start", F.col("value").cast(D).alias("value"), F.col("input_count").alias("n")))
 
@@ -443,6 +443,86 @@ def delivered_stream(s, d):
     return good.unionByName(dead).groupBy("topic", "reason").agg(F.count("*").alias("n"))
 
 
+@q
+def decoded_events(s, d):
+    """JSON of several shapes by one schema: what parses, with absent fields null, and what does not."""
+    e = testdata.events(s, d)
+    kind = F.col("event_id") % 6
+    js = F.to_json(F.struct("event_id", "event_type", F.col("value").alias("price"))).cast("string")
+    value = F.when(kind == 0, F.lit("{broken")).when(kind == 1, F.lit('{"event_id":"x"}')).when(kind == 2, F.lit('{"other":1}')).otherwise(js)
+    good, bad = readers.decode(e.select(value.alias("value")), "event_id bigint, event_type string, price double")
+    one = lambda df, what, c: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"), F.count(c).alias("with_id"))
+    return one(good, "good", F.col("event_id")).unionByName(one(bad, "bad", F.lit(None)))
+
+
+@q
+def archived_tail(s, d):
+    """Features archived as a stream, once although the stream is run again, and those of a pattern tailed from the archive."""
+    root = session.work_dir(s, "archived")
+    f = features.all_features(testdata.trades(s, d), None, "1 day", bucket=500, history=5)
+    for part in ("instrument < 'U4'", "instrument >= 'U4'"):
+        f.where(part).write.mode("append").parquet(f"{root}/in")
+        for _ in range(2):
+            live.archive(s.readStream.schema(f.schema).parquet(f"{root}/in"), f"{root}/archive", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    tail = readers.feature_tail(s, f"{root}/archive", "^features[.]vwap[.]").select("instrument", "window_start", "value", "input_count")
+    tail.writeStream.format("parquet").option("path", f"{root}/tail").option("checkpointLocation", f"{root}/tailing").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(tail.schema).parquet(f"{root}/tail").select("instrument", "window_start", F.col("value").cast(D).alias("value"), "input_count")
+
+
+@q
+def fanned_out(s, d):
+    """What clients of one feature, of all, and one that fails get of a stream of features."""
+    root = session.work_dir(s, "fanned")
+    f = features.all_features(testdata.trades(s, d), None, "1 day", bucket=500, history=5)
+    f.write.parquet(f"{root}/in")
+    got, refused = {"vwap.1m": [0, 0], "all": [0, 0]}, []
+
+    def client(name):
+        def take(rows):
+            got[name][0] += len(rows)
+            got[name][1] += sum(r["input_count"] for r in rows)
+
+        return take
+
+    def broken(rows):
+        raise OSError("gone")
+
+    send = live.fan_out(f, {"vwap.1m": client("vwap.1m"), None: client("all"), "vpin": broken}, refused)
+    s.readStream.schema(f.schema).parquet(f"{root}/in").writeStream.foreachBatch(send).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.createDataFrame([(k, *v) for k, v in got.items()] + [(f"refused {k}: {why}", 0, 0) for k, why in refused], "client string, n bigint, inputs bigint")
+
+
+@q
+def replay_jobs(s, d):
+    """Jobs over two ranges, one told in another zone, and one that is refused: their status, rows and sums."""
+    jobs = replay.Jobs(lambda t: features.all_features(t, None, "1 hour", bucket=500, history=5), session.work_dir(s, "jobs"))
+    t = testdata.trades(s, d)
+    done = [jobs.get(jobs.submit(t, a, b).id, wait=True) for a, b in (("2024-01-05T00:00:00+00:00", "2024-01-06T00:00:00+00:00"), ("2024-01-08T05:00:00+05:00", "2024-01-08T20:00:00+00:00"))]
+    out = None
+    for k, job in enumerate(done):
+        g = s.read.parquet(job.location).groupBy("feature_name").agg(F.count("*").alias("n"), F.sum("input_count").alias("inputs"))
+        g = g.select(F.lit(k).alias("job"), F.lit(job.status).alias("status"), "feature_name", "n", "inputs")
+        out = g if out is None else out.unionByName(g)
+    try:
+        jobs.submit(t, "2024-01-06T00:00:00+05:00", "2024-01-05T00:00:00Z")
+    except query.BadRequest as e:
+        out = out.unionByName(s.createDataFrame([(2, str(e), None, 0, 0)], out.schema))
+    return out
+
+
+@q
+def engine_state(s, d):
+    """Windows that the stream engine holds open once the input stops without an end, read from its checkpoint."""
+    root = session.work_dir(s, "engine-state")
+    t = testdata.arrivals(s, d)
+    t.write.parquet(f"{root}/in")
+    out = engine.ExactEngine(3600, [0, 1, 2], "500", 5).run(s.readStream.schema(t.schema).parquet(f"{root}/in"))
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    state.check(s, f"{root}/state", engine.VERSION)
+    w = state.rows(s, f"{root}/state", "windows")
+    return w.select(F.col("key.instrument").alias("instrument"), F.timestamp_micros("user_map_key.start").alias("window_start"), F.col("user_map_value.n").alias("n"), (F.col("user_map_value.v").cast(D) / engine.UNIT).alias("volume"))
+
+
 def _log(t):
     """Trades in arrival order as raw records: offsets by partition without holes, ends under a topic of their own."""
     t = t.withColumns({"_chunk": F.expr("seq div 1000000 div 86400"), "_end": F.col("event_time").isNull()})

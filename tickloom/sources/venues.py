@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from tickloom.operators.running import running
 
 #: Arrivals of a series that one task numbers.
 STRETCH = 10_000
+#: What one connection carries at most, and the depth streams that carry whole books.
+MOST_STREAMS = 1024
+WHOLE_DEPTH = r"depth(5|10|20)(@100ms)?"
 
 _COMBINED = "stream string, data struct<s:string,p:string,q:string,m:boolean,lastUpdateId:bigint,bids:array<array<string>>,asks:array<array<string>>>"
 _LISTED = "event string, code string, msg string, arg struct<channel:string,instId:string>, data array<struct<instId:string,tradeId:string,px:string,sz:string,side:string,ts:string,bids:array<array<string>>,asks:array<array<string>>>>"
@@ -83,4 +88,8 @@ def stream_names(instruments: list[str], streams: list[str]) -> list[str]:
         raise ValueError("at least one instrument and one stream are needed")
     if sum(k.startswith("depth") for k in kinds) > 1:
         raise ValueError("more than one book depth")
+    if bad := [k for k in kinds if k.startswith("depth") and not re.fullmatch(WHOLE_DEPTH, k)]:
+        raise ValueError(f"no stream of whole books: {bad[0]!r}")
+    if len(symbols) * len(kinds) > MOST_STREAMS:
+        raise ValueError(f"{len(symbols) * len(kinds)} streams, but a connection carries {MOST_STREAMS}")
     return [f"{s}@{k}" for s in symbols for k in kinds]
