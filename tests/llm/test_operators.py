@@ -632,6 +632,18 @@ def test_ann_recall_ties_and_bad_vectors(spark):
     assert ann.search(v.where("vec_id in (1, 2)"), F.lit(True)).count() == 2
 
 
+def test_ann_searches_each_length_by_itself(spark):
+    g = np.random.default_rng(2)
+    rows = [(i, g.normal(size=n).tolist()) for i, n in enumerate([6] * 60 + [3] * 8 + [2])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    own = {i: np.array(e) / np.linalg.norm(e) for i, e in rows}
+    for i, _ in rows:
+        want = sorted((-round(float(own[i] @ own[j]), 12), j) for j in own if j != i and len(own[j]) == len(own[i]))[:5]
+        assert [j for _, j in sorted(got.get(i, []))] == [j for _, j in want]
+
+
 def test_ann_many_files_and_ranges(spark, monkeypatch):
     """The same result whether codes and queries lie in one file or many; rows repeated alike count once; a hot vector."""
     g = np.random.default_rng(4)

@@ -14,7 +14,7 @@ against every code. Equal vectors have equal codes and hashes: of such a group a
 no candidate's place is taken by further copies.
 
 Defined cases: vectors null, zero, or with null or non-finite components take no part, as queries or candidates; vectors
-of another length than most of the sample take no part either; an id null takes no part; equal scores go by smaller vec_id; rows repeated alike count once;
+of several lengths are searched length by length, each with codebooks of its own; an id null takes no part; equal scores go by smaller vec_id; rows repeated alike count once;
 a query with fewer candidates gets all; an empty table gives no rows; other columns are not read.
 """
 
@@ -141,18 +141,27 @@ def _top(score: np.ndarray, ids: np.ndarray, vh: np.ndarray, keep: int, same: in
     return score[fine], ids[fine], vh[fine]
 
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, candidates: int = CANDIDATES) -> DataFrame:
-    """query_id, rank, vec_id, score: of the rows of vectors (vec_id, embedding) where `queries` holds, the nearest others."""
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
+    """query_id, rank, vec_id, score: of the rows of vectors (vec_id, embedding) where `queries` holds, the nearest others of their length."""
     v = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("asks"))
+    lengths = sorted(r[0] for r in v.select(F.size("embedding")).distinct().collect())  # numbers of components, one search each
+    out = vectors.sparkSession.createDataFrame([], RESULT)
+    for k, dim in enumerate(lengths):
+        found = _search(v if len(lengths) == 1 else v.where(F.size("embedding") == dim), dim, nearest, candidates)
+        out = found if not k else out.unionByName(found)
+    return out
+
+
+def _search(v: DataFrame, dim: int, nearest: int, candidates: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = v.sparkSession
+    scratch = Scratch(spark, "ann")
     sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").select("embedding").limit(FIT_ROWS).collect()  # at most FIT_ROWS vectors
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = np.array([len(r[0]) for r in sample])
-    dim = int(np.bincount(sizes).argmax())
-    v = v.where(F.size("embedding") == dim).dropDuplicates(["vec_id", "embedding"])
-    books = spark.sparkContext.broadcast(fit(_unit(np.array([r[0] for r in sample if len(r[0]) == dim]))))
+    v = v.dropDuplicates(["vec_id", "embedding"])
+    books = spark.sparkContext.broadcast(fit(_unit(np.array([r[0] for r in sample]))))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +174,7 @@ def search(vectors: DataFrame, queries: Column, nearest: int = NEAREST, candidat
     coded = scratch.keep(coded, "coded")
     n, asked = coded.agg(F.count("*"), F.count("unit")).first()
     if not asked:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], RESULT)
     code_files, query_files = max(-(-n // CODE_BLOCK), min(RANGES, n)), -(-asked // QUERY_BLOCK)
     scratch.keep(coded.select("vec_id", "vh", "codes", "norm").repartition(code_files), "codes", rows=CODE_BLOCK)
     scratch.keep(coded.where("unit is not null").select("vec_id", "unit").repartition(query_files), "queries", rows=QUERY_BLOCK)
