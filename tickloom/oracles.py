@@ -182,7 +182,7 @@ select instrument, window_start, round(sum(imb)::double / 5, 8) as vpin, m as bu
     "fanned_out": f"with {T}, {run()}, a as (select trade_count as n from ({vwap('1 day')})), p as (select trade_count as n from ({vpin('1 day')})) select 'vwap.1m' as client, count(*) as n, sum(n)::bigint as inputs from a union all select 'all', count(*), sum(n)::bigint from (select * from a union all select * from p) union all select 'refused vpin: gone', 0, 0",
     "replay_jobs": "with " + T + ", " + ", ".join(f"t{k} as (select * from t where event_time >= '{a}' and event_time < '{b}'), " + run(f"t{k}").replace("run as", f"run{k} as").replace("from run ", f"from run{k} ").replace("part as", f"part{k} as").replace("from part ", f"from part{k} ").replace("imb as (", f"imb{k} as (") for k, (a, b) in enumerate(JOBS))
     + " " + " union all ".join(f"select {k} as job, 'COMPLETED' as status, 'vwap.1m' as feature_name, count(*) as n, sum(trade_count)::bigint as inputs from ({vwap('1 hour', source=f't{k}')}) having count(*) > 0 union all select {k}, 'COMPLETED', 'vpin', count(*), sum(trade_count)::bigint from ({vpin('1 hour').replace('from imb i', f'from imb{k} i').replace('from run ', f'from run{k} ')}) having count(*) > 0" for k in range(2)) + " union all select 2, 'start is after end', null, 0, 0",
-    "engine_state": f"with {ARRIVED}, f as (select instrument, arg_max(watermark, seq) as w from m group by 1) select l.instrument, window_start, count(*) as n, sum(size)::double as volume from l join f using (instrument) where not late and window_start + interval 1 hour > w group by all",
+    "engine_state": f"with {ARRIVED}, f as (select instrument, arg_max(watermark, seq) as w, count(distinct part) as parts from m group by 1) select l.instrument, window_start, count(*) as n, sum(size)::double as volume from l join f using (instrument) where not late and (parts < 3 or window_start + interval 1 hour > w) group by all",
     "revised_vwap": f"with {ARRIVED}, f as (select instrument, arg_max(watermark, seq) as w from m group by 1), o as (select l.* from l join f using (instrument) where window_start + interval 1 hour <= w), n as (select instrument, window_start, count(*) filter (late) as revision from o group by all) select instrument, window_start, window_end, vwap as value, trade_count as input_count, revision from ({vwap('1 hour', source='o')}) join n using (instrument, window_start)",
     "stream_counters": f"with {ARRIVED}, e as ({ACCEPTED}) select count(*) as received, count(*) filter (late) as late, count(*) filter (not late) as accepted, (select count(*) from e) as emitted from l",
     "delivered_stream": f"with {CHECKED}, x as (select case when event_id % 17 = 0 or event_id % 19 = 0 then 'not decodable' else reasons end as reason from r) select case when reason = '' then 'events.trade' else 'events.deadletter' end as topic, reason, count(*) as n from x group by all",

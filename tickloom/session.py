@@ -26,10 +26,14 @@ def build(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, unless their PYTHONPATH already leads to it. Once a context."""
+    """Let Python workers import this package, unless their PYTHONPATH already leads to it. Once a context.
+
+    Executors get it as a file. What Spark runs in Python beside the driver (planning of sources, set-up of typed state) gets no such files, but the path.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_tickloom_shipped", False) or str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), sc.environment.get("PYTHONPATH")]))
     at = Path(tempfile.mkdtemp(prefix="tickloom-zip-")) / "tickloom.zip"
     with zipfile.ZipFile(at, "w") as z:
         for p in sorted((ROOT / "tickloom").rglob("*.py")):
