@@ -63,6 +63,17 @@ def candles(s, d):
     return _doubles(features.candles(testdata.trades(s, d), "1 hour"), "open", "high", "low", "close", "volume")
 
 
+def _few(run):
+    """These streams have a handful of keys: as many partitions of state as that, whatever the session's tables are shuffled to."""
+
+    @functools.wraps(run)
+    def call(s, *args, **kwargs):
+        with session.setting(s, "spark.sql.shuffle.partitions", "8"):
+            return run(s, *args, **kwargs)
+
+    return call
+
+
 def _agg(a):
     return lambda s, d: features.generic(testdata.trades(s, d), a, "price", "1 day")
 
@@ -357,6 +368,7 @@ def accepted_features(s, d):
     return f.select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
 
 
+@_few
 def _engine(s, d, name=None, counters=None):
     """What the stream engine tells, stopped half-way and started again from its checkpoint; the second half ends the input."""
     root = session.work_dir(s, "exact-stream")
@@ -404,6 +416,7 @@ def stream_counters(s, d):
     return s.createDataFrame([(t["received"], t["late"], t["received"] - t["late"], t["features"])], "received bigint, late bigint, accepted bigint, emitted bigint")
 
 
+@_few
 def _judged(s, d):
     """Signals judged by the stream, stopped half-way and started again."""
     root = session.work_dir(s, "signals")
@@ -511,6 +524,7 @@ def replay_jobs(s, d):
 
 
 @q
+@_few
 def engine_state(s, d):
     """Windows that the stream engine holds open once the input stops without an end, read from its checkpoint."""
     root = session.work_dir(s, "engine-state")
@@ -533,6 +547,7 @@ def _log(t):
 
 
 @q
+@_few
 def live_features(s, d):
     """Trades recorded as they arrive, read back from the log as a live stream, and turned into features; recorder and engine are stopped half-way and started again."""
     root = session.work_dir(s, "live")
@@ -652,6 +667,7 @@ def sync_states(s, d):
 
 
 @q
+@_few
 def sync_stream(s, d):
     """The same from the stream of snapshots and the stream of deltas, stopped half-way and started again from its checkpoint."""
     root = session.work_dir(s, "sync-stream")

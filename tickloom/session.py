@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +69,20 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return at
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for a while, and then what it was. Streams keep the one they were started with."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, so that what reads it several times does not run it several times."""
     at = work_dir(df.sparkSession, name)
