@@ -23,12 +23,15 @@ def sequence_gaps(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame
 
 
 def contiguous(deltas: DataFrame, snapshot_seq: DataFrame, keys: list[str]) -> DataFrame:
-    """Deltas that a book in sync applies: after the snapshot, each number once, up to the first hole."""
+    """Deltas that a book in sync applies: after the snapshot, each number once, up to the first hole. Each stretch of a series is told both, so that a series is not one task."""
     snap = snapshot_seq.select(*keys, "snapshot_seq")
-    d = deltas.join(snap, keys).where("seq > snapshot_seq")
-    series = d.select(*keys, "seq").unionByName(snap.withColumnRenamed("snapshot_seq", "seq"))
+    d = deltas.withColumn("_s", F.floor(F.col("seq") / STRETCH))
+    told = d.select(*keys, "_s").distinct().join(snap, keys)
+    after = d.select(*keys, "_s", "seq").join(told, [*keys, "_s"]).where("seq > snapshot_seq")
+    series = after.select(*keys, "seq").unionByName(snap.withColumnRenamed("snapshot_seq", "seq"))
     hole = sequence_gaps(series, keys).groupBy(*keys).agg(F.min("seq").alias("_hole"))
-    d = d.join(hole, keys, "left").where("_hole is null or seq < _hole").drop("_hole", "snapshot_seq")
+    told = told.join(hole, keys, "left")
+    d = d.join(told, [*keys, "_s"]).where("seq > snapshot_seq and (_hole is null or seq < _hole)").drop("_hole", "snapshot_seq", "_s")
     return d.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "seq").orderBy("event_time"))).where("_n = 1").drop("_n")
 
 
