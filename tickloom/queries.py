@@ -74,6 +74,24 @@ def _few(run):
     return call
 
 
+#: Arrivals that a batch of these streams takes, about: what a task of Python holds of a batch does not grow with the input.
+BATCH = 500_000
+
+
+def _parts(df, by):
+    """df in order of `by`, part by part: about BATCH rows each, and two at least, so that streams are stopped and started again. Also whether it is the last.
+
+    The rows are written once, in order, so that a part's read is bounded by the files' own statistics.
+    """
+    n = max(2, -(-df.count() // BATCH))
+    kept = session.settled(df.repartitionByRange(max(8, n), by).sortWithinPartitions(by), "arrivals")
+    ends = kept.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 100 * n)).first()[0] or []
+    ends = sorted(set(ends))
+    for k in range(len(ends) + 1):
+        lo, hi = (F.col(by) > ends[k - 1] if k else F.lit(True)), (F.col(by) <= ends[k] if k < len(ends) else F.lit(True))
+        yield kept.where(lo & hi), k == len(ends)
+
+
 def _agg(a):
     return lambda s, d: features.generic(testdata.trades(s, d), a, "price", "1 day")
 
@@ -370,11 +388,11 @@ def accepted_features(s, d):
 
 @_few
 def _engine(s, d, name=None, counters=None):
-    """What the stream engine tells, stopped half-way and started again from its checkpoint; the second half ends the input."""
+    """What the stream engine tells, stopped after each part and started again from its checkpoint; the last part ends the input."""
     root = session.work_dir(s, "exact-stream")
     t = testdata.arrivals(s, d)
-    half = t.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    for part in (t.where(F.col("seq") <= half), t.where(F.col("seq") > half).unionByName(engine.ended(t))):
+    for part, last in _parts(t, "seq"):
+        part = part.unionByName(engine.ended(t)) if last else part
         part.write.mode("append").parquet(f"{root}/in")
         out = engine.ExactEngine(3600, [0, 1, 2], "500", 5).told(s.readStream.schema(t.schema).parquet(f"{root}/in"))
         w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
@@ -529,38 +547,36 @@ def engine_state(s, d):
     """Windows that the stream engine holds open once the input stops without an end, read from its checkpoint."""
     root = session.work_dir(s, "engine-state")
     t = testdata.arrivals(s, d)
-    t.write.parquet(f"{root}/in")
-    out = engine.ExactEngine(3600, [0, 1, 2], "500", 5).run(s.readStream.schema(t.schema).parquet(f"{root}/in"))
-    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    for part, _ in _parts(t, "seq"):
+        part.write.mode("append").parquet(f"{root}/in")
+        out = engine.ExactEngine(3600, [0, 1, 2], "500", 5).run(s.readStream.schema(t.schema).parquet(f"{root}/in"))
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     state.check(s, f"{root}/state", engine.VERSION)
     w = state.rows(s, f"{root}/state", "windows")
     return w.select(F.col("key.instrument").alias("instrument"), F.timestamp_micros("user_map_key.start").alias("window_start"), F.col("user_map_value.n").alias("n"), (F.col("user_map_value.v").cast(D) / engine.UNIT).alias("volume"))
 
 
 def _log(t):
-    """Trades in arrival order as raw records: offsets by partition without holes, ends under a topic of their own."""
+    """Trades in arrival order (seq) as raw records: offsets by partition without holes, ends under a topic of their own."""
     t = t.withColumns({"_chunk": F.expr("seq div 1000000 div 86400"), "_end": F.col("event_time").isNull()})
     t = running(t, ["partition"], "_chunk", ["seq", "instrument"], offset=("sum", F.lit(1)))
     said = F.struct(F.lit("feed").alias("source"), F.struct(F.col("instrument").alias("symbol")).alias("instrument"), "event_id", F.unix_micros("event_time").alias("event_us"), "price", "size", "side", "seq")
     topic, part = F.when(F.col("_end"), "events.end").otherwise("events.trade"), F.when(F.col("_end"), 0).otherwise(F.col("partition"))
-    return t.select(topic.alias("topic"), part.cast("int").alias("partition"), (F.col("offset") - 1).cast("bigint").alias("offset"), F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("timestamp"), F.col("instrument").alias("key"), F.to_json(said).cast("binary").alias("value"))
+    return t.select("seq", topic.alias("topic"), part.cast("int").alias("partition"), (F.col("offset") - 1).cast("bigint").alias("offset"), F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("timestamp"), F.col("instrument").alias("key"), F.to_json(said).cast("binary").alias("value"))
 
 
 @q
 @_few
 def live_features(s, d):
-    """Trades recorded as they arrive, read back from the log as a live stream, and turned into features; recorder and engine are stopped half-way and started again."""
+    """Trades recorded as they arrive, read back from the log as a live stream, and turned into features; recorder and engine are stopped after each part and started again."""
     root = session.work_dir(s, "live")
     t = testdata.arrivals(s, d)
-    log = session.settled(_log(t.unionByName(engine.ended(t))), "log")
-    half = log.where("topic = 'events.trade'").groupBy("partition").agg((F.max("offset") / 2).alias("half"))
-    # Each partition's first records, as far as all of them are before the rest in order of arrival.
-    mark = log.join(half, "partition").where("topic = 'events.trade' and offset <= half").groupBy("partition").agg(F.max(F.get_json_object(F.col("value").cast("string"), "$.seq").cast("bigint")).alias("seq")).agg(F.min("seq")).first()[0]
-    early = F.get_json_object(F.col("value").cast("string"), "$.seq").cast("bigint") <= mark
     exact = engine.ExactEngine(3600, [0, 1, 2], "500", 5)
-    for part in (early, ~early):
-        log.where(part).write.mode("append").parquet(f"{root}/in")
-        rawlog.record(s.readStream.schema(log.schema).parquet(f"{root}/in"), f"{root}/log", f"{root}/recorder").trigger(availableNow=True).start().awaitTermination()
+    # A part has of each partition the records that follow those before; ends are in the last.
+    for part, _ in _parts(_log(t.unionByName(engine.ended(t))), "seq"):
+        part = part.drop("seq")
+        part.write.mode("append").parquet(f"{root}/in")
+        rawlog.record(s.readStream.schema(part.schema).parquet(f"{root}/in"), f"{root}/log", f"{root}/recorder").trigger(availableNow=True).start().awaitTermination()
         out = exact.run(readers.ticks(rawlog.live(s, f"{root}/log")))
         w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
         w.trigger(availableNow=True).start().awaitTermination()
@@ -669,14 +685,17 @@ def sync_states(s, d):
 @q
 @_few
 def sync_stream(s, d):
-    """The same from the stream of snapshots and the stream of deltas, stopped half-way and started again from its checkpoint."""
+    """The same from the stream of snapshots and the stream of deltas, stopped after each part and started again from its checkpoint."""
     root = session.work_dir(s, "sync-stream")
     t = _arrived(s, d)
-    snaps = _snapshots(t)
-    half = t.agg(F.percentile_approx("arrival", 0.5)).first()[0]
-    for part in (F.col("arrival") <= half, F.col("arrival") > half):
-        t.where(part).write.mode("append").parquet(f"{root}/deltas")
-        snaps.where(part).write.mode("append").parquet(f"{root}/snapshots")
+    snaps = session.settled(_snapshots(t), "snapshots")
+    done = None
+    for part, last in _parts(t, "arrival"):
+        top = part.agg(F.max("arrival")).first()[0]
+        mine = (F.lit(True) if done is None else F.col("arrival") > done) & (F.lit(True) if last else F.col("arrival") <= top)
+        done = top
+        part.write.mode("append").parquet(f"{root}/deltas")
+        snaps.where(mine).write.mode("append").parquet(f"{root}/snapshots")
         told = sync.synced(s.readStream.schema(t.schema).parquet(f"{root}/deltas"), s.readStream.schema(snaps.schema).parquet(f"{root}/snapshots"), held=40)
         w = told.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
         w.trigger(availableNow=True).start().awaitTermination()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.functions.exact import ratio8
-from tickloom.streaming.state import framed, stateful
+from tickloom.streaming.state import ROWS, framed, ordered, stateful
 
 UNIT = 10**8
 FEATURE = "instrument string, feature_name string, window_start timestamp, window_end timestamp, value decimal(28,8), input_count bigint"
@@ -33,7 +33,7 @@ TOLD = f"what string, {FEATURE}, event_id bigint, event_time timestamp, seq bigi
 #: Of the clock: the version of the state's layout and of the features' rules. A checkpoint of another is refused.
 VERSION = "engine-1"
 _LEVELS = ("bid_p", "bid_q", "ask_p", "ask_q")
-#: An arrival. Its kind: an end (which has no time), a trade, or a book. No number is null, so none passes through a float on its way.
+#: An arrival. Its kind: an end (which has no time), a trade, or a book. No number is null, so none passes through a float on its way. Only books have levels.
 _ROW = ("kind", "us", "event_id", "seq", "partition", "p", "q", "sign", *_LEVELS)
 END, TRADE, BOOK = range(3)
 NONE = (None, None, None)
@@ -132,12 +132,12 @@ class Engine(StatefulProcessor):
         self.trades = handle.getMapState("trades", "start bigint, piece int", "us array<bigint>, event_id array<bigint>, q array<bigint>, sign array<int>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
-        d = pd.concat(list(rows)).sort_values("seq", kind="stable")
         out = []
-        self.take(zip(*(d[c].tolist() for c in _ROW), strict=True), out)
+        self.take((r for d in ordered(rows, ["seq"]) for r in zip(*(d[c].tolist() for c in _ROW), strict=True)), out)
         at = lambda x: None if x is None else pd.Timestamp(x, unit="us")
-        told = [(what, key[0], name, at(start), at(start + self.size), None if v is None else Decimal(v).scaleb(-8), n, event_id, at(us), seq, *(None if x is None else Decimal(x) for x in sums)) for what, name, start, v, n, event_id, us, seq, sums in out]
-        yield framed(TOLD, told)
+        for lo in range(0, len(out), ROWS):
+            told = [(what, key[0], name, at(start), at(start + self.size), None if v is None else Decimal(v).scaleb(-8), n, event_id, at(us), seq, *(None if x is None else Decimal(x) for x in sums)) for what, name, start, v, n, event_id, us, seq, sums in out[lo : lo + ROWS]]
+            yield framed(TOLD, told)
 
     def take(self, rows: Iterator[tuple], out: list[tuple]) -> None:
         """Arrivals (_ROW) in order; what is told is added to out as (what, feature, window, value, inputs, event_id, us, seq, sums)."""
@@ -240,7 +240,7 @@ class ExactEngine:
         kind = lambda k: F.when(F.col("event_time").isNull(), END).otherwise(k).alias("kind")
         none = F.array().cast("array<bigint>")
         sign = F.when(F.col("side") == "BUY", 1).when(F.col("side") == "SELL", -1).otherwise(0)
-        both = trades.select(*key, kind(TRADE), zero(F.expr(unit("price")), "p"), zero(F.expr(unit("size")), "q"), sign.alias("sign"), *[none.alias(c) for c in _LEVELS])
+        both = trades.select(*key, kind(TRADE), zero(F.expr(unit("price")), "p"), zero(F.expr(unit("size")), "q"), sign.alias("sign"), *[F.lit(None).cast("array<bigint>").alias(c) for c in _LEVELS])
         if books is not None:
             side = lambda c, f: F.coalesce(F.expr(f"transform(slice({c}, 1, {self.levels}), x -> {unit('x.' + f)})"), none)
             levels = [side(c, f).alias(a) for a, (c, f) in zip(_LEVELS, (("bids", "price"), ("bids", "size"), ("asks", "price"), ("asks", "size")), strict=True)]

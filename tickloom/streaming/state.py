@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
@@ -22,6 +24,17 @@ def framed(ddl: str, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=kind) for k, (c, kind) in enumerate(kinds.items())})
 
 
+#: Rows that are Python objects at once, of those that a batch brings or tells.
+ROWS = 10_000
+
+
+def ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """A key's rows of a batch in order, ROWS at a time. All of them are held, as columns: a stream's batches bound them."""
+    d = pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
+    for lo in range(0, len(d), ROWS):
+        yield d.iloc[lo : lo + ROWS]
+
+
 class WrongVersion(ValueError):
     """A checkpoint's state was made by other rules."""
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.operators.book import HELD, STATES
-from tickloom.streaming.state import framed, stateful
+from tickloom.streaming.state import ROWS, framed, ordered, stateful
 
 FIELDS = "order_id string, side string, price double, quantity double, action string, event_time timestamp"
 #: What is told: applied deltas (in order of position) and, at the end of each batch that moved a book, its state.
@@ -23,6 +23,12 @@ _COLS = [x.split()[0] for x in FIELDS.split(", ")]
 AWAITING, SYNCHRONIZED, DESYNCED = STATES
 
 
+def _arrivals(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    for d in ordered(frames, ["arrival", "is_delta"]):
+        times = d["event_time"].astype(object).where(d["event_time"].notna(), None)
+        yield from zip(*(d[c].tolist() for c in ("arrival", "is_delta", "seq", *_COLS[:-1])), times.tolist(), strict=True)
+
+
 class Book(StatefulProcessor):
     """What arrives early waits; what arrives late, again, or before a snapshot is dropped; more than `held` waiting desynchronise the book until its next snapshot."""
 
@@ -35,8 +41,6 @@ class Book(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
         state, expected, waiting, position = self.at.get() if self.at.exists() else (AWAITING, 0, 0, 0)
-        d = pd.concat(list(rows)).sort_values(["arrival", "is_delta"], kind="stable")
-        times = d["event_time"].astype(object).where(d["event_time"].notna(), None)
         new: dict[int, tuple] = {}  # early in this batch; written once it ends
         old = waiting  # early in batches before
         out, last = [], 0
@@ -46,7 +50,10 @@ class Book(StatefulProcessor):
             out.append((key[0], "applied", position, arrival, seq, *fields, None, None, None))
             position, expected = position + 1, seq + 1
 
-        for arrival, is_delta, seq, *fields in zip(d["arrival"].tolist(), d["is_delta"].tolist(), d["seq"].tolist(), *(d[c].tolist() for c in _COLS[:-1]), times.tolist(), strict=True):
+        for arrival, is_delta, seq, *fields in _arrivals(rows):
+            if len(out) >= ROWS:
+                yield framed(OUT, out)
+                out.clear()
             last = arrival
             if not is_delta:
                 state, expected = SYNCHRONIZED, seq + 1
