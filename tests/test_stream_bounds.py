@@ -31,7 +31,7 @@ class Sizes(StreamingQueryListener):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name, runs", [("exact_stream", 4), ("engine_state", 4), ("sync_stream", 5), ("live_features", 8)])
+@pytest.mark.parametrize("name, runs", [("exact_stream", 4), ("engine_state", 4), ("sync_stream", 5), ("live_features", 10)])
 def test_streams_take_bounded_batches(spark, monkeypatch, name, runs):
     rows = lambda: sorted(map(str, entry.queries()[name](spark, SF).collect()))
     whole, sizes = rows(), Sizes()
