@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from tickloom.operators import book
 from tickloom.streaming import sync
 
@@ -89,3 +91,96 @@ def test_the_stream_equals_a_replay_over_restarts(spark, tmp_path):
         assert r.quantity == r.seq and r.order_id == f"o{r.seq % 5}"
         applied.setdefault(r.instrument, []).append(r.seq)
     assert applied == {i: x for i, (_, _, x, _) in want.items() if x}
+
+
+class Kept:
+    """A value or map state that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.rows, self.asked = None, {}, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):  # noqa: N802
+        self.asked += 1
+        return key in self.rows
+
+    def getValue(self, key):  # noqa: N802
+        self.asked += 1
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.asked += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.asked += 1
+        del self.rows[key]
+
+    def clear(self):
+        self.asked += 1
+        self.rows.clear()
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, Kept())
+
+    getMapState = lambda self, name, key, value: self.getValueState(name, value)  # noqa: E731, N815
+
+    def asked(self):
+        return sum(k.asked for k in self.states.values())
+
+
+TIME = pd.Timestamp("2024-01-01 00:00:00.000001")
+
+
+def batch(book_, deltas, snaps=()):
+    """What a book tells of a batch of (arrival, number): rows of OUT as tuples."""
+    rows = [(a, True, s, "o", "BUY", 1.0, float(s), "ADD", TIME if s % 2 else None) for a, s in deltas] + [(a, False, s, *[None] * 6) for a, s in snaps]
+    frame = pd.DataFrame(rows, columns=["arrival", "is_delta", "seq", "order_id", "side", "price", "quantity", "action", "event_time"]).astype({"event_time": "datetime64[us]"})
+    return [f for f in book_.handleInputRows(("X",), iter([frame]), None)]
+
+
+def test_waiting_deltas_are_asked_for_by_blocks():
+    """A number that comes last lets all after it wait: the state is asked once a block, and what is told goes in frames of bounded size."""
+    handle = Handle()
+    b = sync.Book(held=12)
+    b.init(handle)
+    batch(b, [(k, k) for k in range(11, 20_000)] + [(30_000 + k, k) for k in range(11, 20_000)], [(0, 9)])
+    batch(b, [(60_000 + k, k) for k in range(15_000, 40_000)])
+    frames = batch(b, [(200_000, 10)])
+    assert handle.asked() < 200
+    assert max(map(len, frames)) <= 10_001
+    told = pd.concat(frames)
+    assert told[told["what"] == "applied"]["seq"].tolist() == list(range(10, 40_000))
+    assert all((t == TIME) if s % 2 else pd.isna(t) for s, t in told[told["what"] == "applied"][["seq", "event_time"]].itertuples(index=False))
+    assert told.iloc[-1][["state", "waiting", "last_seq"]].tolist() == ["DESYNCED", 0, 39_999]
+    assert not handle.states["early"].rows
+
+
+def test_blocks_of_any_size_equal_a_replay(monkeypatch):
+    for size in (8, 64, 4096):
+        monkeypatch.setattr(sync, "BLOCK", size, raising=False)
+        for seed in range(4):
+            deltas, snaps = made(seed)
+            for i, (state, waiting, done, last) in replayed(deltas, snaps, 12).items():
+                b = sync.Book(held=12)
+                b.init(Handle())
+                told, cuts = [], [-1, 150, 300, 301, 900, 10**9]
+                for a, z in zip(cuts, cuts[1:], strict=False):
+                    d, s = ([x[1:3] for x in rows if x[0] == i and a * 10 < x[1] <= z * 10] for rows in (deltas, snaps))
+                    told += batch(b, d, s) if d or s else []
+                told = pd.concat(told)
+                assert told[told["what"] == "applied"]["seq"].tolist() == done
+                assert told.iloc[-1][["state", "waiting", "last_seq"]].tolist() == [state, waiting, last]
