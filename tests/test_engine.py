@@ -95,3 +95,16 @@ def test_a_trade_of_billions_of_buckets_is_one_step():
     assert b.runs == [(3, UNIT)] and b.filled == UNIT // 2 and b.vpin() == UNIT
     b.fill(UNIT // 2, -1)
     assert b.runs == [(2, UNIT), (1, 0)] and b.vpin() == 66_666_667
+
+
+def test_late_arrivals_may_be_told_by_their_number_alone():
+    rows = [(engine.TRADE, t * 60 * 10**6, k, k, 0, UNIT, UNIT, 1) for k, t in enumerate((0, 5, 0, 1, 6, 2))]
+    told = {}
+    for each in (True, False):
+        handle, told[each] = Handle(), []
+        e = Engine(60 * 10**6, [0], "1", 1, 5, each)
+        e.init(handle)
+        e.take(iter(rows), told[each])
+    late = {each: [r for r in out if r[0] == "late"] for each, out in told.items()}
+    assert [r[5] for r in late[True]] == [2, 3, 5] and [r[4] for r in late[False]] == [3]
+    assert [r for r in told[True] if r[0] == "feature"] == [r for r in told[False] if r[0] == "feature"]

@@ -45,3 +45,21 @@ def test_streams_take_bounded_batches(spark, monkeypatch, name, runs):
     finally:
         spark.streams.removeListener(sizes)
     assert sizes.ended == runs and 1000 <= sum(sizes.rows) and max(sizes.rows) <= 250 * 1.2 + 8
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_the_live_engine_runs_on_from_part_to_part(spark, monkeypatch):
+    rows = lambda: sorted(map(str, entry.queries()["live_features"](spark, SF).collect()))
+    whole, sizes = rows(), Sizes()
+    monkeypatch.setattr(queries, "BATCH", 250)
+    monkeypatch.setattr(queries, "STARTS", 2, raising=False)
+    spark.streams.addListener(sizes)
+    try:
+        assert rows() == whole
+        until = time.time() + 30
+        while sizes.ended < 7 and time.time() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(sizes)
+    # Five parts: the recorder is started for each, the engine twice; no batch takes two parts.
+    assert sizes.ended == 7 and len(sizes.rows) >= 10 and max(sizes.rows) <= 250 * 1.2 + 8

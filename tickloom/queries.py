@@ -556,30 +556,46 @@ def engine_state(s, d):
     return w.select(F.col("key.instrument").alias("instrument"), F.timestamp_micros("user_map_key.start").alias("window_start"), F.col("user_map_value.n").alias("n"), (F.col("user_map_value.v").cast(D) / engine.UNIT).alias("volume"))
 
 
-def _log(t):
-    """Trades in arrival order (seq) as raw records: offsets by partition without holes, ends under a topic of their own."""
+def _numbered(t):
+    """Trades in arrival order (seq) with their offsets by partition, without holes; ends are counted apart."""
     t = t.withColumns({"_chunk": F.expr("seq div 1000000 div 86400"), "_end": F.col("event_time").isNull()})
-    t = running(t, ["partition"], "_chunk", ["seq", "instrument"], offset=("sum", F.lit(1)))
+    return running(t, ["partition"], "_chunk", ["seq", "instrument"], offset=("sum", F.lit(1))).drop("_chunk")
+
+
+def _log(t):
+    """Numbered trades as raw records; ends under a topic of their own."""
     said = F.struct(F.lit("feed").alias("source"), F.struct(F.col("instrument").alias("symbol")).alias("instrument"), "event_id", F.unix_micros("event_time").alias("event_us"), "price", "size", "side", "seq")
     topic, part = F.when(F.col("_end"), "events.end").otherwise("events.trade"), F.when(F.col("_end"), 0).otherwise(F.col("partition"))
-    return t.select("seq", topic.alias("topic"), part.cast("int").alias("partition"), (F.col("offset") - 1).cast("bigint").alias("offset"), F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("timestamp"), F.col("instrument").alias("key"), F.to_json(said).cast("binary").alias("value"))
+    return t.select(topic.alias("topic"), part.cast("int").alias("partition"), (F.col("offset") - 1).cast("bigint").alias("offset"), F.coalesce(F.unix_millis("event_time"), F.lit(0)).alias("timestamp"), F.col("instrument").alias("key"), F.to_json(said).cast("binary").alias("value"))
+
+
+#: Times that the live engine is started at most: between, it runs on from part to part.
+STARTS = 8
 
 
 @q
 @_few
 def live_features(s, d):
-    """Trades recorded as they arrive, read back from the log as a live stream, and turned into features; recorder and engine are stopped after each part and started again."""
+    """Trades recorded as they arrive, read back from the log as a live stream, and turned into features; the recorder is stopped after each part and started again, the engine after an eighth of the parts (one at least)."""
     root = session.work_dir(s, "live")
     t = testdata.arrivals(s, d)
     exact = engine.ExactEngine(3600, [0, 1, 2], "500", 5)
     # A part has of each partition the records that follow those before; ends are in the last.
-    for part, _ in _parts(_log(t.unionByName(engine.ended(t))), "seq"):
-        part = part.drop("seq")
-        part.write.mode("append").parquet(f"{root}/in")
-        rawlog.record(s.readStream.schema(part.schema).parquet(f"{root}/in"), f"{root}/log", f"{root}/recorder").trigger(availableNow=True).start().awaitTermination()
-        out = exact.run(readers.ticks(rawlog.live(s, f"{root}/log")))
-        w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
-        w.trigger(availableNow=True).start().awaitTermination()
+    parts, tasks = [part for part, _ in _parts(session.settled(_numbered(t.unionByName(engine.ended(t))), "numbered"), "seq")], s.sparkContext.defaultParallelism
+    each = -(-len(parts) // STARTS)
+    for lo in range(0, len(parts), each):
+        run = None
+        for part in parts[lo : lo + each]:
+            # Whatever files a part's rows come from, all tasks make and record them; their order within a part is told by their numbers.
+            _log(part.repartition(tasks)).write.mode("append").parquet(f"{root}/in")
+            rawlog.record(s.readStream.schema(schemas.RAW).parquet(f"{root}/in"), f"{root}/log", f"{root}/recorder").trigger(availableNow=True).start().awaitTermination()
+            if run is None:
+                out = exact.run(readers.ticks(rawlog.live(s, f"{root}/log")))
+                w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
+                run = w.trigger(processingTime="500 milliseconds").start()
+            # The recorder commits a part at once, so that the engine takes it as one batch, and it is told before the next is recorded.
+            run.processAllAvailable()
+        run.stop()
     return s.read.schema(engine.FEATURE).parquet(f"{root}/out").select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
 
 

@@ -33,7 +33,7 @@ TOLD = f"what string, {FEATURE}, event_id bigint, event_time timestamp, seq bigi
 #: Of the clock: the version of the state's layout and of the features' rules. A checkpoint of another is refused.
 VERSION = "engine-1"
 _LEVELS = ("bid_p", "bid_q", "ask_p", "ask_q")
-#: An arrival. Its kind: an end (which has no time), a trade, or a book. No number is null, so none passes through a float on its way. Only books have levels.
+#: An arrival. Its kind: an end (which has no time), a trade, or a book. No number is null, so none passes through a float on its way. Only books have levels; without any, arrivals come without those columns.
 _ROW = ("kind", "us", "event_id", "seq", "partition", "p", "q", "sign", *_LEVELS)
 END, TRADE, BOOK = range(3)
 NONE = (None, None, None)
@@ -118,9 +118,10 @@ class Window:
 
 
 class Engine(StatefulProcessor):
-    """The processor of one instrument's arrivals."""
+    """The processor of one instrument's arrivals. What comes late is told row by row, or as one row a batch that says how many (`each_late` False)."""
 
-    def __init__(self, size: int, partitions: list[int], bucket: str, history: int, levels: int):
+    def __init__(self, size: int, partitions: list[int], bucket: str, history: int, levels: int, each_late: bool = True):
+        self.each_late = each_late
         self.size, self.partitions, self.unit, self.history, self.levels = size, partitions, int(Decimal(bucket) * UNIT), history, levels
         if self.unit <= 0 or history <= 0 or levels <= 0:
             raise ValueError("bucket, history and levels must be positive")
@@ -133,10 +134,10 @@ class Engine(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
         out = []
-        self.take((r for d in ordered(rows, ["seq"]) for r in zip(*(d[c].tolist() for c in _ROW), strict=True)), out)
-        at = lambda x: None if x is None else pd.Timestamp(x, unit="us")
+        self.take((r for d in ordered(rows, ["seq"]) for r in zip(*(d[c].tolist() for c in _ROW if c in d), strict=True)), out)
+        end = lambda start: None if start is None else start + self.size
         for lo in range(0, len(out), ROWS):
-            told = [(what, key[0], name, at(start), at(start + self.size), None if v is None else Decimal(v).scaleb(-8), n, event_id, at(us), seq, *(None if x is None else Decimal(x) for x in sums)) for what, name, start, v, n, event_id, us, seq, sums in out[lo : lo + ROWS]]
+            told = [(what, key[0], name, start, end(start), None if v is None else Decimal(v).scaleb(-8), n, event_id, us, seq, *(None if x is None else Decimal(x) for x in sums)) for what, name, start, v, n, event_id, us, seq, sums in out[lo : lo + ROWS]]
             yield framed(TOLD, told)
 
     def take(self, rows: Iterator[tuple], out: list[tuple]) -> None:
@@ -146,7 +147,7 @@ class Engine(StatefulProcessor):
             raise ValueError(f"state of {version}, not {VERSION}")
         tops, place = list(tops), {p: k for k, p in enumerate(self.partitions)}
         held: dict[int, Window] = {}
-        buckets = None
+        buckets, missed = None, 0
         for kind, us, event_id, seq, part, p, q, sign, *levels in rows:
             if kind == END:
                 ended = True
@@ -159,7 +160,9 @@ class Engine(StatefulProcessor):
                 start = us // self.size * self.size
                 # Only a partition that begins after an end can meet a window told already.
                 if start + self.size <= mark or (done is not None and start <= done):
-                    out.append(("late", None, start, None, 1, event_id, us, seq, (p * q, q, p) if kind == TRADE else NONE))
+                    missed += 1
+                    if self.each_late:
+                        out.append(("late", None, start, None, 1, event_id, us, seq, (p * q, q, p) if kind == TRADE else NONE))
                     continue
                 w = held[start] if start in held else held.setdefault(start, Window(self._kept(start, first)))
                 first = start if first is None else min(first, start)
@@ -175,6 +178,8 @@ class Engine(StatefulProcessor):
                     self._close(start, held.pop(start, None) or Window(self.windows.getValue((start,))), buckets, out)
                     done = start
                 first = next((s for s in open_ if s + self.size > mark), None)
+        if missed and not self.each_late:
+            out.append(("late", None, None, None, missed, None, None, None, NONE))
         for start, w in held.items():
             if w.new:
                 us, ids, q, sign = (list(x) for x in zip(*w.new, strict=True))
@@ -230,28 +235,29 @@ class ExactEngine:
 
     def __init__(self, size_seconds: int, partitions: list[int], bucket: str = "1", history: int = 1, levels: int = 5):
         self.levels = levels
-        self.engine = Engine(size_seconds * 1_000_000, list(partitions), bucket, history, levels)
+        self.rules = (size_seconds * 1_000_000, list(partitions), bucket, history, levels)
+        Engine(*self.rules)
 
-    def told(self, trades: DataFrame, books: DataFrame | None = None) -> DataFrame:
-        """Features and late arrivals, as TOLD. Counted in passing: `engine_in` (received) and `engine_out` (features, late)."""
+    def told(self, trades: DataFrame, books: DataFrame | None = None, each_late: bool = True) -> DataFrame:
+        """Features and late arrivals, as TOLD (not `each_late`: one row a batch of an instrument, with their number as input_count). Counted in passing: `engine_in` (received) and `engine_out` (features, late)."""
         unit = lambda c: f"cast({c} * {UNIT} as bigint)"
         zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("bigint").alias(name)
         key = ["instrument", zero("event_id", "event_id"), zero(F.unix_micros("event_time"), "us"), zero("partition", "partition"), zero("seq", "seq")]
         kind = lambda k: F.when(F.col("event_time").isNull(), END).otherwise(k).alias("kind")
         none = F.array().cast("array<bigint>")
         sign = F.when(F.col("side") == "BUY", 1).when(F.col("side") == "SELL", -1).otherwise(0)
-        both = trades.select(*key, kind(TRADE), zero(F.expr(unit("price")), "p"), zero(F.expr(unit("size")), "q"), sign.alias("sign"), *[F.lit(None).cast("array<bigint>").alias(c) for c in _LEVELS])
+        both = trades.select(*key, kind(TRADE), zero(F.expr(unit("price")), "p"), zero(F.expr(unit("size")), "q"), sign.alias("sign"))
         if books is not None:
             side = lambda c, f: F.coalesce(F.expr(f"transform(slice({c}, 1, {self.levels}), x -> {unit('x.' + f)})"), none)
             levels = [side(c, f).alias(a) for a, (c, f) in zip(_LEVELS, (("bids", "price"), ("bids", "size"), ("asks", "price"), ("asks", "size")), strict=True)]
-            both = both.unionByName(books.select(*key, kind(BOOK), *[F.lit(0).cast("bigint").alias(c) for c in ("p", "q")], F.lit(0).alias("sign"), *levels))
+            both = both.select("*", *[F.lit(None).cast("array<bigint>").alias(c) for c in _LEVELS]).unionByName(books.select(*key, kind(BOOK), *[F.lit(0).cast("bigint").alias(c) for c in ("p", "q")], F.lit(0).alias("sign"), *levels))
         both = both.observe("engine_in", F.count_if(F.col("kind") != END).alias("received"), F.timestamp_micros(F.max("us")).alias("last_time"))
-        out = stateful(both.groupBy("instrument"), self.engine, TOLD)
-        return out.observe("engine_out", F.count_if(F.col("what") == "feature").alias("features"), F.count_if(F.col("what") == "late").alias("late"))
+        out = stateful(both.groupBy("instrument"), Engine(*self.rules, each_late), TOLD)
+        return out.observe("engine_out", F.count_if(F.col("what") == "feature").alias("features"), F.coalesce(F.sum(F.when(F.col("what") == "late", F.col("input_count"))), F.lit(0)).alias("late"))
 
     def run(self, trades: DataFrame, books: DataFrame | None = None) -> DataFrame:
         """Closed features alone."""
-        return features(self.told(trades, books))
+        return features(self.told(trades, books, each_late=False))
 
 
 def features(told: DataFrame) -> DataFrame:
