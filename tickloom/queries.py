@@ -585,17 +585,20 @@ def live_features(s, d):
     each = -(-len(parts) // STARTS)
     for lo in range(0, len(parts), each):
         run = None
-        for part in parts[lo : lo + each]:
-            # Whatever files a part's rows come from, all tasks make and record them; their order within a part is told by their numbers.
-            _log(part.repartition(tasks)).write.mode("append").parquet(f"{root}/in")
-            rawlog.record(s.readStream.schema(schemas.RAW).parquet(f"{root}/in"), f"{root}/log", f"{root}/recorder").trigger(availableNow=True).start().awaitTermination()
-            if run is None:
-                out = exact.run(readers.ticks(rawlog.live(s, f"{root}/log")))
-                w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
-                run = w.trigger(processingTime="500 milliseconds").start()
-            # The recorder commits a part at once, so that the engine takes it as one batch, and it is told before the next is recorded.
-            run.processAllAvailable()
-        run.stop()
+        try:
+            for part in parts[lo : lo + each]:
+                # Whatever files a part's rows come from, all tasks make and record them; their order within a part is told by their numbers.
+                _log(part.repartition(tasks)).write.mode("append").parquet(f"{root}/in")
+                rawlog.record(s.readStream.schema(schemas.RAW).parquet(f"{root}/in"), f"{root}/log", f"{root}/recorder").trigger(availableNow=True).start().awaitTermination()
+                if run is None:
+                    out = exact.run(readers.ticks(rawlog.live(s, f"{root}/log")))
+                    w = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append")
+                    run = w.trigger(processingTime="500 milliseconds").start()
+                # The recorder commits a part at once, so that the engine takes it as one batch, and it is told before the next is recorded.
+                run.processAllAvailable()
+        finally:
+            if run is not None:
+                run.stop()
     return s.read.schema(engine.FEATURE).parquet(f"{root}/out").select("instrument", "feature_name", "window_start", F.col("value").cast(D).alias("value"), "input_count")
 
 
